@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pairing", "scoring")
+MODULES = ("pairing", "scoring", "evaluation")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
