@@ -7,7 +7,7 @@ strips of bounded height.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,49 +77,49 @@ def explode_span(df: DataFrame, low: str, high: str, out: str, step: Column | in
 
 
 def neighbourhood(raster: DataFrame, value: str, rx: int, ry: int, out: str = "nb",
-                  strip: int = 64) -> DataFrame:
+                  strip: int = 64, across: Callable[[list[Column]], Column] | None = None,
+                  by: Sequence[str] = ("image_id",)) -> DataFrame:
     """Attach the (2·ry+1)×(2·rx+1) window around each pixel as a flat array.
 
     Row-major, NULL outside the image. The raster is cut into strips of `strip`
-    rows with `ry` rows of overlap; one shuffle by (image_id, strip) serves both
+    rows with `ry` rows of overlap; one shuffle by (image, strip) serves both
     the horizontal and the vertical window, and no task needs a whole image.
+    With `across` the 2·rx+1 values of a line are first combined into one, and
+    the array holds that result for the 2·ry+1 lines (separable filters).
     """
     rows = raster
     if ry:
         lo = F.greatest(F.floor((F.col("y") - ry) / strip), F.lit(0))
-        hi = F.floor((F.col("y") + ry) / strip)
+        hi = F.greatest(F.floor((F.col("y") + ry) / strip), lo)
         rows = rows.withColumn("_s", F.explode(F.sequence(lo, hi)))
     else:
         rows = rows.withColumn("_s", F.floor(F.col("y") / strip))
-    rows = rows.repartition("image_id", "_s")
+    rows = rows.repartition(*by, "_s")
 
-    across = Window.partitionBy("image_id", "_s", "y").orderBy("x")
+    line_order = Window.partitionBy(*by, "_s", "y").orderBy("x")
     line = []
     for k in range(-rx, rx + 1):
         if k == 0:
             line.append(F.col(value))
             continue
-        at = F.lag("x", -k).over(across)
-        line.append(F.when(at == F.col("x") + k, F.lag(value, -k).over(across)))
-    rows = rows.withColumn("_h", F.array(*line))
-
-    if ry:
-        down = Window.partitionBy("image_id", "_s", "x").orderBy("y")
-        kind = rows.schema[value].dataType.simpleString()
-        empty = F.array_repeat(F.lit(None).cast(kind), 2 * rx + 1)
-        lines = []
-        for k in range(-ry, ry + 1):
-            if k == 0:
-                lines.append(F.col("_h"))
-                continue
-            at = F.lag("y", -k).over(down)
-            lines.append(F.when(at == F.col("y") + k, F.lag("_h", -k).over(down))
-                         .otherwise(empty))
-        rows = rows.withColumn(out, F.concat(*lines))
-        rows = rows.where(F.col("_s") == F.floor(F.col("y") / strip))
-    else:
-        rows = rows.withColumn(out, F.col("_h"))
-    return rows.drop("_s", "_h")
+        there = F.lag("x", -k).over(line_order) == F.col("x") + k
+        line.append(F.when(there, F.lag(value, -k).over(line_order)))
+    rows = rows.withColumn("_h", across(line) if across else F.array(*line))
+    if not ry:
+        return rows.withColumn(out, F.col("_h")).drop("_s", "_h")
+
+    column_order = Window.partitionBy(*by, "_s", "x").orderBy("y")
+    kind = rows.schema[value].dataType.simpleString()
+    empty = F.lit(None) if across else F.array_repeat(F.lit(None).cast(kind), 2 * rx + 1)
+    lines = []
+    for k in range(-ry, ry + 1):
+        if k == 0:
+            lines.append(F.col("_h"))
+            continue
+        there = F.lag("y", -k).over(column_order) == F.col("y") + k
+        lines.append(F.when(there, F.lag("_h", -k).over(column_order)).otherwise(empty))
+    rows = rows.withColumn(out, F.array(*lines) if across else F.concat(*lines))
+    return rows.where(F.col("_s") == F.floor(F.col("y") / strip)).drop("_s", "_h")
 
 
 def at(nb: str, dx: int, dy: int, rx: int, ry: int) -> Column:

@@ -95,3 +95,57 @@ def packed_sql(masked: float = 0.02, shifts: str = "(0, 0)", name: str = "packed
                           < {masked}::DOUBLE
                      THEN 1 ELSE 0 END)::HUGEINT << i::INTEGER FOR i IN range(64) ])::HUGEINT AS mask
   FROM embeddings, {name}_shift)"""
+
+
+# --------------------------------------------------------------------- rasters
+
+def pixel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, y, row): one pixel row per vector, one image per label."""
+    t = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "image_id")
+    placed = positions_within(t, "image_id", "vec_id", "y")
+    return placed.select("image_id", F.col("y").cast("int").alias("y"), F.expr(
+        "transform(embedding, e -> cast(least(greatest(floor("
+        "(cast(e as double) + 0.6D) * 212), 0), 255) as int))").alias("row"))
+
+
+def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pixel_rows(spark, sf_dir)
+    return rows.select("image_id", "y", F.posexplode("row").alias("x", "v"))
+
+
+def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three neighbouring pixels as red, green and blue."""
+    rows = pixel_rows(spark, sf_dir)
+    cells = F.expr("transform(sequence(0, size(row) - 3), i -> named_struct("
+                   "'x', i, 'r', row[i], 'g', row[i + 1], 'b', row[i + 2]))")
+    return rows.select("image_id", "y", F.inline(cells))
+
+
+RASTER_SQL = """pixel_rows AS (
+  SELECT label AS image_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS y,
+    embedding FROM embeddings),
+raster AS (
+  SELECT image_id, y, i::INTEGER AS x,
+    least(greatest(floor((embedding[i + 1]::DOUBLE + 0.6::DOUBLE) * 212), 0), 255)::INTEGER AS v
+  FROM pixel_rows, range(64) t(i)),
+sizes AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM raster GROUP BY image_id)"""
+
+RGB_SQL = RASTER_SQL + """,
+rgb AS (
+  SELECT a.image_id, a.y, a.x, a.v AS r, b.v AS g, c.v AS b
+  FROM raster a JOIN raster b ON b.image_id = a.image_id AND b.y = a.y AND b.x = a.x + 1
+  JOIN raster c ON c.image_id = a.image_id AND c.y = a.y AND c.x = a.x + 2)"""
+
+
+def circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pupil (xp, yp, rp) and iris (xi, yi, ri) of each image."""
+    labels = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    i = lambda v: F.lit(v)
+    return labels.select(
+        F.col("label").alias("image_id"), i(32).alias("xp"), i(20).alias("yp"), i(5).alias("rp"),
+        (F.col("label") % 2 + 32).cast("int").alias("xi"), i(21).alias("yi"), i(14).alias("ri"))
+
+
+CIRCLES_SQL = """circles AS (
+  SELECT DISTINCT label AS image_id, 32 AS xp, 20 AS yp, 5 AS rp,
+    (32 + label % 2)::INTEGER AS xi, 21 AS yi, 14 AS ri FROM embeddings)"""

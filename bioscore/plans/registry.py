@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pairing", "scoring", "evaluation")
+MODULES = ("pairing", "scoring", "evaluation", "pixels")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
