@@ -149,3 +149,100 @@ def circles(spark: SparkSession, sf_dir: str) -> DataFrame:
 CIRCLES_SQL = """circles AS (
   SELECT DISTINCT label AS image_id, 32 AS xp, 20 AS yp, 5 AS rp,
     (32 + label % 2)::INTEGER AS xi, 21 AS yi, 14 AS ri FROM embeddings)"""
+
+
+# ------------------------------------------------- boundaries, candidates, boxes
+
+def boundary_points(spark: SparkSession, sf_dir: str, per_raster: bool = False) -> DataFrame:
+    """Eight pupil and eight iris points per image, clockwise from north.
+
+    One image per vector around (200, 200), or one per raster image around
+    (32, 20) from the first vector of its label.
+    """
+    t = table(spark, sf_dir, "embeddings")
+    if per_raster:
+        t = t.groupBy("label").agg(F.expr("min_by(embedding, vec_id)").alias("embedding"))
+        t, cx, cy, rp, ri, gain = t.withColumnRenamed("label", "image_id"), 32, 20, 5, 14, 4
+    else:
+        t, cx, cy, rp, ri, gain = t.withColumnRenamed("vec_id", "image_id"), 200, 200, 40, 90, 10
+    rows = F.expr(
+        "flatten(transform(array('pupil', 'iris'), (ring, q) -> transform(sequence(0, 7), k -> "
+        "named_struct('ring', ring, 'k', k, 'rho', IF(q = 0, "
+        f"{rp}D, {ri}D), 'e', cast(embedding[q * 8 + k] as double)))))")
+    p = t.select("image_id", F.inline(rows))
+    turn = F.col("k") * (3.141592653589793 / 4)
+    near = lambda f: F.floor(F.col("rho") * f(turn) + F.col("e") * gain + 0.5).cast("int")
+    return p.select("image_id", "ring", "k", (cx + near(F.sin)).alias("x"),
+                    (cy - near(F.cos)).alias("y"), (F.abs("e") > 0.02).alias("valid"))
+
+
+def boundary_sql(per_raster: bool = False) -> str:
+    source, cx, cy, rp, ri, gain = (
+        ("SELECT label AS image_id, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY label",
+         32, 20, 5, 14, 4) if per_raster else
+        ("SELECT vec_id AS image_id, embedding FROM embeddings", 200, 200, 40, 90, 10))
+    return f"""marks AS (
+  SELECT image_id, CASE WHEN i < 8 THEN 'pupil' ELSE 'iris' END AS ring, (i % 8)::INTEGER AS k,
+    CASE WHEN i < 8 THEN {rp}e0 ELSE {ri}e0 END AS rho, embedding[i + 1]::DOUBLE AS e
+  FROM ({source}), range(16) t(i)),
+boundary AS (
+  SELECT image_id, ring, k, ({cx} + floor(rho * sin(k * (pi() / 4)) + e * {gain} + 0.5))::INTEGER AS x,
+    ({cy} - floor(rho * cos(k * (pi() / 4)) + e * {gain} + 0.5))::INTEGER AS y,
+    abs(e) > 0.02::DOUBLE AS valid FROM marks)"""
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contour candidates per (image, pass, threshold), from order lines."""
+    l = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("int")
+    return l.select(
+        (F.col("l_orderkey") % 1000).alias("image_id"), (F.col("l_suppkey") % 2 + 1).cast("int").alias("pass"),
+        F.lit(30).alias("start"), (F.col("l_linenumber") * 10).cast("int").alias("threshold"),
+        (F.col("l_partkey") % 200).cast("int").alias("count"), F.col("l_extendedprice").alias("ord"),
+        (F.col("l_partkey") % 640).cast("int").alias("cx"), (F.col("l_suppkey") % 480).cast("int").alias("cy"),
+        (q + 20).alias("w"), (q + 20 - F.col("l_linenumber") * 3).cast("int").alias("h"))
+
+
+CANDIDATES_SQL = """candidates AS (
+  SELECT l_orderkey % 1000 AS image_id, (l_suppkey % 2 + 1)::INTEGER AS pass, 30 AS start,
+    (l_linenumber * 10)::INTEGER AS threshold, (l_partkey % 200)::INTEGER AS count, l_extendedprice AS ord,
+    (l_partkey % 640)::INTEGER AS cx, (l_suppkey % 480)::INTEGER AS cy, (l_quantity + 20)::INTEGER AS w,
+    (l_quantity + 20 - l_linenumber * 3)::INTEGER AS h FROM lineitem)"""
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
+    return l.select(
+        F.col("l_orderkey").alias("image_id"), F.col("l_extendedprice").alias("ord"),
+        (F.col("l_partkey") % 640 - 20).cast("int").alias("x"),
+        (F.col("l_suppkey") % 480 - 5).cast("int").alias("y"),
+        (4 * F.col("l_quantity")).cast("int").alias("w"),
+        (20 * F.col("l_linenumber")).cast("int").alias("h"))
+
+
+DETECTIONS_SQL = """detections AS (
+  SELECT l_orderkey AS image_id, l_extendedprice AS ord, (l_partkey % 640 - 20)::INTEGER AS x,
+    (l_suppkey % 480 - 5)::INTEGER AS y, (4 * l_quantity)::INTEGER AS w, (20 * l_linenumber)::INTEGER AS h
+  FROM lineitem)"""
+
+
+def eyelid_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line extents of the eyelid patches per order; missing lines are NULL."""
+    l = table(spark, sf_dir, "lineitem")
+    o = F.col("image_id")
+    rows = l.groupBy(F.col("l_orderkey").alias("image_id")).agg(*[
+        f(F.when(F.col("l_linenumber") == k, F.col("l_partkey") % 520 - 10 + extra)).alias(name)
+        for k, patch in enumerate(("lt", "rt", "lb", "rb", "ct", "cb", "t"), 1)
+        for f, name, extra in ((F.min, f"{patch}_min", 0), (F.max, f"{patch}_max", 12))])
+    return rows.select("*", F.col("cb_min").alias("b_min"), F.lit(640).alias("w"), F.lit(480).alias("h"),
+                       (o % 180 + 153).alias("yp"), (o % 20 + 20).alias("rp"),
+                       (o % 240 + 200).cast("int").alias("xi"), (o % 180 + 150).cast("int").alias("yi"),
+                       (o % 60 + 60).cast("int").alias("ri"))
+
+
+EXTENTS_SQL = "extents AS (SELECT l_orderkey AS image_id, " + ", ".join(
+    f"{f}(l_partkey % 520 - 10 + {extra}) FILTER (l_linenumber = {k}) AS {patch}_{f}"
+    for k, patch in enumerate(("lt", "rt", "lb", "rb", "ct", "cb", "t"), 1)
+    for f, extra in (("min", 0), ("max", 12))) + """,
+  640 AS w, 480 AS h, l_orderkey % 240 + 200 AS xi, l_orderkey % 180 + 150 AS yi, l_orderkey % 60 + 60 AS ri
+  FROM lineitem GROUP BY l_orderkey)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pairing", "scoring", "evaluation", "pixels")
+MODULES = ("pairing", "scoring", "evaluation", "pixels", "segmentation")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
