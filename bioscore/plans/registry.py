@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pairing", "scoring", "evaluation", "pixels", "segmentation")
+MODULES = ("pairing", "scoring", "evaluation", "pixels", "segmentation", "encoding")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
