@@ -77,8 +77,8 @@ def explode_span(df: DataFrame, low: str, high: str, out: str, step: Column | in
 
 
 def neighbourhood(raster: DataFrame, value: str, rx: int, ry: int, out: str = "nb",
-                  strip: int = 64, across: Callable[[list[Column]], Column] | None = None,
-                  by: Sequence[str] = ("image_id",)) -> DataFrame:
+                  strip: int = 64,
+                  across: Callable[[list[Column]], Column] | None = None) -> DataFrame:
     """Attach the (2·ry+1)×(2·rx+1) window around each pixel as a flat array.
 
     Row-major, NULL outside the image. The raster is cut into strips of `strip`
@@ -94,9 +94,9 @@ def neighbourhood(raster: DataFrame, value: str, rx: int, ry: int, out: str = "n
         rows = rows.withColumn("_s", F.explode(F.sequence(lo, hi)))
     else:
         rows = rows.withColumn("_s", F.floor(F.col("y") / strip))
-    rows = rows.repartition(*by, "_s")
+    rows = rows.repartition("image_id", "_s")
 
-    line_order = Window.partitionBy(*by, "_s", "y").orderBy("x")
+    line_order = Window.partitionBy("image_id", "_s", "y").orderBy("x")
     line = []
     for k in range(-rx, rx + 1):
         if k == 0:
@@ -108,7 +108,7 @@ def neighbourhood(raster: DataFrame, value: str, rx: int, ry: int, out: str = "n
     if not ry:
         return rows.withColumn(out, F.col("_h")).drop("_s", "_h")
 
-    column_order = Window.partitionBy(*by, "_s", "x").orderBy("y")
+    column_order = Window.partitionBy("image_id", "_s", "x").orderBy("y")
     kind = rows.schema[value].dataType.simpleString()
     empty = F.lit(None) if across else F.array_repeat(F.lit(None).cast(kind), 2 * rx + 1)
     lines = []

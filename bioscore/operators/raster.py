@@ -109,9 +109,8 @@ def gamma(raster: DataFrame, g: float = 1.9) -> DataFrame:
         return raster
     spread = F.col("high") - F.col("low")
     return (_with_range(raster)
-            .select("image_id", "y", "x",
-                    F.when(spread != 0, F.pow((F.col("v") - F.col("low")) / spread, F.lit(1 / g)))
-                    .alias("v")))
+            .withColumn("v", F.when(spread != 0, F.pow(
+                (F.col("v") - F.col("low")) / spread, F.lit(1 / g)))).drop("low", "high"))
 
 
 def _equalizing(raster: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,8 +165,7 @@ def gauss_weights(sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def gaussian_smooth(raster: DataFrame, sigma: float = 2.0,
-                    by: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def gaussian_smooth(raster: DataFrame, sigma: float = 2.0) -> DataFrame:
     """Zero-padded smoothing; both passes run inside the same strips."""
     weights = gauss_weights(sigma)
     reach = len(weights) // 2
@@ -178,9 +176,9 @@ def gaussian_smooth(raster: DataFrame, sigma: float = 2.0,
             total = total + F.coalesce(value, F.lit(0)) * F.lit(w)
         return total
 
-    near = neighbourhood(raster, "v", reach, reach, across=weighted, by=by)
+    near = neighbourhood(raster, "v", reach, reach, across=weighted)
     lines = [F.col("nb")[k] for k in range(2 * reach + 1)]
-    return near.select(*by, "y", "x", weighted(lines).alias("v"))
+    return near.select("image_id", "y", "x", weighted(lines).alias("v"))
 
 
 def mirrored(raster: DataFrame, reach: int) -> DataFrame:
@@ -238,18 +236,18 @@ def _kept(i: Column, old: Column, new: Column) -> Column:
     return F.when(new > F.floor(old / 2) + 1, i + 1 - removed).otherwise(direct)
 
 
-def decimate(raster: DataFrame, scaling: float, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def decimate(raster: DataFrame, scaling: float, sizes: DataFrame | None = None) -> DataFrame:
     """Keep evenly spread rows and columns and renumber them."""
-    sizes = raster.groupBy(*by).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    sizes = image_sizes(raster) if sizes is None else sizes
     shrunk = lambda n: F.greatest((F.col(n) * scaling + ADJUST).cast("int"), F.lit(1))
-    sized = (raster.join(sizes, list(by))
+    sized = (raster.join(sizes, "image_id")
              .withColumn("_w", shrunk("w")).withColumn("_h", shrunk("h")))
     for axis, old, new in (("x", "w", "_w"), ("y", "h", "_h")):
         i, o, n = F.col(axis), F.col(old), F.col(new)
         sized = (sized.withColumn("_k", _kept(i, o, n))
                  .where(F.col("_k") > F.when(i > 0, _kept(i - 1, o, n)).otherwise(0))
                  .withColumn(axis, (F.col("_k") - 1).cast("int")))
-    return sized.select(*by, "y", "x", "v")
+    return sized.select("image_id", "y", "x", "v")
 
 
 def limit(c: Column, top: Column) -> Column:
@@ -257,11 +255,13 @@ def limit(c: Column, top: Column) -> Column:
     return F.least(F.greatest(c, F.lit(1)), top)
 
 
-def crop(raster: DataFrame, rects: DataFrame, one_based: bool = False) -> DataFrame:
-    """Cut the rectangle (x0, y0, wd, ht) of each image, limited to the image.
+def crop(raster: DataFrame, rects: DataFrame, one_based: bool = False,
+         new_id: str = "image_id") -> DataFrame:
+    """Cut the rectangles (x0, y0, wd, ht) of each image, limited to the image.
 
-    `rects` has one row per image and also its size w, h. With `one_based` the
-    origin counts pixels from 1.
+    `rects` also has the image size w, h. With `one_based` the origin counts
+    pixels from 1. The cut images are named by the column `new_id`, which allows
+    several rectangles per image.
     """
     x0 = F.greatest(limit(F.col("x0") - F.col("wd"), F.col("w")), F.col("x0"))
     y0 = F.greatest(limit(F.col("y0") - F.col("ht"), F.col("h")), F.col("y0"))
@@ -269,13 +269,13 @@ def crop(raster: DataFrame, rects: DataFrame, one_based: bool = False) -> DataFr
     placed = (rects.withColumn("_x", x0).withColumn("_y", y0)
               .withColumn("_wd", F.least(F.col("wd"), F.col("w") - F.col("_x")))
               .withColumn("_ht", F.least(F.col("ht"), F.col("h") - F.col("_y")))
-              .select("image_id", F.col("_x") - base, F.col("_y") - base, "_wd", "_ht")
-              .toDF("image_id", "_x", "_y", "_wd", "_ht"))
+              .select("image_id", F.col(new_id).alias("_id"), (F.col("_x") - base).alias("_x"),
+                      (F.col("_y") - base).alias("_y"), "_wd", "_ht"))
     return (raster.join(placed, "image_id")
             .withColumn("x", F.col("x") - F.col("_x")).withColumn("y", F.col("y") - F.col("_y"))
             .where((F.col("x") >= 0) & (F.col("y") >= 0)
                    & (F.col("x") < F.col("_wd")) & (F.col("y") < F.col("_ht")))
-            .select("image_id", "y", "x", "v"))
+            .select(F.col("_id").alias("image_id"), "y", "x", "v"))
 
 
 def circle_region(circles: DataFrame, x_limit: Column, y_limit: Column) -> DataFrame:
