@@ -31,6 +31,13 @@ def image_sizes(raster: DataFrame) -> DataFrame:
     return raster.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
 
 
+def _sized(raster: DataFrame, side: int | None) -> DataFrame:
+    """Attach w and h; images known to be side × side need no aggregation."""
+    if side is None:
+        return raster.join(image_sizes(raster), "image_id")
+    return raster.withColumn("w", F.lit(side)).withColumn("h", F.lit(side))
+
+
 def histogram(raster: DataFrame) -> DataFrame:
     return raster.groupBy("image_id", "v").agg(F.count("*").alias("n"))
 
@@ -134,9 +141,9 @@ def equalize(raster: DataFrame) -> DataFrame:
             .select("image_id", "y", "x", F.col("level").alias("v")))
 
 
-def equalize_halves(raster: DataFrame) -> DataFrame:
+def equalize_halves(raster: DataFrame, side: int | None = None) -> DataFrame:
     """Equalise the whole image and both halves, and blend them by quarters of the width."""
-    sized = raster.join(image_sizes(raster).drop("h"), "image_id")
+    sized = _sized(raster, side).drop("h")
     sized = sized.withColumn("right", F.col("x") >= F.floor(F.col("w") / 2))
     whole = _equalizing(raster, ["image_id"]).withColumnRenamed("level", "whole")
     half = _equalizing(sized, ["image_id", "right"]).withColumnRenamed("level", "half")
@@ -181,9 +188,9 @@ def gaussian_smooth(raster: DataFrame, sigma: float = 2.0) -> DataFrame:
     return near.select("image_id", "y", "x", weighted(lines).alias("v"))
 
 
-def mirrored(raster: DataFrame, reach: int) -> DataFrame:
+def mirrored(raster: DataFrame, reach: int, side: int | None = None) -> DataFrame:
     """Add the pixels mirrored at each border (without repeating the border)."""
-    sized = raster.join(image_sizes(raster), "image_id")
+    sized = _sized(raster, side)
 
     def copies(c: str, n: str) -> Column:
         i, last = F.col(c), F.col(n) - 1
@@ -195,10 +202,10 @@ def mirrored(raster: DataFrame, reach: int) -> DataFrame:
 
 
 def bilateral(raster: DataFrame, sigma_colour: float = 20.0, sigma_space: float = 2.0,
-              reach: int | None = None) -> DataFrame:
+              reach: int | None = None, side: int | None = None) -> DataFrame:
     """Edge-preserving smoothing of 8-bit pixels inside a round window."""
     reach = round(sigma_space * 1.5) if reach is None else reach
-    near = (neighbourhood(mirrored(raster, reach), "v", reach, reach)
+    near = (neighbourhood(mirrored(raster, reach, side), "v", reach, reach)
             .where((F.col("x") >= 0) & (F.col("y") >= 0)
                    & (F.col("x") < F.col("w")) & (F.col("y") < F.col("h"))))
     offsets = [((dy + reach) * (2 * reach + 1) + dx + reach,
@@ -303,13 +310,13 @@ def reach_bounds(df: DataFrame, x: Column, y: Column, dx: Column, dy: Column) ->
             .withColumn("top", limit(y - dy, h)).withColumn("bottom", limit(y + dy, h)))
 
 
-def elliptical_mask(raster: DataFrame, fill: int = 128) -> DataFrame:
+def elliptical_mask(raster: DataFrame, fill: int = 128, side: int | None = None) -> DataFrame:
     """Grey out the pixels outside the face ellipse of a square image."""
     w, h = F.col("w"), F.col("h")
     cx, cy = F.floor(w / 2), F.rint(h * 0.40)
     ax, ay = F.rint(w * 0.50), F.rint(h * 0.80)
     dx, dy = (F.col("x") - cx) / ax, (F.col("y") - cy) / ay
-    return (raster.join(image_sizes(raster), "image_id")
+    return (_sized(raster, side)
             .select("image_id", "y", "x",
                     F.when(dx * dx + dy * dy <= 1, F.col("v")).otherwise(fill).alias("v")))
 

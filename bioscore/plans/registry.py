@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pairing", "scoring", "evaluation", "pixels", "segmentation", "encoding", "voting")
+MODULES = ("pairing", "scoring", "evaluation", "pixels", "segmentation", "encoding", "voting",
+           "vectors")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
