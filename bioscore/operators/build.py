@@ -15,7 +15,7 @@ def build_templates(raster: DataFrame, circles: DataFrame, radial: int = encode.
                     wavelength: int = encode.TUNED["wavelength"],
                     sigma: float = encode.TUNED["sigma"], scales: int = 1, mult: int = 1,
                     ranked: bool = True, data_type: int = 0) -> DataFrame:
-    """Templates of all images that have circles.
+    """Templates of all images that have pixels and circles.
 
     `raster` may carry a boolean `noise`; noise pixels and pixels of value 0 are
     not used. With `ranked` unreliable responses are found by their magnitude
@@ -24,7 +24,8 @@ def build_templates(raster: DataFrame, circles: DataFrame, radial: int = encode.
     usable = F.col("v") >= 1
     if "noise" in raster.columns:
         usable = usable & ~F.col("noise")
-    grid = polar.polar_grid(circles, radial, angular)
+    known = raster.select("image_id").distinct()
+    grid = polar.polar_grid(circles.join(known, "image_id", "left_semi"), radial, angular)
     band = polar.polar_band(raster.where(usable), grid)
     rows = encode.band_rows(polar.fill_mean(band))
     cells = encode.response_cells(

@@ -56,6 +56,38 @@ def running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[
     return joined.withColumn(out, result).drop("_bucket", "_carry", "_inner")
 
 
+def lookup(df: DataFrame, figures: DataFrame, key: str, block: Column,
+           how: str = "inner") -> DataFrame:
+    """Join one row of figures per `key` to many rows of that key.
+
+    `block` splits the rows of a key into bounded groups. The figures are first
+    spread over the (key, block) groups that occur, and the wide join uses both,
+    so a key with very many rows is not gathered in one task.
+    """
+    rows = df.withColumn("_block", block)
+    spread = rows.select(key, "_block").distinct().join(figures, key)
+    return rows.join(spread, [key, "_block"], how).drop("_block")
+
+
+def attach(raster: DataFrame, figures: DataFrame, how: str = "inner",
+           strip: int = 64) -> DataFrame:
+    """Join per-image figures to the pixels of the image.
+
+    The figures are repeated per strip of rows and joined by (image, strip), so
+    that even one image with a large share of all pixels stays spread. Figures
+    without a height h get it from the raster; it is not kept then.
+    """
+    known = "h" in figures.columns
+    if not known:
+        figures = figures.join(
+            raster.groupBy("image_id").agg((F.max("y") + 1).alias("h")), "image_id")
+    strips = figures.withColumn("_s", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("h") - 1) / strip))))
+    strips = strips if known else strips.drop("h")
+    return (raster.withColumn("_s", F.floor(F.col("y") / strip))
+            .join(strips, ["image_id", "_s"], how).drop("_s"))
+
+
 def explode_span(df: DataFrame, low: str, high: str, out: str, step: Column | int = 1,
                  chunk: int = 8192) -> DataFrame:
     """One row per whole number low, low+step, … < high.

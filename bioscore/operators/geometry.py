@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ADJUST, fixed, half_away, half_even
-from .raster import limit
+from .common import attach
+from .raster import image_sizes, limit
 
 #: Value of pi used for angles, as given (15 digits).
 PI = 3.14159265358979
@@ -229,8 +230,7 @@ def affine_resample(raster: DataFrame, maps: DataFrame, replicate: bool = True)
     repeated, or 0 is read. Every target cell asks for its four source pixels with
     one equi-join; nothing is collected per image.
     """
-    sizes = raster.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    grid = (maps.join(sizes, "image_id")
+    grid = (maps.join(image_sizes(raster), "image_id")
             .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("out_h") - 1)))
             .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("out_w") - 1))))
     sx = F.col("m0") * F.col("x") + F.col("m1") * F.col("y") + F.col("m2")
@@ -290,8 +290,7 @@ def eye_alignment_map(eyes: DataFrame, width: int) -> DataFrame:
 
 def area_resize(raster: DataFrame, out_w: int, out_h: int) -> DataFrame:
     """Shrink by averaging the source area of each target cell."""
-    sizes = raster.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    sized = raster.join(sizes, "image_id")
+    sized = attach(raster, image_sizes(raster))
 
     def cells(axis: str, n: str, out: int) -> Column:
         """Target cells a source line falls in, with the shared length."""

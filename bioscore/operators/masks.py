@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import attach
 from .raster import limit
 
 
@@ -136,5 +137,5 @@ def occlusion_noise(raster: DataFrame, lines: DataFrame) -> DataFrame:
     hidden = F.expr(
         "exists(lines, l -> IF(l.at IS NOT NULL, (l.at - x) * (l.at - xi) <= 0, "
         "(l.a * x + l.b - y) * (l.a * xi + l.b - yi) <= 0))")
-    return (raster.join(lines, "image_id")
+    return (attach(raster, lines)
             .select("image_id", "y", "x", "v", hidden.alias("noise")))

@@ -1,8 +1,7 @@
 """Pixel-table operators: statistics, texture, filters, resampling.
 
 A raster is (image_id, y, x, v), 0-based. Figures of an image come from a
-group-by with map-side combine and are joined back by image; adaptive execution
-broadcasts them when they turn out small and splits skewed images otherwise.
+group-by with map-side combine and are joined back by strips of the image.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ADJUST, clamp, half_even, ratio, real
-from .common import at, neighbourhood
+from .common import at, attach, neighbourhood
 
 #: Co-occurrence directions: angle → (dx, dy).
 DIRECTIONS = {0: (1, 0), 45: (1, -1), 90: (0, -1), 135: (-1, -1)}
@@ -34,7 +33,7 @@ def image_sizes(raster: DataFrame) -> DataFrame:
 def _sized(raster: DataFrame, side: int | None) -> DataFrame:
     """Attach w and h; images known to be side × side need no aggregation."""
     if side is None:
-        return raster.join(image_sizes(raster), "image_id")
+        return attach(raster, image_sizes(raster))
     return raster.withColumn("w", F.lit(side)).withColumn("h", F.lit(side))
 
 
@@ -86,7 +85,7 @@ def dark_threshold(raster: DataFrame, alpha: int = 20, norm: float = 256.0) -> D
 
 
 def binary_threshold(raster: DataFrame, thresholds: DataFrame) -> DataFrame:
-    return (raster.join(thresholds, "image_id")
+    return (attach(raster, thresholds)
             .select("image_id", "y", "x",
                     F.when(F.col("v") > F.col("threshold"), 255).otherwise(0).alias("v")))
 
@@ -94,8 +93,9 @@ def binary_threshold(raster: DataFrame, thresholds: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- value transforms
 
 def _with_range(raster: DataFrame) -> DataFrame:
-    ends = raster.groupBy("image_id").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    return raster.join(ends, "image_id")
+    ends = raster.groupBy("image_id").agg(F.min("v").alias("low"), F.max("v").alias("high"),
+                                          (F.max("y") + 1).alias("h"))
+    return attach(raster, ends).drop("h")
 
 
 def minmax_rescale(raster: DataFrame) -> DataFrame:
@@ -120,9 +120,8 @@ def gamma(raster: DataFrame, g: float = 1.9) -> DataFrame:
                 (F.col("v") - F.col("low")) / spread, F.lit(1 / g)))).drop("low", "high"))
 
 
-def _equalizing(raster: DataFrame, keys: list[str]) -> DataFrame:
-    """Look-up table (keys, v, level) of an 8-bit histogram equalisation."""
-    counts = raster.groupBy(*keys, "v").agg(F.count("*").alias("n"))
+def _levels(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Histogram equalisation of 8-bit counts (keys, v, n): (keys, v, level)."""
     upto = (Window.partitionBy(*keys).orderBy("v")          # at most 256 rows
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     whole = Window.partitionBy(*keys)
@@ -132,34 +131,45 @@ def _equalizing(raster: DataFrame, keys: list[str]) -> DataFrame:
     scale = ratio(F.lit(255), F.col("total") - F.col("first"))
     level = F.when(F.col("total") == F.col("first"), F.col("v").cast("int")).otherwise(
         clamp(half_even((F.col("c") - F.col("first")).cast("float") * scale), 0, 255))
-    return table.select(*keys, "v", level.alias("level"))
+    return table.select(*keys, F.col("v").cast("int").alias("v"), level.alias("level"))
+
+
+def _look_up(name: str) -> Column:
+    """Level map of a key, at most 256 entries."""
+    return F.map_from_entries(F.collect_list(F.struct("v", "level"))).alias(name)
 
 
 def equalize(raster: DataFrame) -> DataFrame:
     """Histogram equalisation per image."""
-    return (raster.join(_equalizing(raster, ["image_id"]), ["image_id", "v"])
-            .select("image_id", "y", "x", F.col("level").alias("v")))
+    table = _levels(histogram(raster), ["image_id"]).groupBy("image_id").agg(_look_up("m"))
+    return (attach(raster, table)
+            .select("image_id", "y", "x", F.col("m")[F.col("v").cast("int")].alias("v")))
 
 
 def equalize_halves(raster: DataFrame, side: int | None = None) -> DataFrame:
     """Equalise the whole image and both halves, and blend them by quarters of the width."""
-    sized = _sized(raster, side).drop("h")
-    sized = sized.withColumn("right", F.col("x") >= F.floor(F.col("w") / 2))
-    whole = _equalizing(raster, ["image_id"]).withColumnRenamed("level", "whole")
-    half = _equalizing(sized, ["image_id", "right"]).withColumnRenamed("level", "half")
-    both = sized.join(whole, ["image_id", "v"]).join(half, ["image_id", "right", "v"])
-    x, w = F.col("x"), F.col("w")
+    sized = _sized(raster, side).withColumn("right", F.col("x") >= F.floor(F.col("w") / 2))
+    counts = sized.groupBy("image_id", "right", "v").agg(F.count("*").alias("n"))
+    halves = _levels(counts, ["image_id", "right"])
+    whole = _levels(counts.groupBy("image_id", "v").agg(F.sum("n").alias("n")), ["image_id"])
+    entry = F.struct("v", "level")
+    half = lambda right: F.map_from_entries(F.collect_list(
+        F.when(F.col("right") == right, entry)))
+    tables = (halves.groupBy("image_id").agg(half(False).alias("l"), half(True).alias("r"))
+              .join(whole.groupBy("image_id").agg(_look_up("m")), "image_id"))
+    both = attach(sized.drop("h"), tables)
+    x, w, v = F.col("x"), F.col("w"), F.col("v").cast("int")
     quarter = lambda k: F.floor(w * k / 4)
     one, step = real(1.0), real(w * real(0.25))
 
     def blend(f: Column, left: Column, right: Column) -> Column:
         return half_even((one - f) * real(left) + f * real(right))
 
-    h, a = F.col("half"), F.col("whole")
-    v = (F.when(x < quarter(1), h)
-         .when(x < quarter(2), blend(ratio(x - quarter(1), step), h, a))
-         .when(x < quarter(3), blend(ratio(x - quarter(2), step), a, h)).otherwise(h))
-    return both.select("image_id", "y", "x", v.cast("int").alias("v"))
+    h, a = F.when(F.col("right"), F.col("r")[v]).otherwise(F.col("l")[v]), F.col("m")[v]
+    out = (F.when(x < quarter(1), h)
+           .when(x < quarter(2), blend(ratio(x - quarter(1), step), h, a))
+           .when(x < quarter(3), blend(ratio(x - quarter(2), step), a, h)).otherwise(h))
+    return both.select("image_id", "y", "x", out.cast("int").alias("v"))
 
 
 # ---------------------------------------------------------------------- filters
@@ -247,7 +257,7 @@ def decimate(raster: DataFrame, scaling: float, sizes: DataFrame | None = None)
     """Keep evenly spread rows and columns and renumber them."""
     sizes = image_sizes(raster) if sizes is None else sizes
     shrunk = lambda n: F.greatest((F.col(n) * scaling + ADJUST).cast("int"), F.lit(1))
-    sized = (raster.join(sizes, "image_id")
+    sized = (attach(raster, sizes)
              .withColumn("_w", shrunk("w")).withColumn("_h", shrunk("h")))
     for axis, old, new in (("x", "w", "_w"), ("y", "h", "_h")):
         i, o, n = F.col(axis), F.col(old), F.col(new)
@@ -276,9 +286,9 @@ def crop(raster: DataFrame, rects: DataFrame, one_based: bool = False,
     placed = (rects.withColumn("_x", x0).withColumn("_y", y0)
               .withColumn("_wd", F.least(F.col("wd"), F.col("w") - F.col("_x")))
               .withColumn("_ht", F.least(F.col("ht"), F.col("h") - F.col("_y")))
-              .select("image_id", F.col(new_id).alias("_id"), (F.col("_x") - base).alias("_x"),
+              .select("image_id", "h", F.col(new_id).alias("_id"), (F.col("_x") - base).alias("_x"),
                       (F.col("_y") - base).alias("_y"), "_wd", "_ht"))
-    return (raster.join(placed, "image_id")
+    return (attach(raster, placed)
             .withColumn("x", F.col("x") - F.col("_x")).withColumn("y", F.col("y") - F.col("_y"))
             .where((F.col("x") >= 0) & (F.col("y") >= 0)
                    & (F.col("x") < F.col("_wd")) & (F.col("y") < F.col("_ht")))

@@ -76,12 +76,24 @@ def gram_rows(vectors: DataFrame, weight: str | None = None) -> DataFrame:
                 [pa.array(np.arange(d, dtype=np.int32)), pa.array(np.full(d, n)), pa.array(s),
                  pa.ListArray.from_arrays(ends, pa.array(g.ravel()))], names=["i", "n", "s", "g"])
 
-    parts = columns.mapInArrow(partial, "i int, n double, s double, g array<double>")
-    cells = parts.select("i", "n", "s", F.posexplode("g").alias("j", "c"))
-    summed = cells.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c"))
-    ordered = F.array_sort(F.collect_list(F.struct("j", "c")))
-    return summed.groupBy("i").agg(F.max("n").alias("n"), F.max("s").alias("s"),
-                                   F.transform(ordered, lambda e: e["c"]).alias("g"))
+    def total(batches):
+        """Add the rows of the tasks that share a row number, one batch at a time."""
+        sums: dict[int, list] = {}
+        for batch in batches:
+            g = _matrix(batch, "g") if batch.num_rows else ()
+            for i, n, s, row in zip(*(batch.column(k).to_pylist() for k in range(3)), g):
+                if i in sums:
+                    sums[i] = [sums[i][0] + n, sums[i][1] + s, sums[i][2] + row]
+                else:
+                    sums[i] = [n, s, row.copy()]
+        if sums:
+            n, s, g = zip(*sums.values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array(n), pa.array(s),
+                 pa.array(list(g), pa.list_(pa.float64()))], names=["i", "n", "s", "g"])
+
+    schema = "i int, n double, s double, g array<double>"
+    return columns.mapInArrow(partial, schema).repartition("i").mapInArrow(total, schema)
 
 
 def _collect(grams: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ADJUST, fixed, half_away
 from ..session import checkpoint_ready
-from .common import at, neighbourhood
+from .common import at, attach, neighbourhood
 from .geometry import PI, line_points
 from .raster import crop, decimate, gamma, gaussian_smooth, image_sizes, limit
 
@@ -66,7 +66,7 @@ def thin(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     names = ["degree", "a0", "a1", "a2", "a3", "b0", "b1", "b2", "b3", "fx", "fy"]
     table = spark.createDataFrame(
         thinning_table(), ", ".join(f"{n} {'double' if n[0] == 'f' else 'int'}" for n in names))
-    near = neighbourhood(edges, "v", 2, 2).join(sizes, "image_id")
+    near = attach(neighbourhood(edges, "v", 2, 2), sizes)
     joined = near.withColumn("degree", (F.col("orient") + ADJUST).cast("int")).join(
         F.broadcast(table), "degree")                                  # 181 rows
 
@@ -112,7 +112,7 @@ def grow_regions(raster: DataFrame, high: float, low: float, sizes: DataFrame) -
     search walk over tiles instead of pixels; every round is checkpointed.
     """
     _checkpoints(raster.sparkSession)
-    sized = raster.where(F.col("v") > low).join(sizes, "image_id")
+    sized = attach(raster.where(F.col("v") > low), sizes)
     number = F.col("y").cast("long") * F.col("w") + F.col("x")
     strong = (sized.withColumn("pixel", number)
               .withColumn("seed", F.col("v") > high)
@@ -181,8 +181,7 @@ def circle_votes(edges: DataFrame, radii: DataFrame, sizes: DataFrame,
     p + 1 + base. The offset table is fixed by `largest`, the largest radius.
     """
     offsets = circle_offsets(edges, largest)
-    per_radius = (edges.select("image_id", "y", "x").join(radii, "image_id")
-                  .join(sizes, "image_id")
+    per_radius = (attach(edges.select("image_id", "y", "x"), radii.join(sizes, "image_id"))
                   .withColumn("plane", F.explode(F.sequence(F.lit(0), F.col("planes") - 1)))
                   .withColumn("radius", F.col("plane") + 1 + F.col("base")))
     cells = (per_radius.join(F.broadcast(offsets), "radius")   # about 6·largest² small rows
@@ -251,7 +250,7 @@ def line_votes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     reach = F.ceil(F.sqrt((corner["a"] * corner["a"] + corner["b"] * corner["b"]).cast("double"))) + 1
     quarters = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
                          for dy in (0.25, -0.25) for dx in (-0.25, 0.25)])
-    spread = (edges.select("image_id", "y", "x").join(sizes, "image_id")
+    spread = (attach(edges.select("image_id", "y", "x"), sizes)
               .withColumn("last", reach)
               .withColumn("q", F.explode(quarters))
               .withColumn("px", F.col("x") - xo + F.col("q.dx"))
@@ -368,8 +367,8 @@ def segment(raster: DataFrame, iris: dict = IRIS_SEARCH, pupil: dict = PUPIL_SEA
 
     def cut(parts: DataFrame, new_id: str = "image_id") -> DataFrame:
         """Pixels x1 … x2, y1 … y2 (1-based) of each image, renumbered from 0."""
-        return (raster.join(parts.select("image_id", F.col(new_id).alias("_id"), "x1", "y1", "x2", "y2"),
-                            "image_id")
+        wanted = parts.select("image_id", "h", F.col(new_id).alias("_id"), "x1", "y1", "x2", "y2")
+        return (attach(raster, wanted)
                 .where((F.col("x") + 1).between(F.col("x1"), F.col("x2"))
                        & (F.col("y") + 1).between(F.col("y1"), F.col("y2")))
                 .select(F.col("_id").alias("image_id"), (F.col("y") + 1 - F.col("y1")).alias("y"),
@@ -388,8 +387,8 @@ def segment(raster: DataFrame, iris: dict = IRIS_SEARCH, pupil: dict = PUPIL_SEA
         first, last = F.col("y1") + F.col("prow") - F.col("rp"), F.col("y1") + F.col("prow") + F.col("rp")
         parts = F.array(F.struct(F.lit("top").alias("part"), F.col("y1").alias("y1"), (first - 1).alias("y2")),
                         F.struct(F.lit("bottom").alias("part"), (last - 1).alias("y1"), F.col("y2").alias("y2")))
-        strips = (both.select("image_id", "x1", "x2", F.explode(parts).alias("s"))
-                  .select("image_id", "x1", "x2", "s.*")
+        strips = (both.select("image_id", "h", "x1", "x2", F.explode(parts).alias("s"))
+                  .select("image_id", "h", "x1", "x2", "s.*")
                   .withColumn("key", F.concat_ws("|", "image_id", "part")))
         lines = find_lines(cut(strips, "key"))
         spans = line_extents(lines, strips.select(
@@ -398,8 +397,7 @@ def segment(raster: DataFrame, iris: dict = IRIS_SEARCH, pupil: dict = PUPIL_SEA
         edge = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
         lids = spans.groupBy(F.col("eye").alias("image_id")).agg(
             edge("top", "high").alias("_top"), edge("bottom", "low").alias("_bottom"))
-        marked = marked.join(lids, "image_id", "left")
-        marked = marked.join(both.select("image_id", "x1", "x2"), "image_id", "left")
+        marked = attach(marked, both.select("image_id", "h", "x1", "x2").join(lids, "image_id", "left"))
         columns = (F.col("x") + 1).between(F.col("x1"), F.col("x2"))
         hidden = (F.coalesce(F.col("y") + 1 <= F.col("_top"), F.lit(False))
                   | F.coalesce(F.col("y") + 1 >= F.col("_bottom"), F.lit(False)))
