@@ -30,9 +30,7 @@ def build_templates(raster: DataFrame, circles: DataFrame, radial: int = encode.
     rows = encode.band_rows(polar.fill_mean(band))
     cells = encode.response_cells(
         encode.filter_rows(rows, angular, wavelength, sigma, scales, mult))
-    limits = encode.magnitude_thresholds(cells) if ranked else None
-    bits = encode.phase_bits(cells, band, limits)
-    return encode.pack_templates(bits, radial, angular, scales, data_type)
+    return encode.pack_templates(encode.phase_bits(cells, ranked), radial, angular, scales, data_type)
 
 
 def build_from_boundaries(raster: DataFrame, points: DataFrame, highlight: int | None = 240,

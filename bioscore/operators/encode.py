@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,10 +27,12 @@ def filter_matrix(n: int, wavelength: int, sigma: float) -> np.ndarray:
     return np.fft.ifft(gain[:, None] * np.fft.fft(np.eye(n), axis=0), axis=0).T
 
 
-def band_rows(band: DataFrame, by: Sequence[str] = ("image_id", "r")) -> DataFrame:
-    """One array per ring, in angular order."""
-    cells = F.array_sort(F.collect_list(F.struct("a", "v")))
-    return band.groupBy(*by).agg(F.transform(cells, lambda c: c["v"]).alias("v"))
+def band_rows(band: DataFrame) -> DataFrame:
+    """One record per ring, in angular order: arrays v and noise."""
+    cells = F.array_sort(F.collect_list(F.struct("a", "v", "noise")))
+    rows = band.groupBy("image_id", "r").agg(cells.alias("_c"))
+    return rows.select("image_id", "r", F.transform("_c", lambda c: c["v"]).alias("v"),
+                       F.transform("_c", lambda c: c["noise"]).alias("noise"))
 
 
 def filter_rows(rows: DataFrame, n: int, wavelength: int, sigma: float, scales: int = 1,
@@ -69,10 +69,11 @@ def filter_rows(rows: DataFrame, n: int, wavelength: int, sigma: float, scales:
 
 
 def response_cells(responses: DataFrame) -> DataFrame:
-    """One row per response: position a with re, im and magnitude."""
-    keep = [c for c in responses.columns if c not in ("re", "im")]
-    cells = responses.select(*keep, F.posexplode(F.arrays_zip("re", "im")).alias("a", "_c"))
-    return (cells.select(*keep, "a", F.col("_c.re").alias("re"), F.col("_c.im").alias("im"))
+    """One row per response: position a with re, im, magnitude and noise if known."""
+    arrays = [c for c in ("re", "im", "noise") if c in responses.columns]
+    keep = [c for c in responses.columns if c not in arrays]
+    cells = responses.select(*keep, F.posexplode(F.arrays_zip(*arrays)).alias("a", "_c"))
+    return (cells.select(*keep, "a", *[F.col(f"_c.{c}").alias(c) for c in arrays])
             .withColumn("mag", F.sqrt(F.col("im") * F.col("im") + F.col("re") * F.col("re"))))
 
 
@@ -80,20 +81,25 @@ def _float32(rate: float) -> float:
     return float(np.float32(rate))
 
 
-def magnitude_thresholds(cells: DataFrame, low: float = TUNED["low"],
-                         high: float = TUNED["high"]) -> DataFrame:
-    """Magnitudes at two ranks per image and scale: (image_id, scale, low, high).
+def with_thresholds(cells: DataFrame, low: float = TUNED["low"],
+                    high: float = TUNED["high"]) -> DataFrame:
+    """Attach the magnitudes at two ranks of the image and scale, as low and high.
 
     Rank int(n·rate) - 1, or 0; the rates are single-precision numbers.
     """
-    by = ["image_id", "scale"]                          # radial × angular cells
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("mag"))
-    n = F.count("*").over(Window.partitionBy(*by))
-    place = lambda rate: F.greatest(F.floor(n * _float32(rate)), F.lit(1))
-    ranked = (cells.withColumn("_k", rank).withColumn("_low", place(low))
-              .withColumn("_high", place(high)))
-    pick = lambda c: F.max(F.when(F.col("_k") == F.col(c), F.col("mag")))
-    return ranked.groupBy(*by).agg(pick("_low").alias("low"), pick("_high").alias("high"))
+    whole = Window.partitionBy("image_id", "scale")     # radial × angular cells
+    place = lambda rate: F.greatest(F.floor(F.col("_n") * _float32(rate)), F.lit(1))
+    ranked = (cells.withColumn("_k", F.row_number().over(whole.orderBy("mag")))
+              .withColumn("_n", F.count("*").over(whole)))
+    pick = lambda rate: F.max(F.when(F.col("_k") == place(rate), F.col("mag"))).over(whole)
+    return (ranked.withColumn("low", pick(low)).withColumn("high", pick(high)).drop("_k", "_n"))
+
+
+def magnitude_thresholds(cells: DataFrame, low: float = TUNED["low"],
+                         high: float = TUNED["high"]) -> DataFrame:
+    """(image_id, scale, low, high)"""
+    return (with_thresholds(cells, low, high).groupBy("image_id", "scale")
+            .agg(F.max("low").alias("low"), F.max("high").alias("high")))
 
 
 def coefficient_thresholds(cells: DataFrame, rate: float) -> DataFrame:
@@ -110,21 +116,19 @@ def coefficient_thresholds(cells: DataFrame, rate: float) -> DataFrame:
     return out
 
 
-def phase_bits(cells: DataFrame, band: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+def phase_bits(cells: DataFrame, ranked: bool = True) -> DataFrame:
     """Two bits per response and whether they are masked.
 
-    Masked are noise cells and unreliable responses: outside the two magnitude
-    thresholds, or weaker than a constant when none are given.
+    Masked are noise cells and unreliable responses: with `ranked` those outside
+    the two magnitude ranks of the image, otherwise those weaker than a constant.
     """
-    noise = band.select("image_id", "r", "a", "noise")
-    joined = cells.join(noise, ["image_id", "r", "a"])
-    if thresholds is not None:
-        joined = joined.join(thresholds, ["image_id", "scale"])
+    if ranked:
+        cells = with_thresholds(cells)
         weak = (F.col("mag") < F.col("low")) | (F.col("mag") > F.col("high"))
     else:
         weak = F.col("mag") < WEAK
-    return joined.select("image_id", "r", "a", "scale", (F.col("re") > 0).alias("bit_re"),
-                         (F.col("im") > 0).alias("bit_im"), (F.col("noise") | weak).alias("masked"))
+    return cells.select("image_id", "r", "a", "scale", (F.col("re") > 0).alias("bit_re"),
+                        (F.col("im") > 0).alias("bit_im"), (F.col("noise") | weak).alias("masked"))
 
 
 def pack_templates(bits: DataFrame, radial: int, angular: int, scales: int = 1,

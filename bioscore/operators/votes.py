@@ -248,24 +248,29 @@ def line_votes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     xo, yo = F.floor((F.col("w") - 1) / 2), F.floor((F.col("h") - 1) / 2)
     corner = F.struct((F.col("h") - 1 - yo).alias("a"), (F.col("w") - 1 - xo).alias("b"))
     reach = F.ceil(F.sqrt((corner["a"] * corner["a"] + corner["b"] * corner["b"]).cast("double"))) + 1
-    quarters = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-                         for dy in (0.25, -0.25) for dx in (-0.25, 0.25)])
     spread = (attach(edges.select("image_id", "y", "x"), sizes)
               .withColumn("last", reach)
-              .withColumn("q", F.explode(quarters))
-              .withColumn("px", F.col("x") - xo + F.col("q.dx"))
-              .withColumn("py", (F.col("h") - 1 - F.col("y")) - yo + F.col("q.dy"))
+              .withColumn("px", F.col("x") - xo)
+              .withColumn("py", (F.col("h") - 1 - F.col("y")) - yo)
               .withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(179)))))
     turn = F.col("angle") * (PI / 180)
-    place = F.col("px") * F.cos(turn) + F.col("last") + F.col("py") * F.sin(turn)
-    binned = (spread.select("image_id", "angle", "last", place.alias("_p"))
-              .withColumn("_b", F.floor("_p")))
-    share = F.lit(0.25) * (1 - F.col("_p") + F.col("_b"))
-    halves = F.array(F.struct(F.col("_b").alias("b"), share.alias("m")),
-                     F.struct((F.col("_b") + 1).alias("b"), (F.lit(0.25) - share).alias("m")))
-    return (binned.select("image_id", "angle", "last", F.explode(halves).alias("e"))
+    placed = (spread.select("image_id", "angle", "last", "px", "py", F.cos(turn).alias("_cos"),
+                            F.sin(turn).alias("_sin")))
+    at_quarter = [(F.col("px") + dx) * F.col("_cos") + F.col("last") + (F.col("py") + dy) * F.col("_sin")
+                  for dy in (0.25, -0.25) for dx in (-0.25, 0.25)]
+    placed = placed.select("image_id", "angle", "last",
+                           *[q.alias(f"_q{i}") for i, q in enumerate(at_quarter)])
+    quarters = [F.col(f"_q{i}") for i in range(4)]
+    first = F.floor(F.least(*quarters))
+    # the quarters are less than one bin apart, so three bins take all of them
+    share = lambda k: sum((F.greatest(F.lit(0.0), F.lit(0.25) * (1 - F.abs(q - k))) for q in quarters),
+                          F.lit(0.0))
+    bins = F.array(*[F.struct((first + k).alias("b"), share(first + k).alias("m")) for k in range(3)])
+    return (placed.select("image_id", "angle", "last", F.explode(bins).alias("e"))
+            .where(F.col("e.m") > 0)
             .groupBy("image_id", "angle", (F.col("e.b") - F.col("last")).cast("int").alias("r"))
-            .agg(fixed(F.sum("e.m"), 9).alias("mass")))
+            .agg(fixed(F.sum("e.m"), 9).alias("mass"))
+            .where(F.col("mass") > 0))
 
 
 def strongest_lines(votes: DataFrame, sizes: DataFrame, least: float = MIN_LINE) -> DataFrame:

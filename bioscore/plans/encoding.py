@@ -60,7 +60,9 @@ def _vector_rows(spark, d):
     e = fx.table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("r"),
                     "embedding").select("image_id", "r", F.expr(
-                        "transform(slice(embedding, r * 16 + 1, 16), e -> cast(e as double))").alias("v"))
+                        "transform(slice(embedding, r * 16 + 1, 16), e -> cast(e as double))").alias("v"),
+                        F.expr("transform(slice(embedding, r * 16 + 1, 16), "
+                               "e -> abs(cast(e as double)) < 0.01D)").alias("noise"))
 
 
 def _vector_cells(spark, d, scales=2):
@@ -83,19 +85,10 @@ def coefficient_thresholds(spark, d):
     return t.withColumn("re", fixed("re")).withColumn("im", fixed("im"))
 
 
-def _vector_bits(spark, d, ranked):
-    cells = _vector_cells(spark, d)
-    e = fx.table(spark, d, "embeddings")
-    band = e.select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "e")).select(
-        "image_id", F.floor(F.col("i") / 16).cast("int").alias("r"), (F.col("i") % 16).alias("a"),
-        (F.abs(F.col("e").cast("double")) < 0.01).alias("noise"))
-    limits = encode.magnitude_thresholds(cells) if ranked else None
-    return encode.phase_bits(cells, band, limits)
-
-
 def phase_bits(spark, d):
-    ranked = _vector_bits(spark, d, True).withColumn("ranked", F.lit(True))
-    return ranked.unionByName(_vector_bits(spark, d, False).withColumn("ranked", F.lit(False)))
+    cells = _vector_cells(spark, d)
+    return encode.phase_bits(cells).withColumn("ranked", F.lit(True)).unionByName(
+        encode.phase_bits(cells, ranked=False).withColumn("ranked", F.lit(False)))
 
 
 def _words(templates):
@@ -106,7 +99,7 @@ def _words(templates):
 
 
 def pack_template(spark, d):
-    return _words(encode.pack_templates(_vector_bits(spark, d, True), 4, ANGULAR, scales=2))
+    return _words(encode.pack_templates(encode.phase_bits(_vector_cells(spark, d)), 4, ANGULAR, scales=2))
 
 
 def build_templates(spark, d):

@@ -73,10 +73,10 @@ def templates(spark: SparkSession, sf_dir: str, masked: float = 0.02,
         bits.pack("b").alias("code"), bits.pack("m", pad=1).alias("mask"))
 
 
-def list_with_templates(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    """Image list rows with their template; list position = image id here."""
-    t = templates(spark, sf_dir, **options).withColumnRenamed("image_id", "list_pos")
-    return image_list(spark, sf_dir).join(t, "list_pos", "left")
+def list_features(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Templates by list position, which is the image id here."""
+    t = templates(spark, sf_dir, **options)
+    return t.withColumnRenamed("image_id", "list_pos").drop("data_type")
 
 
 def packed_sql(masked: float = 0.02, shifts: str = "(0, 0)", name: str = "packed") -> str:

@@ -140,7 +140,8 @@ spot AS (SELECT *, px * cos(angle * (3.14159265358979::DOUBLE / 180)) + last + p
 halves AS (
   SELECT image_id, angle, last, floor(p) AS b, 0.25::DOUBLE * (1 - p + floor(p)) AS m FROM spot
   UNION ALL SELECT image_id, angle, last, floor(p) + 1, 0.25::DOUBLE - 0.25::DOUBLE * (1 - p + floor(p)) FROM spot),
-line_mass AS (SELECT image_id, angle::INTEGER AS angle, (b - last)::INTEGER AS r, {f6('sum(m)', 9)} AS mass FROM halves GROUP BY ALL),
+line_mass AS (SELECT image_id, angle::INTEGER AS angle, (b - last)::INTEGER AS r, {f6('sum(m)', 9)} AS mass FROM halves
+  GROUP BY image_id, angle, b - last HAVING {f6('sum(m)', 9)} > 0),
 tops AS (SELECT image_id, max(mass) AS top FROM line_mass GROUP BY ALL),
 lines AS (
   SELECT l.image_id, (row_number() OVER (PARTITION BY l.image_id ORDER BY r, angle) - 1)::INTEGER AS n, angle, r, w, h,
