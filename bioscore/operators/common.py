@@ -108,6 +108,23 @@ def explode_span(df: DataFrame, low: str, high: str, out: str, step: Column | in
             .drop("_step", "_last", "_c", "_k"))
 
 
+def _beside(rows: DataFrame, value: str, reach: int, order, axis: str) -> tuple[DataFrame, list]:
+    """Values of the cells -reach … reach places further on; NULL where a place is empty.
+
+    Place and value travel as one struct, so each offset is a single window function.
+    """
+    if not reach:
+        return rows, [F.col(value)]
+    cell = F.struct(F.col(axis).alias("at"), F.col(value).alias("v"))
+    offsets = [k for k in range(-reach, reach + 1) if k]
+    rows = rows.withColumn("_cell", cell).select(
+        "*", *[F.lag("_cell", -k).over(order).alias(f"_{axis}{k}") for k in offsets])
+    other = lambda k: F.col(f"`_{axis}{k}`")
+    values = [F.col(value) if k == 0 else F.when(other(k)["at"] == F.col(axis) + k, other(k)["v"])
+              for k in range(-reach, reach + 1)]
+    return rows, values
+
+
 def neighbourhood(raster: DataFrame, value: str, rx: int, ry: int, out: str = "nb",
                   strip: int = 64,
                   across: Callable[[list[Column]], Column] | None = None) -> DataFrame:
@@ -128,30 +145,20 @@ def neighbourhood(raster: DataFrame, value: str, rx: int, ry: int, out: str = "n
         rows = rows.withColumn("_s", F.floor(F.col("y") / strip))
     rows = rows.repartition("image_id", "_s")
 
+    names = [*raster.columns, "_s"]
     line_order = Window.partitionBy("image_id", "_s", "y").orderBy("x")
-    line = []
-    for k in range(-rx, rx + 1):
-        if k == 0:
-            line.append(F.col(value))
-            continue
-        there = F.lag("x", -k).over(line_order) == F.col("x") + k
-        line.append(F.when(there, F.lag(value, -k).over(line_order)))
-    rows = rows.withColumn("_h", across(line) if across else F.array(*line))
+    rows, line = _beside(rows, value, rx, line_order, "x")
+    rows = rows.select(*names, (across(line) if across else F.array(*line)).alias("_h"))
     if not ry:
-        return rows.withColumn(out, F.col("_h")).drop("_s", "_h")
+        return rows.withColumnRenamed("_h", out).drop("_s")
 
-    column_order = Window.partitionBy("image_id", "_s", "x").orderBy("y")
     kind = rows.schema[value].dataType.simpleString()
     empty = F.lit(None) if across else F.array_repeat(F.lit(None).cast(kind), 2 * rx + 1)
-    lines = []
-    for k in range(-ry, ry + 1):
-        if k == 0:
-            lines.append(F.col("_h"))
-            continue
-        there = F.lag("y", -k).over(column_order) == F.col("y") + k
-        lines.append(F.when(there, F.lag("_h", -k).over(column_order)).otherwise(empty))
-    rows = rows.withColumn(out, F.array(*lines) if across else F.concat(*lines))
-    return rows.where(F.col("_s") == F.floor(F.col("y") / strip)).drop("_s", "_h")
+    column_order = Window.partitionBy("image_id", "_s", "x").orderBy("y")
+    rows, lines = _beside(rows, "_h", ry, column_order, "y")
+    lines = [F.coalesce(line, empty) for line in lines]
+    rows = rows.select(*names, (F.array(*lines) if across else F.concat(*lines)).alias(out))
+    return rows.where(F.col("_s") == F.floor(F.col("y") / strip)).drop("_s")
 
 
 def at(nb: str, dx: int, dy: int, rx: int, ry: int) -> Column:

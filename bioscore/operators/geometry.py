@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ADJUST, fixed, half_away, half_even
-from .common import attach
-from .raster import image_sizes, limit
+from .raster import image_sizes, limit, sized
 
 #: Value of pi used for angles, as given (15 digits).
 PI = 3.14159265358979
@@ -290,7 +289,7 @@ def eye_alignment_map(eyes: DataFrame, width: int) -> DataFrame:
 
 def area_resize(raster: DataFrame, out_w: int, out_h: int) -> DataFrame:
     """Shrink by averaging the source area of each target cell."""
-    sized = attach(raster, image_sizes(raster))
+    framed = sized(raster)
 
     def cells(axis: str, n: str, out: int) -> Column:
         """Target cells a source line falls in, with the shared length."""
@@ -302,7 +301,7 @@ def area_resize(raster: DataFrame, out_w: int, out_h: int) -> DataFrame:
         return F.transform(F.sequence(first, F.greatest(first, last)),
                            lambda k: F.struct(k.alias("k"), share(k).alias("s")))
 
-    spread = (sized.withColumn("cx", F.explode(cells("x", "w", out_w)))
+    spread = (framed.withColumn("cx", F.explode(cells("x", "w", out_w)))
               .withColumn("cy", F.explode(cells("y", "h", out_h)))
               .where((F.col("cx.s") > 1e-9) & (F.col("cy.s") > 1e-9)))
     weight = F.col("cx.s") * F.col("cy.s")

@@ -30,13 +30,24 @@ def image_sizes(raster: DataFrame) -> DataFrame:
     return raster.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
 
 
-def _sized(raster: DataFrame, side: int | None) -> DataFrame:
-    """Attach w and h; images known to be side × side need no aggregation."""
+def sized(raster: DataFrame, side: int | None = None) -> DataFrame:
+    """Attach the image size w, h, unless the raster already carries it.
+
+    Chains of operators carry it along, so it is joined only once. Images known
+    to be side × side need no aggregation.
+    """
+    if "w" in raster.columns and "h" in raster.columns:
+        return raster
     if side is None:
         return attach(raster, image_sizes(raster))
     return raster.withColumn("w", F.lit(side)).withColumn("h", F.lit(side))
 
 
+def carried(raster: DataFrame) -> list[str]:
+    """Key columns of a pixel, with the image size if it is carried along."""
+    return ["image_id", "y", "x", *[c for c in ("w", "h") if c in raster.columns]]
+
+
 def histogram(raster: DataFrame) -> DataFrame:
     return raster.groupBy("image_id", "v").agg(F.count("*").alias("n"))
 
@@ -95,6 +106,8 @@ def binary_threshold(raster: DataFrame, thresholds: DataFrame) -> DataFrame:
 def _with_range(raster: DataFrame) -> DataFrame:
     ends = raster.groupBy("image_id").agg(F.min("v").alias("low"), F.max("v").alias("high"),
                                           (F.max("y") + 1).alias("h"))
+    if "h" in raster.columns:
+        return attach(raster.drop("h"), ends)
     return attach(raster, ends).drop("h")
 
 
@@ -148,8 +161,8 @@ def equalize(raster: DataFrame) -> DataFrame:
 
 def equalize_halves(raster: DataFrame, side: int | None = None) -> DataFrame:
     """Equalise the whole image and both halves, and blend them by quarters of the width."""
-    sized = _sized(raster, side).withColumn("right", F.col("x") >= F.floor(F.col("w") / 2))
-    counts = sized.groupBy("image_id", "right", "v").agg(F.count("*").alias("n"))
+    parts = sized(raster, side).withColumn("right", F.col("x") >= F.floor(F.col("w") / 2))
+    counts = parts.groupBy("image_id", "right", "v").agg(F.count("*").alias("n"))
     halves = _levels(counts, ["image_id", "right"])
     whole = _levels(counts.groupBy("image_id", "v").agg(F.sum("n").alias("n")), ["image_id"])
     entry = F.struct("v", "level")
@@ -157,7 +170,7 @@ def equalize_halves(raster: DataFrame, side: int | None = None) -> DataFrame:
         F.when(F.col("right") == right, entry)))
     tables = (halves.groupBy("image_id").agg(half(False).alias("l"), half(True).alias("r"))
               .join(whole.groupBy("image_id").agg(_look_up("m")), "image_id"))
-    both = attach(sized.drop("h"), tables)
+    both = attach(parts.drop("h"), tables)
     x, w, v = F.col("x"), F.col("w"), F.col("v").cast("int")
     quarter = lambda k: F.floor(w * k / 4)
     one, step = real(1.0), real(w * real(0.25))
@@ -195,12 +208,12 @@ def gaussian_smooth(raster: DataFrame, sigma: float = 2.0) -> DataFrame:
 
     near = neighbourhood(raster, "v", reach, reach, across=weighted)
     lines = [F.col("nb")[k] for k in range(2 * reach + 1)]
-    return near.select("image_id", "y", "x", weighted(lines).alias("v"))
+    return near.select(*carried(raster), weighted(lines).alias("v"))
 
 
 def mirrored(raster: DataFrame, reach: int, side: int | None = None) -> DataFrame:
     """Add the pixels mirrored at each border (without repeating the border)."""
-    sized = _sized(raster, side)
+    framed = sized(raster, side)
 
     def copies(c: str, n: str) -> Column:
         i, last = F.col(c), F.col(n) - 1
@@ -208,7 +221,7 @@ def mirrored(raster: DataFrame, reach: int, side: int | None = None) -> DataFram
             i, F.when((i >= 1) & (i <= reach), -i),
             F.when((i < last) & (i >= last - reach), 2 * last - i))))
 
-    return sized.withColumn("x", copies("x", "w")).withColumn("y", copies("y", "h"))
+    return framed.withColumn("x", copies("x", "w")).withColumn("y", copies("y", "h"))
 
 
 def bilateral(raster: DataFrame, sigma_colour: float = 20.0, sigma_space: float = 2.0,
@@ -253,18 +266,17 @@ def _kept(i: Column, old: Column, new: Column) -> Column:
     return F.when(new > F.floor(old / 2) + 1, i + 1 - removed).otherwise(direct)
 
 
-def decimate(raster: DataFrame, scaling: float, sizes: DataFrame | None = None) -> DataFrame:
+def decimate(raster: DataFrame, scaling: float) -> DataFrame:
     """Keep evenly spread rows and columns and renumber them."""
-    sizes = image_sizes(raster) if sizes is None else sizes
     shrunk = lambda n: F.greatest((F.col(n) * scaling + ADJUST).cast("int"), F.lit(1))
-    sized = (attach(raster, sizes)
-             .withColumn("_w", shrunk("w")).withColumn("_h", shrunk("h")))
+    kept = (sized(raster).withColumn("_w", shrunk("w")).withColumn("_h", shrunk("h")))
     for axis, old, new in (("x", "w", "_w"), ("y", "h", "_h")):
         i, o, n = F.col(axis), F.col(old), F.col(new)
-        sized = (sized.withColumn("_k", _kept(i, o, n))
-                 .where(F.col("_k") > F.when(i > 0, _kept(i - 1, o, n)).otherwise(0))
-                 .withColumn(axis, (F.col("_k") - 1).cast("int")))
-    return sized.select("image_id", "y", "x", "v")
+        kept = (kept.withColumn("_k", _kept(i, o, n))
+                .where(F.col("_k") > F.when(i > 0, _kept(i - 1, o, n)).otherwise(0))
+                .withColumn(axis, (F.col("_k") - 1).cast("int")))
+    size = [F.col("_w").alias("w"), F.col("_h").alias("h")] if "w" in raster.columns else []
+    return kept.select("image_id", "y", "x", *size, "v")
 
 
 def limit(c: Column, top: Column) -> Column:
@@ -326,7 +338,7 @@ def elliptical_mask(raster: DataFrame, fill: int = 128, side: int | None = None)
     cx, cy = F.floor(w / 2), F.rint(h * 0.40)
     ax, ay = F.rint(w * 0.50), F.rint(h * 0.80)
     dx, dy = (F.col("x") - cx) / ax, (F.col("y") - cy) / ay
-    return (_sized(raster, side)
+    return (sized(raster, side)
             .select("image_id", "y", "x",
                     F.when(dx * dx + dy * dy <= 1, F.col("v")).otherwise(fill).alias("v")))
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ADJUST, fixed, half_away
 from ..session import checkpoint_ready
-from .common import at, attach, neighbourhood
+from .common import at, attach, lookup, neighbourhood
 from .geometry import PI, line_points
-from .raster import crop, decimate, gamma, gaussian_smooth, image_sizes, limit
+from .raster import carried, crop, decimate, gamma, gaussian_smooth, image_sizes, limit, sized
 
 #: Distance at which a pixel is compared with its neighbours along the gradient.
 THIN_RADIUS = 1.5
@@ -34,8 +34,8 @@ def gradient(raster: DataFrame, vert: float = 1.0, horz: float = 1.0) -> DataFra
     turn = F.atan2(-F.col("_y"), F.col("_x"))
     turn = F.when(F.col("_y") == 0, 0.0).when(turn < 0, turn + PI).otherwise(turn)
     return (neighbourhood(raster, "v", 1, 1)
-            .select("image_id", "y", "x", gx.alias("_x"), gy.alias("_y"))
-            .select("image_id", "y", "x",
+            .select(*carried(raster), gx.alias("_x"), gy.alias("_y"))
+            .select(*carried(raster),
                     F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y")).alias("v"),
                     (turn / PI * 180).alias("orient")))
 
@@ -57,7 +57,7 @@ def thinning_table(radius: float = THIN_RADIUS) -> list[tuple]:
     return rows
 
 
-def thin(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+def thin(edges: DataFrame) -> DataFrame:
     """Keep v where it exceeds the interpolated values on both sides, else 0.
 
     `edges` carries v and orient. The two outermost pixels of an image are 0.
@@ -66,7 +66,8 @@ def thin(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     names = ["degree", "a0", "a1", "a2", "a3", "b0", "b1", "b2", "b3", "fx", "fy"]
     table = spark.createDataFrame(
         thinning_table(), ", ".join(f"{n} {'double' if n[0] == 'f' else 'int'}" for n in names))
-    near = attach(neighbourhood(edges, "v", 2, 2), sizes)
+    edges = sized(edges)
+    near = neighbourhood(edges, "v", 2, 2)
     joined = near.withColumn("degree", (F.col("orient") + ADJUST).cast("int")).join(
         F.broadcast(table), "degree")                                  # 181 rows
 
@@ -79,7 +80,7 @@ def thin(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     inside = ((F.col("x") >= 2) & (F.col("y") >= 2)
               & (F.col("x") < F.col("w") - 2) & (F.col("y") < F.col("h") - 2))
     top = inside & (F.col("v") > side("a")) & (F.col("v") > side("b"))
-    return joined.select("image_id", "y", "x", F.when(top, F.col("v")).otherwise(0.0).alias("v"))
+    return joined.select(*carried(edges), F.when(top, F.col("v")).otherwise(0.0).alias("v"))
 
 
 def _label_tile(pixels: pd.DataFrame) -> pd.DataFrame:
@@ -104,26 +105,26 @@ def _checkpoints(spark: SparkSession) -> None:
     checkpoint_ready(spark, spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
 
 
-def grow_regions(raster: DataFrame, high: float, low: float, sizes: DataFrame) -> DataFrame:
-    """Pixels above `low` that are connected to a pixel above `high`: (image_id, y, x).
+def grow_regions(raster: DataFrame, high: float, low: float) -> DataFrame:
+    """Pixels above `low` that are connected to a pixel above `high`: (image_id, y, x, w, h).
 
     Pixels of the first and the last row can be reached but do not pass the
     region on. Regions are first labelled inside tiles, so that the rounds of the
     search walk over tiles instead of pixels; every round is checkpointed.
     """
     _checkpoints(raster.sparkSession)
-    sized = attach(raster.where(F.col("v") > low), sizes)
+    above = sized(raster).where(F.col("v") > low)
     number = F.col("y").cast("long") * F.col("w") + F.col("x")
-    strong = (sized.withColumn("pixel", number)
+    strong = (above.withColumn("pixel", number)
               .withColumn("seed", F.col("v") > high)
               .withColumn("passes", (F.col("pixel") > F.col("w"))
                           & (F.col("pixel") < F.col("w") * F.col("h") - F.col("w") - 1))
-              .select("image_id", "y", "x", "pixel", "seed", "passes").checkpoint())
+              .select("image_id", "y", "x", "w", "h", "pixel", "seed", "passes").checkpoint())
     inner = strong.where("passes").withColumn("ty", F.floor(F.col("y") / TILE)).withColumn(
         "tx", F.floor(F.col("x") / TILE))
     kind = raster.schema["image_id"].dataType.simpleString()
     labelled = inner.groupBy("image_id", "ty", "tx").applyInPandas(
-        _label_tile, f"image_id {kind}, y int, x int, pixel long, seed boolean, passes boolean, "
+        _label_tile, f"image_id {kind}, y int, x int, w int, h int, pixel long, seed boolean, passes boolean, "
         "ty long, tx long, region long").checkpoint()
 
     around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
@@ -148,11 +149,12 @@ def grow_regions(raster: DataFrame, high: float, low: float, sizes: DataFrame) -
                     .join(reached, ["image_id", "region"], "left_anti").checkpoint())
         crossing = not frontier.isEmpty()
         reached = reached.unionByName(frontier)
-    core = labelled.join(reached, ["image_id", "region"], "left_semi").select("image_id", "y", "x")
+    cell = ("image_id", "y", "x", "w", "h")
+    core = labelled.join(reached, ["image_id", "region"], "left_semi").select(*cell)
     leaves = strong.where(~F.col("passes"))
-    touched = (leaves.join(neighbours(core).distinct(), ["image_id", "y", "x"], "left_semi")
-               .unionByName(leaves.where("seed"))
-               .select("image_id", "y", "x").distinct())
+    touched = (leaves.join(neighbours(core.select("image_id", "y", "x")).distinct(),
+                           ["image_id", "y", "x"], "left_semi")
+               .unionByName(leaves.where("seed")).select(*cell).distinct())
     return core.unionByName(touched)
 
 
@@ -173,15 +175,14 @@ def circle_offsets(edges: DataFrame, largest: int) -> DataFrame:
             .select("radius", "o.dy", "o.dx").distinct())
 
 
-def circle_votes(edges: DataFrame, radii: DataFrame, sizes: DataFrame,
-                 largest: int) -> DataFrame:
+def circle_votes(edges: DataFrame, radii: DataFrame, largest: int) -> DataFrame:
     """Votes of edge pixels for circle centres: (image_id, plane, y, x, votes).
 
-    `radii` has the planes 0 … planes-1 of each image, plane p of radius
+    `edges` carries the image size, `radii` has the planes 0 … planes-1 of each image, plane p of radius
     p + 1 + base. The offset table is fixed by `largest`, the largest radius.
     """
     offsets = circle_offsets(edges, largest)
-    per_radius = (attach(edges.select("image_id", "y", "x"), radii.join(sizes, "image_id"))
+    per_radius = (lookup(edges, radii, "image_id", F.floor(F.col("y") / TILE))
                   .withColumn("plane", F.explode(F.sequence(F.lit(0), F.col("planes") - 1)))
                   .withColumn("radius", F.col("plane") + 1 + F.col("base")))
     cells = (per_radius.join(F.broadcast(offsets), "radius")   # about 6·largest² small rows
@@ -200,19 +201,14 @@ def best_circle(votes: DataFrame) -> DataFrame:
         (-F.col("b.c")).alias("x"))
 
 
-def scaled_sizes(sizes: DataFrame, scaling: float) -> DataFrame:
-    shrunk = lambda n: F.greatest((F.col(n) * scaling + ADJUST).cast("int"), F.lit(1)).alias(n)
-    return sizes.select("image_id", shrunk("w"), shrunk("h"))
-
-
-def edge_pixels(raster: DataFrame, sizes: DataFrame, sigma: float, scaling: float, vert: float,
+def edge_pixels(raster: DataFrame, sigma: float, scaling: float, vert: float,
                 horz: float, high: float, low: float) -> DataFrame:
     """Thinned, hysteresis-thresholded edge pixels of the scaled images."""
-    small = gaussian_smooth(raster, sigma)
+    small = gaussian_smooth(sized(raster), sigma)
     if scaling != 1:
-        small, sizes = decimate(small, scaling, sizes), scaled_sizes(sizes, scaling)
+        small = decimate(small, scaling)
     bent = gamma(gradient(small, vert, horz), 1.9)
-    return grow_regions(thin(bent, sizes), high, low, sizes)
+    return grow_regions(thin(bent), high, low)
 
 
 def find_circle(raster: DataFrame, limits: DataFrame, scaling: float, high: float, low: float,
@@ -222,15 +218,13 @@ def find_circle(raster: DataFrame, limits: DataFrame, scaling: float, high: floa
     `limits` has the radius range r_low … r_high of each image and `largest` bounds
     them all.
     """
-    sizes = image_sizes(raster)
-    edges = edge_pixels(raster, sizes, sigma, scaling, vert, horz, high, low)
-    sizes = scaled_sizes(sizes, scaling)
+    edges = edge_pixels(raster, sigma, scaling, vert, horz, high, low)
     scaled = lambda c: half_away(c * scaling)
     r_low, r_high = F.col("r_low"), F.col("r_high")
     radii = limits.select("image_id", scaled(r_low).alias("base"),
                           half_away(r_high * scaling - r_low * scaling).alias("planes"))
     reach = int(largest * scaling + 0.5) + 2
-    votes = circle_votes(edges, radii.where(F.col("planes") > 0), sizes, reach)
+    votes = circle_votes(edges, radii.where(F.col("planes") > 0), reach)
     found = radii.join(best_circle(votes), "image_id", "left")
     back = lambda c: (c / scaling + ADJUST).cast("int")
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -240,16 +234,16 @@ def find_circle(raster: DataFrame, limits: DataFrame, scaling: float, high: floa
 
 # ------------------------------------------------------------------------ lines
 
-def line_votes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+def line_votes(edges: DataFrame) -> DataFrame:
     """Projections of edge pixels at 180 angles: (image_id, angle, r, mass).
 
     Every pixel is split into four quarters and each quarter over two bins.
+    `edges` carries the image size.
     """
     xo, yo = F.floor((F.col("w") - 1) / 2), F.floor((F.col("h") - 1) / 2)
     corner = F.struct((F.col("h") - 1 - yo).alias("a"), (F.col("w") - 1 - xo).alias("b"))
     reach = F.ceil(F.sqrt((corner["a"] * corner["a"] + corner["b"] * corner["b"]).cast("double"))) + 1
-    spread = (attach(edges.select("image_id", "y", "x"), sizes)
-              .withColumn("last", reach)
+    spread = (edges.select("image_id", "y", "x", "w", "h").withColumn("last", reach)
               .withColumn("px", F.col("x") - xo)
               .withColumn("py", (F.col("h") - 1 - F.col("y")) - yo)
               .withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(179)))))
@@ -292,9 +286,8 @@ def strongest_lines(votes: DataFrame, sizes: DataFrame, least: float = MIN_LINE)
 
 def find_lines(raster: DataFrame) -> DataFrame:
     """Strongest horizontal-edge lines of every image."""
-    sizes = image_sizes(raster)
-    edges = edge_pixels(raster, sizes, 2.0, 1, 0.0, 1.0, 0.20, 0.15)
-    return strongest_lines(line_votes(edges, sizes), sizes)
+    edges = edge_pixels(raster, 2.0, 1, 0.0, 1.0, 0.20, 0.15)
+    return strongest_lines(line_votes(edges), image_sizes(raster))
 
 
 def line_extents(lines: DataFrame, origins: DataFrame) -> DataFrame:
@@ -315,7 +308,7 @@ def eyelid_search(raster: DataFrame, circles: DataFrame, curved: bool = True) ->
 
     All patches of all images are searched together as separate small images.
     """
-    sized = circles.join(image_sizes(raster), "image_id")
+    eyes = circles.join(image_sizes(raster), "image_id")
     w, h, xi, yi, ri = (F.col(c) for c in ("w", "h", "xi", "yi", "ri"))
     extra = F.floor(ri / 2) if curved else F.lit(0)
     left = limit(xi - ri - extra, w - 1)
@@ -331,7 +324,7 @@ def eyelid_search(raster: DataFrame, circles: DataFrame, curved: bool = True) ->
     rects = F.array(*[F.struct(F.lit(name).alias("patch"),
                                *[c.cast("int").alias(n) for c, n in zip(rect, ("x0", "y0", "wd", "ht"))])
                       for name, rect in patches.items()])
-    placed = (sized.select("image_id", "w", "h", F.explode(rects).alias("p"))
+    placed = (eyes.select("image_id", "w", "h", F.explode(rects).alias("p"))
               .select("image_id", "w", "h", "p.*")
               .withColumn("key", F.concat_ws("|", "image_id", "patch")))
     cut = crop(raster, placed, one_based=True, new_id="key")
@@ -343,7 +336,7 @@ def eyelid_search(raster: DataFrame, circles: DataFrame, curved: bool = True) ->
     wide = spans.groupBy("eye").agg(*[
         F.max(F.when(F.col("patch") == name, F.col(c))).alias(f"{name}_{k}")
         for name in patches for c, k in (("low", "min"), ("high", "max"))])
-    return sized.join(wide.withColumnRenamed("eye", "image_id"), "image_id")
+    return eyes.join(wide.withColumnRenamed("eye", "image_id"), "image_id")
 
 
 #: Fixed values of the two-stage search: radius range, scaling and thresholds.

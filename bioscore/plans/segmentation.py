@@ -413,13 +413,15 @@ corner AS (
 SELECT c.image_id, c.yy::INTEGER AS y, c.xx::INTEGER AS x, round_even({f6('sum(wt * v)', 9)}, 0)::INTEGER AS v
 FROM corner c JOIN raster r ON r.image_id = c.image_id AND r.x = c.x AND r.y = c.y GROUP BY c.image_id, c.yy, c.xx""",
     "area_resize": f"""WITH {R},
-cells AS (
-  SELECT r.image_id, tx, ty, v,
-    (least(x + 1, (tx + 1) * (w / 20e0)) - greatest(x, tx * (w / 20e0))) AS sx,
-    (least(y + 1, (ty + 1) * (h / 13e0)) - greatest(y, ty * (h / 13e0))) AS sy
-  FROM raster r JOIN sizes USING (image_id), range(20) a(tx), range(13) b(ty))
-SELECT image_id, ty::INTEGER AS y, tx::INTEGER AS x, round_even({f6('sum(sx * sy * v) / sum(sx * sy)', 9)}, 0)::INTEGER AS v
-FROM cells WHERE sx > 1e-9 AND sy > 1e-9 GROUP BY image_id, ty, tx""",
+xs AS (
+  SELECT image_id, x, tx, least(x + 1, (tx + 1) * (w / 20e0)) - greatest(x, tx * (w / 20e0)) AS sx
+  FROM (SELECT image_id, w, unnest(range(w)) AS x FROM sizes) JOIN (SELECT unnest(range(20)) AS tx) ON tx * w <= x * 20 + 20 AND (tx + 1) * w >= x * 20),
+ys AS (
+  SELECT image_id, y, ty, least(y + 1, (ty + 1) * (h / 13e0)) - greatest(y, ty * (h / 13e0)) AS sy
+  FROM (SELECT image_id, h, unnest(range(h)) AS y FROM sizes) JOIN (SELECT unnest(range(13)) AS ty) ON ty * h <= y * 13 + 13 AND (ty + 1) * h >= y * 13)
+SELECT r.image_id, ty::INTEGER AS y, tx::INTEGER AS x, round_even({f6('sum(sx * sy * v) / sum(sx * sy)', 9)}, 0)::INTEGER AS v
+FROM raster r JOIN xs ON xs.image_id = r.image_id AND xs.x = r.x JOIN ys ON ys.image_id = r.image_id AND ys.y = r.y
+WHERE sx > 1e-9 AND sy > 1e-9 GROUP BY r.image_id, ty, tx""",
     "point_ops": f"""WITH {fx.DETECTIONS_SQL},
 b AS (SELECT DISTINCT image_id, x, y, w, h FROM detections),
 t AS (SELECT *, x::DOUBLE AS a, y::DOUBLE AS o, w::DOUBLE AS c, h::DOUBLE AS e FROM b)

@@ -11,8 +11,8 @@ from . import fixtures as fx
 from .pixels import NEAR_SQL, R, f6
 
 BRIGHT = 150
-SEARCH = {"r_low": 8, "r_high": 15, "scaling": 0.8, "high": 0.5, "low": 0.4, "vert": 1.0, "horz": 0.0}
-PUPIL = {"r_low": 3, "r_high": 7, "scaling": 0.8, "high": 0.5, "low": 0.4, "vert": 1.0, "horz": 1.0}
+SEARCH = {"r_low": 8, "r_high": 15, "scaling": 0.8, "high": 0.25, "low": 0.2, "vert": 1.0, "horz": 0.0}
+PUPIL = {"r_low": 3, "r_high": 7, "scaling": 0.8, "high": 0.25, "low": 0.2, "vert": 1.0, "horz": 1.0}
 
 
 def _double(spark, d):
@@ -26,23 +26,22 @@ def gradient(spark, d):
 
 def thin_edges(spark, d):
     g = votes.gradient(_double(spark, d), 1.0, 1.0)
-    return votes.thin(g, ops.image_sizes(fx.raster(spark, d))).withColumn("v", fixed("v"))
+    return votes.thin(g).drop("w", "h").withColumn("v", fixed("v"))
 
 
 def region_grow(spark, d):
-    r = fx.raster(spark, d)
-    return votes.grow_regions(r, 220, 160, ops.image_sizes(r))
+    return votes.grow_regions(fx.raster(spark, d), 220, 160).select("image_id", "y", "x")
 
 
 def _edges(spark, d):
-    return fx.raster(spark, d).where(F.col("v") > BRIGHT)
+    return ops.sized(fx.raster(spark, d)).where(F.col("v") > BRIGHT)
 
 
 def _circle_votes(spark, d):
     sizes = ops.image_sizes(fx.raster(spark, d))
     radii = sizes.select("image_id", F.lit(2).alias("base"),
                          (F.col("image_id") % 3 + 2).cast("int").alias("planes"))
-    return votes.circle_votes(_edges(spark, d), radii, sizes, 7)
+    return votes.circle_votes(_edges(spark, d), radii, 7)
 
 
 def circle_votes(spark, d):
@@ -54,7 +53,7 @@ def circle_best(spark, d):
 
 
 def _line_votes(spark, d):
-    return votes.line_votes(_edges(spark, d), ops.image_sizes(fx.raster(spark, d)))
+    return votes.line_votes(_edges(spark, d))
 
 
 def line_votes(spark, d):

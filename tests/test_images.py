@@ -65,7 +65,7 @@ def test_glcm_sums_to_one(spark):
 def test_regions_cross_tiles(spark, high, low):
     im = RNG.random((150, 140))
     r = to_raster(spark, {1: im, 2: im[::-1]})
-    grown = votes.grow_regions(r, high, low, raster.image_sizes(r)).toPandas()
+    grown = votes.grow_regions(r, high, low).toPandas()
     for k, source in ((1, im), (2, im[::-1])):
         want = {tuple(p) for p in np.argwhere(direct.grow(source, high, low))}
         part = grown[grown.image_id == k]
@@ -80,7 +80,7 @@ def test_region_walks_along_a_spiral(spark):
         im[k: k + 5, 195 if (k // 4) % 2 else 4] = 0.4
     im[4, 4] = 0.9
     r = to_raster(spark, {1: im})
-    grown = votes.grow_regions(r, 0.8, 0.3, raster.image_sizes(r))
+    grown = votes.grow_regions(r, 0.8, 0.3)
     assert grown.count() == direct.grow(im, 0.8, 0.3).sum()
 
 
