@@ -258,23 +258,25 @@ def bilateral_mix(raster: DataFrame, smoothness: float) -> DataFrame:
 
 # -------------------------------------------------------------- size and region
 
-def _kept(i: Column, old: Column, new: Column) -> Column:
-    """Number of kept lines among 0 … i when `new` of `old` lines are kept evenly."""
-    direct = F.floor((2 * (i + 1) * new + old - 1) / (2 * old))
-    rest = old - new
-    removed = rest - F.floor((2 * (old - 1 - i) * rest + old - 1) / (2 * old))
-    return F.when(new > F.floor(old / 2) + 1, i + 1 - removed).otherwise(direct)
-
-
 def decimate(raster: DataFrame, scaling: float) -> DataFrame:
-    """Keep evenly spread rows and columns and renumber them."""
-    shrunk = lambda n: F.greatest((F.col(n) * scaling + ADJUST).cast("int"), F.lit(1))
-    kept = (sized(raster).withColumn("_w", shrunk("w")).withColumn("_h", shrunk("h")))
+    """Keep evenly spread rows and columns and renumber them.
+
+    Of `old` lines, line i is the k-th kept one where (i + 1)·new/old passes
+    k - 1/2. When more than half are kept, the lines to drop are found in the
+    same way, counted from the far end.
+    """
+    kept = sized(raster)
     for axis, old, new in (("x", "w", "_w"), ("y", "h", "_h")):
-        i, o, n = F.col(axis), F.col(old), F.col(new)
-        kept = (kept.withColumn("_k", _kept(i, o, n))
-                .where(F.col("_k") > F.when(i > 0, _kept(i - 1, o, n)).otherwise(0))
-                .withColumn(axis, (F.col("_k") - 1).cast("int")))
+        i, o = F.col(axis), F.col(old)
+        n = F.greatest((o * scaling + ADJUST).cast("int"), F.lit(1))
+        kept = (kept.withColumn(new, n)
+                .withColumn("_t", F.col(new) > F.floor(o / 2) + 1)
+                .withColumn("_m", F.when(F.col("_t"), o - F.col(new)).otherwise(F.col(new)))
+                .withColumn("_p", F.when(F.col("_t"), o - i).otherwise(i + 1) * 2 * F.col("_m") + o - 1)
+                .where((F.col("_p") % (2 * o) < 2 * F.col("_m")) != F.col("_t")))
+        count = F.floor(F.col("_p") / (2 * o))
+        place = F.when(F.col("_t"), i - F.col("_m") + count).otherwise(count - 1)
+        kept = kept.withColumn(axis, place.cast("int"))
     size = [F.col("_w").alias("w"), F.col("_h").alias("h")] if "w" in raster.columns else []
     return kept.select("image_id", "y", "x", *size, "v")
 
