@@ -45,5 +45,8 @@ def real(c) -> Column:
 
 
 def ratio(a, b) -> Column:
-    """Single-precision quotient (Spark's `/` works in double; one rounding)."""
-    return (real(a) / real(b)).cast("float")
+    """Single-precision quotient, NULL for a zero divisor.
+
+    Spark divides in double precision, so there is one rounding.
+    """
+    return F.try_divide(real(a), real(b)).cast("float")

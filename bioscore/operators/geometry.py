@@ -66,8 +66,11 @@ def circle_points(circles: DataFrame, sides: int = CIRCLE_SIDES) -> DataFrame:
 def line_points(lines: DataFrame, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Height of the line a·x + b·y + c = 0 at every column 1 … w, within 1 … h."""
     x = F.col("x").cast("double")
-    y = F.least(F.greatest((-F.col("c") - F.col("a") * x) / F.col("b"), F.lit(1.0)),
-                F.col("h").cast("double"))
+    rise = -F.col("c") - F.col("a") * x
+    h = F.col("h").cast("double")
+    # an upright line leaves the image above or below
+    y = F.when(F.col("b") == 0, F.when(rise > 0, F.lit(1.0)).otherwise(h)).otherwise(
+        F.least(F.greatest(F.try_divide(rise, F.col("b")), F.lit(1.0)), h))
     return (lines.withColumn("x", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
             .select(*by, "x", (y + ADJUST).cast("int").alias("y")))
 
@@ -210,7 +213,7 @@ def align_eyes(df: DataFrame, max_r: int) -> DataFrame:
     """Angle between two pupils (x1, y1), (x2, y2) and the crop around each eye."""
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     a, b = F.abs(x2 - x1), F.abs(y2 - y1)
-    angle = F.acos(a / F.sqrt((a * a + b * b).cast("double"))) * (180 / PI)
+    angle = F.acos(F.try_divide(a, F.sqrt((a * a + b * b).cast("double")))) * (180 / PI)
     half = half_even((y1 - y2) * 0.5)
     wide, tall = int(max_r * 1.4), int(max_r * 1.1)
     return (df.withColumn("angle", F.when(y1 < y2, -angle).otherwise(angle))
@@ -273,8 +276,9 @@ def eye_alignment_map(eyes: DataFrame, width: int) -> DataFrame:
     """Map that puts both eye centres (lx, ly), (rx, ry) at their fixed places.
 
     Inverse of: rotate and scale about the middle of the eyes, then move the
-    middle to (width/2, EYE_Y·width).
+    middle to (width/2, EYE_Y·width). Eyes in the same place give no map.
     """
+    eyes = eyes.where((F.col("lx") != F.col("rx")) | (F.col("ly") != F.col("ry")))
     dx, dy = F.col("rx") - F.col("lx"), F.col("ry") - F.col("ly")
     length = F.sqrt((dx * dx + dy * dy).cast("double"))
     factor = F.lit((1.0 - 2 * EYE_X) * width) / length

@@ -25,12 +25,11 @@ def eyelid_curve(anchors: DataFrame, curved: bool = True) -> DataFrame:
     height is used. With curved=False the first height is used throughout.
     """
     x = F.col("x").cast("double")
-    term = lambda i, j, k: ((x - F.col(f"x{j}")) / (F.col(f"x{i}") - F.col(f"x{j}"))
-                            * ((x - F.col(f"x{k}")) / (F.col(f"x{i}") - F.col(f"x{k}")))
-                            * F.col(f"f{i}"))
+    part = lambda i, j: F.try_divide(x - F.col(f"x{j}"), F.col(f"x{i}") - F.col(f"x{j}"))
+    term = lambda i, j, k: part(i, j) * part(i, k) * F.col(f"f{i}")
     first = F.col("f0").cast("int")
     value = (term(0, 1, 2) + term(1, 0, 2) + term(2, 0, 1)).cast("int")
-    y = F.when(value < 1, first).otherwise(value) if curved else first
+    y = F.when(value >= 1, value).otherwise(first) if curved else first
     columns = F.sequence(F.col("x0").cast("int"), F.col("x2").cast("int"))
     return (anchors.where(F.col("x0") <= F.col("x2")).withColumn("x", F.explode(columns))
             .select("image_id", "x", y.alias("y")))

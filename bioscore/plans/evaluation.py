@@ -195,7 +195,7 @@ prevs AS (
 decades(decade, v, top) AS (VALUES (0, 0.0001::DOUBLE, 0.001::DOUBLE), (1, 0.001::DOUBLE, 0.01::DOUBLE),
   (2, 0.01::DOUBLE, 0.1::DOUBLE), (3, 0.1::DOUBLE, 1::DOUBLE), (4, 1::DOUBLE, 10::DOUBLE)),
 hits AS (
-  SELECT p.*, d.decade, d.v, (d.v - pa) / (far - pa) AS share
+  SELECT p.*, d.decade, d.v, (d.v - pa) / nullif(far - pa, 0) AS share
   FROM prevs p JOIN decades d ON p.far >= d.v AND p.far < d.top WHERE n > 1
   QUALIFY row_number() OVER (PARTITION BY experiment, pos, decade ORDER BY idx) = 1),
 groups AS (

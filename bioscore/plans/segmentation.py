@@ -185,7 +185,7 @@ def eye_regions(spark, d):
 
 def detector_fallback(spark, d):
     det = fx.detections(spark, d).withColumn(
-        "side", F.when(F.col("x") < 300, "left").otherwise("right"))
+        "side", F.when(F.col("h") % 40 == 20, "left").otherwise("right"))
     first, second = det.where(F.col("w") > 100), det.where(F.col("w") <= 100)
     faces = fx.table(spark, d, "orders").select(
         F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 300 + 100).cast("int").alias("w"),
@@ -449,7 +449,7 @@ f AS (SELECT image_id, x * 2 AS x, y * 2 AS y, w * 2 AS w, h * 2 AS h FROM detec
 SELECT image_id, x AS right_x, x + w // 2 + (w // 5) // 2 AS left_x, y + 8 AS eye_y, w // 2 - (w // 5) // 2 AS eye_w,
   h - 16 AS eye_h, x AS both_x, y AS both_y, w AS both_w, h AS both_h FROM f""",
     "detector_fallback": f"""WITH {fx.DETECTIONS_SQL},
-sided AS (SELECT *, CASE WHEN x < 300 THEN 'left' ELSE 'right' END AS side, w > 100 AS main FROM detections),
+sided AS (SELECT *, CASE WHEN h % 40 = 20 THEN 'left' ELSE 'right' END AS side, w > 100 AS main FROM detections),
 best AS (SELECT * FROM sided QUALIFY row_number() OVER (
   PARTITION BY image_id, side ORDER BY main DESC, w * h DESC, y, x, w DESC) = 1),
 faces AS (SELECT DISTINCT o_orderkey AS image_id, (o_custkey % 300 + 100)::INTEGER AS w, (o_custkey % 200 + 100)::INTEGER AS h FROM orders)

@@ -74,11 +74,11 @@ def test_regions_cross_tiles(spark, high, low):
 
 def test_region_walks_along_a_spiral(spark):
     """One weak path with a single seed, through many tiles."""
-    im = np.zeros((200, 200))
-    for k in range(4, 196, 4):
-        im[k, 4:196] = 0.4
-        im[k: k + 5, 195 if (k // 4) % 2 else 4] = 0.4
-    im[4, 4] = 0.9
+    im = np.zeros((100, 100))
+    for k in range(4, 96, 12):
+        im[k, 4:96] = 0.4
+        im[k: k + 13, 95 if (k // 12) % 2 else 4] = 0.4
+    im[4, 95] = 0.9
     r = to_raster(spark, {1: im})
     grown = votes.grow_regions(r, 0.8, 0.3)
     assert grown.count() == direct.grow(im, 0.8, 0.3).sum()
