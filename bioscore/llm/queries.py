@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, ngram_join, packing, pii, toxicity
+from . import (
+    ann,
+    decontam,
+    html_text,
+    ngram_join,
+    packing,
+    pii,
+    secret_scan,
+    toxicity,
+    url_filter,
+    warc,
+)
 from .shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,7 +40,8 @@ def op3_best_fit_packing(spark, d):
 
 
 def op4_decontamination(spark, d):
-    return decontam.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    found = decontam.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.drop("longest_match", "longest_at", "longest_item")
 
 
 def toxicity_model(spark, docs, d):
@@ -41,11 +53,86 @@ def op5_toxicity(spark, d):
     return toxicity.score(docs, toxicity_model(spark, docs, d))
 
 
+def op6_secrets(spark, d):
+    return secret_scan.find_secrets(table(spark, d, "documents"))
+
+
+def op7_html_text(spark, d):
+    return html_text.main_texts(table(spark, d, "pages"))
+
+
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"),
+             ("allow", "org/fr/"))
+
+
+def op8_url_filter(spark, d):
+    return url_filter.judge(table(spark, d, "pages"), URL_RULES)
+
+
+def op9_warc(spark, d):
+    return warc.archived(table(spark, d, "pages"))
+
+
+def op10_nearest_vectors(spark, d):
+    return ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_join, op2_pii_surrogates, op3_best_fit_packing, op4_decontamination, op5_toxicity)}
+    op1_ngram_join, op2_pii_surrogates, op3_best_fit_packing, op4_decontamination, op5_toxicity,
+    op6_secrets, op7_html_text, op8_url_filter, op9_warc, op10_nearest_vectors)}
 
 _WORDS = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_PLAIN = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+def _secrets_sql() -> str:
+    """Entropy of every window anew, from lists of characters."""
+    def located(kind, number, pattern, least, group=0):
+        quoted = pattern.replace("'", "''")
+        return f"""SELECT doc_id, '{kind}' AS kind, {number} AS k, i,
+    list_sum([len(p) FOR p IN between[1 : i]]) + coalesce(list_sum([len(p) FOR p IN found[1 : i - 1]]), 0) AS s,
+    found[i] AS m
+  FROM (SELECT doc_id, string_split_regex(text, '{quoted}') AS between,
+    regexp_extract_all(text, '{quoted}') AS found,
+    regexp_extract_all(text, '{quoted}', {group}) AS v FROM texts), range(1, 100000) t(i)
+  WHERE i <= len(found) AND len(v[i]) >= {least}"""
+
+    assign = secret_scan.ASSIGN
+    candidate = f"[A-Za-z0-9+/_=-]{{{secret_scan.WINDOW},}}"
+    limits = " ".join(f"WHEN regexp_matches(m, '{form}') THEN {least if least else 99}"
+                      for _, form, least in secret_scan.CLASSES)
+    allowed = " OR ".join(f"regexp_matches(m, '{form}')" for form in secret_scan.ALLOWED_FORMS)
+    w = secret_scan.WINDOW
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS (
+  {located("assign", 0, assign, 6, 1)}
+  UNION ALL {located("access", 1, secret_scan.ACCESS, 20)}
+  UNION ALL {located("hex", 2, secret_scan.HEX, 24)}),
+tried AS (
+  {located("entropy", 3, candidate, w)}),
+clear AS (
+  SELECT t.* FROM tried t WHERE NOT EXISTS (SELECT 1 FROM base b
+    WHERE b.doc_id = t.doc_id AND b.s < t.s + len(t.m) AND t.s < b.s + len(b.m))),
+measured AS (
+  SELECT *, round(list_max([list_aggregate(string_split(m[j : j + {w - 1}], ''), 'entropy')
+    FOR j IN range(1, len(m) - {w - 2})]), 9) AS bits, CASE {limits} END AS least FROM clear),
+entropy AS (SELECT doc_id, kind, k, i, s, m FROM measured WHERE bits >= least AND NOT ({allowed})),
+spans AS (
+  SELECT doc_id, k, s, kind || ':' || s::BIGINT || ':' || (s + len(m))::BIGINT AS name
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM entropy)),
+per AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS c, count(*) FILTER (k = 2) AS h,
+    count(*) FILTER (k = 3) AS e, string_agg(name, ',' ORDER BY s, k) FILTER (k < 3) AS base,
+    string_agg(name, ',' ORDER BY s, k) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access,
+  coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(e, 0)::BIGINT AS n_entropy
+FROM documents d LEFT JOIN per USING (doc_id)"""
+
+
 ORACLES = {
     "op1_ngram_join": rf"""WITH RECURSIVE worded AS (
   SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -64,4 +151,41 @@ SELECT d.doc_id, coalesce(r.root, d.doc_id) AS class_id, coalesce(c.rep, d.doc_i
   (coalesce(l.n, 0) + coalesce(c.n, 1) - 1)::BIGINT AS n_links
 FROM documents d LEFT JOIN sets s USING (doc_id) LEFT JOIN copies c ON c.s = s.s
 LEFT JOIN roots r ON r.x = c.rep LEFT JOIN linked l ON l.x = c.rep""",
+    "op4_decontamination": rf"""WITH items AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_PLAIN} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, len(w) AS size, array_to_string(w, ' ') AS g FROM items WHERE len(w) BETWEEN 1 AND 12
+  UNION SELECT item, 13, unnest([array_to_string(w[i : i + 12], ' ') FOR i IN range(1, len(w) - 11)])
+  FROM items WHERE len(w) >= 13),
+worded AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+runs AS (
+  SELECT doc_id, size, unnest([{{'place': i, 'g': array_to_string(w[i : i + size - 1], ' ')}}
+    FOR i IN range(1, len(w) - size + 2)], recursive := true)
+  FROM worded, (SELECT DISTINCT size FROM windows)),
+found AS (SELECT r.doc_id, r.place, r.size, v.item FROM runs r JOIN windows v ON v.g = r.g AND v.size = r.size),
+hit AS (
+  SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(range(place, place + size)) AS word FROM found)
+  GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
+  coalesce(m.n, 0)::BIGINT AS n_items, sha256(coalesce(m.items, '')) AS items_sha256,
+  coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= coalesce(len(w), 0) AS contaminated
+FROM worded LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id)""",
+    "op6_secrets": _secrets_sql(),
+    "op9_warc": """WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS p FROM pages),
+digests AS (
+  SELECT page_id, octet_length(encode(p)) AS n, sha1(p) AS hex FROM payloads),
+coded AS (
+  SELECT page_id, n, hex, array_to_string([array_to_string(
+      [substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * g + 1, 5))::INT >> (15 - 5 * k)) & 31), 1)
+       FOR k IN range(4)], '') FOR g IN range(8)], '') AS digest FROM digests),
+ranked AS (
+  SELECT *, row_number() OVER w AS nth, first_value(page_id) OVER w AS first
+  FROM coded WINDOW w AS (PARTITION BY digest, n ORDER BY page_id))
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN nth > 1 THEN first END AS refers_to FROM ranked""",
 }
