@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import written
+from .shared import modest_batches, written
 from .words import slices, word_hashes
 
 WINDOW = 13
 DEPTH = 16                     # words to which suffixes are sorted, a power of two
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 SHARD_WORDS = 1 << 20          # a longer document is cut, with overlap, into more shards
 BLOCK_WORDS = 2_000_000
 
@@ -195,7 +195,7 @@ def search_batch(column, block: Block, width: int = WINDOW, shard_bytes: int = S
     """Word counts and findings (by row) of a text column against one block."""
     batch = pa.record_batch([column], ["t"])
     n_words, found, base = [], {}, 0
-    for piece in slices(batch, "t", shard_bytes):
+    for piece in slices(iter([batch]), "t", shard_bytes):
         hashes, bounds = word_hashes(piece.column("t"))
         counts = np.diff(bounds)
         n_words.append(counts)
@@ -217,7 +217,7 @@ def search_batch(column, block: Block, width: int = WINDOW, shard_bytes: int = S
 def _searcher(shared, text: str, width: int, shard_bytes: int, shard_words: int):
     def run(batches):
         block = SimpleNamespace(**shared.value)
-        for batch in batches:
+        for batch in slices(batches, text, shard_bytes):
             n_words, found = search_batch(batch.column(text), block, width, shard_bytes,
                                           shard_words)
             items = [[] for _ in n_words]
@@ -296,25 +296,29 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
            item_text: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS,
            shard_bytes: int = SHARD_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """`docs` with the counts and the longest match of each document."""
-    context = docs.sparkSession.sparkContext
+    context = modest_batches(docs).sparkSession.sparkContext
     found = "_n_words bigint, _items array<string>, _spans array<array<bigint>>, " \
             "_size bigint, _at bigint, _by string"
-    rows = docs
-    for number, block in enumerate(_blocks(benchmark, item, item_text, block_words)):
-        shared = context.broadcast(vars(block))      # plain arrays
-        if number:
-            rows = written(rows, "decontam").withColumnsRenamed(
-                {n: f"{n}0" for n in ("_n_words", "_items", "_spans", "_size", "_at", "_by")})
-        rows = rows.mapInArrow(_searcher(shared, text, width, shard_bytes, shard_words),
-                               _with(rows, found))
-        if number:
-            longer = F.col("_size") > F.col("_size0")
-            rows = rows.withColumn("_items", F.concat("_items0", "_items")) \
-                .withColumn("_spans", F.concat("_spans0", "_spans")) \
-                .withColumn("_at", F.when(longer, F.col("_at")).otherwise(F.col("_at0"))) \
-                .withColumn("_by", F.when(longer, F.col("_by")).otherwise(F.col("_by0"))) \
-                .withColumn("_size", F.greatest("_size", "_size0")) \
-                .drop("_n_words0", "_items0", "_spans0", "_size0", "_at0", "_by0")
+    searcher = lambda block: _searcher(context.broadcast(vars(block)), text, width, shard_bytes,
+                                       shard_words)
+    blocks = _blocks(benchmark, item, item_text, block_words)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        search_, summary = searcher(block), _summary(width)
+        return docs.mapInArrow(lambda batches: summary(search_(batches)), _with(docs, REPORT))
+    rows = docs.mapInArrow(searcher(block), _with(docs, found))
+    while following is not None:
+        rows = written(rows, "decontam").withColumnsRenamed(
+            {n: f"{n}0" for n in ("_n_words", "_items", "_spans", "_size", "_at", "_by")})
+        rows = rows.mapInArrow(searcher(following), _with(rows, found))
+        longer = F.col("_size") > F.col("_size0")
+        rows = rows.withColumn("_items", F.concat("_items0", "_items")) \
+            .withColumn("_spans", F.concat("_spans0", "_spans")) \
+            .withColumn("_at", F.when(longer, F.col("_at")).otherwise(F.col("_at0"))) \
+            .withColumn("_by", F.when(longer, F.col("_by")).otherwise(F.col("_by0"))) \
+            .withColumn("_size", F.greatest("_size", "_size0")) \
+            .drop("_n_words0", "_items0", "_spans0", "_size0", "_at0", "_by0")
+        following = next(blocks, None)
     return rows.mapInArrow(_summary(width), _with(docs, REPORT))
 
 

@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import modest_batches, written
 from .words import grams, mix, slices, word_hashes
 
 WIDTH = 5
 BANDS, ROWS = 40, 6
 SIMILAR = (4, 5)               # 0.8 as a ratio of whole numbers
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BLOCK_ROWS, BLOCK_GRAMS = 512, 500_000
 
 _draw = np.random.Generator(np.random.PCG64(77))
@@ -78,19 +78,18 @@ def _signatures(width: int, bands: int, rows: int):
                         ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
-            for piece in slices(batch, "text", SLICE_BYTES):
-                sets = gram_sets(piece.column("text"), width)
-                full = [i for i, s in enumerate(sets) if len(s)]
-                keys = [None] * len(sets)
-                if full:
-                    made = band_hashes([sets[i] for i in full], bands, rows).view(np.int64)
-                    for i, row in zip(full, made):
-                        keys[i] = row
-                yield pa.record_batch(
-                    [piece.column("doc_id"), pa.array([digest(s) for s in sets], pa.binary()),
-                     pa.array([len(s) for s in sets], pa.int32()),
-                     pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+        for piece in slices(batches, "text", SLICE_BYTES):
+            sets = gram_sets(piece.column("text"), width)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            keys = [None] * len(sets)
+            if full:
+                made = band_hashes([sets[i] for i in full], bands, rows).view(np.int64)
+                for i, row in zip(full, made):
+                    keys[i] = row
+            yield pa.record_batch(
+                [piece.column("doc_id"), pa.array([digest(s) for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int32()),
+                 pa.array(keys, pa.list_(pa.int64()))], schema=schema)
     return run
 
 
@@ -100,16 +99,15 @@ def _member_sets(width: int):
                         ("grams", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
-            for piece in slices(batch, "text", SLICE_BYTES):
-                sets = gram_sets(piece.column("text"), width)
-                keep = [i for i, (s, d) in enumerate(zip(sets, piece.column("digest").to_pylist()))
-                        if digest(s) == d]
-                yield pa.record_batch(
-                    [*[piece.column(n).take(pa.array(keep, pa.int64()))
-                       for n in ("rep", "copies", "cell", "block", "blocks")],
-                     pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))],
-                    schema=schema)
+        for piece in slices(batches, "text", SLICE_BYTES):
+            sets = gram_sets(piece.column("text"), width)
+            keep = [i for i, (s, d) in enumerate(zip(sets, piece.column("digest").to_pylist()))
+                    if digest(s) == d]
+            yield pa.record_batch(
+                [*[piece.column(n).take(pa.array(keep, pa.int64()))
+                   for n in ("rep", "copies", "cell", "block", "blocks")],
+                 pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))],
+                schema=schema)
     return run
 
 
@@ -202,7 +200,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     class_id: smallest id of all documents connected by links; copy_id: smallest id with an
     equal set; n_links: how many other documents reach the similarity, copies included.
     """
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    texts = modest_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signs = written(texts.mapInArrow(
         _signatures(width, bands, rows),
         "doc_id bigint, digest binary, grams int, bands array<bigint>"), "signatures")

@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.common import positions_within
-from .shared import written
+from .shared import modest_batches, written
 from .words import INK_BYTES, hash_spans, slices, text_bytes, word_spans
 
 CAPACITY, END_ID = 4096, 1
 GROUPS = 4096
-CACHED_CHUNKS = 2_000_000
-SLICE_BYTES = 8 << 20
+CACHED_CHUNKS = 1_000_000
+SLICE_BYTES = 2 << 20
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -160,24 +160,23 @@ def _pieces(path: str, capacity: int):
         import tokenizers
         kept = vars(tokenizers).setdefault("_kept_encoders", {})   # lives as long as the worker
         encoder = kept.get(path) or kept.setdefault(path, Encoder(path))
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                ids, bounds = encoder.ids(part.column("text"))
-                rows = []
-                for doc, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1], bounds[1:]):
-                    own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
-                    for k in range(0, len(own), capacity):
-                        cut = own[k:k + capacity]
-                        rows.append((doc, k // capacity, k, len(cut), zlib.crc32(cut.tobytes())))
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)],
-                                      schema=schema)
+        for part in slices(batches, "text", SLICE_BYTES):
+            ids, bounds = encoder.ids(part.column("text"))
+            rows = []
+            for doc, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1], bounds[1:]):
+                own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
+                for k in range(0, len(own), capacity):
+                    cut = own[k:k + capacity]
+                    rows.append((doc, k // capacity, k, len(cut), zlib.crc32(cut.tobytes())))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)],
+                                  schema=schema)
     return run
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
            capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = modest_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_pieces(tokenizer, capacity), PIECES)
 
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import modest_batches, written
 
 KEY = "surrogates"
 EXCEPTIONS = 200_000
@@ -264,7 +264,7 @@ def _made(key: str, attempt: int):
 
 def exceptions(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """kind, entity, made: surrogates of the entities whose first attempt is taken."""
-    rows = docs.select(F.col(text).alias("text")).where("text is not null")
+    rows = modest_batches(docs).select(F.col(text).alias("text")).where("text is not null")
     real = written(rows.mapInArrow(_gather, "kind string, entity string").distinct(), "entities")
     names = real.where("kind = 'name'").select(
         "kind", F.element_at(F.split("entity", r"\|"), -1).alias("made")).distinct()

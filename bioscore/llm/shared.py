@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import checkpoint_ready
 
 
+BATCH_ROWS = 500
+
+
+def modest_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from here on the session hands texts to Python in smaller batches.
+
+    Texts can be long: 10,000 of them, Spark's default, are far more than a kernel needs.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

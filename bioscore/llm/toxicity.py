@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import modest_batches, written
 from .words import mix, slices, word_hashes
 
 LABELLED = 20_000
 SELECTED = 2_000
 LEAST_Z, LEAST_DOCS = 5.0, 5
 BUCKET_BITS = 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 GRADE_CUTS = (3, 5)
 RIDGE, STEPS, RATE = 2e-5, 800, 0.1
 
@@ -80,15 +80,13 @@ def _near(words: np.ndarray) -> int:
 def _bags(batches):
     schema = pa.schema([("grade", pa.int32()), ("bag", pa.int64()),
                         ("words", pa.list_(pa.int32()))])
-    for batch in batches:
-        for piece in slices(batch, "text", SLICE_BYTES):
-            rows, words = bucket_pairs(piece.column("text"))
-            marks = np.searchsorted(rows, np.arange(piece.num_rows + 1))
-            lists = [words[a:b] for a, b in zip(marks[:-1], marks[1:])]
-            keys = [_near(w) for w in lists]
-            yield pa.record_batch([piece.column("grade"), pa.array(keys, pa.int64()),
-                                   pa.array([w.astype(np.int32) for w in lists],
-                                            pa.list_(pa.int32()))], schema=schema)
+    for piece in slices(batches, "text", SLICE_BYTES):
+        rows, words = bucket_pairs(piece.column("text"))
+        marks = np.searchsorted(rows, np.arange(piece.num_rows + 1))
+        lists = [words[a:b] for a, b in zip(marks[:-1], marks[1:])]
+        yield pa.record_batch([piece.column("grade"), pa.array(map(_near, lists), pa.int64()),
+                               pa.array([w.astype(np.int32) for w in lists],
+                                        pa.list_(pa.int32()))], schema=schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, doc_id: str = "doc_id",
@@ -100,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, doc_id: str = "doc_id
              .where("_id is not null and grade >= 0").groupBy("_id")
              .agg(F.max("grade").alias("grade"))
              .orderBy(F.xxhash64("_id"), "_id").limit(most))
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    texts = modest_batches(docs).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     bags = (texts.join(F.broadcast(drawn), "_id").select("grade", "text")
             .mapInArrow(_bags, "grade int, bag bigint, words array<int>"))
     bags = written(bags.groupBy("bag", "grade").agg(F.min("words").alias("words")), "bags")
@@ -193,16 +191,15 @@ def score(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id",
 
     def run(batches):
         model = OrdinalModel(*shared.value)
-        for batch in batches:
-            for piece in slices(batch, "text", SLICE_BYTES):
-                chances = model.chances(model.scores(piece.column("text")))
-                toxic = chances[:, 0] >= 0.5 if chances.shape[1] else np.zeros(len(chances), bool)
-                yield pa.record_batch(
-                    [piece.column("doc_id"), pa.array(chances.sum(axis=1)),
-                     pa.array((chances >= 0.5).sum(axis=1).astype(np.int32)), pa.array(toxic)],
-                    ["doc_id", "severity", "grade", "toxic"])
-
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        for piece in slices(batches, "text", SLICE_BYTES):
+            chances = model.chances(model.scores(piece.column("text")))
+            toxic = chances[:, 0] >= 0.5 if chances.shape[1] else np.zeros(len(chances), bool)
+            yield pa.record_batch(
+                [piece.column("doc_id"), pa.array(chances.sum(axis=1)),
+                 pa.array((chances >= 0.5).sum(axis=1).astype(np.int32)), pa.array(toxic)],
+                ["doc_id", "severity", "grade", "toxic"])
+
+    rows = modest_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, severity double, grade int, toxic boolean")
 
@@ -213,11 +210,10 @@ def keep_clean(docs: DataFrame, model: OrdinalModel, text: str = "text") -> Data
 
     def run(batches):
         model = OrdinalModel(*shared.value)
-        for batch in batches:
-            for piece in slices(batch, text, SLICE_BYTES):
-                chances = model.chances(model.scores(piece.column(text)))
-                if chances.shape[1]:
-                    piece = piece.filter(pa.array(chances[:, 0] < 0.5))
-                yield piece
-
-    return docs.mapInArrow(run, docs.schema)
+        for piece in slices(batches, text, SLICE_BYTES):
+            chances = model.chances(model.scores(piece.column(text)))
+            if chances.shape[1]:
+                piece = piece.filter(pa.array(chances[:, 0] < 0.5))
+            yield piece
+
+    return modest_batches(docs).mapInArrow(run, docs.schema)

@@ -1,7 +1,7 @@
 """Words of Arrow text columns as NumPy arrays, without a Python loop over words.
 
 Works on the UTF-8 bytes of a batch. Memory beside the text itself is bounded: masks take
-a few bytes per byte of text, and words are hashed in groups of about a million bytes.
+a few bytes per byte of text, and words are hashed in groups of 256 KB.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 _mixed = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _mixed.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -118,12 +118,23 @@ def grams(hashes: np.ndarray, bounds: np.ndarray, width: int):
     return mix(out), first
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about `most_bytes` of text; a longer row is a piece of its own."""
-    _, offsets = text_bytes(batch.column(column))
-    at = 0
-    while at < batch.num_rows:
-        to = int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1
-        to = min(max(to, at + 1), batch.num_rows)
-        yield batch.slice(at, to - at)
-        at = to
+def slices(batches: Iterator[pa.RecordBatch], column: str,
+           most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches joined or cut to about `most_bytes` of text; a longer row is alone."""
+    held, size = [], 0
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            room = max(most_bytes - size, 0)
+            to = int(np.searchsorted(offsets, offsets[at] + room, "right")) - 1
+            to = min(max(to, at + (not held)), batch.num_rows)
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size += int(offsets[to] - offsets[at])
+            if to < batch.num_rows:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held, size = [], 0
+            at = to
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
