@@ -72,11 +72,12 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 
 
 class _Element:
-    __slots__ = ("tag", "kind", "blocks", "hashed", "parts", "heading")
+    __slots__ = ("tag", "kind", "blocks", "hashed", "parts", "heading", "before")
 
     def __init__(self, tag, kind, blocks, hashed, parts):
         self.tag, self.kind, self.blocks = tag, kind, blocks
         self.hashed, self.parts, self.heading = hashed, parts, False
+        self.before = None          # text of the block around a dropped inline element
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -147,12 +148,15 @@ class Page:
             if len(KNOWN) < 10_000:
                 KNOWN[key] = known
         kind, classes = known
-        if tag in BLOCK or kind != "plain":
+        apart = tag not in BLOCK and kind == "dropped"
+        if not apart and (tag in BLOCK or kind != "plain"):
             self._flush()
         # hashed: the element and its parents lie outside an article
         hashed = self.hashing and not self.content and kind != "content" and tag in BLOCK
         self.stack.append(_Element(tag, kind, len(self.blocks), hashed,
                                    [tag, classes] if hashed else []))
+        if apart:
+            self.stack[-1].before, self.text = self.text, []
         self.dropped += kind == "dropped"
         self.content += kind == "content"
         self.classed += kind == "class"
@@ -163,7 +167,9 @@ class Page:
 
     def _close(self) -> None:
         e = self.stack[-1]
-        if e.tag in BLOCK or e.kind != "plain":
+        if e.before is not None:
+            self.text = e.before
+        elif e.tag in BLOCK or e.kind != "plain":
             self._flush()
         self.stack.pop()
         self.dropped -= e.kind == "dropped"

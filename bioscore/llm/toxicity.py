@@ -134,13 +134,21 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, doc_id: str = "doc_id
             .otherwise(0)
     rows = bags.select(grade.alias("grade"),
                        F.array_intersect("words", listed(buckets)).alias("words"))
-    rows = rows.orderBy("grade", "words").toArrow()
+    rows = rows.toArrow()                                     # at most `most` short rows
     y = rows.column("grade").to_numpy()
     grades = np.arange(int(y.max()) + 1)
     lists = rows.column("words").combine_chunks()
     marks = lists.offsets.to_numpy()
     column = np.searchsorted(buckets, lists.values.to_numpy()[marks[0]:marks[-1]])
     row = np.repeat(np.arange(len(y)), np.diff(marks))
+    # sums of equal rows in any order differ in the last digits: put rows in one order
+    keys = [(int(g), tuple(column[marks[i] - marks[0]:marks[i + 1] - marks[0]].tolist()))
+            for i, g in enumerate(y)]
+    place = np.empty(len(y), np.int64)
+    place[sorted(range(len(y)), key=keys.__getitem__)] = np.arange(len(y))
+    order = np.argsort(place[row], kind="stable")
+    row, column = place[row][order], column[order]
+    y = y[np.argsort(place)]
     weights, thresholds = _descend(row, column, y, len(buckets), int(grades[-1]))
     return OrdinalModel(buckets, weights, thresholds)
 
