@@ -50,9 +50,12 @@ def _located(text: Column, pattern: str, kind: int, value: Column | None = None,
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     values = matches if value is None else value
-    sizes = F.transform(matches, lambda m, i: F.struct(
-        F.length(F.get(between, i)).alias("gap"), F.length(m).alias("size"),
-        F.length(F.get(values, i)).alias("value"), m.alias("text")))
+    # arrays side by side: what a lambda names from outside would be computed per element
+    zipped = F.filter(F.arrays_zip(matches.alias("m"), between.alias("b"), values.alias("v")),
+                      lambda z: z["m"].isNotNull())
+    sizes = F.transform(zipped, lambda z: F.struct(
+        F.length(z["b"]).alias("gap"), F.length(z["m"]).alias("size"),
+        F.length(z["v"]).alias("value"), z["m"].alias("text")))
     first = F.struct(F.lit(0).alias("at"), F.array().cast(
         "array<struct<start:int,kind:int,end:int,value:int,text:string>>").alias("found"))
 
@@ -75,14 +78,17 @@ def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
     sum over the window size.
     """
     codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(SIGNS), c))
+    gone = F.concat(F.array_repeat(F.lit(-1), window), codes)
+    moves = F.filter(F.zip_with(codes, gone, lambda x, y: F.struct(x.alias("new"), y.alias("old"))),
+                     lambda m: m["new"].isNotNull())
     share = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
     zeros = F.array_repeat(F.lit(0), len(SIGNS) + 1)
     first = F.struct(F.lit(0).alias("i"), zeros.alias("counts"), F.lit(0.0).alias("sum"),
                      F.lit(float("inf")).alias("least"))
 
-    def step(state, code):
-        full = state["i"] >= window
-        gone = F.when(full, F.get(codes, state["i"] - window)).otherwise(F.lit(-1))
+    def step(state, move):
+        code, gone = move["new"], move["old"]
+        full = gone >= 0
         n_out = F.when(full, F.get(state["counts"], gone)).otherwise(F.lit(1))
         leave = F.when(full, F.get(share, n_out - 1) - F.get(share, n_out)).otherwise(F.lit(0.0))
         n_in = F.get(state["counts"], code) - F.when(gone == code, 1).otherwise(0)
@@ -95,7 +101,7 @@ def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
         return F.struct((state["i"] + 1).alias("i"), counts.alias("counts"), total.alias("sum"),
                         least.alias("least"))
 
-    least = F.aggregate(codes, first, step, lambda s: s["least"])
+    least = F.aggregate(moves, first, step, lambda s: s["least"])
     return F.round(F.lit(math.log2(window)) - least / window, 9)
 
 
