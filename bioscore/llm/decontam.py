@@ -48,7 +48,7 @@ def suffix_array(ids: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     order = np.argsort(rank, kind="stable")
     while width < depth:
         further = np.zeros(n, np.int64)
-        further[:n - width] = rank[width:]
+        further[:max(n - width, 0)] = rank[width:]
         further[rank == 0] = 0
         key = rank * (int(rank.max(initial=0)) + 1) + further
         order = np.argsort(key, kind="stable")

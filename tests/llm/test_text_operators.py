@@ -262,7 +262,7 @@ def test_severity_finds_toxic_words(spark):
     assert sum(a == b for a, b in held) >= 0.98 * len(held)
     assert all(not rows[i].toxic and rows[i].grade == 0 for i in range(len(ODD)))
     more = [rows[len(ODD) + i].severity for i, y in labels if y]
-    assert max(more) > 2 > 1 > max(rows[len(ODD) + i].severity for i, y in labels if not y)
+    assert max(more) > 1.9 > 1 > max(rows[len(ODD) + i].severity for i, y in labels if not y)
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if not r.toxic}
