@@ -56,17 +56,18 @@ def running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[
     return joined.withColumn(out, result).drop("_bucket", "_carry", "_inner")
 
 
-def lookup(df: DataFrame, figures: DataFrame, key: str, block: Column,
+def lookup(df: DataFrame, figures: DataFrame, key: str | list[str], block: Column,
            how: str = "inner") -> DataFrame:
-    """Join one row of figures per `key` to many rows of that key.
+    """Join one row of figures per `key` (a column or several) to many rows of that key.
 
     `block` splits the rows of a key into bounded groups. The figures are first
     spread over the (key, block) groups that occur, and the wide join uses both,
     so a key with very many rows is not gathered in one task.
     """
     rows = df.withColumn("_block", block)
-    spread = rows.select(key, "_block").distinct().join(figures, key)
-    return rows.join(spread, [key, "_block"], how).drop("_block")
+    keys = [key] if isinstance(key, str) else key
+    spread = rows.select(*keys, "_block").distinct().join(figures, keys)
+    return rows.join(spread, [*keys, "_block"], how).drop("_block")
 
 
 def attach(raster: DataFrame, figures: DataFrame, how: str = "inner",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.presets import IRIS_MAX, PUPIL_MAX
-from ..sources.scores import HEADING_LINES, read_scores
+from ..sources.scores import read_scores
 from . import evaluate, geometry, masks, votes
 from .build import build_templates
 from .common import attach
@@ -56,20 +56,28 @@ def build_automatic(raster: DataFrame, candidates: DataFrame, n_scale: float = 1
 
 
 def evaluate_files(spark: SparkSession, match_path: str, nonmatch_path: str, number: int = -1,
-                   skip: int = HEADING_LINES, experiment: str = "", pos: int = 1) -> dict[str, DataFrame]:
-    """ROC, reported points, EER and operating points of two score files."""
+                   experiment: str = "", pos: int = 1) -> dict[str, DataFrame]:
+    """ROC, reported points, EER and operating points of two score files or folders.
+
+    The files are read once; the scores are kept for the four results.
+    """
     def side(path: str, kind: int) -> DataFrame:
-        return read_scores(spark, path, number, skip).select(
+        return read_scores(spark, path, number).select(
             F.lit(experiment).alias("experiment"), F.lit(pos).alias("pos"),
             F.lit(kind).alias("match_type"), "hd")
 
     scores = side(match_path, evaluate.MATCH).unionByName(side(nonmatch_path, evaluate.NONMATCH))
-    points = evaluate.roc_points(scores)
-    return {"roc": evaluate.roc(scores), "points": points, "eer": evaluate.eer(scores),
-            "operating": evaluate.operating_points(points)}
+    scores = scores.persist()
+    return {"roc": evaluate.roc(scores), "points": evaluate.roc_points(scores),
+            "eer": evaluate.eer(scores),
+            "operating": evaluate.operating_points(evaluate.rates(scores))}
 
 
 def write_evaluation(results: dict[str, DataFrame], path: str) -> None:
-    """One Parquet table per result, partitioned by experiment and eye."""
+    """One Parquet table per result, partitioned by experiment and eye.
+
+    A rerun replaces the partitions it holds and leaves the others.
+    """
     for name, df in results.items():
-        df.write.mode("append").partitionBy("experiment", "pos").parquet(f"{path}/{name}")
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("experiment", "pos").parquet(f"{path}/{name}"))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate
+from ..operators import evaluate, jobs
+from ..session import new_folder
 from ..sources import scores as files
 from ..sources.presets import lookup_presets
 from .fixtures import table
 
 
 def score_table(spark, d):
-    """Four experiments from event values, in one scan.
+    """Five experiments from the values of all events, in one scan.
 
-    Nonmatch longer, match longer, equal sizes, and one with -1 scores.
+    Nonmatch longer, match longer, equal sizes, one with -1 scores, and one of clicks.
     """
     h = F.floor(F.col("value") / 500 * 10000 + 0.5) / 10000
     mirrored = F.floor((F.lit(0.7) - F.col("value") / 500) * 10000 + 0.5) / 10000
@@ -30,7 +31,9 @@ def score_table(spark, d):
                                           row("match_longer", 2, 2, h),
                                           row("equal", 1, 1, h), row("equal", 1, 2, mirrored)))
             .when(kind == "signup", F.array(row("match_longer", 2, 1, h)))
-            .when(kind == "error", F.array(row("negative", 1, 2, failing))))
+            .when(kind == "error", F.array(row("negative", 1, 2, failing),
+                                           row("clicks", 2, 2, h)))
+            .when(kind == "click", F.array(row("clicks", 2, 1, mirrored))))
     return (table(spark, d, "events").select("event_id", F.explode(rows).alias("r"))
             .select("event_id", "r.*"))
 
@@ -44,8 +47,8 @@ def rescale(spark, d):
 
 
 def rescale_exact(spark, d):
-    longer = scores_only(spark, d).where(F.col("experiment") == "match_longer")
-    return evaluate.rescale_scores(longer, exact_ratio=True)
+    """With the scores that mark failed comparisons kept, at any size."""
+    return evaluate.rescale_scores(scores_only(spark, d), incomparable="keep")
 
 
 def roc(spark, d):
@@ -53,8 +56,8 @@ def roc(spark, d):
 
 
 def roc_strided(spark, d):
-    """The stride for long lists, with a bound low enough to take effect."""
-    return evaluate.roc(scores_only(spark, d), max_points=500)
+    """Every third point, on request."""
+    return evaluate.roc(scores_only(spark, d), stride=3)
 
 
 def roc_points(spark, d):
@@ -62,8 +65,8 @@ def roc_points(spark, d):
 
 
 def roc_points_few(spark, d):
-    """Fewer than 200 visited points: all are kept."""
-    return evaluate.roc_points(scores_only(spark, d), max_points=90)
+    """A coarse curve, on request."""
+    return evaluate.roc_points(scores_only(spark, d), stride=25)
 
 
 def eer(spark, d):
@@ -71,13 +74,12 @@ def eer(spark, d):
 
 
 def operating_points(spark, d):
-    return evaluate.operating_points(evaluate.roc_points(scores_only(spark, d)))
+    return evaluate.operating_points(evaluate.rates(scores_only(spark, d)))
 
 
 def operating_points_few(spark, d):
     """A coarse curve, so that low decades are missing."""
-    return evaluate.operating_points(
-        evaluate.roc_points(scores_only(spark, d), max_points=90))
+    return evaluate.operating_points(evaluate.rates(scores_only(spark, d), stride=25))
 
 
 def score_lines(spark, d):
@@ -96,6 +98,48 @@ def score_lines(spark, d):
                         files.column("line", 4).alias("g_name"))
 
 
+def _named(rows):
+    """The columns of a score report line; names are not looked at here."""
+    return rows.select("experiment", "pos", "match_type", "hd", *[
+        F.lit(v).alias(c) for c, v in (("g_subject", "00001"), ("p_subject", "00002"),
+                                       ("g_name", "g.bmp"), ("p_name", "p.bmp"))])
+
+
+def score_roundtrip(spark, d):
+    """All scores as report files, one folder per experiment, read back and counted."""
+    folder = new_folder(spark, "scores")
+    files.export_scores(_named(scores_only(spark, d)), folder)
+    back = files.read_scores(spark, f"{folder}/*")
+    name = F.regexp_extract("file", "experiment=([^/]*)", 1)
+    return back.groupBy(name.alias("experiment"), "hd").agg(F.count("*").alias("scores"))
+
+
+def roc_roundtrip(spark, d):
+    """ROC report files with their trailers, read back: points and EER per experiment."""
+    folder = new_folder(spark, "roc")
+    files.export_roc(evaluate.roc(scores_only(spark, d)), evaluate.eer(scores_only(spark, d)), folder)
+    name = F.regexp_extract("file", "experiment=([^/]*)", 1).alias("experiment")
+    points = files.read_rates(spark, f"{folder}/*").groupBy(name).agg(
+        F.count("*").alias("points"), F.max("thres").alias("last_thres"), F.min("frr").alias("low_frr"),
+        F.max("far").alias("top_far"))
+    return points.join(files.read_eer(spark, f"{folder}/*").select(name, "eer"), "experiment")
+
+
+def evaluate_job(spark, d):
+    """The whole job on score files: written, read once, evaluated."""
+    folder = new_folder(spark, "job")
+    mirrored = F.when(F.col("experiment") == "clicks", F.lit("clicks"))
+    rows = scores_only(spark, d).where(mirrored.isNotNull())
+    for side, kind in (("m", 1), ("n", 2)):
+        files.export_scores(_named(rows.where(F.col("match_type") == kind)), f"{folder}/{side}")
+    results = jobs.evaluate_files(spark, f"{folder}/m/*", f"{folder}/n/*", experiment="clicks", pos=2)
+    jobs.write_evaluation(results, f"{folder}/out")
+    read = lambda name: spark.read.parquet(f"{folder}/out/{name}")
+    points = read("roc").agg(F.count("*").alias("points"))
+    kept = read("points").agg(F.count("*").alias("kept"))
+    return read("eer").select("experiment", "pos", "eer").crossJoin(points).crossJoin(kept)
+
+
 def experiment_names(spark, d):
     kinds = table(spark, d, "events").groupBy("event_type").agg(
         F.min("event_id").alias("number"))
@@ -130,43 +174,39 @@ scores AS (
   UNION ALL SELECT 'equal', 1, 1, h FROM valued WHERE event_type = 'view'
   UNION ALL SELECT 'equal', 1, 2, mirrored FROM valued WHERE event_type = 'view'
   UNION ALL SELECT 'negative', 1, 1, failing FROM valued WHERE event_type = 'purchase'
-  UNION ALL SELECT 'negative', 1, 2, failing FROM valued WHERE event_type = 'error')"""
+  UNION ALL SELECT 'negative', 1, 2, failing FROM valued WHERE event_type = 'error'
+  UNION ALL SELECT 'clicks', 2, 1, mirrored FROM valued WHERE event_type = 'click'
+  UNION ALL SELECT 'clicks', 2, 2, h FROM valued WHERE event_type = 'error')"""
 
 
-def _rescaled_sql(exact: bool = False) -> str:
-    long_step = ("least(((s.i + 1) * z.m) // z.n, z.m - 1)" if exact
-                 else "least((s.i + 1) * (z.m // z.n), z.m - 1)")
+def _rescaled_sql(keep: bool = False) -> str:
     return f"""{SCORES_SQL},
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY experiment, pos, match_type ORDER BY hd) - 1 AS i FROM scores),
+  SELECT *, row_number() OVER (PARTITION BY experiment, pos, match_type ORDER BY hd) - 1 AS i FROM scores
+  WHERE hd IS NOT NULL {'' if keep else 'AND hd >= 0'}),
 sizes AS (
-  SELECT experiment, pos, count(*) FILTER (match_type = 1) AS m, count(*) FILTER (match_type = 2) AS n,
-    count(*) FILTER (match_type = 1 AND hd <= 0) AS m_low,
-    count(*) FILTER (match_type = 2 AND hd <= 0) AS n_low
-  FROM scores GROUP BY ALL),
+  SELECT experiment, pos, count(*) FILTER (match_type = 1) AS m, count(*) FILTER (match_type = 2) AS n
+  FROM ranked GROUP BY ALL),
 linked AS (
-  SELECT s.experiment, s.pos, s.i - z.m_low AS idx, s.i AS mi, least(((s.i + 1) * z.n) // z.m, z.n - 1) AS ni
-  FROM ranked s JOIN sizes z USING (experiment, pos) WHERE z.n > z.m AND s.match_type = 1 AND s.hd > 0
+  SELECT s.experiment, s.pos, s.i AS mi, least(((s.i + 1) * z.n) // z.m, z.n - 1) AS ni
+  FROM ranked s JOIN sizes z USING (experiment, pos) WHERE z.n > z.m AND s.match_type = 1
   UNION ALL
-  SELECT s.experiment, s.pos, s.i - z.n_low, {long_step}, s.i
-  FROM ranked s JOIN sizes z USING (experiment, pos) WHERE z.m > z.n AND s.match_type = 2 AND s.hd > 0
+  SELECT s.experiment, s.pos, least(((s.i + 1) * z.m) // z.n, z.m - 1), s.i
+  FROM ranked s JOIN sizes z USING (experiment, pos) WHERE z.m > z.n AND s.match_type = 2
   UNION ALL
-  SELECT s.experiment, s.pos, s.i, s.i, s.i
+  SELECT s.experiment, s.pos, s.i, s.i
   FROM ranked s JOIN sizes z USING (experiment, pos) WHERE z.m = z.n AND s.match_type = 1),
 rescaled AS (
-  SELECT l.experiment, l.pos, l.idx, a.hd AS match, b.hd AS nonmatch
-  FROM linked l
+  SELECT l.experiment, l.pos, CASE WHEN z.m > z.n THEN l.ni ELSE l.mi END AS idx, a.hd AS match, b.hd AS nonmatch
+  FROM linked l JOIN sizes z USING (experiment, pos)
   JOIN ranked a ON a.experiment = l.experiment AND a.pos = l.pos AND a.match_type = 1 AND a.i = l.mi
   JOIN ranked b ON b.experiment = l.experiment AND b.pos = l.pos AND b.match_type = 2 AND b.i = l.ni)"""
 
 
-def _roc_sql(max_points: int) -> str:
+def _roc_sql(stride: int = 1) -> str:
     return f"""{_rescaled_sql()},
-total AS (
-  SELECT experiment, pos, count(*) AS size,
-    CASE WHEN count(*) > {max_points} THEN count(*) // {max_points} ELSE 1 END AS step
-  FROM rescaled GROUP BY ALL),
-seen AS (SELECT r.*, t.size FROM rescaled r JOIN total t USING (experiment, pos) WHERE r.idx % t.step = 0),
+total AS (SELECT experiment, pos, count(*) AS size FROM rescaled GROUP BY ALL),
+seen AS (SELECT r.*, t.size FROM rescaled r JOIN total t USING (experiment, pos) WHERE r.idx % {stride} = 0),
 counted AS (
   SELECT j.experiment, j.pos, j.idx, j.match, j.nonmatch, j.size,
     max(k.idx) FILTER (k.match >= 0 AND k.match <= j.match) AS ti,
@@ -178,28 +218,30 @@ rates AS (
     1 - coalesce((fi + 1) / size::DOUBLE, 0e0) AS trr, coalesce((ti + 1) / size::DOUBLE, 0e0) AS tar
   FROM counted),
 looked AS (
-  SELECT *, lead(far) OVER w AS far_next, count(*) OVER (PARTITION BY experiment, pos) AS points,
-    lag(frr, 1, 1e0) OVER w AS pfrr, lag(far, 1, 0e0) OVER w AS pfar
+  SELECT *, lead(far) OVER w AS far_next, lag(frr, 1, 1e0) OVER w AS pfrr, lag(far, 1, 0e0) OVER w AS pfar
   FROM rates WINDOW w AS (PARTITION BY experiment, pos ORDER BY idx)),
 points AS (
   SELECT experiment, pos, idx, thres, frr, far, trr, tar FROM looked
-  WHERE points < 200 OR far_next IS NULL OR far_next <> far)"""
+  WHERE far_next IS NULL OR far_next <> far)"""
 
 
-def _operating_sql(max_points: int) -> str:
-    return f"""WITH {_roc_sql(max_points)},
+def _operating_sql(stride: int = 1) -> str:
+    return f"""WITH {_roc_sql(stride)},
+curve AS (
+  SELECT experiment, pos, thres, any_value(frr) AS frr, any_value(far) AS far, any_value(trr) AS trr,
+    any_value(tar) AS tar FROM rates GROUP BY ALL),
 prevs AS (
   SELECT *, row_number() OVER w AS n, lag(frr) OVER w AS pf, lag(far) OVER w AS pa,
     lag(trr) OVER w AS pt, lag(tar) OVER w AS pu
-  FROM points WINDOW w AS (PARTITION BY experiment, pos ORDER BY idx)),
+  FROM curve WINDOW w AS (PARTITION BY experiment, pos ORDER BY thres)),
 decades(decade, v, top) AS (VALUES (0, 0.0001::DOUBLE, 0.001::DOUBLE), (1, 0.001::DOUBLE, 0.01::DOUBLE),
   (2, 0.01::DOUBLE, 0.1::DOUBLE), (3, 0.1::DOUBLE, 1::DOUBLE), (4, 1::DOUBLE, 10::DOUBLE)),
 hits AS (
   SELECT p.*, d.decade, d.v, (d.v - pa) / nullif(far - pa, 0) AS share
   FROM prevs p JOIN decades d ON p.far >= d.v AND p.far < d.top WHERE n > 1
-  QUALIFY row_number() OVER (PARTITION BY experiment, pos, decade ORDER BY idx) = 1),
+  QUALIFY row_number() OVER (PARTITION BY experiment, pos, decade ORDER BY thres) = 1),
 groups AS (
-  SELECT experiment, pos, max(idx) AS last_idx, count(*) AS c FROM points GROUP BY ALL),
+  SELECT experiment, pos, max(thres) AS last_thres, count(*) AS c FROM curve GROUP BY ALL),
 firsts AS (SELECT experiment, pos, min(decade) AS first FROM hits GROUP BY ALL)
 SELECT experiment, pos, decade,
   CASE WHEN pa = v THEN pf ELSE pf + (frr - pf) * share END AS frr,
@@ -213,7 +255,7 @@ FROM groups g JOIN decades d ON true LEFT JOIN firsts f ON f.experiment = g.expe
 WHERE f.first IS NULL OR d.decade < f.first
 UNION ALL
 SELECT p.experiment, p.pos, 5, p.frr, p.far, p.trr, p.tar
-FROM points p JOIN groups g ON g.experiment = p.experiment AND g.pos = p.pos AND g.last_idx = p.idx
+FROM curve p JOIN groups g ON g.experiment = p.experiment AND g.pos = p.pos AND g.last_thres = p.thres
 WHERE g.c > 1 AND NOT EXISTS (SELECT 1 FROM firsts f WHERE f.experiment = p.experiment AND f.pos = p.pos)"""
 
 
@@ -230,23 +272,25 @@ QUERIES = {
     "operating_points": operating_points,
     "operating_points_few": operating_points_few,
     "score_lines": score_lines,
+    "score_roundtrip": score_roundtrip,
+    "roc_roundtrip": roc_roundtrip,
+    "evaluate_job": evaluate_job,
     "experiment_names": experiment_names,
     "sensor_presets": sensor_presets,
 }
 
 ORACLES = {
     "score_rescale": f"WITH {_rescaled_sql()} SELECT * FROM rescaled",
-    "score_rescale_exact": f"WITH {_rescaled_sql(True)} SELECT * FROM rescaled "
-                           "WHERE experiment = 'match_longer'",
-    "roc": f"WITH {_roc_sql(evaluate.MAX_POINTS)} {ROC_COLUMNS}",
-    "roc_strided": f"WITH {_roc_sql(500)} {ROC_COLUMNS}",
-    "roc_points": f"WITH {_roc_sql(evaluate.MAX_POINTS)} SELECT * FROM points",
-    "roc_points_few": f"WITH {_roc_sql(90)} SELECT * FROM points",
-    "eer": f"""WITH {_roc_sql(evaluate.MAX_POINTS)}
+    "score_rescale_exact": f"WITH {_rescaled_sql(True)} SELECT * FROM rescaled",
+    "roc": f"WITH {_roc_sql()} {ROC_COLUMNS}",
+    "roc_strided": f"WITH {_roc_sql(3)} {ROC_COLUMNS}",
+    "roc_points": f"WITH {_roc_sql()} SELECT * FROM points",
+    "roc_points_few": f"WITH {_roc_sql(25)} SELECT * FROM points",
+    "eer": f"""WITH {_roc_sql()}
 SELECT experiment, pos, coalesce(min_by((far - pfar) * ((pfar - pfrr) / (frr - pfrr - far + pfar)) + pfar, idx)
   FILTER (frr < far), 0e0) AS eer FROM looked GROUP BY ALL""",
-    "operating_points": _operating_sql(evaluate.MAX_POINTS),
-    "operating_points_few": _operating_sql(90),
+    "operating_points": _operating_sql(),
+    "operating_points_few": _operating_sql(25),
     "score_lines": """WITH rounded AS (
   SELECT event_id, event_type, lpad((user_id % 100000)::VARCHAR, 5, '0') AS s,
     round_even(value / 500, 5) AS hd FROM events)
@@ -255,6 +299,20 @@ SELECT event_id, hd, 2e0 AS match_type,
   format('{:>10.5f}', hd) || chr(9) || ' 1' || chr(9) || ' 2' || chr(9) || s || chr(9) || s || chr(9)
     || lpad(event_type, 25, ' ') || chr(9) || lpad(event_id::VARCHAR, 25, ' ') AS line
 FROM rounded""",
+    "score_roundtrip": f"""WITH {SCORES_SQL}
+SELECT experiment, round_even(hd, 5) AS hd, count(*) AS scores FROM scores GROUP BY ALL""",
+    "roc_roundtrip": f"""WITH {_roc_sql()},
+crossed AS (
+  SELECT experiment, coalesce(min_by((far - pfar) * ((pfar - pfrr) / (frr - pfrr - far + pfar)) + pfar, idx)
+    FILTER (frr < far), 0e0) AS eer FROM looked GROUP BY experiment)
+SELECT experiment, count(*) AS points, max(round_even(thres, 5)) AS last_thres, min(round_even(frr, 5)) AS low_frr,
+  max(round_even(far, 5)) AS top_far, round_even(any_value(eer), 5) AS eer
+FROM rates JOIN crossed USING (experiment) GROUP BY experiment""",
+    "evaluate_job": f"""WITH {_roc_sql()}
+SELECT experiment, pos, coalesce(min_by((far - pfar) * ((pfar - pfrr) / (frr - pfrr - far + pfar)) + pfar, idx)
+  FILTER (frr < far), 0e0) AS eer, count(*) AS points,
+  (SELECT count(*) FROM points WHERE experiment = 'clicks') AS kept
+FROM looked WHERE experiment = 'clicks' GROUP BY ALL""",
     "experiment_names": """SELECT event_type,
   'scores_' || min(event_id) || '_' || event_type || '.txt' AS file_name FROM events GROUP BY event_type""",
     "sensor_presets": """WITH presets(code, n_scale, alpha, circle_ratio, closing, opening, scaling) AS (VALUES

@@ -24,16 +24,19 @@ def ordered_minimum(values):
     return min(tail) if tail else -1.0
 
 
-def roc_loop(match, nonmatch, step=1):
-    n, rows = len(match), []
-    tar = far = 0.0
-    for j in range(0, n, step):
-        for i in range(0, n, step):
-            if 0 <= match[i] <= match[j]:
-                tar = (i + 1) / n
-            if 0 <= nonmatch[i] <= match[j]:
-                far = (i + 1) / n
-        rows.append((j, match[j], nonmatch[j], 1 - tar, far, 1 - far, tar))
+def roc(match, nonmatch, step=1):
+    """Rates from the definition: ranks of the visited scores at or below each threshold."""
+    seen = np.arange(0, len(match), step)
+    m, n, size = np.array(match)[seen], np.array(nonmatch)[seen], len(match)
+
+    def share(values, threshold):
+        below = seen[(values >= 0) & (values <= threshold)]
+        return (below.max() + 1) / size if len(below) else 0.0
+
+    rows = []
+    for j, a, b in zip(seen.tolist(), m.tolist(), n.tolist()):
+        tar, far = share(m, a), share(n, a)
+        rows.append((j, a, b, 1 - tar, far, 1 - far, tar))
     return rows
 
 
