@@ -71,8 +71,14 @@ def glcm_mean(raster: DataFrame) -> DataFrame:
 
 
 def contrast(raster: DataFrame) -> DataFrame:
-    return glcm_mean(raster).groupBy("image_id").agg(
-        F.sum((F.col("b") - F.col("a")) ** 2 * F.col("p")).alias("contrast"))
+    """Mean squared difference to the neighbours, averaged over the four directions.
+
+    Equals the contrast of the mean co-occurrence matrix, without building it.
+    """
+    near = neighbourhood(raster, "v", 1, 1)
+    means = [F.coalesce(F.avg((at("nb", dx, dy, 1, 1) - F.col("v")).cast("double") ** 2), F.lit(0.0))
+             for dx, dy in DIRECTIONS.values()]
+    return near.groupBy("image_id").agg((sum(means[1:], means[0]) / 4).alias("contrast"))
 
 
 def edge_density(raster: DataFrame) -> DataFrame:
@@ -147,16 +153,21 @@ def _levels(counts: DataFrame, keys: list[str]) -> DataFrame:
     return table.select(*keys, F.col("v").cast("int").alias("v"), level.alias("level"))
 
 
+def _dense(entries: Column) -> Column:
+    """Levels of the values 0 … 255 as an array, so that a pixel finds its own by position."""
+    levels = F.map_from_entries(F.collect_list(entries))
+    return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.element_at(levels, v))
+
+
 def _look_up(name: str) -> Column:
-    """Level map of a key, at most 256 entries."""
-    return F.map_from_entries(F.collect_list(F.struct("v", "level"))).alias(name)
+    return _dense(F.struct("v", "level")).alias(name)
 
 
 def equalize(raster: DataFrame) -> DataFrame:
     """Histogram equalisation per image."""
     table = _levels(histogram(raster), ["image_id"]).groupBy("image_id").agg(_look_up("m"))
     return (attach(raster, table)
-            .select("image_id", "y", "x", F.col("m")[F.col("v").cast("int")].alias("v")))
+            .select("image_id", "y", "x", F.get("m", F.col("v").cast("int")).alias("v")))
 
 
 def equalize_halves(raster: DataFrame, side: int | None = None) -> DataFrame:
@@ -166,8 +177,7 @@ def equalize_halves(raster: DataFrame, side: int | None = None) -> DataFrame:
     halves = _levels(counts, ["image_id", "right"])
     whole = _levels(counts.groupBy("image_id", "v").agg(F.sum("n").alias("n")), ["image_id"])
     entry = F.struct("v", "level")
-    half = lambda right: F.map_from_entries(F.collect_list(
-        F.when(F.col("right") == right, entry)))
+    half = lambda right: _dense(F.when(F.col("right") == right, entry))
     tables = (halves.groupBy("image_id").agg(half(False).alias("l"), half(True).alias("r"))
               .join(whole.groupBy("image_id").agg(_look_up("m")), "image_id"))
     both = attach(parts.drop("h"), tables)
@@ -178,7 +188,7 @@ def equalize_halves(raster: DataFrame, side: int | None = None) -> DataFrame:
     def blend(f: Column, left: Column, right: Column) -> Column:
         return half_even((one - f) * real(left) + f * real(right))
 
-    h, a = F.when(F.col("right"), F.col("r")[v]).otherwise(F.col("l")[v]), F.col("m")[v]
+    h, a = F.when(F.col("right"), F.get("r", v)).otherwise(F.get("l", v)), F.get("m", v)
     out = (F.when(x < quarter(1), h)
            .when(x < quarter(2), blend(ratio(x - quarter(1), step), h, a))
            .when(x < quarter(3), blend(ratio(x - quarter(2), step), a, h)).otherwise(h))
@@ -225,8 +235,12 @@ def mirrored(raster: DataFrame, reach: int, side: int | None = None) -> DataFram
 
 
 def bilateral(raster: DataFrame, sigma_colour: float = 20.0, sigma_space: float = 2.0,
-              reach: int | None = None, side: int | None = None) -> DataFrame:
-    """Edge-preserving smoothing of 8-bit pixels inside a round window."""
+              reach: int | None = None, side: int | None = None,
+              keep: str | None = None) -> DataFrame:
+    """Edge-preserving smoothing of 8-bit pixels inside a round window.
+
+    `keep` names a further column for the values before smoothing.
+    """
     reach = round(sigma_space * 1.5) if reach is None else reach
     near = (neighbourhood(mirrored(raster, reach, side), "v", reach, reach)
             .where((F.col("x") >= 0) & (F.col("y") >= 0)
@@ -245,15 +259,15 @@ def bilateral(raster: DataFrame, sigma_colour: float = 20.0, sigma_space: float
 
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
     value = F.aggregate(window, start, add, lambda acc: half_even(acc["s"] / acc["w"]))
-    return near.select("image_id", "y", "x", value.alias("v"))
+    kept = [F.col("v").alias(keep)] if keep else []
+    return near.select("image_id", "y", "x", value.alias("v"), *kept)
 
 
 def bilateral_mix(raster: DataFrame, smoothness: float) -> DataFrame:
     """0.7 · source + 0.7 · smoothed with a 5-pixel window, saturated to 8 bits."""
-    smooth = bilateral(raster, smoothness, smoothness, reach=2).withColumnRenamed("v", "s")
-    mixed = clamp(half_even(F.col("v") * 0.7 + F.col("s") * 0.7), 0, 255)
-    return (raster.join(smooth, ["image_id", "y", "x"])
-            .select("image_id", "y", "x", mixed.alias("v")))
+    smooth = bilateral(raster, smoothness, smoothness, reach=2, keep="source")
+    mixed = clamp(half_even(F.col("source") * 0.7 + F.col("v") * 0.7), 0, 255)
+    return smooth.select("image_id", "y", "x", mixed.alias("v"))
 
 
 # -------------------------------------------------------------- size and region

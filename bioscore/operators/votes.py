@@ -101,8 +101,9 @@ def _label_tile(pixels: pd.DataFrame) -> pd.DataFrame:
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """Use the session's checkpoint folder, or one in its warehouse where none is set."""
-    checkpoint_ready(spark, spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    """Rounds are kept in the folder that the session's machines share."""
+    if not checkpoint_ready(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster sees")
 
 
 def grow_regions(raster: DataFrame, high: float, low: float) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import fixed
 from ..operators import build, encode, polar
 from ..operators import geometry as geo
+from ..session import new_folder
 from ..sources import boundaries
+from ..sources.boundaries import read_raster
 from . import fixtures as fx
 from .pixels import R, f6
 from .segmentation import CIRCLE_SQL
@@ -136,13 +138,15 @@ grid AS (
     FROM aims, range({radial}) q(r)))"""
 
 
-BAND_SQL = f"""corner AS (
-  SELECT g.*, px - floor(px) AS s, py - floor(py) AS t,
-    a.v AS v00, b.v AS v10, c.v AS v01, d.v AS v11 FROM grid g
-  LEFT JOIN usable a ON a.image_id = g.image_id AND a.x = floor(px)::INTEGER - 1 AND a.y = floor(py)::INTEGER - 1
-  LEFT JOIN usable b ON b.image_id = g.image_id AND b.x = floor(px)::INTEGER AND b.y = floor(py)::INTEGER - 1
-  LEFT JOIN usable c ON c.image_id = g.image_id AND c.x = floor(px)::INTEGER - 1 AND c.y = floor(py)::INTEGER
-  LEFT JOIN usable d ON d.image_id = g.image_id AND d.x = floor(px)::INTEGER AND d.y = floor(py)::INTEGER),
+BAND_SQL = """near AS (
+  SELECT image_id, r, a, px - floor(px) AS s, py - floor(py) AS t, dx, dy,
+    floor(px)::INTEGER - 1 + dx AS x, floor(py)::INTEGER - 1 + dy AS y
+  FROM grid, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) n(dx, dy)),
+corner AS (
+  SELECT image_id, r, a, any_value(s) AS s, any_value(t) AS t, max(v) FILTER (dx = 0 AND dy = 0) AS v00,
+    max(v) FILTER (dx = 1 AND dy = 0) AS v10, max(v) FILTER (dx = 0 AND dy = 1) AS v01,
+    max(v) FILTER (dx = 1 AND dy = 1) AS v11
+  FROM near LEFT JOIN usable USING (image_id, x, y) GROUP BY image_id, r, a),
 band AS (
   SELECT image_id, r, a, ((v00 * (1 - t) + v01 * t) * (1 - s) + (v10 * (1 - t) + v11 * t) * s) / 255 AS v FROM corner),
 filled AS (SELECT image_id, r, a, coalesce(v, avg(coalesce(v, 0.5)) OVER (PARTITION BY image_id)) AS v, v IS NULL AS noise FROM band)"""
@@ -203,12 +207,25 @@ VECTOR_CELLS = f"{VECTORS_SQL}, {_response_sql(ANGULAR, WAVELENGTH, 0.55, 2, 2)}
 SMALL_BAND = f"""{R}, usable AS (SELECT image_id, y, x, v::DOUBLE AS v FROM raster WHERE v BETWEEN 60 AND 250),
 {fx.CIRCLES_SQL}, {_grid_sql(RADIAL, ANGULAR)}, {BAND_SQL}"""
 
+def image_table(spark, d):
+    """Stored grey images of 8 × 8 pixels, one per vector, written and scanned as pixels."""
+    folder = new_folder(spark, "images")
+    pixels = F.expr("transform(embedding, e -> cast(least(greatest(floor((cast(e as double) + 0.6D) * 212), 0), 255)"
+                    " as int))")
+    (fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("w"),
+                                             pixels.alias("pixels")).write.parquet(folder))
+    return read_raster(spark, folder)
+
+
 QUERIES = {f.__name__: f for f in (
-    boundary_files, circle_files, polar_grid, polar_band, mean_fill, loggabor_rows,
+    image_table, boundary_files, circle_files, polar_grid, polar_band, mean_fill, loggabor_rows,
     magnitude_thresholds, coefficient_thresholds, phase_bits, pack_template, build_templates,
     build_from_boundary_points, build_from_circles)}
 
 ORACLES = {
+    "image_table": """SELECT vec_id AS image_id, (i // 8)::INTEGER AS y, (i % 8)::INTEGER AS x,
+  least(greatest(floor((embedding[i + 1]::DOUBLE + 0.6::DOUBLE) * 212), 0), 255)::INTEGER AS v
+FROM embeddings, range(64) t(i)""",
     "boundary_files": f"WITH {fx.boundary_sql()} SELECT image_id, ring, k, x, y, valid FROM boundary",
     "circle_files": f"WITH RECURSIVE {fx.boundary_sql()}, {CIRCLE_SQL} SELECT * FROM found WHERE ri IS NOT NULL",
     "polar_grid": f"WITH {fx.CIRCLES_SQL}, {_grid_sql(10, 40)} SELECT image_id, r, a, {f6('px')} AS px, {f6('py')} AS py FROM grid",

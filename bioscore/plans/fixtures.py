@@ -132,9 +132,9 @@ sizes AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM raster GROUP BY
 
 RGB_SQL = RASTER_SQL + """,
 rgb AS (
-  SELECT a.image_id, a.y, a.x, a.v AS r, b.v AS g, c.v AS b
-  FROM raster a JOIN raster b ON b.image_id = a.image_id AND b.y = a.y AND b.x = a.x + 1
-  JOIN raster c ON c.image_id = a.image_id AND c.y = a.y AND c.x = a.x + 2)"""
+  SELECT image_id, y, i::INTEGER AS x, """ + ", ".join(
+    f"least(greatest(floor((embedding[i + {k}]::DOUBLE + 0.6::DOUBLE) * 212), 0), 255)::INTEGER AS {c}"
+    for k, c in enumerate("rgb", 1)) + """ FROM pixel_rows, range(62) t(i))"""
 
 
 def circles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,44 @@ def lda_eigenvalues(spark, d):
     return sub.lda_fit(face_vectors(spark, d)).table(spark).select("comp", fixed("eigenvalue").alias("eigenvalue"))
 
 
+def _largest(column):
+    return fixed(F.max(F.abs(column)), 4)
+
+
+def pca_facts(spark, d):
+    """The fitted model applied to all vectors: what holds whatever the signs are.
+
+    Eigenvalues add up to the total variance, each is the variance of its component, and all
+    components together give the vectors back.
+    """
+    vectors = face_vectors(spark, d)
+    model = sub.pca_fit(vectors)
+    p = sub.project(vectors.withColumn("source", F.col("v")).drop("label"), model)
+    parts = (p.select(F.posexplode("p").alias("comp", "p")).groupBy("comp")
+             .agg(F.avg(F.col("p") * F.col("p")).alias("variance"))
+             .join(F.broadcast(model.table(spark)), "comp"))              # one row a component
+    figures = parts.agg(fixed(F.sum("eigenvalue"), 4).alias("trace"),
+                        _largest(F.col("variance") - F.col("eigenvalue")).alias("variance_gap"))
+    errors = F.transform(F.arrays_zip("source", "v"), lambda e: F.abs(e["source"] - e["v"]))
+    rebuilt = sub.reconstruct(p, model).agg(_largest(F.array_max(errors)).alias("rebuilt_gap"))
+    return figures.crossJoin(rebuilt)                                     # one row each
+
+
+def lda_facts(spark, d):
+    """Between- over within-class scatter of each projected direction is its eigenvalue."""
+    vectors = face_vectors(spark, d)
+    model = sub.lda_fit(vectors)
+    p = sub.project(vectors, model).select("label", F.posexplode("p").alias("comp", "p"))
+    classes = p.groupBy("label", "comp").agg(
+        F.avg("p").alias("m"), (F.count("*") * F.var_pop("p")).alias("inner"))
+    every = p.groupBy("comp").agg(F.avg("p").alias("all"))
+    ratio = (classes.join(every, "comp").groupBy("comp")
+             .agg((F.sum((F.col("m") - F.col("all")) ** 2) / F.sum("inner")).alias("ratio"))
+             .join(F.broadcast(model.table(spark)), "comp"))
+    return ratio.agg(F.count("*").alias("directions"),
+                     _largest(F.col("ratio") / F.col("eigenvalue") - 1).alias("ratio_gap"))
+
+
 def normalise_faces(spark, d):
     """Raster images as face crops with eye detections placed by image number."""
     r = fx.raster(spark, d)
@@ -116,7 +154,7 @@ back AS (SELECT vec_id, b.dim, sum(p * w) + any_value(mean) AS v FROM proj JOIN
 
 QUERIES = {f.__name__: f for f in (
     mean_vector, covariance, class_scatter, project, reconstruct, l2_similarity, component_image,
-    pca_eigenvalues, lda_eigenvalues, normalise_faces)}
+    pca_eigenvalues, lda_eigenvalues, pca_facts, lda_facts, normalise_faces)}
 
 ORACLES = {
     "mean_vector": f"WITH {VECTORS_SQL} SELECT dim, {f6('mean')} AS mean FROM means",
@@ -136,6 +174,9 @@ SELECT vec_id, dim, least(greatest(round_even({f6('v')}, 0), 0), 255)::INTEGER A
     "l2_similarity": f"""WITH {PROJECT_SQL}
 SELECT a.vec_id, {f6('sqrt(sum((a.v - b.v) * (a.v - b.v))) / 64')} AS similarity, 1e8::DOUBLE AS unequal
 FROM vecs a JOIN back b ON b.vec_id = a.vec_id AND b.dim = a.dim GROUP BY a.vec_id""",
+    "pca_facts": f"""WITH {VECTORS_SQL}, spread AS (SELECT dim, var_pop(v) AS s FROM vecs GROUP BY dim)
+SELECT {f6('sum(s)', 4)} AS trace, 0e0 AS variance_gap, 0e0 AS rebuilt_gap FROM spread""",
+    "lda_facts": "SELECT count(DISTINCT label) - 1 AS directions, 0e0 AS ratio_gap FROM embeddings",
     "component_image": f"""WITH {VECTORS_SQL}, cm AS (SELECT label, dim, {f6('avg(v)')} AS m FROM vecs GROUP BY label, dim),
 ends AS (SELECT label, min(m) AS lo, max(m) AS hi FROM cm GROUP BY ALL)
 SELECT label, dim, least(greatest(round_even((m - lo) * (255e0 / (hi - lo)), 0), 0), 255)::INTEGER AS v FROM cm JOIN ends USING (label)""",

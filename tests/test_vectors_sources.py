@@ -63,10 +63,21 @@ def test_score_file(spark, tmp_path):
     lines = ["Title: x", "", scores.SCORE_HEADING, "   0.25000\t 1\t 2\ta\tb\tc\td", "short",
              "   bad\t 1\t 1\ta\tb\tc\td", "  -1.00000\t 2\t 1\ta\tb\tc\td"]
     (tmp_path / "s.txt").write_text("\n".join(lines) + "\n")
-    got = scores.read_scores(spark, str(tmp_path / "s.txt")).orderBy("list_pos").collect()
-    assert [r.hd for r in got if r.list_pos != 4] == [0.25, None, -1.0]
-    kind = scores.read_scores(spark, str(tmp_path / "s.txt"), 1).orderBy("list_pos").collect()
-    assert [r.hd for r in kind] == [2.0, 1.0, 1.0]
+    got = scores.read_scores(spark, str(tmp_path / "s.txt")).collect()
+    assert sorted(r.hd for r in got) == [-1.0, 0.25]
+    kind = scores.read_scores(spark, str(tmp_path / "s.txt"), 1).collect()
+    assert sorted(r.hd for r in kind) == [1.0, 2.0]
+
+
+def test_exported_scores_are_all_read_again(spark, tmp_path):
+    df = spark.range(10).select((F.col("id") / 16).alias("hd"), F.lit(1).alias("pos"), F.lit(1).alias("match_type"),
+                                *[F.lit("n").alias(c) for c in ("g_subject", "p_subject", "g_name", "p_name")],
+                                F.lit("e").alias("experiment")).repartition(3)
+    scores.export_scores(df, str(tmp_path / "out"))
+    back = scores.read_scores(spark, str(tmp_path / "out" / "experiment=e"))
+    assert sorted(r.hd for r in back.collect()) == sorted(round(i / 16 + 1e-12, 5) for i in range(10))
+    files = [f.read_text() for f in (tmp_path / "out" / "experiment=e").glob("part-*")]
+    assert len(files) == 3 and all(scores.SCORE_HEADING in f for f in files)
 
 
 def test_roc_file_round_trip(spark, tmp_path):
@@ -76,7 +87,8 @@ def test_roc_file_round_trip(spark, tmp_path):
     body = [r[0] for r in spark.createDataFrame(roc).orderBy("idx").select(scores.roc_line()).collect()]
     trailer = "0.10000" + "\t-999.00" * 6 + "\tEER"
     (tmp_path / "r.txt").write_text("\n".join(["a", "b", scores.ROC_HEADING, *body, trailer]) + "\n")
-    back = scores.read_rates(spark, str(tmp_path / "r.txt")).orderBy("list_pos").collect()
+    back = scores.read_rates(spark, str(tmp_path / "r.txt")).orderBy("thres", "match", "tar").collect()
+    assert [r.eer for r in scores.read_eer(spark, str(tmp_path / "r.txt")).collect()] == [0.1]
     np.testing.assert_allclose([(r.frr, r.far, r.trr, r.tar) for r in back],
                                [(r.frr, r.far, r.trr, r.tar) for r in roc], atol=5.1e-6)
 
@@ -88,7 +100,7 @@ def test_score_tables(spark, tmp_path):
     scores.write_scores(df, str(tmp_path / "scores"))
     assert spark.read.parquet(str(tmp_path / "scores")).where("pos = 1 and match_type = 1").count() == 1
     scores.export_scores(df, str(tmp_path / "text"))
-    line = spark.read.text(str(tmp_path / "text")).first()["value"]
+    line = spark.read.text(str(tmp_path / "text")).where("value like '%0.50000%'").first()["value"]
     assert line.split("\t")[0] == "   0.50000" and len(line.split("\t")) == 7
 
 
