@@ -19,7 +19,8 @@ def build_templates(raster: DataFrame, circles: DataFrame, radial: int = encode.
 
     `raster` may carry a boolean `noise`; noise pixels and pixels of value 0 are
     not used. With `ranked` unreliable responses are found by their magnitude
-    rank in the image, otherwise by a constant.
+    rank in the image, otherwise by a constant. A column `data_type` of the circles gives
+    each image its own data type, for instance its sensor code; it wins over the argument.
     """
     usable = F.col("v") >= 1
     if "noise" in raster.columns:
@@ -30,7 +31,11 @@ def build_templates(raster: DataFrame, circles: DataFrame, radial: int = encode.
     rows = encode.band_rows(polar.fill_mean(band))
     cells = encode.response_cells(
         encode.filter_rows(rows, angular, wavelength, sigma, scales, mult))
-    return encode.pack_templates(encode.phase_bits(cells, ranked), radial, angular, scales, data_type)
+    packed = encode.pack_templates(encode.phase_bits(cells, ranked), radial, angular, scales, data_type)
+    if "data_type" not in circles.columns:
+        return packed
+    kinds = circles.select("image_id", "data_type")
+    return packed.drop("data_type").join(kinds, "image_id").select(*packed.columns)
 
 
 def build_from_boundaries(raster: DataFrame, points: DataFrame, highlight: int | None = 240,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.presets import IRIS_MAX, PUPIL_MAX
@@ -10,6 +10,8 @@ from ..sources.scores import read_scores
 from . import evaluate, geometry, masks, votes
 from .build import build_templates
 from .common import attach
+from .hamming import TEMPLATE_COLUMNS, compare
+from .pairs import IMPOSTOR_PROBES, genuine_pairs, impostor_pairs
 from .raster import circle_region, image_sizes
 
 
@@ -55,6 +57,41 @@ def build_automatic(raster: DataFrame, candidates: DataFrame, n_scale: float = 1
     return build_templates(marked.withColumn("noise", F.col("noise") | bright), circles, **options)
 
 
+def list_templates(images: DataFrame, templates: DataFrame, image_id: Column,
+                   data_type: int | None = None) -> DataFrame:
+    """Templates by list position; `image_id` computes the template key from a list row."""
+    if data_type is not None:
+        templates = templates.where(F.col("data_type") == data_type)
+    wide = templates.select(F.col("image_id").alias("_key"), *TEMPLATE_COLUMNS)
+    return (images.select("list_pos", image_id.alias("_key")).join(wide, "_key")
+            .select("list_pos", *TEMPLATE_COLUMNS))
+
+
+def score_table(gallery: DataFrame, templates: DataFrame, image_id: Column,
+                probe: DataFrame | None = None, experiment: str = "", pos: int = 1,
+                data_types: tuple[int | None, int | None] = (None, None), seed: int = 0,
+                n: int = IMPOSTOR_PROBES, **comparison) -> DataFrame:
+    """Score table of one experiment and eye, from image lists and templates.
+
+    Genuine pairs (match_type 1) and sampled impostor pairs (2): (experiment, pos, match_type,
+    hd, list positions, subjects and names of both sides). `data_types` picks the templates of
+    gallery and probe; a pair without a template keeps a NULL score.
+    """
+    wide = [list_templates(images, templates, image_id, kind)
+            for images, kind in zip((gallery, gallery if probe is None else probe), data_types)]
+    same = probe is None and data_types[0] == data_types[1]
+    given = {"features": wide[0], "probe_features": None if same else wide[1]}
+    sides = ("list_pos", "file_name")
+    named = [F.col(f"{s}_{c}") for s in ("g", "p") for c in sides]
+    genuine = compare(genuine_pairs(gallery, probe, **given), **comparison).select(
+        F.lit(evaluate.MATCH).alias("match_type"), "hd", F.col("subject_id").alias("g_subject"),
+        F.col("subject_id").alias("p_subject"), *named)
+    impostor = compare(impostor_pairs(gallery, probe, seed, n, **given), **comparison).select(
+        F.lit(evaluate.NONMATCH).alias("match_type"), "hd", "g_subject", "p_subject", *named)
+    return genuine.unionByName(impostor).select(
+        F.lit(experiment).alias("experiment"), F.lit(pos).alias("pos"), "*")
+
+
 def evaluate_files(spark: SparkSession, match_path: str, nonmatch_path: str, number: int = -1,
                    experiment: str = "", pos: int = 1) -> dict[str, DataFrame]:
     """ROC, reported points, EER and operating points of two score files or folders.
