@@ -161,6 +161,10 @@ def grow_regions(raster: DataFrame, high: float, low: float) -> DataFrame:
 
 # ---------------------------------------------------------------------- circles
 
+#: Up to this radius the offset table is broadcast: about 100,000 rows.
+BROADCAST_RADIUS = 128
+
+
 def circle_offsets(edges: DataFrame, largest: int) -> DataFrame:
     """Cells of digital circles around the origin: (radius, dy, dx), up to `largest`."""
     spark = edges.sparkSession
@@ -186,7 +190,9 @@ def circle_votes(edges: DataFrame, radii: DataFrame, largest: int) -> DataFrame:
     per_radius = (lookup(edges, radii, "image_id", F.floor(F.col("y") / TILE))
                   .withColumn("plane", F.explode(F.sequence(F.lit(0), F.col("planes") - 1)))
                   .withColumn("radius", F.col("plane") + 1 + F.col("base")))
-    cells = (per_radius.join(F.broadcast(offsets), "radius")   # about 6·largest² small rows
+    if largest <= BROADCAST_RADIUS:
+        offsets = F.broadcast(offsets)
+    cells = (per_radius.join(offsets, "radius")                # about 6·largest² small rows
              .withColumn("y", F.col("y") + F.col("dy")).withColumn("x", F.col("x") + F.col("dx"))
              .where((F.col("y") >= 0) & (F.col("x") >= 0)
                     & (F.col("y") < F.col("h")) & (F.col("x") < F.col("w"))))
@@ -208,7 +214,9 @@ def edge_pixels(raster: DataFrame, sigma: float, scaling: float, vert: float,
     small = gaussian_smooth(sized(raster), sigma)
     if scaling != 1:
         small = decimate(small, scaling)
-    bent = gamma(gradient(small, vert, horz), 1.9)
+    _checkpoints(raster.sparkSession)
+    # kept: the range of the gradient and the gradient itself are both needed from here on
+    bent = gamma(gradient(small, vert, horz).checkpoint(), 1.9)
     return grow_regions(thin(bent), high, low)
 
 

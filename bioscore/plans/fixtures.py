@@ -196,7 +196,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity").cast("int")
     return l.select(
-        (F.col("l_orderkey") % 1000).alias("image_id"), (F.col("l_suppkey") % 2 + 1).cast("int").alias("pass"),
+        F.col("l_orderkey").alias("image_id"), (F.col("l_suppkey") % 2 + 1).cast("int").alias("pass"),
         F.lit(30).alias("start"), (F.col("l_linenumber") * 10).cast("int").alias("threshold"),
         (F.col("l_partkey") % 200).cast("int").alias("count"), F.col("l_extendedprice").alias("ord"),
         (F.col("l_partkey") % 640).cast("int").alias("cx"), (F.col("l_suppkey") % 480).cast("int").alias("cy"),
@@ -204,7 +204,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CANDIDATES_SQL = """candidates AS (
-  SELECT l_orderkey % 1000 AS image_id, (l_suppkey % 2 + 1)::INTEGER AS pass, 30 AS start,
+  SELECT l_orderkey AS image_id, (l_suppkey % 2 + 1)::INTEGER AS pass, 30 AS start,
     (l_linenumber * 10)::INTEGER AS threshold, (l_partkey % 200)::INTEGER AS count, l_extendedprice AS ord,
     (l_partkey % 640)::INTEGER AS cx, (l_suppkey % 480)::INTEGER AS cy, (l_quantity + 20)::INTEGER AS w,
     (l_quantity + 20 - l_linenumber * 3)::INTEGER AS h FROM lineitem)"""
