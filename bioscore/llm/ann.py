@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NEAREST = 20
-PROJECTIONS = 64
-THRESHOLD = 0.75               # share of the projections in which a vector must collide
+PROJECTIONS = 40
+THRESHOLD = 0.7               # share of the projections in which a vector must collide
 ENOUGH = 0.25                  # widen until this share of a block, and 8 x nearest, collide
-WIDER = 1.15
-BLOCK_ROWS, QUERY_ROWS = 8192, 2048
+FIRST_HALF, WIDER = 0.9, 1.25    # half width of the first window, and its growth
+BLOCK_ROWS, QUERY_ROWS = 16384, 2048
 SEED = 20240131
 
 
@@ -53,42 +53,47 @@ class BlockIndex:
         self.directions = np.random.Generator(np.random.PCG64(SEED)).standard_normal(
             (scaled.shape[1], projections)).astype(np.float32)
         values = (scaled @ self.directions).T
-        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(values, axis=1, kind="stable")
         self.sorted = np.take_along_axis(values, self.order, axis=1)
 
-    def candidates(self, query: np.ndarray, threshold: float, enough: int) -> np.ndarray:
-        """Rows that reach the threshold once enough rows do."""
+    def windows(self, centres: np.ndarray, half: float):
+        """First and end place of each query's window in each sorted array."""
+        low = [np.searchsorted(v, c - half) for v, c in zip(self.sorted, centres)]
+        high = [np.searchsorted(v, c + half, "right") for v, c in zip(self.sorted, centres)]
+        return np.stack(low).T.tolist(), np.stack(high).T.tolist()
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, nearest: int = NEAREST,
+               threshold: float = THRESHOLD, share: float = ENOUGH):
+        """For each query the ids and scores of its best verified candidates, best first."""
         m, n = self.sorted.shape
-        if enough >= n:
-            return np.arange(n)
-        unit = (query / np.sqrt(query @ query)).astype(np.float32)
-        centre = unit @ self.directions[:-1]
-        needed = int(np.ceil(threshold * m))
-        counts = np.zeros(n, np.int16)
-        low = [0] * m
-        high = None
-        half = np.float32(0.5)
-        while True:
-            new_low = [int(np.searchsorted(self.sorted[j], centre[j] - half)) for j in range(m)]
-            new_high = [int(np.searchsorted(self.sorted[j], centre[j] + half, "right"))
-                        for j in range(m)]
-            for j in range(m):
-                if high is None:
-                    counts[self.order[j, new_low[j]:new_high[j]]] += 1
-                else:
-                    counts[self.order[j, new_low[j]:low[j]]] += 1
-                    counts[self.order[j, high[j]:new_high[j]]] += 1
-            low, high = new_low, new_high
-            found = np.flatnonzero(counts >= needed)
-            if len(found) >= enough:
-                return found
-            half *= np.float32(WIDER)
-
-    def nearest(self, query_id: int, query: np.ndarray, nearest: int = NEAREST,
-                threshold: float = THRESHOLD, share: float = ENOUGH):
-        """Ids and scores of the best verified candidates, best first."""
-        query = query.astype(np.float64)
-        rows = self.candidates(query, threshold, 8 * nearest + int(share * len(self.ids)))
+        enough, needed = 8 * nearest + int(share * n), int(np.ceil(threshold * m))
+        queries = queries.astype(np.float64)
+        unit = queries / np.sqrt(np.einsum("ij,ij->i", queries, queries))[:, None]
+        centres = (unit.astype(np.float32) @ self.directions[:-1]).T
+        levels: list = []           # windows of all queries, one entry per widening
+        for q, (query_id, query) in enumerate(zip(query_ids, queries)):
+            if enough >= n:
+                rows = np.arange(n)
+            else:
+                counts, level = np.zeros(n, np.int64), 0
+                while True:
+                    if level == len(levels):
+                        levels.append(self.windows(centres, FIRST_HALF * WIDER ** level))
+                    low, high = (x[q] for x in levels[level])
+                    if level:
+                        old_low, old_high = (x[q] for x in levels[level - 1])
+                        flanks = [o[a:b] for o, a, b in zip(self.order, low, old_low)] \
+                            + [o[a:b] for o, a, b in zip(self.order, old_high, high)]
+                    else:
+                        flanks = [o[a:b] for o, a, b in zip(self.order, low, high)]
+                    counts += np.bincount(np.concatenate(flanks), minlength=n)
+                    rows = np.flatnonzero(counts >= needed)
+                    if len(rows) >= enough:
+                        break
+                    level += 1
+            yield query_id, *self._verified(query_id, query, rows, nearest)
+
+    def _verified(self, query_id: int, query: np.ndarray, rows: np.ndarray, nearest: int):
         rows = rows[self.ids[rows] != query_id]
         scores = self.vectors[rows] @ query
         if len(rows) > nearest:
@@ -109,8 +114,8 @@ def _searched(nearest: int, threshold: float, share: float, projections: int):
         if asks.all() or not asks.any():
             return
         index = BlockIndex(ids[~asks], vectors[~asks], projections)
-        for query_id, query in zip(ids[asks], vectors[asks]):
-            found, scores = index.nearest(int(query_id), query, nearest, threshold, share)
+        for query_id, found, scores in index.search(ids[asks], vectors[asks], nearest, threshold,
+                                                    share):
             if len(found):
                 yield pa.record_batch([pa.array(np.full(len(found), query_id)), pa.array(found),
                                        pa.array(scores)], schema=schema)
