@@ -226,7 +226,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = (members.join(large, "cell", "left")
                .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
                .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    sets = (texts.join(members.drop("grams").withColumn("doc_id", F.col("rep")), "doc_id")
+    # shuffled at every size: members grow with the documents, and texts are not sorted for it
+    wanted = members.drop("grams").withColumn("doc_id", F.col("rep")).hint("shuffle_hash")
+    sets = (texts.join(wanted, "doc_id")
             .select("text", "digest", "rep", "copies", "cell", "block", "blocks")
             .mapInArrow(_member_sets(width), "rep bigint, copies bigint, cell bigint, block int, "
                                              "blocks int, grams array<bigint>"))
