@@ -34,9 +34,16 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
-# Least entropy, in bits a character, of a window: by character class, first match counts.
+# Least entropy, in bits a character, of a window: by character class, first match counts. The
+# limits lie where random strings of 20 characters of the class seldom stay below; for words
+# and names joined by signs they are higher, as ordinary text has such strings.
 CLASSES = (("digits", r"^[0-9]+$", None), ("hex", r"^[0-9A-Fa-f]+$", 3.0),
-           ("letters", r"^[A-Za-z]+$", 4.1), ("base64", r"^.*$", 4.0))
+           ("words", r"^[A-Z]?[a-z]+$", 3.55), ("capitals", r"^[A-Z]+$", 3.25),
+           ("lower", r"^[a-z0-9]+$", 3.4), ("upper", r"^[A-Z0-9]+$", 3.4),
+           ("letters", r"^[A-Za-z]+$", 3.6), ("mixed", r"^[A-Za-z0-9]+$", 3.65),
+           ("prefixed", r"[a-z0-9]{20}|[A-Z0-9]{20}", 3.55),
+           ("joined", r"^(?:[a-z0-9+/_=-]+|[A-Z0-9+/_=-]+|[A-Za-z+/_=-]+)$", 4.0),
+           ("base64", r"^.*$", 3.65))
 # Forms that look random and are not secret.
 ALLOWED_FORMS = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",

@@ -316,3 +316,21 @@ def test_secrets_equal_brute_force(spark):
     hidden = some(40)
     found = secret_scan.find_secrets(frame(spark, [hidden]), allowed=[hidden]).first()
     assert found.n_entropy == 0
+
+
+def test_short_random_keys_are_found(spark):
+    """Recall on random keys of each alphabet, and no finds in ordinary long strings."""
+    rng = random.Random(11)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = [(a, n, least) for a, least in ((low + digits, .95), (low.upper() + digits, .95), (low.upper() + "234567", .95),
+                                            (low.upper(), .95), (low + low.upper(), .95), (low, .6),
+                                            (low + low.upper() + digits, .95), (low + low.upper() + digits + "+/", .95))
+             for n in (20, 24, 32)]
+    keys = [("".join(rng.choice(a) for _ in range(n)), (a, n)) for a, n, _ in kinds for _ in range(100)]
+    plain = ["Donaudampfschifffahrtsgesellschaft", "internationalization", "a-long-article-title-2024-05-17", "snake_case_identifier_name",
+             "UPPER_CASE_CONSTANT_NAME_2", "Rechtsschutzversicherungsgesellschaften", "anticonstitutionnellement"]
+    rows = {r.doc_id: r for r in secret_scan.find_secrets(frame(spark, [k for k, _ in keys] + [f"the {p} is" for p in plain])).collect()}
+    for a, n, least in kinds:
+        own = [rows[i].n_entropy + rows[i].n_hex + rows[i].n_access for i, (_, kind) in enumerate(keys) if kind == (a, n)]
+        assert sum(x > 0 for x in own) >= least * len(own), (a, n, sum(own))
+    assert not any(rows[len(keys) + i].n_entropy for i in range(len(plain)))
