@@ -1,6 +1,6 @@
 """Surrogates for personal data: keyed, consistent over the corpus, and never shared.
 
-Detected: e-mail addresses, IPv4 addresses, phone numbers, payment cards and other numbers of
+Detected: e-mail addresses, IPv4 and IPv6 addresses, phone numbers, payment cards and other numbers of
 13 to 19 digits, social security numbers, IBANs, and names after a title. A surrogate has the
 form of what it replaces: separators, lengths, country code, leading digit, check digits,
 private or public address range, letter case; for names also the script and the gender of the
@@ -19,6 +19,7 @@ get equal results. Extra columns are ignored or, in `replaced`, kept.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -42,13 +43,32 @@ TITLES = {"Mr": "m", "Mr.": "m", "Mister": "m", "Herr": "m", "Señor": "m", "Sr.
 
 _titles = "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True))
 _part = r"(?:[^\W\d_]\.|[^\W\d_][^\W\d_]+(?:['’-][^\W\d_]+)*)"
+_gap = r"[\x20./()\xa0\u2011\u202f-]{0,3}"           # between digits of one number
+_blank = r"[\x20.\xa0\u2011\u202f-]"
+_phone = "(?:" + "|".join((
+    # after a country code: +1, +33 and +34 have fixed lengths, others 7 to 15 digits
+    rf"(?:\+|00)1(?:{_gap}\d){{10}}", rf"(?:\+|00)3[34](?:{_gap}\(0\))?(?:{_gap}[1-9])(?:{_gap}\d){{8}}",
+    rf"\+[1-9](?:{_gap}\d){{6,14}}", rf"00[1-9](?:{_gap}\d){{8,14}}",
+    # with a leading 0, but no date: pairs, area code and groups, or digits alone
+    rf"0[1-9](?:{_blank}?\d\d){{4}}",
+    rf"(?!\d\d?[\x20./-]\d\d?[\x20./-](?:(?:19|20)\d\d(?!\d)|\d\d(?!\d|{_blank}\d\d)))"
+    rf"(?=(?:{_gap}\d){{7}})(?!(?:{_gap}\d){{16}})"
+    rf"(?:\(0[1-9]\d{{0,4}}\)[\x20\xa0]?|0[1-9]\d{{0,4}}(?:\x20?[/-]\x20?|{_blank}))\d{{2,8}}(?:{_blank}\d{{1,6}}){{0,5}}",
+    r"0[1-9]\d{5,11}",
+    # Spanish, and North American with and without area code
+    rf"[6-9]\d\d(?:{_blank}\d\d){{3}}", r"[6-9]\d{8}", r"[2-9]\d{9}",
+    r"(?<!-)\d{3}-\d{4}(?!-)")) + ")"
+_six = r"[0-9A-Fa-f]{1,4}"
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w))"
+    rf"|(?P<ipv6>(?<![\w.])(?:(?:{_six}:){{7}}{_six}|(?:[23][0-9A-Fa-f]{{3}}|[Ff][C-Fc-f][0-9A-Fa-f]{{2}})"
+    rf"(?::{_six}){{0,6}}::(?:{_six}(?::{_six}){{0,5}})?)(?!\w|:[0-9A-Fa-f:]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<card>(?<![\w+])\d(?:[\x20-]?\d){12,18}(?!\w))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{3,4}(?:[\x20.-]\d{2,4}){1,2}(?!\w)"
+    r"|(?P<card>(?<![\w+])(?!00[1-9](?:[\x20-]?\d){8,12}(?![\x20-]?\d))\d(?:[\x20-]?\d){12,18}(?!\w))"
+    rf"|(?P<phone>(?<![\w+]){_phone}(?!\w)"
+    r"|(?<![\w+])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{3,4}(?:[\x20.-]\d{2,4}){1,2}(?!\w)"
     r"|(?<!\w)\+\d{7,15}(?!\w))"
     rf"|(?P<name>(?<!\w)(?:{_titles})(?:\x20{_part}){{1,3}})")
 # Texts that this faster pattern passes over hold no entity.
@@ -141,6 +161,10 @@ def surrogate(key: str, kind: str, entity: str, attempt: int = 0) -> str:
             return f"172.{16 + s.below(16)}.{s.below(256)}.{1 + s.below(254)}"
         first = [n for n in range(1, 224) if n not in (10, 127, 172, 192)]
         return f"{first[s.below(len(first))]}.{s.below(256)}.{s.below(256)}.{1 + s.below(254)}"
+    if kind == "ipv6":
+        first = entity[:4] if entity[0] in "f" else f"{0x2000 + s.below(0x2000):x}"
+        made = ":".join([first, *(f"{s.below(1 << 16):x}" for _ in range(7))])
+        return ipaddress.IPv6Address(made).compressed
     if kind == "ssn":
         return f"9{s.digits(2)}-{1 + s.below(99):02d}-{1 + s.below(9999):04d}"
     if kind == "card":
@@ -149,7 +173,9 @@ def surrogate(key: str, kind: str, entity: str, attempt: int = 0) -> str:
         return body + (last if luhn(entity) else str((int(last) + 1 + s.below(9)) % 10))
     if kind == "phone":
         country, national = entity.split("|")
-        return f"{country}|{2 + s.below(8)}{s.digits(len(national) - 1)}"
+        zeros = national[:len(national) - len(national.lstrip("0"))]        # a trunk prefix stays
+        rest = max(1, len(national) - len(zeros))
+        return f"{country}|{(zeros + str(2 + s.below(8)))[-len(national):]}{s.digits(rest - 1)}"
     if kind == "iban":
         body = "".join(s.digits(1) if c.isdigit() else chr(65 + s.below(26)) for c in entity[4:])
         number = "".join(str(int(c, 36)) for c in body + entity[:2] + "00")
@@ -179,12 +205,18 @@ def normal(kind: str, text: str) -> str:
     if kind == "iban":
         return text.replace(" ", "")
     if kind == "phone":
-        m = re.match(r"\+(\d{1,3})(?=[\x20.(-])", text)
-        digits = re.sub(r"\D", "", text)
-        country = m[1] if m else (digits[:2] if text.startswith("+") else "")
+        m = re.match(r"(?:\+|00)(\d{1,3})(?=\D)", text)
+        abroad = text.startswith(("+", "00"))
+        digits = re.sub(r"\D", "", text)[2 * text.startswith("00"):]
+        country = m[1] if m else "1" if abroad and digits[0] == "1" else digits[:2] * abroad
         return f"{country}|{digits[len(country):]}"
     if kind == "ip":
         return ".".join(str(int(x)) for x in text.split("."))
+    if kind == "ipv6":
+        try:
+            return ipaddress.IPv6Address(text).compressed
+        except ValueError:              # too many groups
+            return text.lower()
     return text
 
 
@@ -228,10 +260,10 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 def shaped(kind: str, made: str, mention: str) -> str:
     """A surrogate in the form of the mention it replaces."""
-    if kind == "email":
+    if kind in ("email", "ipv6"):
         return made.upper() if mention.isupper() else made
     if kind == "phone":
-        return _fill(mention, made.replace("|", ""))
+        return _fill(mention, "00" * mention.startswith("00") + made.replace("|", ""))
     if kind in ("card", "iban"):
         taken = iter(made)
         return "".join(c if c in " -" else next(taken) for c in mention)

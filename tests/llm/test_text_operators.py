@@ -334,3 +334,29 @@ def test_short_random_keys_are_found(spark):
         own = [rows[i].n_entropy + rows[i].n_hex + rows[i].n_access for i, (_, kind) in enumerate(keys) if kind == (a, n)]
         assert sum(x > 0 for x in own) >= least * len(own), (a, n, sum(own))
     assert not any(rows[len(keys) + i].n_entropy for i in range(len(plain)))
+
+
+PHONES = ["01 23 45 67 89", "01.23.45.67.89", "0123456789", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "0033 1 23 45 67 89",
+          "01\u202f23\u202f45\u202f67\u202f89", "+33612345678", "+34 612 34 56 78", "612 34 56 78", "612 345 678", "612345678",
+          "91 123 45 67", "+49 30 123456", "030/1234567", "030 / 12 34 56", "(030) 123456", "0171 1234567", "089-12345-67", "+49 (0)30 123456-78",
+          "+1 (310) 555-4510", "310-555-4510", "(310) 555-4510", "310.555.4510", "5551234567", "3105554510", "555-1234"]
+SIXES = ["2001:db8::1", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "FD12:3456:789A::1"]
+
+
+def test_phone_forms_of_all_languages_and_ipv6():
+    for number in PHONES + SIXES:
+        for text in (f"tel {number}", f"call {number}, now", f"{number}.", f"({number})"):
+            found = pii.entities(text)
+            assert len(found) == 1 and text[found[0][0]:found[0][1]].strip("()") == number.strip("()"), (text, found)
+            _, _, kind, entity = found[0]
+            assert kind == ("ipv6" if number in SIXES else "phone")
+            made = pii.shaped(kind, pii.surrogate("k", kind, entity), number)
+            assert made != number and (kind == "ipv6" or re.sub(r"\d", "0", made) == re.sub(r"\d", "0", number)), made
+    assert pii.normal("phone", "0033 1 23 45 67 89") == pii.normal("phone", "+33 123456789")
+    assert pii.shaped("phone", pii.surrogate("k", "phone", pii.normal("phone", PHONES[0])), PHONES[0])[0] == "0"
+    assert pii.normal("ipv6", SIXES[1]) == pii.normal("ipv6", "2001:db8:85a3::8a2e:370:7334")
+    for text in ("on 01.02.2024, 12:30", "01/02/2024", "01-02-24", "01 02 2024 and", "2024-01-02", "0.1234567", "1234567", "12:34:56",
+                 "std::vector", "abc::def", "x[1::2]", "00:1a:2b:3c:4d:5e", "1700000000", "1990-2024", "3.14159", "0000123"):
+        assert not pii.entities(text), text
+    text = "+1 310-555-4510 12 items, +33 1 23 45 67 89 2024"
+    assert [text[a:b] for a, b, _, _ in pii.entities(text)] == ["+1 310-555-4510", "+33 1 23 45 67 89"]
