@@ -60,7 +60,9 @@ _phone = "(?:" + "|".join((
     r"(?<!-)\d{3}-\d{4}(?!-)")) + ")"
 _six = r"[0-9A-Fa-f]{1,4}"
 PATTERN = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    # signs before the first letter are no part of the address: emphasis, list marks, %20
+    r"(?<![A-Za-z0-9._%+-])(?:%[0-9A-Fa-f]{2}(?=[A-Za-z0-9._%+-])|[._%+-])*+"
+    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w))"
     rf"|(?P<ipv6>(?<![\w.])(?:(?:{_six}:){{7}}{_six}|(?:[23][0-9A-Fa-f]{{3}}|[Ff][C-Fc-f][0-9A-Fa-f]{{2}})"
     rf"(?::{_six}){{0,6}}::(?:{_six}(?::{_six}){{0,5}})?)(?!\w|:[0-9A-Fa-f:]))"
@@ -242,7 +244,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
         if kind != "name":
-            out.append((m.start(), m.end(), kind, normal(kind, m[0])))
+            out.append((m.start(kind), m.end(kind), kind, normal(kind, m[kind])))
             continue
         for start, word, entity in _name_parts(m[0])[1]:
             out.append((m.start() + start, m.start() + start + len(word), "name", entity))

@@ -360,3 +360,13 @@ def test_phone_forms_of_all_languages_and_ipv6():
         assert not pii.entities(text), text
     text = "+1 310-555-4510 12 items, +33 1 23 45 67 89 2024"
     assert [text[a:b] for a, b, _, _ in pii.entities(text)] == ["+1 310-555-4510", "+33 1 23 45 67 89"]
+
+
+def test_addresses_after_signs_are_found():
+    for before in ("_", "...", "-", "mailto:%20", "%20", "+", "%", "**_", "x: --", "%ad%20", "<", "é"):
+        text = f"{before}anna@example.org_ and more"
+        assert [(text[a:b], k, e) for a, b, k, e in pii.entities(text)] == [("anna@example.org", "email", "anna@example.org")], text
+    assert [e for *_, e in pii.entities("%ad@x.org -555-1234 .10.1.2.3 +1 310-555-4510")] == [
+        "ad@x.org", "1|3105554510"]
+    text = "to a.b+c@x.org, x_anna@example.org"
+    assert [e for *_, e in pii.entities(text)] == ["a.b+c@x.org", "x_anna@example.org"]
