@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +33,7 @@ from .shared import modest_batches, written
 KEY = "surrogates"
 EXCEPTIONS = 200_000
 ATTEMPTS = 64
+CROWDED = 6         # attempts after which a small private range gives way to 10/8
 
 # Titles before a name, with the gender they tell.
 TITLES = {"Mr": "m", "Mr.": "m", "Mister": "m", "Herr": "m", "Señor": "m", "Sr.": "m",
@@ -74,7 +76,7 @@ PATTERN = re.compile(
     r"|(?<!\w)\+\d{7,15}(?!\w))"
     rf"|(?P<name>(?<!\w)(?:{_titles})(?:\x20{_part}){{1,3}})")
 # Texts that this faster pattern passes over hold no entity.
-HINT = rf"[0-9@]|(?:{_titles})\x20"
+HINT = rf"\p{{Nd}}|@|(?:{_titles})\x20"
 
 LATIN = ("b d f g k l m n p r s t v br dr gr kl st tr".split(), list("aeiou"))
 CYRILLIC = ("б в г д к л м н п р с т бр др ст".split(), list("аеиоу"))
@@ -157,6 +159,8 @@ def surrogate(key: str, kind: str, entity: str, attempt: int = 0) -> str:
         old = [int(x) for x in entity.split(".")]
         if old[0] in (10, 127):
             return ".".join(map(str, [old[0], s.below(256), s.below(256), 1 + s.below(254)]))
+        if attempt >= CROWDED and (old[:2] == [192, 168] or old[0] == 172 and 16 <= old[1] < 32):
+            return f"10.{s.below(256)}.{s.below(256)}.{1 + s.below(254)}"
         if old[:2] == [192, 168]:
             return f"192.168.{s.below(256)}.{1 + s.below(254)}"
         if old[0] == 172 and 16 <= old[1] < 32:
@@ -200,6 +204,8 @@ def surrogate(key: str, kind: str, entity: str, attempt: int = 0) -> str:
 
 def normal(kind: str, text: str) -> str:
     """The form under which mentions of one entity are equal."""
+    if kind != "name" and not text.isascii():
+        text = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
     if kind == "email":
         return text.lower()
     if kind in ("card", "ssn"):

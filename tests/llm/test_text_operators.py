@@ -370,3 +370,13 @@ def test_addresses_after_signs_are_found():
         "ad@x.org", "1|3105554510"]
     text = "to a.b+c@x.org, x_anna@example.org"
     assert [e for *_, e in pii.entities(text)] == ["a.b+c@x.org", "x_anna@example.org"]
+
+
+def test_crowded_private_range_and_other_digits(spark):
+    ips = [f"192.168.{a}.{b}" for a in range(256) for b in range(1, 160)]
+    docs = frame(spark, [" ".join(ips[i::40]) for i in range(40)])
+    made = [m for r in pii.surrogates(docs).collect() for m in r.text.split(" ")]
+    assert len(set(made)) == len(made) == len(ips) and not set(made) & set(ips)
+    assert all(m.startswith(("192.168.", "10.")) for m in made)
+    rows = pii.surrogates(frame(spark, ["قم ٣١٠-٥٥٥-٤٥١٠", "call 310-555-4510"])).orderBy("doc_id").collect()
+    assert [r.n_found for r in rows] == [1, 1] and rows[0].text[3:] == rows[1].text[5:]
