@@ -1,20 +1,20 @@
 """Main text of web pages, with site templates found by counting subtrees per host.
 
 Pass 1 parses every page and hashes each element's subtree (tag, class, text, children) that
-lies outside an article; Spark counts, per host, on how many pages each hash occurs. Subtrees
-on many pages of a host are its template. Pass 2 parses again, deletes template subtrees and
+lies outside an article; Spark counts, per host, on how many pages of different content each
+hash occurs. Subtrees on a large share, or on a large number, of these pages are its template. Pass 2 parses again, deletes template subtrees and
 everything that is no article text by its tag, role or class, and writes the blocks left.
 
 Where a page marks its article (`article`, `main`, role main, or a usual content class), only
 that is text, and nothing inside it is deleted for being frequent: a passage that many
 articles quote is not a template. Without such a mark the body is the root, and templates go.
 
-Template hashes are few per host (at most pages' elements / SHARE); they are broadcast while
+Template hashes are few per host (at most pages' elements / SHARE, and those on MANY pages); they are broadcast while
 their number is under `MOST_BROADCAST`, else joined on the host.
 
 Defined cases: NULL and empty pages have an empty text. Pages with a NULL or hostless url
 share the host "". Broken markup never fails: unclosed elements end with their container,
-stray end tags are ignored. Repeated rows get equal results, and count as pages of their own.
+stray end tags are ignored. Repeated rows get equal results; copies of a page on a host count once.
 Extra columns are ignored.
 """
 
@@ -32,6 +32,7 @@ from .shared import modest_batches, written
 from .url_filter import host_of
 
 LEAST_PAGES, SHARE = 10, 0.3
+MANY = 500          # pages that suffice on a large host, whatever their share
 MOST_BROADCAST = 100_000
 
 # Fixed values of HTML.
@@ -260,28 +261,42 @@ class Page:
         return "\n".join(t for r, t in self.blocks if r == best)
 
 
+def _content(source: str) -> int:
+    """Code of a page's content."""
+    return int.from_bytes(hashlib.blake2b(source.encode("utf-8", "replace"),
+                                          digest_size=8).digest(), "big", signed=True)
+
+
 def _subtrees(batches):
     for batch in batches:
-        counts: dict[tuple[str, int], int] = {}
+        found = set()
         for host, source in zip(batch.column("host").to_pylist(),
                                 batch.column("html").to_pylist()):
-            for code in Page(source or "", only_hashes=True).hashes:
-                counts[host, code] = counts.get((host, code), 0) + 1
-        yield pa.record_batch([pa.array([k[0] for k in counts], pa.string()),
-                               pa.array([k[1] for k in counts], pa.int64()),
-                               pa.array(list(counts.values()), pa.int64())],
-                              ["host", "code", "pages"])
+            page = _content(source or "")
+            found.update((host, code, page)
+                         for code in Page(source or "", only_hashes=True).hashes)
+        rows = list(found)
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()),
+                               pa.array([r[1] for r in rows], pa.int64()),
+                               pa.array([r[2] for r in rows], pa.int64())],
+                              ["host", "code", "page"])
 
 
 def templates(pages: DataFrame, url: str = "url", source: str = "html",
-              least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """host, codes: hashes of subtrees on at least `least` pages and that share of the host."""
+              least: int = LEAST_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
+    """host, codes: hashes of subtrees on many of the host's pages of different content.
+
+    That is on at least `least` pages, and on that share of the host's or on `many` pages.
+    """
     rows = modest_batches(pages).select(host_of(F.col(url)).alias("host"), F.col(source).alias("html"))
-    counted = (rows.mapInArrow(_subtrees, "host string, code bigint, pages bigint")
-               .groupBy("host", "code").agg(F.sum("pages").alias("pages"))
+    counted = (rows.mapInArrow(_subtrees, "host string, code bigint, page bigint")
+               .groupBy("host", "code").agg(F.countDistinct("page").alias("pages"))
                .where(F.col("pages") >= least))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= least)
-    return (counted.join(sizes, "host").where(F.col("pages") >= share * F.col("all"))
+    content = F.xxhash64(F.coalesce("html", F.lit("")))
+    sizes = (rows.select("host", content.alias("page")).groupBy("host")
+             .agg(F.countDistinct("page").alias("all")).where(F.col("all") >= least))
+    return (counted.join(sizes, "host")
+            .where((F.col("pages") >= share * F.col("all")) | (F.col("pages") >= many))
             .groupBy("host").agg(F.sort_array(F.collect_set("code")).alias("codes")))
 
 

@@ -56,6 +56,16 @@ def test_templates_are_deleted_per_host(spark):
     assert html_text.main_texts(pages.limit(0)).count() == 0
 
 
+def test_copies_count_once_and_many_pages_suffice(spark):
+    """A third of a host's rows are copies of one page; a quarter of a large host shares a box."""
+    page = lambda box, text: f"<body><div><p>{box}</p></div><div><p>{text}</p></div></body>"
+    rows = [(i, f"https://a.org/{i}", page(f"box {i}", f"own {i}") if i >= 11 else page("news", "one text")) for i in range(33)]
+    rows += [(1000 + i, f"https://b.org/{i}", page("Section menu" if i % 4 == 0 else f"x {i}", f"own {i}")) for i in range(2400)]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "news\none text" for i in range(11)) and got[20] == "box 20\nown 20"
+    assert got[1004] == "own 4" and got[1005] == "x 5\nown 5"
+
+
 def plain_rule(url):
     if url is None or "://" not in url:
         return "", "", None
