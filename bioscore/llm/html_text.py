@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates found by counting subtrees per host.
 
 Pass 1 parses every page and hashes each element's subtree (tag, class, text, children) that
-lies outside an article; Spark counts, per host, on how many pages of different content each
+lies outside an article or is a box inside one; Spark counts, per host, on how many pages of different content each
 hash occurs. Subtrees on a large share, or on a large number, of these pages are its template. Pass 2 parses again, deletes template subtrees and
 everything that is no article text by its tag, role or class, and writes the blocks left.
 
@@ -62,46 +62,75 @@ DROPPED_CLASSES = frozenset(
     "notices alert popup modal overlay newsletter subscribe subscription signup login social share "
     "sharing related recommended breadcrumb breadcrumbs pagination pager comment comments disqus "
     "respond replies search toolbar widget masthead copyright".split())
+COMMENT_CLASSES = frozenset("comment comments disqus respond replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Elements of an article that may be boxes of the site; passages stand in others.
+BOX = frozenset("center details div dl fieldset menu ol section ul".split())
 CONTENT_CLASSES = frozenset("content article post entry story main maincontent".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
                    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
                    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 TELLING = re.compile(r"(?i)\b(?:class|id|role|hidden|aria-hidden|style)\b")
-KNOWN: dict[tuple[str, str, bool], tuple[str, str]] = {}       # kinds of tags seen; bounded
+KNOWN: dict[tuple[str, str, bool], tuple[str, bool, bool, str]] = {}       # kinds of tags seen; bounded
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+DEMOTED = 0.9       # rank of an article that lies in a named element
+
+
 class _Element:
-    __slots__ = ("tag", "kind", "blocks", "hashed", "parts", "heading", "before")
+    __slots__ = ("tag", "kind", "hint", "talk", "blocks", "hashed", "parts", "heading", "title",
+                 "before", "inside", "classed", "linked", "total")
 
     def __init__(self, tag, kind, blocks, hashed, parts):
         self.tag, self.kind, self.blocks = tag, kind, blocks
-        self.hashed, self.parts, self.heading = hashed, parts, False
+        self.hashed, self.parts, self.heading, self.title = hashed, parts, False, False
         self.before = None          # text of the block around a dropped inline element
 
 
+def _code(source: str) -> int:
+    """Code of a text."""
+    return int.from_bytes(hashlib.blake2b(source.encode("utf-8", "replace"),
+                                          digest_size=8).digest(), "big", signed=True)
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "")
             for m in ATTRIBUTE.finditer(text)} if text.strip() else {}
 
 
-def _kind(tag: str, own: dict[str, str], inside: bool) -> str:
-    """dropped, content, header (inside an article), or plain."""
-    words = set(re.split(r"[^a-z0-9]+", f"{own.get('class', '')} {own.get('id', '')}".lower())) \
-        if own else set()
+def _kind(tag: str, own: dict[str, str], inside: bool) -> tuple[str, bool, bool]:
+    """dropped, named, content, header (inside an article), class, or plain; hint; comments.
+
+    An element is named by a whole class or id; a word inside a longer one is only a hint.
+    """
+    classes = own.get("class", "").lower()
+    name = "" if tag == "section" else own.get("id", "").lower()
+    tokens = {*classes.split(), *name.split()} if own else set()
+    words = set(re.split(r"[^a-z0-9]+", f"{classes} {name}")) if own else set()
     role = own.get("role", "").lower()
+    talk = bool(tokens & COMMENT_CLASSES)
     if tag in ("body", "html"):
-        return "plain"
+        return "plain", False, False
     if tag in ("article", "main") or role == "main":
-        return "dropped" if words & {"comment", "comments"} else "content"
+        own_comment = talk or any(t.startswith("comment-") for t in tokens)
+        return "dropped" if own_comment else "content", False, talk
     if tag == "header":
-        return "header" if inside else "dropped"
+        return "header" if inside else "dropped", False, talk
     hidden = "hidden" in own or own.get("aria-hidden") == "true" \
         or "display:none" in own.get("style", "").replace(" ", "").lower()
-    if tag in DROPPED_TAGS or role in DROPPED_ROLES or words & DROPPED_CLASSES or hidden:
-        return "dropped"
-    return "class" if tag in ("div", "section") and words & CONTENT_CLASSES else "plain"
+    if tag in DROPPED_TAGS or role in DROPPED_ROLES or hidden:
+        return "dropped", False, talk
+    if tag in HEADINGS:
+        return "plain", False, talk
+    if tokens & DROPPED_CLASSES:
+        kind = "named" if tag in BLOCK else "plain" if "-" in tag else "dropped"
+        return kind, False, talk
+    hint = bool(words & DROPPED_CLASSES)
+    if tag in ("div", "section") and (tokens & CONTENT_CLASSES or not hint and words & CONTENT_CLASSES):
+        return "class", False, talk
+    return "plain", hint, talk
 
 
 class Page:
@@ -119,6 +148,8 @@ class Page:
         self.text: list[str] = []
         self.stack: list[_Element] = []
         self.dropped = self.content = self.classed = self.inline = 0
+        self.linked = self.total = 0                # characters in links, and all
+        self.link = -1                              # open elements at the start of a link
         self.hashes: set[int] = set()
         self._walk(source)
 
@@ -128,8 +159,8 @@ class Page:
 
     def _flush(self) -> None:
         if self.text:
-            if self.content and self.only:
-                self.text = []          # no subtree of an article is hashed
+            if self.content and self.only and not self.stack[-1].hashed:
+                self.text = []          # of an article only boxes are hashed
                 return
             line = "".join(self.text)
             line = " ".join((html.unescape(line) if "&" in line else line).split())
@@ -145,26 +176,29 @@ class Page:
         known = KNOWN.get(key)
         if known is None:
             own = _attributes(source)
-            known = (_kind(tag, own, self.content > 0), own.get("class", ""))
+            known = (*_kind(tag, own, self.content > 0), own.get("class", ""))
             if len(KNOWN) < 10_000:
                 KNOWN[key] = known
-        kind, classes = known
+        kind, hint, talk, classes = known
         apart = tag not in BLOCK and kind == "dropped"
         if not apart and (tag in BLOCK or kind != "plain"):
             self._flush()
         # hashed: the element and its parents lie outside an article
         hashed = self.hashing and not self.content and kind != "content" and tag in BLOCK
-        self.stack.append(_Element(tag, kind, len(self.blocks), hashed,
-                                   [tag, classes] if hashed else []))
+        e = _Element(tag, kind, len(self.blocks), hashed, [tag, classes] if hashed else [])
+        e.hint, e.talk, e.inside, e.classed = hint, talk, self.content > 0, self.classed > 0
+        e.linked, e.total = self.linked, self.total
+        self.stack.append(e)
         if apart:
             self.stack[-1].before, self.text = self.text, []
         self.dropped += kind == "dropped"
         self.content += kind == "content"
         self.classed += kind == "class"
         self.inline += tag not in BLOCK
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if tag in HEADINGS:
             for e in self.stack:
                 e.heading = True
+                e.title |= tag == "h1"
 
     def _close(self) -> None:
         e = self.stack[-1]
@@ -177,18 +211,46 @@ class Page:
         self.content -= e.kind == "content"
         self.classed -= e.kind == "class"
         self.inline -= e.tag not in BLOCK
+        if len(self.stack) < self.link:
+            self.link = -1
         if e.kind == "header" and not e.heading:
             del self.blocks[e.blocks:]
+        same = alike = False
+        linked = 2 * (self.linked - e.linked) > self.total - e.total
         if e.hashed:
             text = "\x1f".join(e.parts)
-            code = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"),
-                                                  digest_size=8).digest(), "big", signed=True)
-            if len(e.parts) > 2:
+            code = _code(text)
+            if len(e.parts) > 2 and (not e.inside or e.tag in BOX):
                 self.hashes.add(code)
-                if code in self.template:
-                    self.blocks[e.blocks:] = [b for b in self.blocks[e.blocks:] if b[0] == 2]
+                same = code in self.template
             if self.stack and self.stack[-1].hashed:
                 self.stack[-1].parts.append(str(code))
+        if e.tag in BLOCK and len(self.blocks) > e.blocks:
+            self._judge(e, same, alike, linked)
+
+    def _judge(self, e: _Element, same: bool, alike: bool, linked: bool) -> None:
+        """Delete the blocks of an element that is a template or a named part of the site.
+
+        Outside an article: what recurs word for word or is named goes; a hint asks for links or
+        a recurring structure, links for a recurring structure. An article in a named element
+        gets a lower rank. Inside an article: boxes that recur word for word, hints as before,
+        and named elements, which ask for a second sign if they hold a heading.
+        """
+        own = self.blocks[e.blocks:]
+        weak = e.hint and (linked or alike)
+        if e.inside:
+            if e.kind == "named":
+                goes = not e.heading or e.talk or linked or same or alike
+            else:
+                goes = e.tag in BOX and (same or weak)
+            if goes:
+                del self.blocks[e.blocks:]
+        elif e.kind == "named":
+            self.blocks[e.blocks:] = [(DEMOTED, t) for r, t in own if r in (2, DEMOTED)]
+        elif same:
+            self.blocks[e.blocks:] = [b for b in own if b[0] in (2, DEMOTED)]
+        elif (weak or alike and linked) and not e.title:
+            self.blocks[e.blocks:] = [b for b in own if b[0] > e.classed]
 
     def _end(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -221,7 +283,11 @@ class Page:
             if not m:
                 break
             if m.start() > at:
-                self.text.append(source[at:m.start()])
+                piece = source[at:m.start()]
+                self.text.append(piece)
+                if not self.dropped and not piece.isspace():
+                    self.total += len(piece)
+                    self.linked += len(piece) if self.link >= 0 else 0
             at = m.end()
             close, tag, own = m.group(1, 2, 3)
             if tag is None:             # a comment, or a tag with an open quote
@@ -230,6 +296,8 @@ class Page:
                     continue
             tag = tag.lower()
             inline = tag not in BLOCK and tag not in VOID and tag not in RAW
+            if tag == "a" and (close or "href" in own):
+                self.link = -1 if close else len(self.stack)
             # plain inline elements leave no trace, unless they may end an inline one that does
             if inline and not self.inline and (close or tag not in DROPPED_TAGS
                                                and not TELLING.search(own)):
@@ -258,21 +326,18 @@ class Page:
 
     def main_text(self) -> str:
         best = max((r for r, _ in self.blocks), default=0)
+        size = lambda rank: sum(len(t) for r, t in self.blocks if r == rank)
+        if best == DEMOTED and size(best) < size(0):
+            best = 0
         return "\n".join(t for r, t in self.blocks if r == best)
 
 
-def _content(source: str) -> int:
-    """Code of a page's content."""
-    return int.from_bytes(hashlib.blake2b(source.encode("utf-8", "replace"),
-                                          digest_size=8).digest(), "big", signed=True)
-
-
 def _subtrees(batches):
     for batch in batches:
         found = set()
         for host, source in zip(batch.column("host").to_pylist(),
                                 batch.column("html").to_pylist()):
-            page = _content(source or "")
+            page = _code(source or "")
             found.update((host, code, page)
                          for code in Page(source or "", only_hashes=True).hashes)
         rows = list(found)

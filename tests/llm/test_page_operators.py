@@ -66,6 +66,19 @@ def test_copies_count_once_and_many_pages_suffice(spark):
     assert got[1004] == "own 4" and got[1005] == "x 5\nown 5"
 
 
+@pytest.mark.parametrize("source,text", [
+    ('<div class="has-sidebar"><article>a</article></div>', "a"), ('<div id="page" class="no-comments"><p>b</div>', "b"),
+    ('<div class="menu"><article>c</article></div>', "c"), ('<div class="related"><article>no</article></div><article>d</article>', "d"),
+    ('<article><section id="related-work"><h2 id="search">R</h2><p class="social-policy">e</p></section></article>', "R\ne"),
+    ('<article><section class="related"><h2>Related</h2><p>f</p></section></article>', "Related\nf"),
+    ('<div class="main-menu"><ul><li><a href=x>no</a></ul></div><p>g', "g"),
+    ('<article><p>h</p><div class="share-box"><a href=x>no</a></div></article>', "h"),
+    ('<article><p>i</p><section class="comments"><h3>3</h3><p>no</p></section></article>', "i"),
+    ('<div class="sidebar"><article>no</article></div><p>long body text', "long body text")])
+def test_class_words_ask_for_a_second_sign(source, text):
+    assert Page(source).main_text() == text
+
+
 def plain_rule(url):
     if url is None or "://" not in url:
         return "", "", None
