@@ -6,8 +6,11 @@ hash occurs. Subtrees on a large share, or on a large number, of these pages are
 everything that is no article text by its tag, role or class, and writes the blocks left.
 
 Where a page marks its article (`article`, `main`, role main, or a usual content class), only
-that is text, and nothing inside it is deleted for being frequent: a passage that many
-articles quote is not a template. Without such a mark the body is the root, and templates go.
+that is text. Inside an article only boxes (div, section, lists) that recur word for word are
+templates: a passage in p, blockquote, pre or table that many articles quote stays. Without
+such a mark the body is the root, and templates go. The structure of link lists and of
+elements whose class hints at no article is counted as well, without its text and with its
+place, so that menus whose words vary recur too.
 
 Template hashes are few per host (at most pages' elements / SHARE, and those on MANY pages); they are broadcast while
 their number is under `MOST_BROADCAST`, else joined on the host.
@@ -23,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,11 +85,12 @@ DEMOTED = 0.9       # rank of an article that lies in a named element
 
 class _Element:
     __slots__ = ("tag", "kind", "hint", "talk", "blocks", "hashed", "parts", "heading", "title",
-                 "before", "inside", "classed", "linked", "total")
+                 "before", "inside", "classed", "linked", "total", "path", "forms")
 
     def __init__(self, tag, kind, blocks, hashed, parts):
         self.tag, self.kind, self.blocks = tag, kind, blocks
         self.hashed, self.parts, self.heading, self.title = hashed, parts, False, False
+        self.path, self.forms = 0, []       # for hashes of the structure without text
         self.before = None          # text of the block around a dropped inline element
 
 
@@ -183,11 +188,15 @@ class Page:
         apart = tag not in BLOCK and kind == "dropped"
         if not apart and (tag in BLOCK or kind != "plain"):
             self._flush()
-        # hashed: the element and its parents lie outside an article
-        hashed = self.hashing and not self.content and kind != "content" and tag in BLOCK
+        # hashed: what lies outside an article, and boxes inside it with all they hold
+        above = self.stack[-1] if self.stack else None
+        hashed = self.hashing and kind != "content" and tag in BLOCK and (
+            not self.content or tag in BOX or above.hashed)
         e = _Element(tag, kind, len(self.blocks), hashed, [tag, classes] if hashed else [])
         e.hint, e.talk, e.inside, e.classed = hint, talk, self.content > 0, self.classed > 0
         e.linked, e.total = self.linked, self.total
+        if self.hashing:
+            e.path = zlib.crc32(f"{tag} {classes}/".encode("utf-8", "replace"), above.path if above else 0)
         self.stack.append(e)
         if apart:
             self.stack[-1].before, self.text = self.text, []
@@ -223,8 +232,15 @@ class Page:
             if len(e.parts) > 2 and (not e.inside or e.tag in BOX):
                 self.hashes.add(code)
                 same = code in self.template
+            form = zlib.crc32(",".join([*e.parts[:2], *map(str, e.forms)]).encode("utf-8", "replace"))
+            if e.hint or e.kind == "named" and e.inside or linked and not e.inside and not self.dropped:
+                code_ = _code(f"form {e.path} {form}")
+                self.hashes.add(code_)
+                alike = code_ in self.template
             if self.stack and self.stack[-1].hashed:
                 self.stack[-1].parts.append(str(code))
+                if self.stack[-1].forms[-1:] != [form]:         # rows of equal ones count as one
+                    self.stack[-1].forms.append(form)
         if e.tag in BLOCK and len(self.blocks) > e.blocks:
             self._judge(e, same, alike, linked)
 

@@ -79,6 +79,16 @@ def test_class_words_ask_for_a_second_sign(source, text):
     assert Page(source).main_text() == text
 
 
+def test_templates_decide_inside_articles(spark):
+    """Boxes that recur go from marked pages, shared passages stay; menus recur by structure."""
+    rows = [(i, f"https://a.org/{i}", f"<body><div><ul><li><a href=x>menu {i}</a><li><a href=y>{i}</a></ul></div><article><p>shared passage</p>"
+             f"<p>own {i}</p><div><p>Read our notice</p></div><div><p>boxed {i}</p></div></article>") for i in range(30)]
+    rows += [(100 + i, f"https://b.org/{i}", f"<body><div><ul><li><a href=x>menu {i}</a><li><a href=y>{i}</a></ul></div><p>own {i}</p>"
+              f"<div class=page-footer><p>words {i}</p></div>") for i in range(30)]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[4] == "shared passage\nown 4\nboxed 4" and got[104] == "own 4"
+
+
 def plain_rule(url):
     if url is None or "://" not in url:
         return "", "", None
