@@ -117,7 +117,8 @@ def arc_entries(content: bytes):
         if not text:
             continue
         names = None
-        if text.startswith("filedesc://"):      # 5 or 10 fields tell the version of this line
+        described = at == 0 and text.startswith("filedesc://")      # later ones are pages
+        if described:       # 5 or 10 fields tell the version of this line
             names = ARC_FIELDS[2 if len(text.split(" ")) >= 10 else 1].split(" ")
         names = names or ARC_FIELDS[version].split(" ")
         values = text.rsplit(" ", len(names) - 1)
@@ -126,7 +127,7 @@ def arc_entries(content: bytes):
         length = int(values[-1])
         block = stream.read(length)
         offset += len(block)
-        if text.startswith("filedesc://"):
+        if described:
             version = 2 if block[:1] == b"2" else 1
         yield at, version, dict(zip(names, values)), block, len(block) < length
 
@@ -161,7 +162,7 @@ def _arc_parsed(with_blocks: bool):
                 name = path.rpartition("/")[2]
                 for at, version, fields, block, cut in arc_entries(content.as_py()):
                     head, payload = _split_http(block)
-                    described = fields["URL"].startswith("filedesc://")
+                    described = at == 0 and fields["URL"].startswith("filedesc://")
                     if described and not with_blocks:
                         continue
                     kind = "warcinfo" if described else "response" if head else "resource"

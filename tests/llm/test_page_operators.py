@@ -142,6 +142,13 @@ def test_archives_round_trip(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_page_with_the_url_of_a_version_block(spark):
+    rows = [(i, f"filedesc://p{i}" if i % 3 == 1 else f"http://x/{i}", f"1 text {i}") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = warc.archived(pages.repartition(2)).collect()
+    assert sorted((r.page_id, r.record_type) for r in out) == [(i, "response") for i in range(12)]
+
+
 def arc(version, records):
     block = f"{version} 0 test\n{warc.ARC_FIELDS[version]}\n".encode()
     more = lambda status: f" {status} - - 0 n" if version == 2 else ""
