@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from . import (
     ann,
     decontam,
+    hamming_tree,
     html_text,
     ngram_join,
     packing,
+    periodic_runs,
     pii,
+    ranked_search,
     secret_scan,
     toxicity,
     url_filter,
@@ -77,9 +80,22 @@ def op10_nearest_vectors(spark, d):
     return ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_ranked_search(spark, d):
+    return ranked_search.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op12_simhash_duplicates(spark, d):
+    return hamming_tree.near_duplicates(table(spark, d, "documents"))
+
+
+def op13_periodic_runs(spark, d):
+    return periodic_runs.periodic_runs(table(spark, d, "documents"), repeat_tails=True)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_pii_surrogates, op3_best_fit_packing, op4_decontamination, op5_toxicity,
-    op6_secrets, op7_html_text, op8_url_filter, op9_warc, op10_nearest_vectors)}
+    op6_secrets, op7_html_text, op8_url_filter, op9_warc, op10_nearest_vectors,
+    op11_ranked_search, op12_simhash_duplicates, op13_periodic_runs)}
 
 _WORDS = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -188,4 +204,61 @@ ranked AS (
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
   CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN nth > 1 THEN first END AS refers_to FROM ranked""",
+    "op11_ranked_search": rf"""WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, {_PLAIN} AS w FROM documents),
+held AS (SELECT * FROM docs WHERE len(w) > 0),
+totals AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM held),
+asked AS (
+  SELECT k, item_id, term, count(*) AS c
+  FROM (SELECT k, item_id, unnest(w) AS term
+        FROM (SELECT row_number() OVER () AS k, item_id, {_PLAIN} AS w FROM benchmark))
+  GROUP BY k, item_id, term),
+uses AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM held)
+  WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM uses, totals GROUP BY term),
+sized AS (SELECT r, doc_id, 25 + (75 * len(w) * n_docs) // n_terms AS m FROM held, totals),
+scored AS (
+  SELECT k, item_id, doc_id, sum(c * v.w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked a JOIN uses u USING (term) JOIN weights v USING (term) JOIN sized s USING (r)
+  GROUP BY k, item_id, r, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op13_periodic_runs": r"""WITH worded AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+coded AS (
+  SELECT *, len(w) AS n, xor(list_reduce(
+    list_concat([4294967295::BIGINT], [ascii(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+    lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))),
+    4294967295::BIGINT) AS h FROM worded),
+cut AS (SELECT *, (h // 10) % greatest(n, 1) AS a, 3 + (h // 10) % 8 AS d FROM coded),
+texts AS (
+  SELECT doc_id, r, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // d) END] FOR i IN range(n)] ELSE w END AS w
+  FROM cut),
+tokens AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS word FROM texts),
+equal AS (
+  SELECT x.r, y.i - x.i AS q, x.i FROM tokens x JOIN tokens y ON x.r = y.r AND x.word = y.word
+    AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (
+  SELECT r, q, min(i) AS s, count(*) + q AS len FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal)
+  GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM stretches t WHERE NOT EXISTS (SELECT 1 FROM stretches o
+    WHERE o.r = t.r AND o.q < t.q AND o.s <= t.s AND o.s + o.len >= t.s + t.len)),
+described AS (
+  SELECT r, count(*) AS n_runs, arg_min(struct_pack(s, len, q), (-len, s, q)) AS most,
+    string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r),
+left_over AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM tokens t WHERE NOT EXISTS (
+    SELECT 1 FROM runs u WHERE u.r = t.r AND t.i >= u.s + u.q AND t.i < u.s + u.len) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_words, coalesce(n_runs, 0)::BIGINT AS n_runs, most.s::BIGINT AS start,
+  most.len::BIGINT AS length, most.q::BIGINT AS period, (1000 * most.len // most.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM texts LEFT JOIN described USING (r) LEFT JOIN left_over USING (r)""",
 }

@@ -16,7 +16,7 @@ def test_queries_are_registered():
     import __spark_entry__ as driver
     names = set(driver.queries())
     assert {"pipeline", *queries.QUERIES} <= names
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in names)] == []
 
 
 def test_pipeline_stage_by_stage(spark, sf_dir):
