@@ -120,6 +120,9 @@ def _secrets_sql() -> str:
     limits = " ".join(f"WHEN regexp_matches(m, '{form}') THEN {least if least else 99}"
                       for _, form, least in secret_scan.CLASSES)
     allowed = " OR ".join(f"regexp_matches(m, '{form}')" for form in secret_scan.ALLOWED_FORMS)
+    usual = ", ".join(f"'{pair}'" for pair in secret_scan.USUAL_PAIRS)
+    allowed += (" OR (regexp_matches(m, '^[A-Za-z]+$') AND 5 * len([1 FOR j IN range(1, len(m)) "
+                f"IF lower(m[j : j + 1]) IN ({usual})]) >= 2 * (len(m) - 1))")
     w = secret_scan.WINDOW
     return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS (

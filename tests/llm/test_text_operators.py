@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -287,6 +288,9 @@ def spans_of(text):
         limit = next(x for _, form, x in secret_scan.CLASSES if re.search(form, m[0]))
         if limit is None or any(re.search(f, m[0]) for f in secret_scan.ALLOWED_FORMS):
             continue
+        pairs = [a + b for a, b in zip(m[0].lower(), m[0].lower()[1:])]
+        if re.fullmatch("[A-Za-z]+", m[0]) and 5 * sum(p in secret_scan.USUAL_PAIRS for p in pairs) >= 2 * len(pairs):
+            continue
         for i in range(len(m[0]) - 19):
             window = m[0][i:i + 20]
             p = np.array([window.count(c) / 20 for c in set(window)])
@@ -323,12 +327,14 @@ def test_short_random_keys_are_found(spark):
     rng = random.Random(11)
     low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     kinds = [(a, n, least) for a, least in ((low + digits, .95), (low.upper() + digits, .95), (low.upper() + "234567", .95),
-                                            (low.upper(), .95), (low + low.upper(), .95), (low, .6),
+                                            (low.upper(), .95), (low + low.upper(), .95), (low, .95),
                                             (low + low.upper() + digits, .95), (low + low.upper() + digits + "+/", .95))
              for n in (20, 24, 32)]
     keys = [("".join(rng.choice(a) for _ in range(n)), (a, n)) for a, n, _ in kinds for _ in range(100)]
     plain = ["Donaudampfschifffahrtsgesellschaft", "internationalization", "a-long-article-title-2024-05-17", "snake_case_identifier_name",
-             "UPPER_CASE_CONSTANT_NAME_2", "Rechtsschutzversicherungsgesellschaften", "anticonstitutionnellement"]
+             "UPPER_CASE_CONSTANT_NAME_2", "Rechtsschutzversicherungsgesellschaften", "anticonstitutionnellement",
+             "Bundesausbildungsfoerderungsgesetz", "Kraftfahrzeughaftpflichtversicherung", "getElementsByClassNameAndTag",
+             "ThisIsALongCamelCaseIdentifierName", "SomeJavaClassNameFactoryBean", "ELECTROENCEPHALOGRAPHICALLY"]
     rows = {r.doc_id: r for r in secret_scan.find_secrets(frame(spark, [k for k, _ in keys] + [f"the {p} is" for p in plain])).collect()}
     for a, n, least in kinds:
         own = [rows[i].n_entropy + rows[i].n_hex + rows[i].n_access for i, (_, kind) in enumerate(keys) if kind == (a, n)]
@@ -336,6 +342,26 @@ def test_short_random_keys_are_found(spark):
     assert not any(rows[len(keys) + i].n_entropy for i in range(len(plain)))
 
 
+def test_secrets_of_a_long_text(spark):
+    """Thousands of matches in one text, among them candidates beside base spans."""
+    rng = random.Random(12)
+    some = lambda n, s: "".join(rng.choice(s) for _ in range(n))
+    text = " ".join(some(30, "0123456789abcdef") + rng.choice([" ", "+", ""]) + some(25, "ABCDEFGHIJKLMNOP2345")
+                    for _ in range(2000))
+    base, more = spans_of(text)
+    row = secret_scan.find_secrets(frame(spark, [text])).first()
+    assert row.spans == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more))
+    assert secret_scan.find_secrets(frame(spark, [])).collect() == []
+
+    def seconds(n):
+        text = " ".join(some(30, "0123456789abcdef") for _ in range(n))
+        start = time.time()
+        assert secret_scan.find_secrets(frame(spark, [text])).first().n_hex == n
+        return time.time() - start
+    seconds(4000)
+    assert seconds(16_000) < 10
+
+
 PHONES = ["01 23 45 67 89", "01.23.45.67.89", "0123456789", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "0033 1 23 45 67 89",
           "01\u202f23\u202f45\u202f67\u202f89", "+33612345678", "+34 612 34 56 78", "612 34 56 78", "612 345 678", "612345678",
           "91 123 45 67", "+49 30 123456", "030/1234567", "030 / 12 34 56", "(030) 123456", "0171 1234567", "089-12345-67", "+49 (0)30 123456-78",
