@@ -123,7 +123,7 @@ def candidate_radius(ratio: Column, max_r: Column) -> Column:
                   F.floor(long / 2).cast("int") + 1).otherwise(max_r + 1)
 
 
-def _two_largest(candidates: DataFrame, by: list[str], min_count: int) -> DataFrame:
+def _two_largest(candidates: DataFrame, by: list[str], min_count: Column | int) -> DataFrame:
     """Candidates whose size equals the largest or second largest of their group."""
     ranked = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count")))
     second = F.min(F.when(F.col("_rank") <= 2, F.col("count"))).over(Window.partitionBy(*by))
@@ -149,33 +149,40 @@ def choose_candidate(candidates: DataFrame, ratio: float, max_r: int, n_scale: f
                        F.col("l.cy").alias("last_y"), F.col("l.r").alias("last_r"))
 
 
-def ratio_steps(ratio: float, floor: float) -> list[float]:
-    steps = []
-    while ratio > floor:
-        steps.append(ratio)
-        ratio -= 0.05
-    return steps
+#: The roundness asked for falls by this much a step; at most so many steps fit below 1.
+RATIO_STEP, RATIO_STEPS = 0.05, 20
 
 
-def sweep_candidates(candidates: DataFrame, ratio: float, max_r: int,
-                     n_scale: float = 1.0) -> DataFrame:
+def first_step(long: Column, short: Column, ratio: Column, floor: Column) -> Column:
+    """Number of the first roundness ratio, ratio - 0.05, … above `floor` that fits; 0 for none.
+
+    The steps are subtracted one after the other, as the limits of the sweep are.
+    """
+    def step(state, k):
+        fits = (state["at"] > floor) & (short >= (long * state["at"]).cast("int"))
+        return F.struct((state["at"] - RATIO_STEP).alias("at"),
+                        F.when((state["found"] == 0) & fits, k).otherwise(state["found"]).alias("found"))
+
+    start = F.struct(ratio.cast("double").alias("at"), F.lit(0).alias("found"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(RATIO_STEPS)), start, step, lambda s: s["found"])
+
+
+def sweep_candidates(candidates: DataFrame, ratio: Column | float, max_r: Column | int,
+                     n_scale: Column | float = 1.0) -> DataFrame:
     """First success of the threshold sweep per image.
 
     Pass 1 lowers the threshold from the start value at falling roundness; pass 2,
     without closing, raises it by up to 39. `candidates` carries pass, start and
     threshold. The winner is the minimum of the visiting order, so the sweep is
-    one aggregation.
+    one aggregation. Roundness, largest radius and scale may be columns of `candidates`, so
+    that images of several sensors are swept together.
     """
+    ratio, max_r, n_scale = (c if isinstance(c, Column) else F.lit(c) for c in (ratio, max_r, n_scale))
     tried = _two_largest(candidates, ["image_id", "pass", "threshold"],
-                         int(MIN_CONTOUR * n_scale))
+                         (n_scale * MIN_CONTOUR).cast("int"))
     long, short = F.greatest("w", "h"), F.least("w", "h")
-
-    def first_step(floor: float) -> Column:
-        steps = F.array(*[F.lit(r) for r in ratio_steps(ratio, floor)])
-        fits = F.transform(steps, lambda r: short >= (long * r).cast("int"))
-        return F.array_position(fits, True)
-
-    step = F.when(F.col("pass") == 1, first_step(0.4)).otherwise(first_step(0.2))
+    floor = F.when(F.col("pass") == 1, 0.4).otherwise(0.2)
+    step = first_step(long, short, ratio, floor)
     t, start = F.col("threshold"), F.col("start")
     visited = F.when(F.col("pass") == 1, (t <= start) & (t >= 0)).otherwise(
         (t > start) & (t < start + 40))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.presets import IRIS_MAX, PUPIL_MAX
+from ..sources.presets import IRIS_MAX, PUPIL_MAX, lookup_presets
 from ..sources.scores import read_scores
 from . import evaluate, geometry, masks, votes
 from .build import build_templates
@@ -15,42 +15,82 @@ from .pairs import IMPOSTOR_PROBES, genuine_pairs, impostor_pairs
 from .raster import circle_region, image_sizes
 
 
-def locate_eyes(raster: DataFrame, candidates: DataFrame, n_scale: float = 1.0,
-                ratio: float = 1.0, scaling: float = 0.4) -> DataFrame:
+def sensor_parameters(images: DataFrame, n_scale: float = 1.0, ratio: float = 1.0,
+                      scaling: float = 0.4) -> DataFrame:
+    """One row of search parameters per image: from its sensor code, or the same for all.
+
+    `images` with a column `code` get the presets of their sensor (unknown codes the defaults).
+    """
+    if "code" in images.columns:
+        found = lookup_presets(images.select("image_id", "code").distinct())
+        return found.select("image_id", "code", "n_scale", "circle_ratio", "scaling", "pupil_max", "iris_max")
+    return images.select("image_id").distinct().select(
+        "image_id", F.lit(None).cast("int").alias("code"), F.lit(float(n_scale)).alias("n_scale"),
+        F.lit(float(ratio)).alias("circle_ratio"), F.lit(float(scaling)).alias("scaling"),
+        F.lit(int(PUPIL_MAX * n_scale)).alias("pupil_max"), F.lit(int(IRIS_MAX * n_scale)).alias("iris_max"))
+
+
+def locate_eyes(raster: DataFrame, candidates: DataFrame, parameters: DataFrame | None = None,
+                high: float = 0.19, low: float = 0.11, **common) -> DataFrame:
     """Pupil from the contour candidates, iris by circle search around it.
 
-    Gives (image_id, xp, yp, rp, xi, yi, ri) for every image.
+    Gives (image_id, xp, yp, rp, xi, yi, ri) for every image. `parameters` are the rows of
+    `sensor_parameters`, one per image: roundness, radii and scaling travel as columns
+    through the sweep, the resizing and the votes, so one plan serves all sensors. Without
+    them `common` holds n_scale, ratio and scaling of all images. `high` and `low` are the
+    edge thresholds.
     """
-    pupil_max, iris_max = int(PUPIL_MAX * n_scale), int(IRIS_MAX * n_scale)
+    sizes = image_sizes(raster)
+    if parameters is None:
+        parameters = sensor_parameters(sizes, **common)
     none = F.lit(None).cast("int")
-    swept = geometry.sweep_candidates(candidates, ratio, pupil_max, n_scale)
-    found = (image_sizes(raster).join(swept.select("image_id", "xp", "yp", "rp"), "image_id", "left")
-             .withColumn("max_r", F.lit(pupil_max)).withColumn("last_x", none)
+    swept = geometry.sweep_candidates(
+        candidates.join(parameters.select("image_id", "n_scale", "circle_ratio", "pupil_max"), "image_id"),
+        F.col("circle_ratio"), F.col("pupil_max"), F.col("n_scale"))
+    found = (sizes.join(parameters.select("image_id", "scaling", "pupil_max", "iris_max"), "image_id")
+             .join(swept.select("image_id", "xp", "yp", "rp"), "image_id", "left")
+             .withColumn("max_r", F.col("pupil_max")).withColumn("last_x", none)
              .withColumn("last_y", none).withColumn("last_r", none))
     pupils = geometry.pupil_fallback(found).drop("max_r")
-    regions = circle_region(pupils, F.lit(iris_max), F.lit(iris_max))
+    top = F.col("iris_max")
+    regions = circle_region(pupils, top, top)
     x, y = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
-    cut = (attach(raster, regions.select("image_id", "h", "x0", "y0", "wd", "ht"))
+    cut = (attach(raster.select("image_id", "y", "x", "v"),
+                  regions.select("image_id", "h", "x0", "y0", "wd", "ht"))
            .where((x >= 0) & (y >= 0) & (x < F.col("wd")) & (y < F.col("ht")))
            .select("image_id", y.alias("y"), x.alias("x"), "v"))
-    lowest = F.least(F.col("rp") + F.floor(F.col("rp") / 4), F.lit(iris_max)).cast("int")
-    limits = regions.select("image_id", lowest.alias("r_low"), F.lit(iris_max).alias("r_high"))
-    iris = votes.find_circle(cut, limits, scaling, 0.19, 0.11, 1.0, 0.0, largest=iris_max)
+    lowest = F.least(F.col("rp") + F.floor(F.col("rp") / 4), top).cast("int")
+    limits = regions.select("image_id", lowest.alias("r_low"), top.alias("r_high"), "scaling")
+    iris = votes.find_circle(cut, limits, None, high, low, 1.0, 0.0)
     placed = (regions.join(iris, "image_id")
               .select("image_id", "xp", "yp", "rp", "px", "py", F.col("wd").alias("w"),
                       F.col("ht").alias("h"), F.col("col").alias("xi"), F.col("row").alias("yi"),
-                      F.col("r").alias("ri"), F.lit(iris_max).alias("max_r"),
-                      F.lit(iris_max // 4).alias("allowed")))
+                      F.col("r").alias("ri"), top.alias("max_r"),
+                      F.floor(top / 4).cast("int").alias("allowed")))
     return (geometry.reconcile_centre(geometry.iris_fallback(placed))
             .select("image_id", *[F.col(c).cast("int").alias(c)
                                   for c in ("xp", "yp", "rp", "xi", "yi", "ri")]))
 
 
-def build_automatic(raster: DataFrame, candidates: DataFrame, n_scale: float = 1.0,
-                    ratio: float = 1.0, scaling: float = 0.4, **options) -> DataFrame:
-    """Templates from images and contour candidates, without given boundaries."""
-    circles = locate_eyes(raster, candidates, n_scale, ratio, scaling).checkpoint()
-    anchors = masks.eyelid_anchors(votes.eyelid_search(raster, circles)).checkpoint()
+def build_automatic(raster: DataFrame, candidates: DataFrame, images: DataFrame | None = None,
+                    n_scale: float = 1.0, ratio: float = 1.0, scaling: float = 0.4,
+                    search: dict | None = None, lines: dict | None = None, **options) -> DataFrame:
+    """Templates from images and contour candidates, without given boundaries.
+
+    `images` (image_id, code) names the sensor of each image: its presets are used, and the
+    code becomes the data type of the template, so another sensor gets another template.
+    Without it the scalar parameters hold for all images. `search` goes to `locate_eyes`,
+    `lines` to the eyelid search.
+    """
+    common = {"n_scale": n_scale, "ratio": ratio, "scaling": scaling}
+    parameters = None if images is None else sensor_parameters(images)
+    circles = locate_eyes(raster, candidates, parameters, **(search or {}),
+                          **({} if parameters is not None else common))
+    if parameters is not None:
+        kinds = parameters.select("image_id", F.coalesce("code", F.lit(0)).alias("data_type"))
+        circles = circles.join(kinds, "image_id")
+    circles = circles.checkpoint()
+    anchors = masks.eyelid_anchors(votes.eyelid_search(raster, circles, **(lines or {}))).checkpoint()
     top, bottom = (masks.eyelid_curve(masks.one_lid(anchors, lid)) for lid in ("t", "b"))
     marked = masks.eyelid_noise(raster, top, bottom)
     bright = (F.col("v") < 3) | (F.col("v") > 250)

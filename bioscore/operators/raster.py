@@ -44,8 +44,8 @@ def sized(raster: DataFrame, side: int | None = None) -> DataFrame:
 
 
 def carried(raster: DataFrame) -> list[str]:
-    """Key columns of a pixel, with the image size if it is carried along."""
-    return ["image_id", "y", "x", *[c for c in ("w", "h") if c in raster.columns]]
+    """Key columns of a pixel, with the image size and scaling if these are carried along."""
+    return ["image_id", "y", "x", *[c for c in ("w", "h", "scaling") if c in raster.columns]]
 
 
 def histogram(raster: DataFrame) -> DataFrame:
@@ -272,17 +272,18 @@ def bilateral_mix(raster: DataFrame, smoothness: float) -> DataFrame:
 
 # -------------------------------------------------------------- size and region
 
-def decimate(raster: DataFrame, scaling: float) -> DataFrame:
+def decimate(raster: DataFrame, scaling: float | None) -> DataFrame:
     """Keep evenly spread rows and columns and renumber them.
 
-    Of `old` lines, line i is the k-th kept one where (i + 1)·new/old passes
+    Without a common `scaling` each image has its own in a column of that name. Of `old` lines, line i is the k-th kept one where (i + 1)·new/old passes
     k - 1/2. When more than half are kept, the lines to drop are found in the
     same way, counted from the far end.
     """
     kept = sized(raster)
     for axis, old, new in (("x", "w", "_w"), ("y", "h", "_h")):
         i, o = F.col(axis), F.col(old)
-        n = F.greatest((o * scaling + ADJUST).cast("int"), F.lit(1))
+        factor = F.col("scaling") if scaling is None else scaling
+        n = F.greatest((o * factor + ADJUST).cast("int"), F.lit(1))
         kept = (kept.withColumn(new, n)
                 .withColumn("_t", F.col(new) > F.floor(o / 2) + 1)
                 .withColumn("_m", F.when(F.col("_t"), o - F.col(new)).otherwise(F.col(new)))

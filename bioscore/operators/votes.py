@@ -6,12 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ADJUST, fixed, half_away
 from ..session import checkpoint_ready
 from .common import at, attach, lookup, neighbourhood
+from .components import components
 from .geometry import PI, line_points
 from .raster import carried, crop, decimate, gamma, gaussian_smooth, image_sizes, limit, sized
 
@@ -106,12 +108,13 @@ def _checkpoints(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster sees")
 
 
-def grow_regions(raster: DataFrame, high: float, low: float) -> DataFrame:
+def grow_regions(raster: DataFrame, high: float, low: float, rounds: list | None = None) -> DataFrame:
     """Pixels above `low` that are connected to a pixel above `high`: (image_id, y, x, w, h).
 
     Pixels of the first and the last row can be reached but do not pass the
-    region on. Regions are first labelled inside tiles, so that the rounds of the
-    search walk over tiles instead of pixels; every round is checkpointed.
+    region on. Regions are first labelled inside tiles; those that touch across tiles are then
+    joined by alternating minima, in a number of rounds that grows with the logarithm of the
+    longest chain of tiles. Regions of a component with a seed stay.
     """
     _checkpoints(raster.sparkSession)
     above = sized(raster).where(F.col("v") > low)
@@ -141,15 +144,12 @@ def grow_regions(raster: DataFrame, high: float, low: float) -> DataFrame:
              .join(rim.select("image_id", "y", "x", "region"), ["image_id", "y", "x"])
              .where(F.col("source") != F.col("region"))
              .select("image_id", "source", "region").distinct().checkpoint())
-    reached = frontier = (labelled.where("seed").select("image_id", "region").distinct()
-                          .checkpoint())
-    crossing = not links.isEmpty()
-    while crossing:
-        frontier = (frontier.withColumnRenamed("region", "source")
-                    .join(links, ["image_id", "source"]).select("image_id", "region").distinct()
-                    .join(reached, ["image_id", "region"], "left_anti").checkpoint())
-        crossing = not frontier.isEmpty()
-        reached = reached.unionByName(frontier)
+    reached = labelled.where("seed").select("image_id", "region").distinct()
+    if not links.isEmpty():
+        roots = components(links.select("image_id", F.col("source").alias("u"), F.col("region").alias("v")),
+                           ["image_id"], rounds).withColumnRenamed("node", "region")
+        seeded = roots.join(reached, ["image_id", "region"]).select("image_id", "root").distinct()
+        reached = reached.unionByName(roots.join(seeded, ["image_id", "root"]).select("image_id", "region")).distinct()
     cell = ("image_id", "y", "x", "w", "h")
     core = labelled.join(reached, ["image_id", "region"], "left_semi").select(*cell)
     leaves = strong.where(~F.col("passes"))
@@ -161,42 +161,68 @@ def grow_regions(raster: DataFrame, high: float, low: float) -> DataFrame:
 
 # ---------------------------------------------------------------------- circles
 
-#: Up to this radius the offset table is broadcast: about 100,000 rows.
-BROADCAST_RADIUS = 128
+#: Edge pixels × circle cells that are counted at once.
+VOTED = 1 << 20
 
 
-def circle_offsets(edges: DataFrame, largest: int) -> DataFrame:
-    """Cells of digital circles around the origin: (radius, dy, dx), up to `largest`."""
-    spark = edges.sparkSession
-    r, i = F.col("radius"), F.col("i")
-    j = (r * F.sqrt(1 - (i * i).cast("double") / (r * r)) + 0.5).cast("int")
-    base = (spark.range(1, largest + 1).select(F.col("id").cast("int").alias("radius"))
-            .withColumn("i", F.explode(F.sequence(F.lit(0), (r / 1.4142).cast("int"))))
-            .withColumn("j", j))
-    mirrored = F.array(*[F.struct((a * s).alias("dy"), (b * t).alias("dx"))
-                         for a, b in ((i, F.col("j")), (F.col("j"), i))
-                         for s in (1, -1) for t in (1, -1)])
-    return (base.select("radius", F.explode(mirrored).alias("o"))
-            .select("radius", "o.dy", "o.dx").distinct())
-
-
-def circle_votes(edges: DataFrame, radii: DataFrame, largest: int) -> DataFrame:
+def digital_circle(radius: int) -> np.ndarray:
+    """(dy, dx) of the cells of a digital circle, each once."""
+    i = np.arange(int(radius / 1.4142) + 1)
+    j = (radius * np.sqrt(1 - i * i / (radius * radius)) + 0.5).astype(np.int64)
+    octants = [(a * s, b * t) for a, b in ((i, j), (j, i)) for s in (1, -1) for t in (1, -1)]
+    return np.unique(np.concatenate([np.stack(o, axis=1) for o in octants]), axis=0)
+
+
+def _vote_tile(table: pa.Table, best: bool) -> pa.Table:
+    """Votes that fall into one tile, from all edge pixels within reach of it.
+
+    Every plane is one dense array of tile size. With `best` only the first maximum in
+    plane, column, row order is returned.
+    """
+    first = {c: table.column(c)[0].as_py() for c in ("image_id", "ty", "tx", "w", "h", "base", "planes")}
+    top, left = first["ty"] * TILE, first["tx"] * TILE
+    high, wide = min(TILE, first["h"] - top), min(TILE, first["w"] - left)
+    y, x = table.column("y").to_numpy() - top, table.column("x").to_numpy() - left
+    found = []
+    for plane in range(first["planes"]):
+        cells = digital_circle(plane + 1 + first["base"])
+        votes = np.zeros(high * wide, np.int64)
+        step = max(1, VOTED // len(cells))
+        for at in range(0, len(y), step):
+            row = y[at:at + step, None] + cells[:, 0]
+            column = x[at:at + step, None] + cells[:, 1]
+            inside = (row >= 0) & (row < high) & (column >= 0) & (column < wide)
+            votes += np.bincount(row[inside] * wide + column[inside], minlength=high * wide)
+        place = np.flatnonzero(votes)
+        if best and len(place):
+            row, column = np.divmod(place, wide)
+            place = place[np.lexsort((row, column, -votes[place]))[:1]]
+        row, column = np.divmod(place, wide)
+        found.append((np.full(len(place), plane), row + top, column + left, votes[place]))
+    plane, row, column, votes = (np.concatenate(c) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+    return pa.table({"image_id": pa.array([first["image_id"]] * len(plane), table.schema.field("image_id").type),
+                     "plane": pa.array(plane, pa.int32()), "y": pa.array(row, pa.int32()),
+                     "x": pa.array(column, pa.int32()), "votes": pa.array(votes, pa.int64())})
+
+
+def circle_votes(edges: DataFrame, radii: DataFrame, best: bool = False) -> DataFrame:
     """Votes of edge pixels for circle centres: (image_id, plane, y, x, votes).
 
     `edges` carries the image size, `radii` has the planes 0 … planes-1 of each image, plane p of radius
-    p + 1 + base. The offset table is fixed by `largest`, the largest radius.
+    p + 1 + base. Each edge pixel travels to the tiles that its largest circle can reach, so a
+    tile counts all its votes in dense arrays and no vote is a row. With `best` each tile
+    returns its first maximum per plane only.
     """
-    offsets = circle_offsets(edges, largest)
-    per_radius = (lookup(edges, radii, "image_id", F.floor(F.col("y") / TILE))
-                  .withColumn("plane", F.explode(F.sequence(F.lit(0), F.col("planes") - 1)))
-                  .withColumn("radius", F.col("plane") + 1 + F.col("base")))
-    if largest <= BROADCAST_RADIUS:
-        offsets = F.broadcast(offsets)
-    cells = (per_radius.join(offsets, "radius")                # about 6·largest² small rows
-             .withColumn("y", F.col("y") + F.col("dy")).withColumn("x", F.col("x") + F.col("dx"))
-             .where((F.col("y") >= 0) & (F.col("x") >= 0)
-                    & (F.col("y") < F.col("h")) & (F.col("x") < F.col("w"))))
-    return cells.groupBy("image_id", "plane", "y", "x").agg(F.count("*").alias("votes"))
+    reach = F.col("planes") + F.col("base")
+    tiles = lambda c, size: F.sequence(F.floor(F.greatest(F.col(c) - reach, F.lit(0)) / TILE),
+                                       F.floor(F.least(F.col(c) + reach, F.col(size) - 1) / TILE))
+    near = (lookup(edges, radii.select("image_id", "base", "planes").where("planes > 0"), "image_id",
+                   F.floor(F.col("y") / TILE))
+            .withColumn("ty", F.explode(tiles("y", "h"))).withColumn("tx", F.explode(tiles("x", "w")))
+            .select("image_id", "ty", "tx", "y", "x", "w", "h", "base", "planes"))
+    kind = edges.schema["image_id"].dataType.simpleString()
+    return near.groupBy("image_id", "ty", "tx").applyInArrow(
+        lambda table: _vote_tile(table, best), f"image_id {kind}, plane int, y int, x int, votes bigint")
 
 
 def best_circle(votes: DataFrame) -> DataFrame:
@@ -208,9 +234,12 @@ def best_circle(votes: DataFrame) -> DataFrame:
         (-F.col("b.c")).alias("x"))
 
 
-def edge_pixels(raster: DataFrame, sigma: float, scaling: float, vert: float,
+def edge_pixels(raster: DataFrame, sigma: float, scaling: float | None, vert: float,
                 horz: float, high: float, low: float) -> DataFrame:
-    """Thinned, hysteresis-thresholded edge pixels of the scaled images."""
+    """Thinned, hysteresis-thresholded edge pixels of the scaled images.
+
+    Without a common `scaling` the raster carries one for each image in a column of that name.
+    """
     small = gaussian_smooth(sized(raster), sigma)
     if scaling != 1:
         small = decimate(small, scaling)
@@ -220,22 +249,24 @@ def edge_pixels(raster: DataFrame, sigma: float, scaling: float, vert: float,
     return grow_regions(thin(bent), high, low)
 
 
-def find_circle(raster: DataFrame, limits: DataFrame, scaling: float, high: float, low: float,
-                vert: float, horz: float, largest: int, sigma: float = 2.0) -> DataFrame:
+def find_circle(raster: DataFrame, limits: DataFrame, scaling: float | None, high: float, low: float,
+                vert: float, horz: float, sigma: float = 2.0) -> DataFrame:
     """Strongest circle per image: (image_id, row, col, r), 1-based.
 
-    `limits` has the radius range r_low … r_high of each image and `largest` bounds
-    them all.
+    `limits` has the radius range r_low … r_high of each image. Without a common `scaling` it
+    also has a column of that name, so images of different sensors are searched together.
     """
+    if scaling is None:
+        figures = image_sizes(raster).join(limits.select("image_id", "scaling"), "image_id")
+        raster = attach(raster.drop("w", "h"), figures)
+    else:
+        limits = limits.withColumn("scaling", F.lit(float(scaling)))
     edges = edge_pixels(raster, sigma, scaling, vert, horz, high, low)
-    scaled = lambda c: half_away(c * scaling)
-    r_low, r_high = F.col("r_low"), F.col("r_high")
-    radii = limits.select("image_id", scaled(r_low).alias("base"),
-                          half_away(r_high * scaling - r_low * scaling).alias("planes"))
-    reach = int(largest * scaling + 0.5) + 2
-    votes = circle_votes(edges, radii.where(F.col("planes") > 0), reach)
-    found = radii.join(best_circle(votes), "image_id", "left")
-    back = lambda c: (c / scaling + ADJUST).cast("int")
+    s, r_low, r_high = F.col("scaling"), F.col("r_low"), F.col("r_high")
+    radii = limits.select("image_id", half_away(r_low * s).alias("base"),
+                          half_away(r_high * s - r_low * s).alias("planes"), "scaling")
+    found = radii.join(best_circle(circle_votes(edges, radii, best=True)), "image_id", "left")
+    back = lambda c: (c / F.col("scaling") + ADJUST).cast("int")
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     return found.select("image_id", back(none("y") + 1).alias("row"), back(none("x") + 1).alias("col"),
                         back(F.col("base") + none("plane") + 1).alias("r"))
@@ -293,10 +324,10 @@ def strongest_lines(votes: DataFrame, sizes: DataFrame, least: float = MIN_LINE)
                          a.alias("a"), b.alias("b"), c.alias("c"), "w", "h")
 
 
-def find_lines(raster: DataFrame) -> DataFrame:
-    """Strongest horizontal-edge lines of every image."""
-    edges = edge_pixels(raster, 2.0, 1, 0.0, 1.0, 0.20, 0.15)
-    return strongest_lines(line_votes(edges), image_sizes(raster))
+def find_lines(raster: DataFrame, least: float = MIN_LINE, high: float = 0.20, low: float = 0.15) -> DataFrame:
+    """Strongest horizontal-edge lines of every image, of more than `least` mass."""
+    edges = edge_pixels(raster, 2.0, 1, 0.0, 1.0, high, low)
+    return strongest_lines(line_votes(edges), image_sizes(raster), least)
 
 
 def line_extents(lines: DataFrame, origins: DataFrame) -> DataFrame:
@@ -312,10 +343,11 @@ def line_extents(lines: DataFrame, origins: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- compositions
 
-def eyelid_search(raster: DataFrame, circles: DataFrame, curved: bool = True) -> DataFrame:
+def eyelid_search(raster: DataFrame, circles: DataFrame, curved: bool = True, **lines) -> DataFrame:
     """Line extents of the eyelid patches round each iris, for `eyelid_anchors`.
 
-    All patches of all images are searched together as separate small images.
+    All patches of all images are searched together as separate small images. Further
+    arguments go to `find_lines`.
     """
     eyes = circles.join(image_sizes(raster), "image_id")
     w, h, xi, yi, ri = (F.col(c) for c in ("w", "h", "xi", "yi", "ri"))
@@ -338,10 +370,10 @@ def eyelid_search(raster: DataFrame, circles: DataFrame, curved: bool = True) ->
               .withColumn("key", F.concat_ws("|", "image_id", "patch")))
     cut = crop(raster, placed, one_based=True, new_id="key")
     sizes = image_sizes(cut).where((F.col("w") > 1) & (F.col("h") > 1)).select("image_id")
-    lines = find_lines(cut.join(sizes, "image_id", "left_semi"))
+    found = find_lines(cut.join(sizes, "image_id", "left_semi"), **lines)
     origins = placed.select(F.col("key").alias("image_id"), F.col("image_id").alias("eye"), "patch",
                             F.col("x0").alias("ox"), F.col("y0").alias("oy"))
-    spans = line_extents(lines, origins)
+    spans = line_extents(found, origins)
     wide = spans.groupBy("eye").agg(*[
         F.max(F.when(F.col("patch") == name, F.col(c))).alias(f"{name}_{k}")
         for name in patches for c, k in (("low", "min"), ("high", "max"))])
@@ -357,12 +389,15 @@ def _circle(raster: DataFrame, ids: DataFrame, search: dict) -> DataFrame:
     limits = ids.select("image_id", F.lit(search["r_low"]).alias("r_low"),
                         F.lit(search["r_high"]).alias("r_high"))
     rest = {k: search[k] for k in ("scaling", "high", "low", "vert", "horz")}
-    return find_circle(raster, limits, largest=search["r_high"], **rest)
+    return find_circle(raster, limits, **rest)
 
 
 def segment(raster: DataFrame, iris: dict = IRIS_SEARCH, pupil: dict = PUPIL_SEARCH,
-            eyelids: bool = True, highlight: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Iris circle, pupil circle inside it, straight eyelids: (circles, raster with noise)."""
+            eyelids: bool = True, highlight: int | None = None, **lines) -> tuple[DataFrame, DataFrame]:
+    """Iris circle, pupil circle inside it, straight eyelids: (circles, raster with noise).
+
+    Further arguments go to `find_lines`.
+    """
     _checkpoints(raster.sparkSession)
     sizes = image_sizes(raster).checkpoint()
     outer = _circle(raster, sizes, iris).checkpoint()
@@ -397,8 +432,8 @@ def segment(raster: DataFrame, iris: dict = IRIS_SEARCH, pupil: dict = PUPIL_SEA
         strips = (both.select("image_id", "h", "x1", "x2", F.explode(parts).alias("s"))
                   .select("image_id", "h", "x1", "x2", "s.*")
                   .withColumn("key", F.concat_ws("|", "image_id", "part")))
-        lines = find_lines(cut(strips, "key"))
-        spans = line_extents(lines, strips.select(
+        found = find_lines(cut(strips, "key"), **lines)
+        spans = line_extents(found, strips.select(
             F.col("key").alias("image_id"), F.col("image_id").alias("eye"), "part",
             F.lit(0).alias("ox"), (F.col("y1") - 1).alias("oy")))
         edge = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))

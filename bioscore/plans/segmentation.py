@@ -281,9 +281,10 @@ chosen AS (
     max_by(r, seq)::INTEGER AS last_r FROM listed GROUP BY {by})"""
 
 
-_STEPS = {p: geo.ratio_steps(1.0, f) for p, f in ((1, 0.4), (2, 0.2))}
-STEP_SQL = "steps(pass, step, ratio) AS (VALUES " + ", ".join(
-    f"({p}, {i + 1}, {r!r}::DOUBLE)" for p, s in _STEPS.items() for i, r in enumerate(s)) + ")"
+STEP_SQL = """steps(pass, step, ratio) AS (
+  SELECT p, 1, 1e0 FROM range(1, 3) t(p)
+  UNION ALL SELECT pass, step + 1, ratio - 0.05::DOUBLE FROM steps
+  WHERE ratio - 0.05::DOUBLE > CASE pass WHEN 1 THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END)"""
 
 _S15, _C15 = "sin(15e0 * (pi() / 180))", "cos(15e0 * (pi() / 180))"
 _S30, _C30 = "sin(30e0 * (pi() / 180))", "cos(30e0 * (pi() / 180))"
@@ -377,7 +378,7 @@ SELECT image_id, threshold,
   CASE WHEN l_partkey % 50 < 2 THEN 320 ELSE l_partkey % 50 END AS xi,
   CASE WHEN l_suppkey % 50 < 2 THEN 240 ELSE l_suppkey % 50 END AS yi,
   CASE WHEN l_partkey % 120 < 2 OR l_partkey % 120 > 82 THEN 82 ELSE l_partkey % 120 END AS ri FROM lineitem""",
-    "threshold_sweep": f"""WITH {fx.CANDIDATES_SQL}, {STEP_SQL},
+    "threshold_sweep": f"""WITH RECURSIVE {fx.CANDIDATES_SQL}, {STEP_SQL},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, pass, threshold ORDER BY count DESC) AS n FROM candidates),
 seconds AS (SELECT *, min(count) FILTER (n <= 2) OVER (PARTITION BY image_id, pass, threshold) AS second FROM ranked),
 visits AS (

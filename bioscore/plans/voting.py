@@ -41,7 +41,7 @@ def _circle_votes(spark, d):
     sizes = ops.image_sizes(fx.raster(spark, d))
     radii = sizes.select("image_id", F.lit(2).alias("base"),
                          (F.col("image_id") % 3 + 2).cast("int").alias("planes"))
-    return votes.circle_votes(_edges(spark, d), radii, 7)
+    return votes.circle_votes(_edges(spark, d), radii)
 
 
 def circle_votes(spark, d):
@@ -78,7 +78,7 @@ def find_circle(spark, d):
     r = _double(spark, d)
     limits = ops.image_sizes(r).select("image_id", F.lit(8).alias("r_low"), F.lit(15).alias("r_high"))
     rest = {k: SEARCH[k] for k in ("scaling", "high", "low", "vert", "horz")}
-    return votes.find_circle(r, limits, largest=15, **rest)
+    return votes.find_circle(r, limits, **rest)
 
 
 def find_lines(spark, d):

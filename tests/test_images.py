@@ -92,7 +92,7 @@ def test_circle_search_equals_direct(spark):
     r = to_raster(spark, images)
     limits = raster.image_sizes(r).select("image_id", F.lit(24).alias("r_low"), F.lit(40).alias("r_high"))
     found = {c.image_id: (c["row"], c["col"], c["r"]) for c in
-             votes.find_circle(r, limits, largest=40, **SEARCH).collect()}
+             votes.find_circle(r, limits, **SEARCH).collect()}
     for k, im in images.items():
         assert found[k] == direct.circle(im, 24, 40, *SEARCH.values())
     row, col, radius = found[1]
