@@ -149,40 +149,43 @@ def choose_candidate(candidates: DataFrame, ratio: float, max_r: int, n_scale: f
                        F.col("l.cy").alias("last_y"), F.col("l.r").alias("last_r"))
 
 
-#: The roundness asked for falls by this much a step; at most so many steps fit below 1.
-RATIO_STEP, RATIO_STEPS = 0.05, 20
-
-
-def first_step(long: Column, short: Column, ratio: Column, floor: Column) -> Column:
-    """Number of the first roundness ratio, ratio - 0.05, … above `floor` that fits; 0 for none.
-
-    The steps are subtracted one after the other, as the limits of the sweep are.
-    """
-    def step(state, k):
-        fits = (state["at"] > floor) & (short >= (long * state["at"]).cast("int"))
-        return F.struct((state["at"] - RATIO_STEP).alias("at"),
-                        F.when((state["found"] == 0) & fits, k).otherwise(state["found"]).alias("found"))
-
-    start = F.struct(ratio.cast("double").alias("at"), F.lit(0).alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(RATIO_STEPS)), start, step, lambda s: s["found"])
-
-
-def sweep_candidates(candidates: DataFrame, ratio: Column | float, max_r: Column | int,
+#: The roundness asked for falls by this much a step, down to the last limit of the sweep.
+RATIO_STEP, LAST_RATIO = 0.05, 0.2
+
+
+def ratio_steps(ratio: Column | float) -> Column:
+    """ratio, ratio - 0.05, … above the last limit, subtracted one after the other."""
+    if not isinstance(ratio, Column):
+        steps = []
+        while ratio > LAST_RATIO:
+            steps.append(ratio)
+            ratio -= RATIO_STEP
+        return F.array(*[F.lit(r) for r in steps])
+    count = F.greatest(F.ceil((ratio - LAST_RATIO) / RATIO_STEP).cast("int") + 1, F.lit(1))
+    start = F.struct(ratio.cast("double").alias("at"), F.array().cast("array<double>").alias("steps"))
+    steps = F.aggregate(F.sequence(F.lit(1), count), start, lambda s, _: F.struct(
+        (s["at"] - RATIO_STEP).alias("at"), F.concat(s["steps"], F.array(s["at"])).alias("steps")))
+    return F.filter(steps["steps"], lambda r: r > LAST_RATIO)
+
+
+def sweep_candidates(candidates: DataFrame, steps: Column, max_r: Column | int,
                      n_scale: Column | float = 1.0) -> DataFrame:
     """First success of the threshold sweep per image.
 
     Pass 1 lowers the threshold from the start value at falling roundness; pass 2,
     without closing, raises it by up to 39. `candidates` carries pass, start and
     threshold. The winner is the minimum of the visiting order, so the sweep is
-    one aggregation. Roundness, largest radius and scale may be columns of `candidates`, so
-    that images of several sensors are swept together.
+    one aggregation. `steps` are the `ratio_steps` of the roundness; they, the largest radius
+    and the scale may be columns of `candidates`, so that images of several sensors are swept
+    together.
     """
-    ratio, max_r, n_scale = (c if isinstance(c, Column) else F.lit(c) for c in (ratio, max_r, n_scale))
+    max_r, n_scale = (c if isinstance(c, Column) else F.lit(c) for c in (max_r, n_scale))
     tried = _two_largest(candidates, ["image_id", "pass", "threshold"],
                          (n_scale * MIN_CONTOUR).cast("int"))
     long, short = F.greatest("w", "h"), F.least("w", "h")
-    floor = F.when(F.col("pass") == 1, 0.4).otherwise(0.2)
-    step = first_step(long, short, ratio, floor)
+    floor = F.when(F.col("pass") == 1, 0.4).otherwise(LAST_RATIO)
+    step = F.array_position(F.transform(
+        steps, lambda r: (r > floor) & (short >= (long * r).cast("int"))), True)
     t, start = F.col("threshold"), F.col("start")
     visited = F.when(F.col("pass") == 1, (t <= start) & (t >= 0)).otherwise(
         (t > start) & (t < start + 40))

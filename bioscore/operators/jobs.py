@@ -45,8 +45,10 @@ def locate_eyes(raster: DataFrame, candidates: DataFrame, parameters: DataFrame
         parameters = sensor_parameters(sizes, **common)
     none = F.lit(None).cast("int")
     swept = geometry.sweep_candidates(
-        candidates.join(parameters.select("image_id", "n_scale", "circle_ratio", "pupil_max"), "image_id"),
-        F.col("circle_ratio"), F.col("pupil_max"), F.col("n_scale"))
+        candidates.join(parameters.select(
+            "image_id", "n_scale", "pupil_max",
+            geometry.ratio_steps(F.col("circle_ratio")).alias("steps")), "image_id"),
+        F.col("steps"), F.col("pupil_max"), F.col("n_scale"))
     found = (sizes.join(parameters.select("image_id", "scaling", "pupil_max", "iris_max"), "image_id")
              .join(swept.select("image_id", "xp", "yp", "rp"), "image_id", "left")
              .withColumn("max_r", F.col("pupil_max")).withColumn("last_x", none)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +20,10 @@ from .raster import carried, crop, decimate, gamma, gaussian_smooth, image_sizes
 THIN_RADIUS = 1.5
 #: A line needs more than this mass of edge pixels.
 MIN_LINE = 25
-#: Side of the tiles in which regions are labelled.
+#: Side of the tiles in which votes are counted.
 TILE = 64
+#: Side of the tiles in which regions are labelled.
+REGION_TILE = 256
 
 
 # ------------------------------------------------------------------------ edges
@@ -85,21 +86,25 @@ def thin(edges: DataFrame) -> DataFrame:
     return joined.select(*carried(edges), F.when(top, F.col("v")).otherwise(0.0).alias("v"))
 
 
-def _label_tile(pixels: pd.DataFrame) -> pd.DataFrame:
+def _label_tile(table: pa.Table) -> pa.Table:
     """Smallest pixel number of each connected region of one tile."""
-    y, x = pixels["y"].to_numpy() % TILE + 1, pixels["x"].to_numpy() % TILE + 1
-    none = np.iinfo(np.int64).max
-    label = np.full((TILE + 2, TILE + 2), none)
-    label[y, x] = pixels["pixel"].to_numpy()
-    while True:
-        low = np.minimum.reduce([label[1 + dy: TILE + 1 + dy, 1 + dx: TILE + 1 + dx]
-                                 for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-        inner = label[1:-1, 1:-1]
-        new = np.where(inner == none, none, low)
-        if np.array_equal(new, inner):
-            break
-        label[1:-1, 1:-1] = new
-    return pixels.assign(region=label[y, x])
+    table = table.sort_by("pixel")
+    y, x = (table.column(c).to_numpy() % REGION_TILE for c in ("y", "x"))
+    grid = np.full((REGION_TILE + 1, REGION_TILE + 2), -1)
+    grid[y, x + 1] = np.arange(len(y))
+    inner = grid[:-1, 1:-1]
+    pairs = [np.stack([inner, beside])[:, (inner >= 0) & (beside >= 0)] for beside in (
+        grid[:-1, 2:], grid[1:, :-2], grid[1:, 1:-1], grid[1:, 2:])]
+    a, b = np.concatenate(pairs, axis=1)
+    roots = np.arange(len(y))
+    while len(a):
+        a, b = roots[a], roots[b]
+        apart = a != b
+        a, b = np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart])
+        np.minimum.at(roots, a, b)
+        while (deeper := roots[roots] != roots).any():
+            roots[deeper] = roots[roots[deeper]]
+    return table.append_column("region", pa.array(table.column("pixel").to_numpy()[roots]))
 
 
 def _checkpoints(spark: SparkSession) -> None:
@@ -124,10 +129,10 @@ def grow_regions(raster: DataFrame, high: float, low: float, rounds: list | None
               .withColumn("passes", (F.col("pixel") > F.col("w"))
                           & (F.col("pixel") < F.col("w") * F.col("h") - F.col("w") - 1))
               .select("image_id", "y", "x", "w", "h", "pixel", "seed", "passes").checkpoint())
-    inner = strong.where("passes").withColumn("ty", F.floor(F.col("y") / TILE)).withColumn(
-        "tx", F.floor(F.col("x") / TILE))
+    inner = strong.where("passes").withColumn("ty", F.floor(F.col("y") / REGION_TILE)).withColumn(
+        "tx", F.floor(F.col("x") / REGION_TILE))
     kind = raster.schema["image_id"].dataType.simpleString()
-    labelled = inner.groupBy("image_id", "ty", "tx").applyInPandas(
+    labelled = inner.groupBy("image_id", "ty", "tx").applyInArrow(
         _label_tile, f"image_id {kind}, y int, x int, w int, h int, pixel long, seed boolean, passes boolean, "
         "ty long, tx long, region long").checkpoint()
 
@@ -139,7 +144,8 @@ def grow_regions(raster: DataFrame, high: float, low: float, rounds: list | None
                 .withColumn("y", F.col("y") + F.col("_o.dy"))
                 .withColumn("x", F.col("x") + F.col("_o.dx")).drop("_o"))
 
-    rim = labelled.where((F.col("y") % TILE).isin(0, TILE - 1) | (F.col("x") % TILE).isin(0, TILE - 1))
+    last = REGION_TILE - 1
+    rim = labelled.where((F.col("y") % REGION_TILE).isin(0, last) | (F.col("x") % REGION_TILE).isin(0, last))
     links = (neighbours(rim.select("image_id", "y", "x", F.col("region").alias("source")))
              .join(rim.select("image_id", "y", "x", "region"), ["image_id", "y", "x"])
              .where(F.col("source") != F.col("region"))

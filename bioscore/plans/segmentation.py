@@ -115,7 +115,7 @@ def iris_fallback(spark, d):
 
 
 def threshold_sweep(spark, d):
-    return geo.sweep_candidates(fx.candidates(spark, d), ratio=1.0, max_r=42)
+    return geo.sweep_candidates(fx.candidates(spark, d), geo.ratio_steps(1.0), max_r=42)
 
 
 def two_eye_split(spark, d):

@@ -230,3 +230,67 @@ def test_normalised_faces(spark):
         assert warped[7, x] < 40
     face = to_array(out)
     assert face[49, 0] == 128 and face[7, 8] < 60
+
+
+def spiral(n):
+    """A path one pixel wide that winds inwards, with its seed at the inner end."""
+    im = np.zeros((n, n))
+    y, x, dy, dx = 2, 2, 0, 1
+    im[y, x] = 0.5
+    free = lambda a, b: 2 <= a < n - 2 and 2 <= b < n - 2 and not im[a, b]
+    while True:
+        for _ in range(2):
+            a, b = y + dy, x + dx
+            if free(a, b) and not (0 <= a + dy < n and 0 <= b + dx < n and im[a + dy, b + dx]):
+                break
+            dy, dx = dx, -dy
+        else:
+            im[y, x] = 1.0
+            return im
+        y, x = a, b
+        im[y, x] = 0.5
+
+
+def test_spiral_over_many_tiles_settles_in_few_rounds(spark, monkeypatch):
+    """The path crosses tile borders some eighty times; a walk would need a round for each."""
+    monkeypatch.setattr(votes, "REGION_TILE", 8)
+    im, rounds = spiral(56), []
+    grown = votes.grow_regions(to_raster(spark, {1: im}), 0.8, 0.3, rounds)
+    assert grown.count() == direct.grow(im, 0.8, 0.3).sum() == (im > 0).sum() > 400
+    assert len(rounds) <= 9
+
+
+def test_components_equal_union(spark):
+    from bioscore.operators.components import components
+    rng = np.random.default_rng(5)
+    edges = [(k, int(a), int(b)) for k in (1, 2) for a, b in rng.integers(0, 300, (220, 2))]
+    edges += [(3, 0, i) for i in range(1, 400)] + [(4, i, i + 1) for i in range(100)] + [(4, 7, 7)]
+    rows = components(spark.createDataFrame(edges, "k int, u long, v long"), ["k"]).collect()
+    root = {}
+
+    def top(n):
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+    for k, a, b in edges:
+        low, high = sorted((top((k, a)), top((k, b))))
+        root[high] = low
+    joined = {n for k, a, b in edges if a != b for n in ((k, a), (k, b))}
+    assert {(r.k, r.node): r.root for r in rows} == {n: top(n)[1] for n in joined} and len(rows) == len(joined)
+
+
+def test_votes_over_tiles_equal_direct(spark):
+    rng = np.random.default_rng(2)
+    spots = [(int(y), int(x)) for y, x in rng.integers(0, (150, 140), (60, 2))]
+    edges = spark.createDataFrame([(1, y, x, 140, 150) for y, x in spots], "image_id int, y int, x int, w int, h int")
+    radii = spark.createDataFrame([(1, 20, 3), (2, 1, 1)], "image_id int, base int, planes int")
+    want = {}
+    for p in range(3):
+        for y, x in spots:
+            for dy, dx in direct.digital_circle(21 + p):
+                if 0 <= y + dy < 150 and 0 <= x + dx < 140:
+                    want[p, y + dy, x + dx] = want.get((p, y + dy, x + dx), 0) + 1
+    got = votes.circle_votes(edges, radii)
+    assert {(r.plane, r.y, r.x): r.votes for r in got.collect()} == want
+    best = votes.best_circle(votes.circle_votes(edges, radii, best=True)).first()
+    assert tuple(best) == tuple(votes.best_circle(got).first())
