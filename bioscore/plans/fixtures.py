@@ -246,3 +246,69 @@ EXTENTS_SQL = "extents AS (SELECT l_orderkey AS image_id, " + ", ".join(
     for f, extra in (("min", 0), ("max", 12))) + """,
   640 AS w, 480 AS h, l_orderkey % 240 + 200 AS xi, l_orderkey % 180 + 150 AS yi, l_orderkey % 60 + 60 AS ri
   FROM lineitem GROUP BY l_orderkey)"""
+
+
+# ------------------------------------------------------------------------ eyes
+
+EYE_ROWS, EYE_W, EYE_H = 50, 96, 72
+SENSORS = (88, 99, 1, 2, 3, 4, 5, 6, 7, 42)
+
+
+def eyes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawn eyes of 96 × 72 pixels with the vectors as noise, one per 50 vectors."""
+    t = table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / EYE_ROWS).cast("int").alias("image_id"),
+        (F.col("vec_id") % EYE_ROWS).cast("int").alias("row"), "embedding")
+    t = t.withColumn("y", F.explode(F.expr(f"filter(array(row, row + {EYE_ROWS}), y -> y < {EYE_H})")))
+    cell = F.expr(f"transform(sequence(0, {EYE_W - 1}), x -> named_struct('x', x, 'e', "
+                  "cast(embedding[(x + 7 * y) % 64] as double)))")
+    dx, dy = F.col("x") - 48 - F.col("image_id") % 3, F.col("y") - 36
+    d2 = dx * dx + dy * dy
+    base = (F.when(F.col("y") < 12 + F.col("image_id") % 4, 140).when(d2 <= 81, 25)
+            .when(d2 <= 676, 95).otherwise(190))
+    return t.select("image_id", "y", F.inline(cell)).select(
+        "image_id", "y", "x", F.least(F.greatest(base + F.floor(F.col("e") * 60), F.lit(0)), F.lit(255))
+        .cast("int").alias("v"))
+
+
+EYES_SQL = f"""eye_rows AS (
+  SELECT (vec_id // {EYE_ROWS})::INTEGER AS image_id, (vec_id % {EYE_ROWS} + k * {EYE_ROWS})::INTEGER AS y, embedding
+  FROM embeddings, range(2) t(k) WHERE vec_id % {EYE_ROWS} + k * {EYE_ROWS} < {EYE_H}),
+eyes AS (
+  SELECT image_id, y, i::INTEGER AS x, least(greatest(CASE WHEN y < 12 + image_id % 4 THEN 140
+      WHEN (i - 48 - image_id % 3) * (i - 48 - image_id % 3) + (y - 36) * (y - 36) <= 81 THEN 25
+      WHEN (i - 48 - image_id % 3) * (i - 48 - image_id % 3) + (y - 36) * (y - 36) <= 676 THEN 95 ELSE 190 END
+    + floor(embedding[(i + 7 * y) % 64 + 1]::DOUBLE * 60), 0), 255)::INTEGER AS v
+  FROM eye_rows, range({EYE_W}) t(i))"""
+
+
+def eye_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contour candidates of the drawn eyes, one per vector; every eighth eye has none."""
+    v = F.col("vec_id")
+    e = lambda k: F.floor(F.expr(f"cast(embedding[{k}] as double)") * 10)
+    return table(spark, sf_dir, "embeddings").select(
+        F.floor(v / EYE_ROWS).cast("int").alias("image_id"), (v % 2 + 1).cast("int").alias("pass"),
+        F.lit(30).alias("start"), (v % 5 * 10 + 10).cast("int").alias("threshold"),
+        (v * 7 % 60 + 10).cast("int").alias("count"), v.cast("double").alias("ord"),
+        (48 + e(0)).cast("int").alias("cx"), (36 + e(1)).cast("int").alias("cy"),
+        (v % 9 + 16).cast("int").alias("w"), (v % 7 + 12).cast("int").alias("h")).where("image_id % 8 <> 7")
+
+
+EYE_CANDIDATES_SQL = f"""candidates AS (
+  SELECT (vec_id // {EYE_ROWS})::INTEGER AS image_id, (vec_id % 2 + 1)::INTEGER AS pass, 30 AS start,
+    (vec_id % 5 * 10 + 10)::INTEGER AS threshold, (vec_id * 7 % 60 + 10)::INTEGER AS count, vec_id AS ord,
+    (48 + floor(embedding[1]::DOUBLE * 10))::INTEGER AS cx, (36 + floor(embedding[2]::DOUBLE * 10))::INTEGER AS cy,
+    (vec_id % 9 + 16)::INTEGER AS w, (vec_id % 7 + 12)::INTEGER AS h
+  FROM embeddings WHERE (vec_id // {EYE_ROWS}) % 8 <> 7)"""
+
+
+def eye_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sensor code for each drawn eye; one code is unknown."""
+    ids = table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / EYE_ROWS).cast("int").alias("image_id")).distinct()
+    return ids.withColumn("code", F.get(F.array(*map(F.lit, SENSORS)), F.col("image_id") % len(SENSORS)))
+
+
+EYE_SENSORS_SQL = f"""sensors AS (
+  SELECT DISTINCT (vec_id // {EYE_ROWS})::INTEGER AS image_id,
+    {list(SENSORS)}[(vec_id // {EYE_ROWS} % {len(SENSORS)} + 1)::INTEGER] AS code FROM embeddings)"""

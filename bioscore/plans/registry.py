@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pairing", "scoring", "evaluation", "pixels", "segmentation", "encoding", "voting",
+MODULES = ("pairing", "scoring", "evaluation", "pixels", "segmentation", "encoding", "voting", "chains",
            "vectors")
 
 QUERIES: dict = {}

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fixed
-from ..operators import masks, votes
+from ..operators import votes
 from ..operators import raster as ops
 from . import fixtures as fx
 from .pixels import NEAR_SQL, R, f6
 
 BRIGHT = 150
-SEARCH = {"r_low": 8, "r_high": 15, "scaling": 0.8, "high": 0.25, "low": 0.2, "vert": 1.0, "horz": 0.0}
-PUPIL = {"r_low": 3, "r_high": 7, "scaling": 0.8, "high": 0.25, "low": 0.2, "vert": 1.0, "horz": 1.0}
-
 
 def _double(spark, d):
     return fx.raster(spark, d).withColumn("v", F.col("v").cast("double"))
@@ -74,31 +71,6 @@ def line_extents(spark, d):
     return votes.line_extents(lines, origins)
 
 
-def find_circle(spark, d):
-    r = _double(spark, d)
-    limits = ops.image_sizes(r).select("image_id", F.lit(8).alias("r_low"), F.lit(15).alias("r_high"))
-    rest = {k: SEARCH[k] for k in ("scaling", "high", "low", "vert", "horz")}
-    return votes.find_circle(r, limits, **rest)
-
-
-def find_lines(spark, d):
-    lines = votes.find_lines(_double(spark, d))
-    for c in "abc":
-        lines = lines.withColumn(c, fixed(c))
-    return lines
-
-
-def segmentation(spark, d):
-    circles, noisy = votes.segment(_double(spark, d), SEARCH, PUPIL, highlight=240)
-    return circles.join(noisy.groupBy("image_id").agg(
-        F.count("*").alias("pixels"), F.sum(F.col("noise").cast("int")).alias("noisy")), "image_id")
-
-
-def eyelid_search(spark, d):
-    found = votes.eyelid_search(_double(spark, d), fx.circles(spark, d))
-    return masks.eyelid_anchors(found)
-
-
 # ------------------------------------------------------------------------ SQL
 
 _G = "coalesce({0}, 0)::DOUBLE".format
@@ -150,7 +122,7 @@ full_lines AS (SELECT *, -r - a * (w / 2 - 1) - b * (h / 2 - 1) AS c FROM lines)
 
 QUERIES = {f.__name__: f for f in (
     gradient, thin_edges, region_grow, circle_votes, circle_best, line_votes, line_best,
-    line_extents, find_circle, find_lines, segmentation, eyelid_search)}
+    line_extents)}
 
 ORACLES = {
     "gradient": f"WITH {GRADIENT_SQL} SELECT image_id, y, x, {f6('v')} AS v, {f6('orient')} AS orient FROM gradient",
