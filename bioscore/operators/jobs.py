@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.presets import IRIS_MAX, PUPIL_MAX, lookup_presets
 from ..sources.scores import read_scores
-from . import evaluate, geometry, masks, votes
+from . import encode, evaluate, geometry, masks, votes
 from .build import build_templates
 from .common import attach
 from .hamming import TEMPLATE_COLUMNS, compare
@@ -99,6 +99,76 @@ def build_automatic(raster: DataFrame, candidates: DataFrame, images: DataFrame
     return build_templates(marked.withColumn("noise", F.col("noise") | bright), circles, **options)
 
 
+#: Boundary sources: searched in the image, marked points, given circles.
+SEARCHED, POINTS, GIVEN = 1, 2, 3
+#: Order in which the sources are tried for an image that names none.
+PRECEDENCE = (POINTS, GIVEN, SEARCHED)
+
+
+def choose_circles(raster: DataFrame, images: DataFrame, points: DataFrame, given: DataFrame,
+                   iris: dict = votes.IRIS_SEARCH,
+                   pupil: dict = votes.PUPIL_SEARCH) -> tuple[DataFrame, DataFrame]:
+    """Circles of each image from its own boundary source, and the images that get none.
+
+    `images` has (image_id, mode): 1 searches the image, 2 takes the marked `points`, 3 the
+    `given` circles; NULL takes the first of points, given circles and search that the image
+    has. Only images routed to the search are searched. Gives (image_id, mode, xp, yp, rp,
+    xi, yi, ri) and (image_id, mode, reason).
+    """
+    columns = ["image_id", "mode", "xp", "yp", "rp", "xi", "yi", "ri"]
+    tagged = lambda df, mode: df.withColumn("mode", F.lit(mode)).select(columns)
+    marked = tagged(geometry.circles_from_points(points), POINTS).where(
+        F.col("ri").isNotNull() & F.col("rp").isNotNull())
+    known = marked.unionByName(tagged(given, GIVEN))
+    have = known.groupBy("image_id").agg(F.collect_set("mode").alias("have"))
+    wanted = (images.select("image_id", "mode").distinct().join(have, "image_id", "left")
+              .join(raster.select("image_id", F.lit(True).alias("seen")).distinct(), "image_id", "left"))
+    route = F.col("mode")
+    for mode in PRECEDENCE[:-1]:
+        route = F.coalesce(route, F.when(F.array_contains("have", mode), mode))
+    routed = wanted.select("image_id", "seen", F.coalesce(route, F.lit(PRECEDENCE[-1])).alias("mode")).checkpoint()
+    search = routed.where((F.col("mode") == SEARCHED) & F.col("seen"))
+    found = votes.segment_circles(raster.join(search.select("image_id"), "image_id", "left_semi"), iris, pupil)
+    sources = known.unionByName(tagged(found, SEARCHED))
+    chosen = routed.join(sources, ["image_id", "mode"], "left")
+    reason = (F.when(F.col("seen").isNull(), "no image")
+              .when(~F.col("mode").isin(SEARCHED, POINTS, GIVEN), "unknown mode")
+              .when(F.col("rp").isNull(), "no boundary"))
+    chosen = chosen.withColumn("reason", reason).checkpoint()
+    return (chosen.where("reason IS NULL").select(columns),
+            chosen.where("reason IS NOT NULL").select("image_id", "mode", "reason"))
+
+
+def build_chosen(raster: DataFrame, images: DataFrame, points: DataFrame, given: DataFrame,
+                 iris: dict = votes.IRIS_SEARCH, pupil: dict = votes.PUPIL_SEARCH,
+                 lines: dict | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Templates with the boundary source of each image, and the images without a template.
+
+    Beside the mode `images` may switch masks row by row: `eyelids` (boolean; searched and
+    given circles look for straight eyelids, marked points hide what lies behind occluded
+    ones) and `highlight` (brightest usable value, NULL for no limit). Without these
+    columns both are off. All masks of an image travel as one row of figures.
+    """
+    circles, dropped = choose_circles(raster, images, points, given, iris, pupil)
+    for name, kind in (("eyelids", "boolean"), ("highlight", "int")):
+        if name not in images.columns:
+            images = images.withColumn(name, F.lit(None).cast(kind))
+    switches = circles.join(images.select("image_id", "eyelids", "highlight").distinct(), "image_id")
+    lidded = switches.where("eyelids")
+    straight = lidded.where(F.col("mode") != POINTS).drop("mode", "eyelids", "highlight")
+    lids = votes.straight_eyelids(raster.join(straight.select("image_id"), "image_id", "left_semi"),
+                                  straight, **(lines or {}))
+    behind = lidded.where(F.col("mode") == POINTS).select("image_id")
+    hidden = masks.occlusion_lines(points.join(behind, "image_id", "left_semi"), switches)
+    figures = (switches.select("image_id", "highlight").join(lids, "image_id", "left")
+               .join(hidden, "image_id", "left"))
+    marked = attach(raster.select("image_id", "y", "x", "v"), figures)
+    noise = (votes.under_eyelid() | F.coalesce(masks.behind_line(), F.lit(False))
+             | F.coalesce(F.col("v") > F.col("highlight"), F.lit(False)))
+    marked = marked.select("image_id", "y", "x", "v", noise.alias("noise"))
+    return build_templates(marked, circles.drop("mode"), **{**encode.BASE, "ranked": False, **options}), dropped
+
+
 def list_templates(images: DataFrame, templates: DataFrame, image_id: Column,
                    data_type: int | None = None) -> DataFrame:
     """Templates by list position; `image_id` computes the template key from a list row."""

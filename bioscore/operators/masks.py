@@ -131,10 +131,14 @@ def occlusion_lines(points: DataFrame, circles: DataFrame) -> DataFrame:
     return found.join(circles.select("image_id", "xi", "yi"), "image_id")
 
 
-def occlusion_noise(raster: DataFrame, lines: DataFrame) -> DataFrame:
-    """Mark the pixels that an occluding line separates from the iris centre."""
-    hidden = F.expr(
+def behind_line() -> Column:
+    """True where one of the column `lines` separates the pixel from the centre (xi, yi)."""
+    return F.expr(
         "exists(lines, l -> IF(l.at IS NOT NULL, (l.at - x) * (l.at - xi) <= 0, "
         "(l.a * x + l.b - y) * (l.a * xi + l.b - yi) <= 0))")
+
+
+def occlusion_noise(raster: DataFrame, lines: DataFrame) -> DataFrame:
+    """Mark the pixels that an occluding line separates from the iris centre."""
     return (attach(raster, lines)
-            .select("image_id", "y", "x", "v", hidden.alias("noise")))
+            .select("image_id", "y", "x", "v", behind_line().alias("noise")))

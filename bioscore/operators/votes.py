@@ -398,58 +398,77 @@ def _circle(raster: DataFrame, ids: DataFrame, search: dict) -> DataFrame:
     return find_circle(raster, limits, **rest)
 
 
+def _cut(raster: DataFrame, parts: DataFrame, new_id: str = "image_id") -> DataFrame:
+    """Pixels x1 … x2, y1 … y2 (1-based) of each image, renumbered from 0."""
+    wanted = parts.select("image_id", "h", F.col(new_id).alias("_id"), "x1", "y1", "x2", "y2")
+    return (attach(raster, wanted)
+            .where((F.col("x") + 1).between(F.col("x1"), F.col("x2"))
+                   & (F.col("y") + 1).between(F.col("y1"), F.col("y2")))
+            .select(F.col("_id").alias("image_id"), (F.col("y") + 1 - F.col("y1")).alias("y"),
+                    (F.col("x") + 1 - F.col("x1")).alias("x"), "v"))
+
+
+def _iris_box(circles: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`circles` with the box x1 … x2, y1 … y2 (1-based) of the iris (xi, yi, ri), and h."""
+    x, y, r = F.col("xi"), F.col("yi"), F.col("ri")
+    return (circles.join(sizes, "image_id")
+            .withColumn("x1", F.greatest(x - r, F.lit(1))).withColumn("y1", F.greatest(y - r, F.lit(1)))
+            .withColumn("x2", F.least(x + r, F.col("w"))).withColumn("y2", F.least(y + r, F.col("h"))))
+
+
+def segment_circles(raster: DataFrame, iris: dict = IRIS_SEARCH, pupil: dict = PUPIL_SEARCH) -> DataFrame:
+    """Iris circle and the pupil circle inside it: (image_id, xp, yp, rp, xi, yi, ri)."""
+    _checkpoints(raster.sparkSession)
+    sizes = image_sizes(raster).checkpoint()
+    outer = _circle(raster, sizes, iris).select(
+        "image_id", F.col("col").alias("xi"), F.col("row").alias("yi"), F.col("r").alias("ri")).checkpoint()
+    box = _iris_box(outer, sizes)
+    inner = _circle(_cut(raster, box), sizes, pupil)
+    return box.join(inner, "image_id").select(
+        "image_id", (F.col("x1") + F.col("col")).alias("xp"), (F.col("y1") + F.col("row")).alias("yp"),
+        F.col("r").alias("rp"), "xi", "yi", "ri").checkpoint()
+
+
+def straight_eyelids(raster: DataFrame, circles: DataFrame, **lines) -> DataFrame:
+    """Lines above and below the pupil inside the iris box: (image_id, x1, x2, top, bottom).
+
+    Rows to `top` and from `bottom` (1-based) of the columns x1 … x2 are eyelid; NULL where no
+    line was found. Further arguments go to `find_lines`.
+    """
+    box = _iris_box(circles, image_sizes(raster))
+    first, last = F.col("yp") - F.col("rp"), F.col("yp") + F.col("rp")
+    parts = F.array(F.struct(F.lit("top").alias("part"), F.col("y1").alias("y1"), (first - 1).alias("y2")),
+                    F.struct(F.lit("bottom").alias("part"), (last - 1).alias("y1"), F.col("y2").alias("y2")))
+    strips = (box.select("image_id", "h", "x1", "x2", F.explode(parts).alias("s"))
+              .select("image_id", "h", "x1", "x2", "s.*")
+              .withColumn("key", F.concat_ws("|", "image_id", "part")))
+    found = find_lines(_cut(raster, strips, "key"), **lines)
+    spans = line_extents(found, strips.select(
+        F.col("key").alias("image_id"), F.col("image_id").alias("eye"), "part",
+        F.lit(0).alias("ox"), (F.col("y1") - 1).alias("oy")))
+    edge = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    lids = spans.groupBy(F.col("eye").alias("image_id")).agg(
+        edge("top", "high").alias("top"), edge("bottom", "low").alias("bottom"))
+    return box.select("image_id", "x1", "x2").join(lids, "image_id", "left")
+
+
+def under_eyelid() -> Column:
+    """True for pixels that the columns x1, x2, top and bottom of `straight_eyelids` cover."""
+    hidden = (F.coalesce(F.col("y") + 1 <= F.col("top"), F.lit(False))
+              | F.coalesce(F.col("y") + 1 >= F.col("bottom"), F.lit(False)))
+    return F.coalesce((F.col("x") + 1).between(F.col("x1"), F.col("x2")) & hidden, F.lit(False))
+
+
 def segment(raster: DataFrame, iris: dict = IRIS_SEARCH, pupil: dict = PUPIL_SEARCH,
             eyelids: bool = True, highlight: int | None = None, **lines) -> tuple[DataFrame, DataFrame]:
     """Iris circle, pupil circle inside it, straight eyelids: (circles, raster with noise).
 
     Further arguments go to `find_lines`.
     """
-    _checkpoints(raster.sparkSession)
-    sizes = image_sizes(raster).checkpoint()
-    outer = _circle(raster, sizes, iris).checkpoint()
-    box = (outer.join(sizes, "image_id")
-           .withColumn("x1", F.greatest(F.col("col") - F.col("r"), F.lit(1)))
-           .withColumn("y1", F.greatest(F.col("row") - F.col("r"), F.lit(1)))
-           .withColumn("x2", F.least(F.col("col") + F.col("r"), F.col("w")))
-           .withColumn("y2", F.least(F.col("row") + F.col("r"), F.col("h"))))
-
-    def cut(parts: DataFrame, new_id: str = "image_id") -> DataFrame:
-        """Pixels x1 … x2, y1 … y2 (1-based) of each image, renumbered from 0."""
-        wanted = parts.select("image_id", "h", F.col(new_id).alias("_id"), "x1", "y1", "x2", "y2")
-        return (attach(raster, wanted)
-                .where((F.col("x") + 1).between(F.col("x1"), F.col("x2"))
-                       & (F.col("y") + 1).between(F.col("y1"), F.col("y2")))
-                .select(F.col("_id").alias("image_id"), (F.col("y") + 1 - F.col("y1")).alias("y"),
-                        (F.col("x") + 1 - F.col("x1")).alias("x"), "v"))
-
-    inner = _circle(cut(box), sizes, pupil).checkpoint()
-    inside = inner.select("image_id", F.col("row").alias("prow"), F.col("col").alias("pcol"),
-                          F.col("r").alias("rp"))
-    both = box.join(inside, "image_id")
-    circles = both.select("image_id", (F.col("x1") + F.col("pcol")).alias("xp"),
-                          (F.col("y1") + F.col("prow")).alias("yp"), "rp",
-                          F.col("col").alias("xi"), F.col("row").alias("yi"), F.col("r").alias("ri"))
-    noise = F.lit(False)
-    marked = raster
+    circles = segment_circles(raster, iris, pupil)
+    noise, marked = F.lit(False), raster
     if eyelids:
-        first, last = F.col("y1") + F.col("prow") - F.col("rp"), F.col("y1") + F.col("prow") + F.col("rp")
-        parts = F.array(F.struct(F.lit("top").alias("part"), F.col("y1").alias("y1"), (first - 1).alias("y2")),
-                        F.struct(F.lit("bottom").alias("part"), (last - 1).alias("y1"), F.col("y2").alias("y2")))
-        strips = (both.select("image_id", "h", "x1", "x2", F.explode(parts).alias("s"))
-                  .select("image_id", "h", "x1", "x2", "s.*")
-                  .withColumn("key", F.concat_ws("|", "image_id", "part")))
-        found = find_lines(cut(strips, "key"), **lines)
-        spans = line_extents(found, strips.select(
-            F.col("key").alias("image_id"), F.col("image_id").alias("eye"), "part",
-            F.lit(0).alias("ox"), (F.col("y1") - 1).alias("oy")))
-        edge = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
-        lids = spans.groupBy(F.col("eye").alias("image_id")).agg(
-            edge("top", "high").alias("_top"), edge("bottom", "low").alias("_bottom"))
-        marked = attach(marked, both.select("image_id", "h", "x1", "x2").join(lids, "image_id", "left"))
-        columns = (F.col("x") + 1).between(F.col("x1"), F.col("x2"))
-        hidden = (F.coalesce(F.col("y") + 1 <= F.col("_top"), F.lit(False))
-                  | F.coalesce(F.col("y") + 1 >= F.col("_bottom"), F.lit(False)))
-        noise = columns & hidden
+        marked, noise = attach(raster, straight_eyelids(raster, circles, **lines)), under_eyelid()
     if highlight is not None:
         noise = noise | (F.col("v") > highlight)
     return circles, marked.select("image_id", "y", "x", "v", noise.alias("noise"))

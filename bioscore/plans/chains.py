@@ -84,6 +84,12 @@ def build_by_sensor(spark, d):
         search={"high": 0.3, "low": 0.25}, lines=LINES, sigma=0.55, **SMALL))
 
 
+def build_by_source(spark, d):
+    """Templates with the boundary source and the masks of each image; reasons for the rest."""
+    templates, dropped = jobs.build_chosen(_double(fx.eyes(spark, d)), *fx.eye_sources(spark, d), IRIS, PUPIL, LINES, **SMALL)
+    return _words(templates).unionByName(dropped.drop("mode"), allowMissingColumns=True)
+
+
 # ------------------------------------------------------------------------ SQL
 
 def _weights(sigma: float) -> list[str]:
@@ -342,7 +348,7 @@ lid_y AS (SELECT image_id, lid, x, CASE WHEN l >= 1 THEN l ELSE f0 END AS y FROM
 
 QUERIES = {f.__name__: f for f in (
     find_circle, find_circle_by_sensor, find_lines, segmentation, eyelid_search, locate_eyes_by_sensor,
-    build_by_sensor)}
+    build_by_sensor, build_by_source)}
 
 ORACLES = {
     "find_circle": f"""WITH RECURSIVE {R}, {DOUBLES('raster')}, {TAPS_SQL}, {OFFSETS_SQL},
@@ -372,3 +378,39 @@ usable AS (
 {RANKED_SQL}, """ + _pack_sql("bits", RADIAL, ANGULAR, 1).replace(
         "SELECT image_id, 0 AS data_type", "SELECT image_id, (SELECT any_value(s.code) FROM sensors s WHERE s.image_id = padded.image_id) AS data_type"),
 }
+
+_POINT_CIRCLES = CIRCLE_SQL.replace("found AS", "point_circles AS")
+ORACLES["build_by_source"] = f"""WITH RECURSIVE {fx.EYES_SQL}, {DOUBLES('eyes')}, {FRAMES('eyes')}, {TAPS_SQL}, {OFFSETS_SQL}, {fx.EYE_SOURCES_SQL},
+{_POINT_CIRCLES},
+routed AS (
+  SELECT i.image_id, coalesce(i.mode, CASE WHEN p.ri IS NOT NULL THEN 2 WHEN g.ri IS NOT NULL THEN 3 ELSE 1 END) AS mode, eyelids, highlight,
+    f.w IS NOT NULL AS seen FROM images i LEFT JOIN point_circles p USING (image_id) LEFT JOIN given g USING (image_id) LEFT JOIN frames f USING (image_id)),
+searched AS (SELECT d.* FROM dots d SEMI JOIN (SELECT image_id FROM routed WHERE mode = 1) s USING (image_id)),
+{segment_sql('s', 'searched', IRIS, PUPIL)},
+circles AS (
+  SELECT image_id, xp, yp, rp, xi, yi, ri, mode, eyelids, highlight FROM routed JOIN (
+    SELECT 1 AS mode, image_id, xp, yp, rp, xi, yi, ri FROM s_found UNION ALL SELECT 2, image_id, xp, yp, rp, xi, yi, ri FROM point_circles
+    UNION ALL SELECT 3, image_id, xp, yp, rp, xi, yi, ri FROM given) USING (image_id, mode) WHERE seen AND ri IS NOT NULL AND rp IS NOT NULL),
+straight AS (SELECT image_id, xp, yp, rp, xi, yi, ri FROM circles WHERE eyelids AND mode <> 2),
+{lid_sql('t', 'dots', 'straight', LINES)},
+spots AS (
+  SELECT i.image_id, i.k, i.x, i.y, l.x AS lx, l.y AS ly, l.valid AS lv FROM boundary i
+  JOIN boundary l ON l.image_id = i.image_id AND l.ring = 'iris' AND l.k = (i.k + 7) % 8
+  JOIN circles c ON c.image_id = i.image_id AND c.mode = 2 AND c.eyelids WHERE i.ring = 'iris' AND NOT i.valid),
+hidden_lines AS (
+  SELECT image_id, NULL::DOUBLE AS a, NULL::DOUBLE AS b, x::DOUBLE AS up FROM spots WHERE k % 4 = 2
+  UNION ALL SELECT image_id, s, y - s * x, NULL FROM (
+    SELECT *, CASE k % 4 WHEN 0 THEN 0e0 WHEN 1 THEN 0.26::DOUBLE ELSE (-0.26)::DOUBLE END AS s FROM spots) WHERE k % 4 <> 2
+  UNION ALL SELECT image_id, s, y - s * x, NULL FROM (SELECT *, (ly - y) / (lx - x) AS s FROM spots WHERE NOT lv AND lx <> x)),
+behind AS (
+  SELECT DISTINCT r.image_id, r.y, r.x FROM dots r JOIN hidden_lines l USING (image_id) JOIN circles f USING (image_id)
+  WHERE CASE WHEN l.up IS NOT NULL THEN (l.up - r.x) * (l.up - f.xi) <= 0 ELSE (l.a * r.x + l.b - r.y) * (l.a * f.xi + l.b - f.yi) <= 0 END),
+usable AS (
+  SELECT r.image_id, r.y, r.x, r.v FROM dots r JOIN circles c USING (image_id) LEFT JOIN t_lids l USING (image_id)
+  LEFT JOIN behind b ON b.image_id = r.image_id AND b.y = r.y AND b.x = r.x
+  WHERE b.x IS NULL AND r.v >= 1 AND r.v <= coalesce(highlight, 255)
+    AND NOT coalesce(r.x + 1 BETWEEN x1 AND x2 AND (coalesce(r.y + 1 <= top, false) OR coalesce(r.y + 1 >= bottom, false)), false)),
+{_grid_sql(RADIAL, ANGULAR)}, {BAND_SQL}, {_response_sql(ANGULAR, WAVELENGTH, 0.5, 1, 1)},
+{FIXED_BITS_SQL}, {_pack_sql('fixed_bits', RADIAL, ANGULAR, 1).replace('SELECT image_id, 0 AS data_type', 'SELECT image_id, NULL AS reason, 0 AS data_type')}
+UNION ALL BY NAME SELECT image_id, CASE WHEN NOT seen THEN 'no image' WHEN mode NOT IN (1, 2, 3) THEN 'unknown mode' ELSE 'no boundary' END AS reason
+FROM routed WHERE image_id NOT IN (SELECT image_id FROM circles)"""

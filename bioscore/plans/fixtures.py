@@ -312,3 +312,43 @@ def eye_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 EYE_SENSORS_SQL = f"""sensors AS (
   SELECT DISTINCT (vec_id // {EYE_ROWS})::INTEGER AS image_id,
     {list(SENSORS)}[(vec_id // {EYE_ROWS} % {len(SENSORS)} + 1)::INTEGER] AS code FROM embeddings)"""
+
+
+def eye_sources(spark: SparkSession, sf_dir: str):
+    """(images, points, circles): boundary modes in turn, some without their source or pixels."""
+    v = F.col("vec_id")
+    t = table(spark, sf_dir, "embeddings").where(v % EYE_ROWS == 0).select(
+        F.floor(v / EYE_ROWS).cast("int").alias("image_id"), "embedding")
+    i = F.col("image_id")
+    more = F.explode(F.array(i, i + 1_000_000))
+    images = (t.select(more.alias("image_id"), i.alias("of")).where("image_id = of OR of % 5 = 0")
+              .withColumn("mode", F.get(F.array(*[F.lit(k) for k in (None, 1, 2, 3, 9)]), F.col("of") % 5))
+              .withColumn("eyelids", F.col("of") % 3 != 0)
+              .withColumn("highlight", F.when(F.col("of") % 4 != 1, 200)).drop("of"))
+    points = t.where("image_id % 10 IN (0, 2)").select("image_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"), "embedding")
+    e = F.expr("cast(embedding[k] as double)")
+    turn, rho = F.col("k") % 8 * (3.141592653589793 / 4), F.when(F.col("k") < 8, 9.0).otherwise(26.0)
+    near = lambda f: F.floor(rho * f(turn) + e * 4 + 0.5).cast("int")
+    points = points.select("image_id", F.when(F.col("k") < 8, "pupil").otherwise("iris").alias("ring"),
+                           (F.col("k") % 8).alias("k"), (48 + near(F.sin)).alias("x"),
+                           (36 - near(F.cos)).alias("y"), (F.abs(e) > 0.03).alias("valid"))
+    circles = t.where("image_id % 5 = 3 OR image_id % 10 = 5").select(
+        "image_id", *[F.lit(n).alias(c) for c, n in (("xp", 49), ("yp", 36), ("rp", 9))],
+        (48 + i % 3).cast("int").alias("xi"), F.lit(37).alias("yi"), F.lit(26).alias("ri"))
+    return images, points, circles
+
+
+EYE_SOURCES_SQL = f"""firsts AS (SELECT (vec_id // {EYE_ROWS})::INTEGER AS image_id, embedding FROM embeddings WHERE vec_id % {EYE_ROWS} = 0),
+images AS (
+  SELECT image_id + extra AS image_id, CASE image_id % 5 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 9 END AS mode,
+    image_id % 3 <> 0 AS eyelids, CASE WHEN image_id % 4 <> 1 THEN 200 END AS highlight
+  FROM firsts, (VALUES (0), (1000000)) t(extra) WHERE extra = 0 OR image_id % 5 = 0),
+marks AS (
+  SELECT image_id, CASE WHEN i < 8 THEN 'pupil' ELSE 'iris' END AS ring, (i % 8)::INTEGER AS k, CASE WHEN i < 8 THEN 9e0 ELSE 26e0 END AS rho,
+    embedding[i + 1]::DOUBLE AS e FROM firsts, range(16) t(i) WHERE image_id % 10 IN (0, 2)),
+boundary AS (
+  SELECT image_id, ring, k, (48 + floor(rho * sin(k * (pi() / 4)) + e * 4 + 0.5))::INTEGER AS x,
+    (36 - floor(rho * cos(k * (pi() / 4)) + e * 4 + 0.5))::INTEGER AS y, abs(e) > 0.03::DOUBLE AS valid FROM marks),
+given AS (
+  SELECT image_id, 49 AS xp, 36 AS yp, 9 AS rp, (48 + image_id % 3)::INTEGER AS xi, 37 AS yi, 26 AS ri FROM firsts
+  WHERE image_id % 5 = 3 OR image_id % 10 = 5)"""
