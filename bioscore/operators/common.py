@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def positions_within(df: DataFrame, key: str, order: str, out: str,
@@ -162,6 +165,52 @@ def neighbourhood(raster: DataFrame, value: str, rx: int, ry: int, out: str = "n
     return rows.where(F.col("_s") == F.floor(F.col("y") / strip)).drop("_s")
 
 
+def on_strips(raster: DataFrame, keep: Sequence[str], reach: int, kernel: Callable, makes: str,
+              strip: int = 64) -> DataFrame:
+    """New pixel values from dense arrays of strips of `strip` rows with `reach` rows around.
+
+    `kernel(place, **values)` gets the top row of its array, the image size if it is carried,
+    and one array per column that is not in `keep`; cells without a pixel hold NaN. It gives
+    the arrays of the columns named in `makes`. One shuffle by (image, strip), as in
+    `neighbourhood`, and never more than a strip of one image in a kernel.
+    """
+    lo = F.greatest(F.floor((F.col("y") - reach) / strip), F.lit(0))
+    rows = raster.withColumn("_s", F.explode(F.sequence(
+        lo, F.greatest(F.floor((F.col("y") + reach) / strip), lo))))
+    values = [c for c in raster.columns if c not in keep]
+    made = T.StructType.fromDDL(makes)
+
+    def run(table: pa.Table) -> pa.Table:
+        number = table.column("_s")[0].as_py()
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        top = number * strip - reach
+        place = {"top": top, **{c: table.column(c)[0].as_py() for c in ("w", "h") if c in keep}}
+        grids = {}
+        for name in values:
+            grid = np.full((strip + 2 * reach, int(x.max()) + 1), np.nan)
+            grid[y - top, x] = table.column(name).cast(pa.float64()).to_numpy()
+            grids[name] = grid
+        out = kernel(place, **grids)
+        inner = y // strip == number
+        cells = (y[inner] - top, x[inner])
+        table = table.select(list(keep)).filter(pa.array(inner))
+        for name in made.names:
+            table = table.append_column(name, pa.array(out[name][cells]))
+        return table
+
+    schema = T.StructType([*[raster.schema[c] for c in keep], *made.fields])
+    return rows.groupBy("image_id", "_s").applyInArrow(run, schema)
+
+
+def shifted(grid: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """The cells dy further down and dx further right; 0 outside."""
+    out = np.zeros_like(grid)
+    h, w = grid.shape
+    out[max(-dy, 0):h - max(dy, 0), max(-dx, 0):w - max(dx, 0)] = \
+        grid[max(dy, 0):h - max(-dy, 0), max(dx, 0):w - max(-dx, 0)]
+    return out
+
+
 def at(nb: str, dx: int, dy: int, rx: int, ry: int) -> Column:
     """Element of a `neighbourhood` array at offset (dx, dy)."""
     return F.col(nb)[(dy + ry) * (2 * rx + 1) + dx + rx]

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ADJUST, clamp, half_even, ratio, real
-from .common import at, attach, neighbourhood
+from .common import at, attach, neighbourhood, on_strips, shifted
 
 #: Co-occurrence directions: angle → (dx, dy).
 DIRECTIONS = {0: (1, 0), 45: (1, -1), 90: (0, -1), 135: (-1, -1)}
@@ -206,19 +207,22 @@ def gauss_weights(sigma: float) -> list[float]:
 
 
 def gaussian_smooth(raster: DataFrame, sigma: float = 2.0) -> DataFrame:
-    """Zero-padded smoothing; both passes run inside the same strips."""
+    """Zero-padded smoothing; both passes run on the same strips."""
     weights = gauss_weights(sigma)
     reach = len(weights) // 2
 
-    def weighted(values) -> Column:
-        total = F.lit(0.0)
-        for w, value in zip(weights, values):
-            total = total + F.coalesce(value, F.lit(0)) * F.lit(w)
-        return total
-
-    near = neighbourhood(raster, "v", reach, reach, across=weighted)
-    lines = [F.col("nb")[k] for k in range(2 * reach + 1)]
-    return near.select(*carried(raster), weighted(lines).alias("v"))
+    def smooth(place, v):
+        there = ~np.isnan(v)
+        for axis in (1, 0):
+            v = np.where(there & ~np.isnan(v), v, 0.0)
+            total = np.zeros_like(v)
+            for k, w in enumerate(weights):
+                total = total + shifted(v, *((0, k - reach) if axis else (k - reach, 0))) * w
+            v = total
+        return {"v": v}
+
+    keep = carried(raster)
+    return on_strips(raster.select(*keep, "v"), keep, reach, smooth, "v double")
 
 
 def mirrored(raster: DataFrame, reach: int, side: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ADJUST, fixed, half_away
 from ..session import checkpoint_ready
-from .common import at, attach, lookup, neighbourhood
+from .common import attach, lookup, on_strips, shifted
 from .components import components
 from .geometry import PI, line_points
 from .raster import carried, crop, decimate, gamma, gaussian_smooth, image_sizes, limit, sized
@@ -30,17 +30,18 @@ REGION_TILE = 256
 
 def gradient(raster: DataFrame, vert: float = 1.0, horz: float = 1.0) -> DataFrame:
     """Weighted gradient magnitude v and direction `orient` in degrees, 0 … 180."""
-    p = lambda dx, dy: F.coalesce(at("nb", dx, dy, 1, 1), F.lit(0)).cast("double")
-    h, v = p(1, 0) - p(-1, 0), p(0, 1) - p(0, -1)
-    d1, d2 = p(1, 1) - p(-1, -1), p(1, -1) - p(-1, 1)
-    gx, gy = (h + (d1 + d2) / 2) * vert, (v + (d1 - d2) / 2) * horz
-    turn = F.atan2(-F.col("_y"), F.col("_x"))
-    turn = F.when(F.col("_y") == 0, 0.0).when(turn < 0, turn + PI).otherwise(turn)
-    return (neighbourhood(raster, "v", 1, 1)
-            .select(*carried(raster), gx.alias("_x"), gy.alias("_y"))
-            .select(*carried(raster),
-                    F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y")).alias("v"),
-                    (turn / PI * 180).alias("orient")))
+    def slopes(place, v):
+        v = np.nan_to_num(v)
+        p = lambda dx, dy: shifted(v, dy, dx)
+        h, g = p(1, 0) - p(-1, 0), p(0, 1) - p(0, -1)
+        d1, d2 = p(1, 1) - p(-1, -1), p(1, -1) - p(-1, 1)
+        gx, gy = (h + (d1 + d2) / 2) * vert, (g + (d1 - d2) / 2) * horz
+        turn = np.arctan2(-gy, gx)
+        turn = np.where(gy == 0, 0.0, np.where(turn < 0, turn + PI, turn))
+        return {"v": np.sqrt(gx * gx + gy * gy), "orient": turn / PI * 180}
+
+    keep = carried(raster)
+    return on_strips(raster.select(*keep, "v"), keep, 1, slopes, "v double, orient double")
 
 
 def thinning_table(radius: float = THIN_RADIUS) -> list[tuple]:
@@ -65,25 +66,29 @@ def thin(edges: DataFrame) -> DataFrame:
 
     `edges` carries v and orient. The two outermost pixels of an image are 0.
     """
-    spark = edges.sparkSession
-    names = ["degree", "a0", "a1", "a2", "a3", "b0", "b1", "b2", "b3", "fx", "fy"]
-    table = spark.createDataFrame(
-        thinning_table(), ", ".join(f"{n} {'double' if n[0] == 'f' else 'int'}" for n in names))
+    rows = np.array(thinning_table())
+    taps, parts = rows[:, 1:9].astype(np.int64), rows[:, 9:]
+
+    def keep_tops(place, v, orient):
+        out = np.zeros_like(v)
+        y, x = np.nonzero(v > 0)
+        inside = ((x >= 2) & (y + place["top"] >= 2) & (x < place["w"] - 2)
+                  & (y + place["top"] < place["h"] - 2) & (y >= 2) & (y < v.shape[0] - 2))
+        y, x = y[inside], x[inside]
+        degree = (orient[y, x] + ADJUST).astype(np.int64)
+        fx, fy = parts[degree].T
+        top = np.ones(len(y), bool)
+        for side in (0, 4):
+            tl, tr, bl, br = (v[y + taps[degree, side + k] // 5 - 2, x + taps[degree, side + k] % 5 - 2]
+                              for k in range(4))
+            upper, lower = tl + fx * (tr - tl), bl + fx * (br - bl)
+            top &= v[y, x] > upper + fy * (lower - upper)
+        out[y[top], x[top]] = v[y[top], x[top]]
+        return {"v": out}
+
     edges = sized(edges)
-    near = neighbourhood(edges, "v", 2, 2)
-    joined = near.withColumn("degree", (F.col("orient") + ADJUST).cast("int")).join(
-        F.broadcast(table), "degree")                                  # 181 rows
-
-    def side(s: str) -> Column:
-        tl, tr, bl, br = (F.get("nb", F.col(f"{s}{i}")) for i in range(4))
-        upper = tl + F.col("fx") * (tr - tl)
-        lower = bl + F.col("fx") * (br - bl)
-        return upper + F.col("fy") * (lower - upper)
-
-    inside = ((F.col("x") >= 2) & (F.col("y") >= 2)
-              & (F.col("x") < F.col("w") - 2) & (F.col("y") < F.col("h") - 2))
-    top = inside & (F.col("v") > side("a")) & (F.col("v") > side("b"))
-    return joined.select(*carried(edges), F.when(top, F.col("v")).otherwise(0.0).alias("v"))
+    keep = carried(edges)
+    return on_strips(edges.select(*keep, "v", "orient"), keep, 2, keep_tops, "v double")
 
 
 def _label_tile(table: pa.Table) -> pa.Table:

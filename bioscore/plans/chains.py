@@ -29,6 +29,7 @@ from .encoding import (
 )
 from .pixels import R, f6
 from .segmentation import CIRCLE_SQL, _anchor_sql, _lim
+from .voting import TAPS_SQL
 
 PI_SQL = "3.14159265358979::DOUBLE"
 IRIS = {"r_low": 20, "r_high": 32, "scaling": 0.5, "high": 0.3, "low": 0.25, "vert": 1.0, "horz": 0.0}
@@ -107,16 +108,6 @@ def _smoothed(over: str) -> str:
     return "0e0 + " + " + ".join(terms)
 
 
-TAPS_SQL = f"""angles AS (
-  SELECT d::INTEGER AS degree, 1.5e0 * cos(d * {PI_SQL} / 180) AS xo, 1.5e0 * sin(d * {PI_SQL} / 180) AS yo FROM range(181) t(d)),
-tap_aims(degree, fx, fy, dx, dy, side) AS (
-  SELECT degree, xo - floor(xo), yo - floor(yo), s * CASE WHEN degree = 90 THEN 0 ELSE xo END,
-    -s * CASE WHEN degree = 180 THEN 0 ELSE yo END, s FROM angles, (VALUES (1), (-1)) t(s)),
-taps AS (
-  SELECT degree, side, fx, fy, k, (CASE WHEN k % 2 = 0 THEN floor(dx) ELSE ceil(dx) END)::INTEGER AS dx,
-    (CASE WHEN k < 2 THEN floor(dy) ELSE ceil(dy) END)::INTEGER AS dy FROM tap_aims, range(4) q(k))"""
-
-
 def edge_sql(p: str, source: str, scaling: str, vert: float, horz: float, high: float, low: float) -> str:
     """`{p}_edge(image_id, y, x, w, h)` of the raster `source`; `scaling` may name a column of
     `{p}_given(image_id, scaling)`, then that table must exist."""

@@ -84,11 +84,15 @@ gradient AS (
     CASE WHEN gy = 0 THEN 0e0 WHEN atan2(-gy, gx) < 0 THEN atan2(-gy, gx) + 3.14159265358979::DOUBLE ELSE atan2(-gy, gx) END
       / 3.14159265358979::DOUBLE * 180 AS orient FROM xy)"""
 
-_TABLE = votes.thinning_table()
-TABLE_SQL = "taps(degree, k, dx, dy) AS (VALUES " + ", ".join(
-    f"({row[0]}, {k}, {row[k + 1] % 5 - 2}, {row[k + 1] // 5 - 2})" for row in _TABLE for k in range(8)) + \
-    "), parts(degree, fx, fy) AS (VALUES " + ", ".join(
-    f"({row[0]}, {row[9]!r}::DOUBLE, {row[10]!r}::DOUBLE)" for row in _TABLE) + ")"
+TAPS_SQL = """angles AS (
+  SELECT d::INTEGER AS degree, 1.5e0 * cos(d * 3.14159265358979::DOUBLE / 180) AS xo, 1.5e0 * sin(d * 3.14159265358979::DOUBLE / 180) AS yo
+  FROM range(181) t(d)),
+tap_aims(degree, fx, fy, dx, dy, side) AS (
+  SELECT degree, xo - floor(xo), yo - floor(yo), s * CASE WHEN degree = 90 THEN 0 ELSE xo END,
+    -s * CASE WHEN degree = 180 THEN 0 ELSE yo END, s FROM angles, (VALUES (1), (-1)) t(s)),
+taps AS (
+  SELECT degree, side, fx, fy, k, (CASE WHEN k % 2 = 0 THEN floor(dx) ELSE ceil(dx) END)::INTEGER AS dx,
+    (CASE WHEN k < 2 THEN floor(dy) ELSE ceil(dy) END)::INTEGER AS dy FROM tap_aims, range(4) q(k))"""
 
 EDGES_SQL = f"""{R}, edges AS (SELECT image_id, y, x FROM raster WHERE v > {BRIGHT})"""
 CIRCLE_VOTES_SQL = f"""{EDGES_SQL},
@@ -126,19 +130,17 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLES = {
     "gradient": f"WITH {GRADIENT_SQL} SELECT image_id, y, x, {f6('v')} AS v, {f6('orient')} AS orient FROM gradient",
-    "thin_edges": f"""WITH {GRADIENT_SQL}, {TABLE_SQL},
+    "thin_edges": f"""WITH {GRADIENT_SQL}, {TAPS_SQL},
 looks AS (
-  SELECT g.image_id, g.y, g.x, g.v, g.orient, t.k, q.v AS nv, t.degree FROM gradient g
-  JOIN taps t ON t.degree = trunc(g.orient + 5e-13)::INTEGER
-  LEFT JOIN gradient q ON q.image_id = g.image_id AND q.x = g.x + t.dx AND q.y = g.y + t.dy),
-wide AS (
-  SELECT image_id, y, x, any_value(v) AS v, any_value(degree) AS degree, """ + ", ".join(
-        f"max(nv) FILTER (k = {k}) AS n{k}" for k in range(8)) + """ FROM looks GROUP BY image_id, y, x),
-sides AS (
-  SELECT w.*, (n0 + fx * (n1 - n0)) + fy * ((n2 + fx * (n3 - n2)) - (n0 + fx * (n1 - n0))) AS va,
-    (n4 + fx * (n5 - n4)) + fy * ((n6 + fx * (n7 - n6)) - (n4 + fx * (n5 - n4))) AS vb FROM wide w JOIN parts p USING (degree))
-""" + f"""SELECT s.image_id, s.y, s.x, {f6('''CASE WHEN s.x BETWEEN 2 AND z.w - 3 AND s.y BETWEEN 2 AND z.h - 3 AND s.v > va AND s.v > vb
-  THEN s.v ELSE 0 END''')} AS v FROM sides s JOIN sizes z USING (image_id)""",
+  SELECT g.image_id, g.y, g.x, side, any_value(g.v) AS v, any_value(fx) AS fx, any_value(fy) AS fy, max(q.v) FILTER (k = 0) AS tl,
+    max(q.v) FILTER (k = 1) AS tr, max(q.v) FILTER (k = 2) AS bl, max(q.v) FILTER (k = 3) AS br
+  FROM gradient g JOIN taps t ON t.degree = trunc(g.orient + 5e-13)::INTEGER
+  LEFT JOIN gradient q ON q.image_id = g.image_id AND q.x = g.x + t.dx AND q.y = g.y + t.dy GROUP BY g.image_id, g.y, g.x, side),
+tops AS (
+  SELECT image_id, y, x, any_value(v) AS v, bool_and(v > (tl + fx * (tr - tl)) + fy * ((bl + fx * (br - bl)) - (tl + fx * (tr - tl)))) AS top
+  FROM looks GROUP BY image_id, y, x)
+SELECT s.image_id, s.y, s.x, {f6("CASE WHEN s.x BETWEEN 2 AND z.w - 3 AND s.y BETWEEN 2 AND z.h - 3 AND top THEN s.v ELSE 0 END")} AS v
+FROM tops s JOIN sizes z USING (image_id)""",
     "region_grow": f"""WITH RECURSIVE {R},
 strong AS (SELECT r.image_id, y, x, v, y * w + x AS i, w, w * h AS n FROM raster r JOIN sizes USING (image_id) WHERE v > 160),
 grown AS (
