@@ -59,6 +59,29 @@ def running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[
     return joined.withColumn(out, result).drop("_bucket", "_carry", "_inner")
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], bucket: Column, order: str,
+                 values: Sequence[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """Running sums of several columns in one two-level scan, and their totals per key.
+
+    For a value c the columns c_run and c_all are added. `more` holds further figures of a key
+    as aggregates over the bucket totals (columns c_sum, and _bucket).
+    """
+    rows = df.withColumn("_bucket", bucket)
+    ordered = Window.partitionBy(*keys).orderBy("_bucket")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"{c}_sum") for c in values])
+    totals = totals.select(
+        *keys, "_bucket", *[F.coalesce(F.sum(f"{c}_sum").over(before), F.lit(0)).alias(f"{c}_carry") for c in values],
+        *[F.sum(f"{c}_sum").over(whole).alias(f"{c}_all") for c in values],
+        *[figure.over(whole).alias(name) for name, figure in (more or {}).items()])
+    inner = (Window.partitionBy(*keys, "_bucket").orderBy(order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (rows.join(totals, [*keys, "_bucket"])
+            .select("*", *[(F.sum(c).over(inner) + F.col(f"{c}_carry")).alias(f"{c}_run") for c in values])
+            .drop("_bucket", *[f"{c}_carry" for c in values]))
+
+
 def lookup(df: DataFrame, figures: DataFrame, key: str | list[str], block: Column,
            how: str = "inner") -> DataFrame:
     """Join one row of figures per `key` (a column or several) to many rows of that key.

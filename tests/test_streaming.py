@@ -1,5 +1,6 @@
 """Enrolment from a stream of image rows."""
 
+from bioscore.operators.templates import read_templates
 from bioscore.streaming import enroll_stream
 from pyspark.sql import functions as F
 
@@ -18,5 +19,5 @@ def test_stream_enrols_each_image_once(spark, tmp_path):
     run()
     rows(7).write.mode("append").parquet(source)
     run()
-    got = spark.read.parquet(table)
+    got = read_templates(spark, table)
     assert got.count() == 7 and got.select("image_id").distinct().count() == 7

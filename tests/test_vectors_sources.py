@@ -2,8 +2,7 @@
 
 import numpy as np
 import pytest
-from bioscore.operators import evaluate, subspace
-from bioscore.operators.templates import enroll, missing_templates
+from bioscore.operators import evaluate, subspace, templates
 from bioscore.sources import boundaries, lists, presets, scores
 from pyspark.sql import functions as F
 
@@ -144,8 +143,40 @@ def test_enroll_builds_only_what_is_missing(spark, tmp_path):
 
     first = spark.range(5).select(F.col("id").alias("image_id"), F.lit(1).alias("data_type"))
     more = spark.range(8).select(F.col("id").alias("image_id"), F.lit(1).alias("data_type"))
-    enroll(spark, first, path, make)
-    enroll(spark, more, path, make)
-    assert built == [5, 3] and spark.read.parquet(path).count() == 8
+    templates.enroll(spark, first, path, make)
+    templates.enroll(spark, more, path, make)
+    assert built == [5, 3] and templates.read_templates(spark, path).count() == 8
     other = more.withColumn("data_type", F.lit(2))
-    assert missing_templates(other, spark.read.parquet(path)).count() == 8
+    assert templates.missing_templates(other, templates.read_templates(spark, path)).count() == 8
+
+
+def test_enrolment_survives_a_lost_job_and_two_writers(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "templates")
+    rows = lambda a, b: spark.range(a, b).select(F.col("id").alias("image_id"), F.lit(1).alias("data_type"))
+    made = lambda mark: lambda images: images.withColumn("code", F.lit(mark))
+    assert templates.read_templates(spark, path) is None
+
+    publish = templates.publish
+    monkeypatch.setattr(templates, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):                        # dies between stage and publish
+        templates.enroll(spark, rows(0, 5), path, made("a"), "batch-1")
+    assert templates.read_templates(spark, path) is None
+    monkeypatch.setattr(templates, "publish", publish)
+    assert templates.enroll(spark, rows(0, 5), path, made("b"), "batch-1")
+    assert not templates.enroll(spark, rows(0, 5), path, made("c"), "batch-1")
+    assert {r.code for r in templates.read_templates(spark, path).collect()} == {"b"}
+
+    both = [templates.stage(made(m)(rows(3, 9)), path, f"batch-{m}") for m in "xy"]    # at the same time
+    assert all([publish(spark, path, f"batch-{m}", folder) for m, folder in zip("xy", both)])
+    assert not publish(spark, path, "batch-x", templates.stage(made("z")(rows(3, 9)), path, "batch-x"))
+    got = {r.image_id: r.code for r in templates.read_templates(spark, path).collect()}
+    assert got == {i: "b" if i < 5 else "x" for i in range(9)}
+    assert templates.read_templates(spark, path).count() == 9
+
+    empty = tmp_path / "templates" / "manifest" / "batch-2"  # dies while it writes the manifest
+    empty.touch()
+    assert templates.read_templates(spark, path).count() == 9
+    assert templates.enroll(spark, rows(0, 12), path, made("d"), "batch-2")
+    assert templates.read_templates(spark, path).count() == 12
+    assert templates.remove_unpublished(spark, path, -1000) == 1
+    assert templates.read_templates(spark, path).count() == 12
