@@ -5,31 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.common import lookup
 from .shared import written
 
 ROUNDS = 60
+BLOCKS = 64
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of `edges` (u, v); root is the smallest of its component.
 
     Each round points every node at the smallest neighbour seen (first over the larger
-    neighbours, then over the smaller ones). Minima are combined before the shuffle, and a
-    node with very many neighbours is a skewed join key that adaptive execution splits.
-    The number of rounds grows with the logarithm of the longest path.
+    neighbours, then over the smaller ones). Minima are combined before the shuffle and spread
+    over (node, block of neighbours) before they are joined, so a node with very many
+    neighbours is many tasks' work. The number of rounds grows with the logarithm of the longest
+    path. Nodes may be of any type with an order.
     """
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"),
                                          F.least("u", "v").alias("v"))
     pairs = written(pairs.distinct(), name)
-    state = None
+    state, block = None, F.pmod(F.xxhash64("v"), F.lit(BLOCKS))
     for _ in range(ROUNDS):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (both.join(low.select("u", F.least("u", "m").alias("m")), "u")
+        large = (lookup(both, low.select("u", F.least("u", "m").alias("m")), "u", block)
                  .where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
+        small = lookup(large, low, "u", block).select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")),
                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         pairs = written(small.select("e.u", "e.v").where("u <> v").distinct(), name)

@@ -29,7 +29,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -94,7 +94,7 @@ def _signatures(width: int, bands: int, rows: int):
 
 
 def _member_sets(width: int):
-    schema = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("cell", pa.int64()),
+    schema = pa.schema([("member", pa.binary()), ("copies", pa.int64()), ("cell", pa.binary()),
                         ("block", pa.int32()), ("blocks", pa.int32()),
                         ("grams", pa.list_(pa.int64()))])
 
@@ -105,7 +105,7 @@ def _member_sets(width: int):
                     if digest(s) == d]
             yield pa.record_batch(
                 [*[piece.column(n).take(pa.array(keep, pa.int64()))
-                   for n in ("rep", "copies", "cell", "block", "blocks")],
+                   for n in ("member", "copies", "cell", "block", "blocks")],
                  pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))],
                 schema=schema)
     return run
@@ -153,7 +153,7 @@ def hang_together(pairs: np.ndarray) -> np.ndarray:
 
 
 def _check_groups(similar: tuple[int, int]):
-    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    schema = pa.schema([("member", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def checked(rows):
         one = {r[3]: r for r in rows}              # a repeated row is one member
@@ -173,7 +173,7 @@ def _check_groups(similar: tuple[int, int]):
         key, held, out = None, [], []
         for batch in batches:
             plain = [batch.column(n).to_pylist()
-                     for n in ("cell", "low", "high", "rep", "copies", "block")]
+                     for n in ("cell", "low", "high", "member", "copies", "block")]
             lists = batch.column("grams")
             values = lists.values.to_numpy().view(np.uint64)
             marks = lists.offsets.to_numpy()
@@ -191,33 +191,45 @@ def _check_groups(similar: tuple[int, int]):
     return run
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                    width: int = WIDTH, bands: int = BANDS, rows: int = ROWS,
-                    similar: tuple[int, int] = SIMILAR, block_rows: int = BLOCK_ROWS,
-                    block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """doc_id, class_id, copy_id, n_links, and n_words grams, for every row of `docs`.
+def _member_key(rep: str, digest: str) -> Column:
+    """Sixteen bytes in the order of the id, then of the digest: one key for each set."""
+    high = F.unhex(F.lpad(F.hex(F.col(rep).bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), 63))), 16, "0"))
+    return F.concat(high, F.substring(F.col(digest), 1, 8))
 
-    class_id: smallest id of all documents connected by links; copy_id: smallest id with an
-    equal set; n_links: how many other documents reach the similarity, copies included.
+
+def _id_of(member: Column) -> Column:
+    """The id in a member key."""
+    unsigned = F.conv(F.hex(F.substring(member, 1, 8)), 16, 10).cast("decimal(20,0)")
+    return (unsigned - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("bigint")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, width: int = WIDTH, bands: int = BANDS,
+             rows: int = ROWS, similar: tuple[int, int] = SIMILAR, block_rows: int = BLOCK_ROWS,
+             block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """(doc_id, digest, copy_id, class_id, first, n_links) of every row.
+
+    `first` is true for rows of the set that leads its class. Sets, not ids, are the members
+    of classes: an id may stand for several texts.
     """
     texts = modest_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signs = written(texts.mapInArrow(
         _signatures(width, bands, rows),
         "doc_id bigint, digest binary, grams int, bands array<bigint>"), "signatures")
     known = signs.where("digest is not null and doc_id is not null")
-    reps = written(known.groupBy("digest").agg(
+    reps = (known.groupBy("digest").agg(
         F.min(F.struct("doc_id", "grams", "bands")).alias("m"), F.count("*").alias("copies"))
-        .select("digest", F.col("m.doc_id").alias("rep"), "copies", "m.grams", "m.bands"), "reps")
+        .select("digest", F.col("m.doc_id").alias("rep"), "copies", "m.grams", "m.bands"))
+    reps = written(reps.withColumn("member", _member_key("rep", "digest")), "reps")
 
-    placed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    hubs = (placed.groupBy("band", "key").agg(F.min("rep").alias("v"), F.count("*").alias("n"))
+    placed = reps.select("member", F.posexplode("bands").alias("band", "key"))
+    hubs = (placed.groupBy("band", "key").agg(F.min("member").alias("v"), F.count("*").alias("n"))
             .where("n > 1").drop("n"))
-    edges = (placed.join(hubs, ["band", "key"]).where("rep <> v")
-             .select(F.col("rep").alias("u"), "v").distinct())
+    edges = (placed.join(hubs, ["band", "key"]).where("member <> v")
+             .select(F.col("member").alias("u"), "v").distinct())
     cells = written(components(edges, "cells").withColumnsRenamed(
-        {"node": "rep", "root": "cell"}), "cell")
+        {"node": "member", "root": "cell"}), "cell")
 
-    members = cells.join(reps.select("rep", "digest", "copies", "grams"), "rep")
+    members = cells.join(reps.select("member", "rep", "digest", "copies", "grams"), "member")
     members = written(members, "members")
     large = (members.groupBy("cell").agg(F.count("*").alias("n"), F.sum("grams").alias("g"))
              .select("cell", F.greatest(F.ceil(F.col("n") / block_rows),
@@ -225,50 +237,70 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
              .where("blocks > 1"))
     members = (members.join(large, "cell", "left")
                .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-               .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+               .withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")))
     # shuffled at every size: members grow with the documents, and texts are not sorted for it
-    wanted = members.drop("grams").withColumn("doc_id", F.col("rep")).hint("shuffle_hash")
+    wanted = members.drop("grams").withColumnRenamed("rep", "doc_id").hint("shuffle_hash")
     sets = (texts.join(wanted, "doc_id")
-            .select("text", "digest", "rep", "copies", "cell", "block", "blocks")
-            .mapInArrow(_member_sets(width), "rep bigint, copies bigint, cell bigint, block int, "
+            .select("text", "digest", "member", "copies", "cell", "block", "blocks")
+            .mapInArrow(_member_sets(width), "member binary, copies bigint, cell binary, block int, "
                                              "blocks int, grams array<bigint>"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     groups = (sets.withColumn("_o", other)
               .select("cell", F.least("block", "_o").alias("low"),
-                      F.greatest("block", "_o").alias("high"), "rep", "copies", "block", "grams")
+                      F.greatest("block", "_o").alias("high"), "member", "copies", "block", "grams")
               .repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high"))
     found = written(groups.mapInArrow(_check_groups(similar),
-                                      "rep bigint, links bigint, root bigint"), "links")
+                                      "member binary, links bigint, root binary"), "links")
 
-    classes = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "classes")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    classes = components(found.select(F.col("member").alias("u"), F.col("root").alias("v")), "classes")
+    links = found.groupBy("member").agg(F.sum("links").alias("links"))
+    root = F.coalesce("root", "member")
     figures = written(
-        reps.select("digest", "rep", "copies").join(links, "rep", "left")
-        .join(classes.withColumnsRenamed({"node": "rep"}), "rep", "left")
-        .select("digest", F.col("rep").alias("copy_id"),
-                F.coalesce("root", "rep").alias("class_id"),
+        reps.select("digest", "rep", "member", "copies").join(links, "member", "left")
+        .join(classes.withColumnsRenamed({"node": "member"}), "member", "left")
+        .select("digest", F.col("rep").alias("copy_id"), _id_of(root).alias("class_id"),
+                (root == F.col("member")).alias("first"),
                 (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "figures")
-    return (signs.drop("bands").join(figures, "digest", "left")
-            .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
-                    F.coalesce("copy_id", "doc_id").alias("copy_id"),
-                    F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+    return signs.drop("bands").join(figures, "digest", "left")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """doc_id, class_id, copy_id and n_links for every row of `docs`.
+
+    class_id: smallest id of all documents connected by links; copy_id: smallest id with an
+    equal set; n_links: how many other documents reach the similarity, copies included. Texts
+    that share an id keep links of their own, so their rows may be of different classes.
+    """
+    return _classes(docs, doc_id, text, **how).select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("copy_id", "doc_id").alias("copy_id"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       **how) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class, with its own columns.
+    """One document of each near-duplicate class, of the smallest id, with its own columns.
 
-    Documents without words and rows with a NULL id stay. Of rows that repeat an id with the
-    same text, one stays.
+    Documents without words and rows with a NULL id stay. Of rows that repeat an id, those
+    stay that lead their class, and one of those with the same set (without words: the same text).
     """
-    found = near_duplicates(docs, doc_id, text, **how)
-    dropped = found.where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    found = _classes(docs, doc_id, text, **how)
+    dropped = written(found.where("not (first and doc_id = copy_id)").select(
+        F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct(), "dropped")
     repeated = (docs.groupBy(F.col(doc_id).alias("_again")).agg(F.count("*").alias("_n"))
                 .where("_n > 1 and _again is not null").select("_again"))
-    rest = docs.join(dropped, docs[doc_id] == dropped["_gone"], "left_anti")
     if not repeated.take(1):
-        return rest
-    again = rest.join(repeated, rest[doc_id] == repeated["_again"], "left_semi")
-    order = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.lit(1))
-    again = again.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return rest.join(repeated, rest[doc_id] == repeated["_again"], "left_anti").union(again)
+        return docs.join(dropped.select("_gone"), docs[doc_id] == dropped["_gone"], "left_anti")
+    own = docs[doc_id] == repeated["_again"]
+    single = docs.join(repeated, own, "left_anti")
+    single = single.join(dropped.select("_gone"), docs[doc_id] == dropped["_gone"], "left_anti")
+    again = docs.join(repeated, own, "left_semi").withColumn("_text", F.xxhash64(text))
+    marks = again.select(F.col("_text").alias("doc_id"), F.col(text).alias("text")).distinct().mapInArrow(
+        _signatures(how.get("width", WIDTH), how.get("bands", BANDS), how.get("rows", ROWS)),
+        "doc_id bigint, digest binary, grams int, bands array<bigint>")
+    marks = marks.select(F.col("doc_id").alias("_text"), F.col("digest").alias("_mark")).distinct()
+    order = Window.partitionBy(doc_id, "_mark", F.when(F.col("_mark").isNull(), F.col("_text"))).orderBy(F.lit(1))
+    again = again.join(marks, "_text", "left")
+    again = (again.join(dropped, (F.col(doc_id) == F.col("_gone")) & (F.col("_mark") == F.col("_digest")), "left_anti")
+             .withColumn("_row", F.row_number().over(order)).where("_row = 1"))
+    return single.unionByName(again.select(*docs.columns))

@@ -76,6 +76,19 @@ def test_near_duplicates_equal_all_pairs(spark, block_rows):
         assert (got[i].class_id, got[i].copy_id, got[i].n_links) == (root[i], min(copies), sum(near[i]))
 
 
+def test_texts_that_share_an_id_keep_their_links(spark):
+    """A and B under id 1, a near copy of A as 2, of B as 3, and two texts of one class under 4."""
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 150, 5000) for _ in range(3))
+    docs = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (4, c + " more"), (-5, c + " less"), (0, b + " rest")]
+    rows = ngram_join.near_duplicates(frame(spark, []).limit(0).select("doc_id", "text").union(
+        spark.createDataFrame(docs, "doc_id long, text string")))
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in rows.collect())
+    assert got == [(-5, -5, 2), (0, 0, 2), (1, 0, 2), (1, 1, 1), (2, 1, 1), (3, 0, 2), (4, -5, 2), (4, -5, 2)]
+    kept = ngram_join.one_of_each_class(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(-5, c + " less"), (0, b + " rest"), (1, a)])
+
+
 def test_one_of_each_class_keeps_columns_and_odd_rows(spark):
     text = prose(random.Random(1), 50)
     rows = [(4, text, "x"), (2, text, "y"), (2, text, "y"), (None, text, "z"), (7, None, "q"),
