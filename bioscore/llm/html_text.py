@@ -2,17 +2,24 @@
 
 Pass 1 parses every page and hashes each element's subtree (tag, class, text, children) that
 lies outside an article or is a box inside one; Spark counts, per host, on how many pages of different content each
-hash occurs. Subtrees on a large share, or on a large number, of these pages are its template. Pass 2 parses again, deletes template subtrees and
+hash occurs. Subtrees on a large share of these pages are its template. Pass 2 parses again, deletes template subtrees and
 everything that is no article text by its tag, role or class, and writes the blocks left.
 
+One rule holds for hosts of every size: the lower end of the confidence interval of the share
+is SHARE or more. So four pages that all have a subtree suffice, and on a large host a fifth
+of the pages. Pages are told apart by the least hash of their runs of five words, which near
+copies mostly have in common: a group of near copies counts as few pages.
+
 Where a page marks its article (`article`, `main`, role main, or a usual content class), only
 that is text. Inside an article only boxes (div, section, lists) that recur word for word are
-templates: a passage in p, blockquote, pre or table that many articles quote stays. Without
+templates: a passage in p, blockquote, pre or table that many articles quote stays, and so does
+a box that holds a passage of PASSAGE_WORDS words or more outside links. Recurring boxes that together
+carry more than half of an article are its text and stay. Without
 such a mark the body is the root, and templates go. The structure of link lists and of
 elements whose class hints at no article is counted as well, without its text and with its
 place, so that menus whose words vary recur too.
 
-Template hashes are few per host (at most pages' elements / SHARE, and those on MANY pages); they are broadcast while
+Template hashes are few per host (at most pages' elements / SHARE); they are broadcast while
 their number is under `MOST_BROADCAST`, else joined on the host.
 
 Defined cases: NULL and empty pages have an empty text. Pages with a NULL or hostless url
@@ -28,15 +35,19 @@ import html
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import modest_batches, written
 from .url_filter import host_of
+from .words import grams, word_hashes
 
-LEAST_PAGES, SHARE = 10, 0.3
-MANY = 500          # pages that suffice on a large host, whatever their share
+SHARE = 0.2         # of the host's pages of different content
+DEVIATIONS = 4.0    # of the share, to the lower end of its interval
+PASSAGE_WORDS = 25  # words outside links that make a recurring box article text
+SKETCH_WORDS = 5
 MOST_BROADCAST = 100_000
 
 # Fixed values of HTML.
@@ -85,11 +96,12 @@ DEMOTED = 0.9       # rank of an article that lies in a named element
 
 class _Element:
     __slots__ = ("tag", "kind", "hint", "talk", "blocks", "hashed", "parts", "heading", "title",
-                 "before", "inside", "classed", "linked", "total", "path", "forms")
+                 "before", "inside", "classed", "linked", "total", "path", "forms", "passage")
 
     def __init__(self, tag, kind, blocks, hashed, parts):
         self.tag, self.kind, self.blocks = tag, kind, blocks
         self.hashed, self.parts, self.heading, self.title = hashed, parts, False, False
+        self.passage = False
         self.path, self.forms = 0, []       # for hashes of the structure without text
         self.before = None          # text of the block around a dropped inline element
 
@@ -156,6 +168,8 @@ class Page:
         self.linked = self.total = 0                # characters in links, and all
         self.link = -1                              # open elements at the start of a link
         self.hashes: set[int] = set()
+        self.plain: list[str] = []                  # with `only_hashes`: all text that is not dropped
+        self.recurring: list[tuple[int, int]] = []  # blocks of recurring boxes of the open article
         self._walk(source)
 
     # 2 inside a marked article, 1 inside an element with a content class, 0 elsewhere
@@ -164,6 +178,9 @@ class Page:
 
     def _flush(self) -> None:
         if self.text:
+            if self.only and not self.dropped:
+                self.plain.extend(self.text)
+                self.plain.append(" ")
             if self.content and self.only and not self.stack[-1].hashed:
                 self.text = []          # of an article only boxes are hashed
                 return
@@ -174,8 +191,30 @@ class Page:
                     self.stack[-1].parts.append(line)
                 if not self.dropped:
                     self.blocks.append((self._rank(), line))
+                    if self.template and self.content:
+                        self._mark_passage(line)
             self.text = []
 
+    def _mark_passage(self, line: str) -> None:
+        """A long block outside links makes the open boxes of the article hold article text."""
+        e = self.stack[-1]
+        if 2 * (self.linked - e.linked) <= self.total - e.total and line.count(" ") + 1 >= PASSAGE_WORDS:
+            for e in self.stack:
+                e.passage |= e.inside
+
+    def _cut(self, start: int) -> None:
+        """Delete the blocks from `start` on."""
+        del self.blocks[start:]
+        self.recurring = [r for r in self.recurring if r[0] < start]
+
+    def _settle(self, start: int) -> None:
+        """At the end of an article: its recurring boxes go unless they are most of its text."""
+        chosen = {k for a, b in self.recurring for k in range(a, b)}
+        self.recurring = []
+        size = sum(len(self.blocks[k][1]) for k in chosen)
+        if 2 * size <= sum(len(t) for _, t in self.blocks[start:]):
+            self.blocks[start:] = [b for k, b in enumerate(self.blocks[start:], start) if k not in chosen]
+
     def _open(self, tag: str, source: str) -> None:
         key = (tag, source, self.content > 0)
         known = KNOWN.get(key)
@@ -223,7 +262,9 @@ class Page:
         if len(self.stack) < self.link:
             self.link = -1
         if e.kind == "header" and not e.heading:
-            del self.blocks[e.blocks:]
+            self._cut(e.blocks)
+        if e.kind == "content" and not self.content and self.recurring:
+            self._settle(e.blocks)
         same = alike = False
         linked = 2 * (self.linked - e.linked) > self.total - e.total
         if e.hashed:
@@ -249,8 +290,9 @@ class Page:
 
         Outside an article: what recurs word for word or is named goes; a hint asks for links or
         a recurring structure, links for a recurring structure. An article in a named element
-        gets a lower rank. Inside an article: boxes that recur word for word, hints as before,
-        and named elements, which ask for a second sign if they hold a heading.
+        gets a lower rank. Inside an article: boxes of links that recur word for word, hints as
+        before, and named elements, which ask for a second sign if they hold a heading; other
+        boxes that recur and hold no passage wait for the end of the article.
         """
         own = self.blocks[e.blocks:]
         weak = e.hint and (linked or alike)
@@ -258,9 +300,11 @@ class Page:
             if e.kind == "named":
                 goes = not e.heading or e.talk or linked or same or alike
             else:
-                goes = e.tag in BOX and (same or weak)
+                goes = e.tag in BOX and (weak or same and linked)
             if goes:
-                del self.blocks[e.blocks:]
+                self._cut(e.blocks)
+            elif same and e.kind != "named" and e.tag in BOX and not e.passage:
+                self.recurring.append((e.blocks, len(self.blocks)))
         elif e.kind == "named":
             self.blocks[e.blocks:] = [(DEMOTED, t) for r, t in own if r in (2, DEMOTED)]
         elif same:
@@ -348,36 +392,48 @@ class Page:
         return "\n".join(t for r, t in self.blocks if r == best)
 
 
+def _sketches(texts: list[str]) -> list[int]:
+    """The least hash of a text's runs of five words; 0 without words."""
+    hashes, bounds = word_hashes(pa.array(texts, pa.string()))
+    runs, first = grams(hashes, bounds, SKETCH_WORDS)
+    out = np.zeros(len(texts), np.uint64)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        out[some] = np.minimum.reduceat(runs, first[some])
+    return out.view(np.int64).tolist()
+
+
 def _subtrees(batches):
+    """host, code, page: the codes of a page's subtrees, and one row with a NULL code a page."""
     for batch in batches:
-        found = set()
-        for host, source in zip(batch.column("host").to_pylist(),
-                                batch.column("html").to_pylist()):
-            page = _code(source or "")
-            found.update((host, code, page)
-                         for code in Page(source or "", only_hashes=True).hashes)
-        rows = list(found)
+        pages = [Page(h or "", only_hashes=True) for h in batch.column("html").to_pylist()]
+        sketches = _sketches(["".join(p.plain).encode("utf-8", "replace").decode() for p in pages])
+        rows = list({(host, code, sketch)
+                     for host, page, sketch in zip(batch.column("host").to_pylist(), pages, sketches)
+                     for code in (None, *page.hashes)})
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()),
                                pa.array([r[1] for r in rows], pa.int64()),
                                pa.array([r[2] for r in rows], pa.int64())],
                               ["host", "code", "page"])
 
 
-def templates(pages: DataFrame, url: str = "url", source: str = "html",
-              least: int = LEAST_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
-    """host, codes: hashes of subtrees on many of the host's pages of different content.
+def _lower_end(found: Column, tried: Column) -> Column:
+    """Lower end of the score interval of found / tried."""
+    share, z = found / tried, DEVIATIONS
+    spread = F.sqrt(share * (1 - share) / tried + z * z / (4 * tried * tried))
+    return (share + z * z / (2 * tried) - z * spread) / (1 + z * z / tried)
 
-    That is on at least `least` pages, and on that share of the host's or on `many` pages.
-    """
+
+def templates(pages: DataFrame, url: str = "url", source: str = "html", share: float = SHARE) -> DataFrame:
+    """host, codes: hashes of subtrees on that share of the host's pages of different content."""
     rows = modest_batches(pages).select(host_of(F.col(url)).alias("host"), F.col(source).alias("html"))
-    counted = (rows.mapInArrow(_subtrees, "host string, code bigint, page bigint")
-               .groupBy("host", "code").agg(F.countDistinct("page").alias("pages"))
-               .where(F.col("pages") >= least))
-    content = F.xxhash64(F.coalesce("html", F.lit("")))
-    sizes = (rows.select("host", content.alias("page")).groupBy("host")
-             .agg(F.countDistinct("page").alias("all")).where(F.col("all") >= least))
-    return (counted.join(sizes, "host")
-            .where((F.col("pages") >= share * F.col("all")) | (F.col("pages") >= many))
+    found = (rows.mapInArrow(_subtrees, "host string, code bigint, page bigint")
+             .groupBy("host", "code").agg(F.countDistinct("page").alias("pages"))
+             .where((F.col("pages") > 1) | F.col("code").isNull()))
+    found = written(found, "subtrees")
+    sizes = found.where(F.col("code").isNull()).select("host", F.col("pages").alias("all"))
+    return (found.where(F.col("code").isNotNull()).join(sizes, "host")
+            .where(_lower_end(F.col("pages"), F.col("all")) >= share)
             .groupBy("host").agg(F.sort_array(F.collect_set("code")).alias("codes")))
 
 
@@ -394,10 +450,10 @@ def _texts(batches):
 
 
 def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url",
-               source: str = "html", least: int = LEAST_PAGES, share: float = SHARE,
+               source: str = "html", share: float = SHARE,
                most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, url, text and its number of characters, for every page."""
-    found = written(templates(pages, url, source, least, share), "templates")
+    found = written(templates(pages, url, source, share), "templates")
     size = found.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0]
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"),
                         F.col(source).alias("html"), host_of(F.col(url)).alias("host"))

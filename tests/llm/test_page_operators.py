@@ -66,6 +66,41 @@ def test_copies_count_once_and_many_pages_suffice(spark):
     assert got[1004] == "own 4" and got[1005] == "x 5\nown 5"
 
 
+BODY = ("<p>" + " ".join(f"word{k}" for k in range(40)) + "</p>") * 3
+
+
+def test_recurring_bodies_of_articles_stay(spark):
+    """Bodies that recur in boxes are no template, long or short; boxes of links still go."""
+    def page(i, entry):
+        return f"<article><h1>Title {i}</h1><div class='entry'>{entry}</div><div><a href=x>Print page</a></div></article>"
+    rows = [(i, f"https://a.org/{i}", page(i, BODY if i < 12 else f"<p>own text {i}</p>")) for i in range(36)]
+    rows += [(100 + i, f"https://b.org/{i}", page(i, "one short body without any passage")) for i in range(40)]
+    rows += [(200 + i, f"https://c.org/{i}", f"<article><p>own words {i} of this page</p><section>{BODY}</section></article>") for i in range(40)]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    body = "\n".join([" ".join(f"word{k}" for k in range(40))] * 3)
+    assert all(got[i] == f"Title {i}\n{body if i < 12 else f'own text {i}'}" for i in range(36))
+    assert got[105] == "Title 5\none short body without any passage"
+    assert got[207] == f"own words 7 of this page\n{body}"
+
+
+def test_one_share_rule_for_hosts_of_every_size(spark):
+    """The same share decides on 40 and on 4,000 pages; near copies of a page are few pages."""
+    def page(host, i, n, share):
+        box = "Site notice" if i < share * n else f"box {i}"
+        return (f"https://{host}/{i}", f"<body><div><p>{box}</p></div><p>" + " ".join(f"w{i}x{k}" for k in range(30)) + "</p></body>")
+    rows = [page(f"{n}.{int(100 * s)}.org", i, n, s) for n in (4, 40, 4000) for s in (0.1, 1.0) for i in range(n)]
+    copies = " ".join(f"c{k}" for k in range(200))
+    rows += [("https://copies.org/", f"<body><div><p>{copies} edit{i}</p></div><div><p>Shared line</p></div></body>") for i in range(60)]
+    rows += [page("copies.org", 100 + i, 1, 1.0) for i in range(60)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    kept = {}
+    for r in html_text.main_texts(frame).collect():
+        host = r.url.split("/")[2]
+        kept.setdefault(host, []).append("Site notice" in r.text or "Shared line" in r.text)
+    assert all(sum(kept[f"{n}.10.org"]) == -(-n // 10) and not any(kept[f"{n}.100.org"]) for n in (4, 40, 4000))
+    assert sum(kept["copies.org"]) == 60
+
+
 @pytest.mark.parametrize("source,text", [
     ('<div class="has-sidebar"><article>a</article></div>', "a"), ('<div id="page" class="no-comments"><p>b</div>', "b"),
     ('<div class="menu"><article>c</article></div>', "c"), ('<div class="related"><article>no</article></div><article>d</article>', "d"),
