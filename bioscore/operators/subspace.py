@@ -3,6 +3,9 @@
 Training only needs sums of d × d matrices. Every task adds up its own rows first
 and sends d rows on; the small eigenproblem is solved on the driver, whose input
 depends on the vector length and not on the number of vectors.
+
+For wide vectors (`pca_fit_wide`, `lda_fit_wide`) not even one d × d matrix exists: a block
+Krylov space is grown by passes over the vectors, in each of which tasks add up d × block numbers.
 """
 
 from __future__ import annotations
@@ -162,6 +165,128 @@ def lda_fit(vectors: DataFrame, k: int | None = None) -> Subspace:
     return Subspace(mean, p @ basis[:, order].real, values.real[order])
 
 
+# ------------------------------------------------------------------ wide vectors
+
+#: Directions per pass, blocks kept before a restart, restarts, and the residual that settles a pair.
+BLOCK, KEPT, RESTARTS, SETTLED = 16, 24, 8, 1e-9
+#: Coordinates of a row of partial sums.
+STRETCH = 256
+
+
+def _tall_sum(vectors: DataFrame, part) -> np.ndarray | None:
+    """Σ part(x) over the batches x of the vectors, as a d × c matrix; None without vectors.
+
+    Every task adds up its own batches; the sums travel in stretches of coordinates, are added
+    by stretch, and only the d × c result reaches the driver.
+    """
+    def partial(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                y = part(_matrix(batch, "v"))
+                total = y if total is None else total + y
+        if total is not None:
+            for at in range(0, len(total), STRETCH):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at // STRETCH], pa.int32()),
+                     pa.array([total[at:at + STRETCH].ravel()], pa.list_(pa.float64()))],
+                    names=["i", "y"])
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, y in zip(batch.column("i").to_pylist(), batch.column("y")):
+                y = np.asarray(y.values)
+                sums[i] = sums[i] + y if i in sums else y
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()),
+                 pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["i", "y"])
+
+    schema = "i int, y array<double>"
+    summed = vectors.select("v").mapInArrow(partial, schema).repartition("i").mapInArrow(total, schema)
+    rows = sorted(summed.toLocalIterator(), key=lambda r: r["i"])
+    if not rows:
+        return None
+    width = part(np.zeros((0, _width(vectors)))).shape[1]
+    return np.concatenate([np.asarray(r["y"]) for r in rows]).reshape(-1, width)
+
+
+def _width(vectors: DataFrame) -> int:
+    return vectors.select(F.size("v").alias("d")).first()["d"]
+
+
+def _orthonormal(block: np.ndarray, space: list[np.ndarray], least: float) -> np.ndarray:
+    """Orthonormal directions of a block outside a space; none if nothing over `least` is left."""
+    for _ in range(2):
+        for q in space:
+            block = block - q @ (q.T @ block)
+    u, size, _ = np.linalg.svd(block, full_matrices=False)
+    u = u[:, size > least]
+    for q in space:
+        u = u - q @ (q.T @ u)
+    return np.linalg.qr(u)[0] if u.shape[1] else u
+
+
+def pca_fit_wide(vectors: DataFrame, k: int, seed: int = 0) -> Subspace:
+    """The k leading principal directions of wide vectors, without a d × d matrix anywhere.
+
+    Block Krylov method: from a random block, each pass multiplies the last block by the
+    covariance and adds the new directions to the space; the covariance inside the space gives
+    the leading pairs. It ends when each pair's residual is under SETTLED of the largest
+    value, or when the space is closed, and starts again from the best directions when KEPT blocks are
+    held. Driver and tasks hold d × (k + KEPT · BLOCK) numbers at most. Vectors that span fewer than k
+    directions give fewer; no vectors, or pairs that do not settle, raise an error.
+    """
+    sums = _tall_sum(vectors, lambda x: np.column_stack([x.sum(0), np.full(x.shape[1], float(len(x)))]))
+    if sums is None:
+        raise ValueError("no vectors to fit")
+    n, mean = sums[0, 1], sums[:, 0] / sums[0, 1]
+
+    def times(q: np.ndarray) -> np.ndarray:
+        def part(x):
+            x = x - mean
+            return x.T @ (x @ q)
+        return _tall_sum(vectors, part) / n
+
+    block = np.random.default_rng(seed).standard_normal((len(mean), min(BLOCK, len(mean))))
+    last = _orthonormal(block, [], 0.0)
+    for _ in range(RESTARTS):
+        space, images = [], []
+        while True:
+            space.append(last)
+            images.append(times(last))
+            q, z = np.hstack(space), np.hstack(images)
+            inner = q.T @ z
+            values, turn = np.linalg.eigh((inner + inner.T) / 2)
+            values, turn = values[::-1], turn[:, ::-1]
+            scale = max(values[0], 0.0)
+            gaps = np.linalg.norm(z @ turn[:, :k] - (q @ turn[:, :k]) * values[:k], axis=0)
+            last = _orthonormal(images[-1], space, SETTLED * scale)
+            closed = not last.shape[1]
+            if closed or len(values) >= k and (gaps <= SETTLED * scale).all():
+                real = values[:k] > SETTLED * scale
+                return Subspace(mean, q @ turn[:, :k][:, real], values[:k][real])
+            if len(space) >= KEPT:
+                break
+        last = _orthonormal(q @ turn[:, :max(k, BLOCK)], [], 0.0)
+    raise RuntimeError(f"the {k} leading directions did not settle")
+
+
+def lda_fit_wide(vectors: DataFrame, dims: int, k: int | None = None, seed: int = 0) -> Subspace:
+    """Directions that separate labels among the `dims` leading principal ones of wide vectors.
+
+    With `dims` the rank of the vectors (at most their number less the classes) these are the
+    directions of `lda_fit`.
+    """
+    pca = pca_fit_wide(vectors, dims, seed)
+    within, between, _, _, classes = scatter(project(vectors.select("label", "v"), pca)
+                                             .withColumnRenamed("p", "v"))
+    values, basis = np.linalg.eig(np.linalg.pinv(within) @ between)
+    order = np.argsort(values.real)[::-1][: k or classes - 1]
+    return Subspace(pca.mean, pca.basis @ basis[:, order].real, values.real[order])
+
+
 def _mapped(df: DataFrame, column: str, out: str, change) -> DataFrame:
     """Replace an array column by the rows of change(matrix), batch by batch."""
     keep = [c for c in df.columns if c != column]

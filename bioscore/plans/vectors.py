@@ -111,10 +111,47 @@ def pca_facts(spark, d):
     return figures.crossJoin(rebuilt)                                     # one row each
 
 
+ENLARGED = 16
+
+
+def enlarged_vectors(spark, d):
+    """Each pixel 16 times: vectors of 1,024 coordinates."""
+    return face_vectors(spark, d).withColumn("v", F.flatten(F.transform(
+        "v", lambda e: F.array_repeat(e, ENLARGED))))
+
+
+def pca_wide_facts(spark, d):
+    """All directions of the enlarged vectors, found without their 1,024 × 1,024 matrix.
+
+    The values add up to the total variance, each is the variance of its component, and the
+    components give the vectors back.
+    """
+    vectors = enlarged_vectors(spark, d)
+    model = sub.pca_fit_wide(vectors, 64)
+    p = sub.project(vectors.withColumn("source", F.col("v")).drop("label"), model)
+    parts = (p.select(F.posexplode("p").alias("comp", "p")).groupBy("comp")
+             .agg(F.avg(F.col("p") * F.col("p")).alias("variance"))
+             .join(F.broadcast(model.table(spark)), "comp"))              # one row a component
+    figures = parts.agg(F.count("*").alias("directions"), fixed(F.sum("eigenvalue"), 4).alias("trace"),
+                        _largest(F.col("variance") - F.col("eigenvalue")).alias("variance_gap"))
+    errors = F.transform(F.arrays_zip("source", "v"), lambda e: F.abs(e["source"] - e["v"]))
+    rebuilt = sub.reconstruct(p, model).agg(_largest(F.array_max(errors)).alias("rebuilt_gap"))
+    return figures.crossJoin(rebuilt)                                     # one row each
+
+
+def lda_wide_facts(spark, d):
+    """Between- over within-class scatter of each direction found in the leading 64 is its eigenvalue."""
+    vectors = enlarged_vectors(spark, d)
+    return _ratios(spark, vectors, sub.lda_fit_wide(vectors, 64))
+
+
 def lda_facts(spark, d):
     """Between- over within-class scatter of each projected direction is its eigenvalue."""
     vectors = face_vectors(spark, d)
-    model = sub.lda_fit(vectors)
+    return _ratios(spark, vectors, sub.lda_fit(vectors))
+
+
+def _ratios(spark, vectors, model):
     p = sub.project(vectors, model).select("label", F.posexplode("p").alias("comp", "p"))
     classes = p.groupBy("label", "comp").agg(
         F.avg("p").alias("m"), (F.count("*") * F.var_pop("p")).alias("inner"))
@@ -154,7 +191,7 @@ back AS (SELECT vec_id, b.dim, sum(p * w) + any_value(mean) AS v FROM proj JOIN
 
 QUERIES = {f.__name__: f for f in (
     mean_vector, covariance, class_scatter, project, reconstruct, l2_similarity, component_image,
-    pca_eigenvalues, lda_eigenvalues, pca_facts, lda_facts, normalise_faces)}
+    pca_eigenvalues, lda_eigenvalues, pca_facts, lda_facts, pca_wide_facts, lda_wide_facts, normalise_faces)}
 
 ORACLES = {
     "mean_vector": f"WITH {VECTORS_SQL} SELECT dim, {f6('mean')} AS mean FROM means",
@@ -176,6 +213,9 @@ SELECT a.vec_id, {f6('sqrt(sum((a.v - b.v) * (a.v - b.v))) / 64')} AS similarity
 FROM vecs a JOIN back b ON b.vec_id = a.vec_id AND b.dim = a.dim GROUP BY a.vec_id""",
     "pca_facts": f"""WITH {VECTORS_SQL}, spread AS (SELECT dim, var_pop(v) AS s FROM vecs GROUP BY dim)
 SELECT {f6('sum(s)', 4)} AS trace, 0e0 AS variance_gap, 0e0 AS rebuilt_gap FROM spread""",
+    "pca_wide_facts": f"""WITH {VECTORS_SQL}, spread AS (SELECT dim, var_pop(v) AS s FROM vecs GROUP BY dim)
+SELECT count(*) AS directions, {f6('16 * sum(s)', 4)} AS trace, 0e0 AS variance_gap, 0e0 AS rebuilt_gap FROM spread""",
+    "lda_wide_facts": "SELECT count(DISTINCT label) - 1 AS directions, 0e0 AS ratio_gap FROM embeddings",
     "lda_facts": "SELECT count(DISTINCT label) - 1 AS directions, 0e0 AS ratio_gap FROM embeddings",
     "component_image": f"""WITH {VECTORS_SQL}, cm AS (SELECT label, dim, {f6('avg(v)')} AS m FROM vecs GROUP BY label, dim),
 ends AS (SELECT label, min(m) AS lo, max(m) AS hi FROM cm GROUP BY ALL)

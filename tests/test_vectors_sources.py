@@ -43,6 +43,38 @@ def test_lda(labelled):
     np.testing.assert_allclose(model.values, values[:3], rtol=1e-8)
 
 
+def test_wide_vectors_without_their_matrix(spark):
+    """4,900 pixels: leading values and directions of NumPy, also where a restart is needed."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((260, 4900)) * (1.0 / np.arange(1, 4901)) + rng.standard_normal((260, 1)) * 0.1 + 5
+    y = rng.integers(0, 3, 260)
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(y, x))],
+                               "vec_id int, label int, v array<double>").repartition(6).cache()
+    _, size, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    values = size ** 2 / 260
+    model = subspace.pca_fit_wide(df, 12)
+    np.testing.assert_allclose(model.values, values[:12], rtol=1e-8)
+    np.testing.assert_allclose(np.abs((model.basis * axes[:12].T).sum(0)), 1, rtol=1e-6)
+    np.testing.assert_allclose(model.mean, x.mean(0))
+    kept, subspace.KEPT = subspace.KEPT, 2
+    try:
+        np.testing.assert_allclose(subspace.pca_fit_wide(df, 4).values, values[:4], rtol=1e-8)
+    finally:
+        subspace.KEPT = kept
+
+
+def test_wide_fit_of_few_equal_and_no_vectors(spark, labelled):
+    x, y, df = labelled
+    few = spark.createDataFrame([([1.0, 2.0, 3.0],), ([3.0, 2.0, 1.0],)], "v array<double>")
+    np.testing.assert_allclose(subspace.pca_fit_wide(few, 3).values, [2.0])
+    same = spark.createDataFrame([([1.0, 2.0],)] * 3, "v array<double>")
+    assert len(subspace.pca_fit_wide(same, 2).values) == 0
+    with pytest.raises(ValueError):
+        subspace.pca_fit_wide(few.limit(0), 2)
+    wide, narrow = subspace.lda_fit_wide(df, 6), subspace.lda_fit(df)
+    np.testing.assert_allclose(wide.values, narrow.values, rtol=1e-8)
+
+
 def test_similarity(spark):
     df = spark.createDataFrame([([0.0, 3.0], [4.0, 0.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(subspace.l2_similarity("a", "b")).collect()] == [2.5, 1e8]
