@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ADJUST, fixed, half_away, half_even
-from .raster import image_sizes, limit, sized
+from .raster import crop_bounds, image_sizes, limit, sized
 
 #: Value of pi used for angles, as given (15 digits).
 PI = 3.14159265358979
@@ -234,8 +234,9 @@ def align_eyes(df: DataFrame, max_r: int) -> DataFrame:
 
 # ------------------------------------------------------------------- resampling
 
-def affine_resample(raster: DataFrame, maps: DataFrame, replicate: bool = True) -> DataFrame:
-    """Bilinear resampling through one affine map per image.
+def affine_resample(raster: DataFrame, maps: DataFrame, replicate: bool = True,
+                    by: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Bilinear resampling through one affine map per image, or per key `by` (child rasters).
 
     `maps` has image_id, out_w, out_h and m0 … m5: target (x, y) is read at source
     (m0·x + m1·y + m2, m3·x + m4·y + m5). Outside the image the border pixel is
@@ -253,7 +254,7 @@ def affine_resample(raster: DataFrame, maps: DataFrame, replicate: bool = True)
                                         (F.floor("sy") + dy).alias("y"), w.alias("weight"))
     corners = F.array(corner(0, 0, (1 - fx) * (1 - fy)), corner(1, 0, fx * (1 - fy)),
                       corner(0, 1, (1 - fx) * fy), corner(1, 1, fx * fy))
-    asked = (placed.select("image_id", F.col("x").alias("tx"), F.col("y").alias("ty"), "w", "h",
+    asked = (placed.select(*by, F.col("x").alias("tx"), F.col("y").alias("ty"), "w", "h",
                            F.explode(corners).alias("c"))
              .withColumn("x", F.col("c.x")).withColumn("y", F.col("c.y")))
     if replicate:
@@ -261,23 +262,49 @@ def affine_resample(raster: DataFrame, maps: DataFrame, replicate: bool = True)
         asked = asked.withColumn("x", inside("x", "w")).withColumn("y", inside("y", "h"))
     read = asked.join(raster, ["image_id", "y", "x"], "left")
     value = F.sum(F.col("c.weight") * F.coalesce("v", F.lit(0)))
-    return (read.groupBy("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"))
+    return (read.groupBy(*by, F.col("ty").alias("y"), F.col("tx").alias("x"))
             .agg(half_even(fixed(value, 9)).alias("v")))
 
 
-def rotation_map(df: DataFrame, degrees: Column, factor: Column = None) -> DataFrame:
-    """Map for rotating a w × h image about its centre and scaling it by `factor`."""
+def rotation_map(df: DataFrame, degrees: Column, factor: Column = None,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """Map for rotating a w × h image about its centre and scaling it by `factor`.
+
+    Columns named in `keep` are carried along.
+    """
     factor = F.lit(1.0) if factor is None else factor
     angle = degrees * (math.pi / 180)
     c, s = F.cos(angle) / factor, F.sin(angle) / factor
     out_w, out_h = half_even(F.col("w") * factor), half_even(F.col("h") * factor)
     ox, oy = (out_w - 1) * 0.5, (out_h - 1) * 0.5
     return df.select(
-        "image_id", out_w.alias("out_w"), out_h.alias("out_h"), c.alias("m0"), s.alias("m1"),
+        "image_id", *keep, out_w.alias("out_w"), out_h.alias("out_h"), c.alias("m0"), s.alias("m1"),
         (F.col("w") * 0.5 - c * ox - s * oy).alias("m2"), (-s).alias("m3"), c.alias("m4"),
         (F.col("h") * 0.5 + s * ox - c * oy).alias("m5"))
 
 
+def eye_rasters(raster: DataFrame, pupils: DataFrame, max_r: int) -> DataFrame:
+    """Level eye images (image_id, side, y, x, v) around the two pupils of each image.
+
+    `pupils` has image_id and the right (x1, y1) and left (x2, y2) pupil. The image is turned
+    until the pupils are level, then cut around each, limited to the image. Turning and
+    cutting are one map per (image, side), so only pixels that land in a cut are read. Pupils
+    in the same place have no angle and give no eyes, nor do images without pupils.
+    """
+    placed = align_eyes(pupils.join(image_sizes(raster), "image_id"), max_r).where("angle IS NOT NULL")
+    corner = lambda side: F.struct(F.lit(side).alias("side"), F.col(f"{side}_x").alias("x0"),
+                                   F.col(f"{side}_y").alias("y0"))
+    cuts = (placed.withColumn("_c", F.explode(F.array(corner("right"), corner("left"))))
+            .select("image_id", "w", "h", "angle", "_c.*", F.col("crop_w").alias("wd"), F.col("crop_h").alias("ht")))
+    cuts = crop_bounds(cuts).where((F.col("_wd") > 0) & (F.col("_ht") > 0))
+    maps = rotation_map(cuts, F.col("angle"), keep=("side", "_x", "_y", "_wd", "_ht"))
+    moved = lambda m, a, b: F.col(m) + F.col(a) * F.col("_x") + F.col(b) * F.col("_y")
+    maps = (maps.withColumn("m2", moved("m2", "m0", "m1")).withColumn("m5", moved("m5", "m3", "m4"))
+            .withColumn("out_w", F.col("_wd")).withColumn("out_h", F.col("_ht"))
+            .drop("_x", "_y", "_wd", "_ht"))
+    return affine_resample(raster, maps, by=("image_id", "side"))
+
+
 # Where the left eye goes in a normalised face.
 EYE_X, EYE_Y = 0.16, 0.14
 

@@ -74,6 +74,28 @@ def locate_eyes(raster: DataFrame, candidates: DataFrame, parameters: DataFrame
                                   for c in ("xp", "yp", "rp", "xi", "yi", "ri")]))
 
 
+def extract_eyes(raster: DataFrame, candidates: DataFrame, width: int, max_r: int = IRIS_MAX,
+                 ratio: float = 1.0, pupil_max: int = PUPIL_MAX, n_scale: float = 1.0) -> DataFrame:
+    """Two level eye images (image_id, side, y, x, v) from pictures that show both eyes.
+
+    Contour candidates of pictures of one `width` are dealt to the two sides, the pupil of each
+    side is found by the threshold sweep under the key (image, side), and both eyes are cut
+    from the turned picture. Pictures in which a side has no pupil give no eyes.
+    """
+    child = (geometry.split_two_eyes(candidates, width)
+             .withColumn("image_id", F.struct("image_id", "side")).drop("side"))
+    swept = geometry.sweep_candidates(child, geometry.ratio_steps(F.lit(float(ratio))),
+                                      F.lit(int(pupil_max * n_scale)), F.lit(float(n_scale)))
+    sided = swept.select("image_id.image_id", "image_id.side", "xp", "yp", "rp")
+    whole = geometry.join_two_eyes(sided, width)
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    pupils = (whole.groupBy("image_id").agg(
+        of("right", "xp").alias("x1"), of("right", "yp").alias("y1"),
+        of("left", "xp").alias("x2"), of("left", "yp").alias("y2"))
+        .where(F.col("x1").isNotNull() & F.col("x2").isNotNull()))
+    return geometry.eye_rasters(raster, pupils, int(max_r * n_scale))
+
+
 def build_automatic(raster: DataFrame, candidates: DataFrame, images: DataFrame | None = None,
                     n_scale: float = 1.0, ratio: float = 1.0, scaling: float = 0.4,
                     search: dict | None = None, lines: dict | None = None, **options) -> DataFrame:

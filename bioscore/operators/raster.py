@@ -305,6 +305,15 @@ def limit(c: Column, top: Column) -> Column:
     return F.least(F.greatest(c, F.lit(1)), top)
 
 
+def crop_bounds(rects: DataFrame) -> DataFrame:
+    """Rectangles (x0, y0, wd, ht) limited to their w × h image: _x, _y, _wd, _ht."""
+    x0 = F.greatest(limit(F.col("x0") - F.col("wd"), F.col("w")), F.col("x0"))
+    y0 = F.greatest(limit(F.col("y0") - F.col("ht"), F.col("h")), F.col("y0"))
+    return (rects.withColumn("_x", x0).withColumn("_y", y0)
+            .withColumn("_wd", F.least(F.col("wd"), F.col("w") - F.col("_x")))
+            .withColumn("_ht", F.least(F.col("ht"), F.col("h") - F.col("_y"))))
+
+
 def crop(raster: DataFrame, rects: DataFrame, one_based: bool = False,
          new_id: str = "image_id") -> DataFrame:
     """Cut the rectangles (x0, y0, wd, ht) of each image, limited to the image.
@@ -313,12 +322,8 @@ def crop(raster: DataFrame, rects: DataFrame, one_based: bool = False,
     pixels from 1. The cut images are named by the column `new_id`, which allows
     several rectangles per image.
     """
-    x0 = F.greatest(limit(F.col("x0") - F.col("wd"), F.col("w")), F.col("x0"))
-    y0 = F.greatest(limit(F.col("y0") - F.col("ht"), F.col("h")), F.col("y0"))
     base = 1 if one_based else 0
-    placed = (rects.withColumn("_x", x0).withColumn("_y", y0)
-              .withColumn("_wd", F.least(F.col("wd"), F.col("w") - F.col("_x")))
-              .withColumn("_ht", F.least(F.col("ht"), F.col("h") - F.col("_y")))
+    placed = (crop_bounds(rects)
               .select("image_id", "h", F.col(new_id).alias("_id"), (F.col("_x") - base).alias("_x"),
                       (F.col("_y") - base).alias("_y"), "_wd", "_ht"))
     return (attach(raster, placed)

@@ -139,6 +139,16 @@ def affine_resample(spark, d):
     return geo.affine_resample(r, maps)
 
 
+def two_eye_rasters(spark, d):
+    """Both eyes of every raster image, around pupils placed by image number."""
+    r, i = fx.raster(spark, d), F.col("image_id")
+    place = lambda c: c.cast("int")
+    pupils = r.select("image_id").distinct().select(
+        "image_id", place(10 + i % 7).alias("x1"), place(9 + i % 5).alias("y1"),
+        place(45 + i % 9).alias("x2"), place(8 + (i * 3) % 7).alias("y2"))
+    return geo.eye_rasters(r, pupils, 8)
+
+
 def area_resize(spark, d):
     return geo.area_resize(fx.raster(spark, d), 20, 13)
 
@@ -326,7 +336,7 @@ QUERIES = {f.__name__: f for f in (
     highlight_noise, glare_noise, eyelid_curve, eyelid_noise, eyelid_anchors, circle_from_points,
     occlusion_noise, circle_points, line_points, centre_reconcile, candidate_choice,
     pupil_fallback, iris_fallback, threshold_sweep, two_eye_split, eye_alignment,
-    affine_resample, area_resize, point_ops, rect_ops, detections_largest, eye_regions,
+    affine_resample, two_eye_rasters, area_resize, point_ops, rect_ops, detections_largest, eye_regions,
     detector_fallback)}
 
 ORACLES = {
@@ -413,6 +423,25 @@ corner AS (
   FROM grid, range(2) p(dx), range(2) q(dy))
 SELECT c.image_id, c.yy::INTEGER AS y, c.xx::INTEGER AS x, round_even({f6('sum(wt * v)', 9)}, 0)::INTEGER AS v
 FROM corner c JOIN raster r ON r.image_id = c.image_id AND r.x = c.x AND r.y = c.y GROUP BY c.image_id, c.yy, c.xx""",
+    "two_eye_rasters": f"""WITH {R},
+eyes AS (SELECT image_id, w, h, 10 + image_id % 7 AS x1, 9 + image_id % 5 AS y1, 45 + image_id % 9 AS x2, 8 + (image_id * 3) % 7 AS y2 FROM sizes),
+angles AS (
+  SELECT *, CASE WHEN y1 < y2 THEN -1 ELSE 1 END * acos(abs(x2 - x1) / sqrt(((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))::DOUBLE)) AS a,
+    round_even((y1 - y2) * 0.5::DOUBLE, 0)::INTEGER AS half FROM eyes),
+cuts AS (
+  SELECT image_id, w, h, cos(a) AS c, sin(a) AS s, 'right' AS side, x1 - 11 AS x0, y1 - half - 8 AS y0 FROM angles
+  UNION ALL SELECT image_id, w, h, cos(a), sin(a), 'left', x2 - 11, y2 + half - 8 FROM angles),
+placed AS (SELECT *, greatest(least(greatest(x0 - 22, 1), w), x0) AS px, greatest(least(greatest(y0 - 16, 1), h), y0) AS py FROM cuts),
+grid AS (
+  SELECT p.*, xx, yy, c * (xx + px) + s * (yy + py) + (w * 0.5::DOUBLE - c * ((w - 1) * 0.5::DOUBLE) - s * ((h - 1) * 0.5::DOUBLE)) AS sx,
+    (-s) * (xx + px) + c * (yy + py) + (h * 0.5::DOUBLE + s * ((w - 1) * 0.5::DOUBLE) - c * ((h - 1) * 0.5::DOUBLE)) AS sy
+  FROM placed p, range(22) a(xx), range(16) b(yy) WHERE xx < w - px AND yy < h - py),
+corner AS (
+  SELECT image_id, side, xx, yy, least(greatest(floor(sx) + dx, 0), w - 1)::INTEGER AS x, least(greatest(floor(sy) + dy, 0), h - 1)::INTEGER AS y,
+    (CASE dx WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE dy WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) AS wt
+  FROM grid, range(2) p(dx), range(2) q(dy))
+SELECT c.image_id, c.side, c.yy::INTEGER AS y, c.xx::INTEGER AS x, round_even({f6('sum(wt * v)', 9)}, 0)::INTEGER AS v
+FROM corner c JOIN raster r ON r.image_id = c.image_id AND r.x = c.x AND r.y = c.y GROUP BY c.image_id, c.side, c.yy, c.xx""",
     "area_resize": f"""WITH {R},
 xs AS (
   SELECT image_id, x, tx, least(x + 1, (tx + 1) * (w / 20e0)) - greatest(x, tx * (w / 20e0)) AS sx

@@ -3,7 +3,7 @@
 import direct
 import numpy as np
 import pytest
-from bioscore.operators import build, encode, faces, geometry, masks, polar, raster, votes
+from bioscore.operators import build, encode, faces, geometry, jobs, masks, polar, raster, votes
 from bioscore.operators.common import neighbourhood
 from pyspark.sql import functions as F
 
@@ -294,3 +294,39 @@ def test_votes_over_tiles_equal_direct(spark):
     assert {(r.plane, r.y, r.x): r.votes for r in got.collect()} == want
     best = votes.best_circle(votes.circle_votes(edges, radii, best=True)).first()
     assert tuple(best) == tuple(votes.best_circle(got).first())
+
+
+def test_two_eyes_from_pixels(spark):
+    """Split, pupil per side, rotation and cuts against turning the whole picture in NumPy."""
+    picture = np.random.default_rng(2).integers(0, 256, (48, 100))
+    raster = spark.createDataFrame([(i, y, x, int(picture[y, x])) for i in (1, 2, 3) for y in range(48) for x in range(100)],
+                                   "image_id long, y int, x int, v int").repartition(5)
+    spot = lambda i, cx, cy: (i, 1, 30, 30, 0, 100, cx, cy, 10, 10)
+    columns = "image_id long, pass int, start int, threshold int, ord int, count int, cx int, cy int, w int, h int"
+    candidates = spark.createDataFrame([spot(1, 20, 18), spot(1, 82, 26), spot(2, 20, 18), spot(3, 82, 26)], columns)
+    cut = jobs.extract_eyes(raster, candidates, 100, max_r=10, pupil_max=20)
+    got = {}
+    for r in cut.collect():
+        got.setdefault((r.image_id, r.side), {})[r.y, r.x] = r.v
+    assert set(got) == {(1, "right"), (1, "left")}          # a picture with one pupil has no pair
+
+    angle = -np.arccos(62 / np.hypot(62, 8))
+    c, s = np.cos(angle), np.sin(angle)
+    y, x = np.mgrid[:48, :100]
+    sx, sy = c * (x - 49.5) + s * (y - 23.5) + 50, -s * (x - 49.5) + c * (y - 23.5) + 24
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    read = lambda yy, xx: picture[np.clip(yy, 0, 47), np.clip(xx, 0, 99)]
+    fx, fy = sx - x0, sy - y0
+    turned = ((1 - fx) * (1 - fy) * read(y0, x0) + fx * (1 - fy) * read(y0, x0 + 1)
+              + (1 - fx) * fy * read(y0 + 1, x0) + fx * fy * read(y0 + 1, x0 + 1))
+    turned = np.rint(np.round(turned, 9)).astype(int)
+    for side, left, top in (("right", 20 - 14, 18 + 4 - 11), ("left", 82 - 14, 26 - 4 - 11)):
+        want = turned[top:top + 22, left:left + 28]
+        assert got[1, side] == {(j, i): want[j, i] for j in range(want.shape[0]) for i in range(want.shape[1])}
+
+
+def test_no_eyes_without_pupils(spark):
+    raster = spark.createDataFrame([(1, 0, 0, 5)], "image_id long, y int, x int, v int")
+    same = spark.createDataFrame([(1, 4, 4, 4, 4)], "image_id long, x1 int, y1 int, x2 int, y2 int")
+    assert geometry.eye_rasters(raster, same, 3).count() == 0
+    assert geometry.eye_rasters(raster, same.limit(0), 3).count() == 0
