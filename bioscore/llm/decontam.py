@@ -29,7 +29,7 @@ from .shared import modest_batches, written
 from .words import slices, word_hashes
 
 WINDOW = 13
-DEPTH = 16                     # words to which suffixes are sorted, a power of two
+DEPTH = 16                     # words to which suffixes are sorted at least, a power of two
 SHARD_BYTES = 2 << 20
 SHARD_WORDS = 1 << 20          # a longer document is cut, with overlap, into more shards
 BLOCK_WORDS = 2_000_000
@@ -137,7 +137,7 @@ def _shard(found: dict, block: Block, hashes: np.ndarray, bounds: np.ndarray, do
     # Only suffixes that begin with a benchmark word can match; runs keep their order.
     runs = np.flatnonzero((text != 0) | np.append(text[1:] != 0, False))
     small, doc, place = text[runs], doc[runs], place[runs]
-    order = suffix_array(small)
+    order = suffix_array(small, max(DEPTH, width))
     use = np.flatnonzero(block.window > 0)
     source = np.concatenate([block.ids, np.zeros(width, np.int64)])
     query = source[use[:, None] + np.arange(width)]
@@ -245,7 +245,7 @@ def _searcher(shared, text: str, width: int, shard_bytes: int, shard_words: int)
     return run
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, most: int):
+def _blocks(benchmark: DataFrame, item: str, text: str, most: int, width: int):
     """The benchmark in blocks of at most `most` words, read one after the other."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("n"),
                             F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -253,12 +253,12 @@ def _blocks(benchmark: DataFrame, item: str, text: str, most: int):
     names, texts, size = [], [], 0
     for row in rows.toLocalIterator():
         if texts and size + len(row.t) // 2 > most:
-            yield Block(names, texts)
+            yield Block(names, texts, width)
             names, texts, size = [], [], 0
         names.append(row.n)
         texts.append(row.t)
         size += len(row.t) // 2 + 1
-    yield Block(names, texts)
+    yield Block(names, texts, width)
 
 
 def _summary(width: int):
@@ -301,7 +301,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
             "_size bigint, _at bigint, _by string"
     searcher = lambda block: _searcher(context.broadcast(vars(block)), text, width, shard_bytes,
                                        shard_words)
-    blocks = _blocks(benchmark, item, item_text, block_words)
+    blocks = _blocks(benchmark, item, item_text, block_words, width)
     block, following = next(blocks), next(blocks, None)
     if following is None:
         search_, summary = searcher(block), _summary(width)

@@ -115,6 +115,26 @@ def brute_contamination(text, items):
     return len(w), len(hit), sorted(names)
 
 
+def test_windows_longer_than_the_usual_sorting_depth(spark):
+    """Windows of 20 and 33 words among suffixes that agree in their first 16 words."""
+    rng = random.Random(8)
+    item = prose(rng, 60, 500).split()
+    texts = []
+    for k in range(40):
+        parts = [item[:16 + rng.randrange(30)] + prose(rng, 3, 9).split() for _ in range(6)]
+        texts.append(" ".join(w for part in parts for w in part))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    fold = lambda words: [w.lower() for w in words]
+    for width in (20, 33):
+        windows = {tuple(fold(item[i:i + width])) for i in range(len(item) - width + 1)}
+        rows = decontam.contamination(frame(spark, texts), bench, width=width).collect()
+        for r in rows:
+            words = fold(texts[r.doc_id].split())
+            hit = {j for i in range(len(words)) if tuple(words[i:i + width]) in windows for j in range(i, i + width)}
+            assert r.n_hit == len(hit)
+        assert any(r.n_hit for r in rows)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_decontamination_equals_brute_force(spark, small):
     import hashlib
