@@ -227,18 +227,22 @@ def score_table(gallery: DataFrame, templates: DataFrame, image_id: Column,
 
 
 def evaluate_files(spark: SparkSession, match_path: str, nonmatch_path: str, number: int = -1,
-                   experiment: str = "", pos: int = 1) -> dict[str, DataFrame]:
+                   experiment: str | Column = "", pos: int | Column = 1) -> dict[str, DataFrame]:
     """ROC, reported points, EER and operating points of two score files or folders.
 
-    The files are read once; the scores are kept for the four results.
+    `experiment` and `pos` are names, or expressions over the column `file`: then all
+    experiments of a folder are evaluated in one job. The files are read once; the scores are
+    written to a checkpoint that the four results read.
     """
+    tag = lambda given: given if isinstance(given, Column) else F.lit(given)
+
     def side(path: str, kind: int) -> DataFrame:
         return read_scores(spark, path, number).select(
-            F.lit(experiment).alias("experiment"), F.lit(pos).alias("pos"),
+            tag(experiment).alias("experiment"), tag(pos).alias("pos"),
             F.lit(kind).alias("match_type"), "hd")
 
     scores = side(match_path, evaluate.MATCH).unionByName(side(nonmatch_path, evaluate.NONMATCH))
-    scores = scores.persist()
+    scores = scores.checkpoint()
     return {"roc": evaluate.roc(scores), "points": evaluate.roc_points(scores),
             "eer": evaluate.eer(scores),
             "operating": evaluate.operating_points(evaluate.rates(scores))}

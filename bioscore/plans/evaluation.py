@@ -110,15 +110,14 @@ def score_roundtrip(spark, d):
     folder = new_folder(spark, "scores")
     files.export_scores(_named(scores_only(spark, d)), folder)
     back = files.read_scores(spark, f"{folder}/*")
-    name = F.regexp_extract("file", "experiment=([^/]*)", 1)
-    return back.groupBy(name.alias("experiment"), "hd").agg(F.count("*").alias("scores"))
+    return back.groupBy(files.experiment_of(F.col("file")).alias("experiment"), "hd").agg(F.count("*").alias("scores"))
 
 
 def roc_roundtrip(spark, d):
     """ROC report files with their trailers, read back: points and EER per experiment."""
     folder = new_folder(spark, "roc")
     files.export_roc(evaluate.roc(scores_only(spark, d)), evaluate.eer(scores_only(spark, d)), folder)
-    name = F.regexp_extract("file", "experiment=([^/]*)", 1).alias("experiment")
+    name = files.experiment_of(F.col("file")).alias("experiment")
     points = files.read_rates(spark, f"{folder}/*").groupBy(name).agg(
         F.count("*").alias("points"), F.max("thres").alias("last_thres"), F.min("frr").alias("low_frr"),
         F.max("far").alias("top_far"))
@@ -126,18 +125,18 @@ def roc_roundtrip(spark, d):
 
 
 def evaluate_job(spark, d):
-    """The whole job on score files: written, read once, evaluated."""
+    """The whole job on the score files of all experiments: written, read once, evaluated."""
     folder = new_folder(spark, "job")
-    mirrored = F.when(F.col("experiment") == "clicks", F.lit("clicks"))
-    rows = scores_only(spark, d).where(mirrored.isNotNull())
+    rows = scores_only(spark, d)
     for side, kind in (("m", 1), ("n", 2)):
         files.export_scores(_named(rows.where(F.col("match_type") == kind)), f"{folder}/{side}")
-    results = jobs.evaluate_files(spark, f"{folder}/m/*", f"{folder}/n/*", experiment="clicks", pos=2)
+    results = jobs.evaluate_files(spark, f"{folder}/m/*", f"{folder}/n/*", pos=2,
+                                  experiment=files.experiment_of(F.col("file")))
     jobs.write_evaluation(results, f"{folder}/out")
     read = lambda name: spark.read.parquet(f"{folder}/out/{name}")
-    points = read("roc").agg(F.count("*").alias("points"))
-    kept = read("points").agg(F.count("*").alias("kept"))
-    return read("eer").select("experiment", "pos", "eer").crossJoin(points).crossJoin(kept)
+    counted = lambda name, out: read(name).groupBy("experiment").agg(F.count("*").alias(out))
+    return (read("eer").select("experiment", "pos", "eer").join(counted("roc", "points"), "experiment")
+            .join(counted("points", "kept"), "experiment"))
 
 
 def experiment_names(spark, d):
@@ -308,11 +307,10 @@ crossed AS (
 SELECT experiment, count(*) AS points, max(round_even(thres, 5)) AS last_thres, min(round_even(frr, 5)) AS low_frr,
   max(round_even(far, 5)) AS top_far, round_even(any_value(eer), 5) AS eer
 FROM rates JOIN crossed USING (experiment) GROUP BY experiment""",
-    "evaluate_job": f"""WITH {_roc_sql()}
-SELECT experiment, pos, coalesce(min_by((far - pfar) * ((pfar - pfrr) / (frr - pfrr - far + pfar)) + pfar, idx)
-  FILTER (frr < far), 0e0) AS eer, count(*) AS points,
-  (SELECT count(*) FROM points WHERE experiment = 'clicks') AS kept
-FROM looked WHERE experiment = 'clicks' GROUP BY ALL""",
+    "evaluate_job": f"""WITH {_roc_sql()}, kept AS (SELECT experiment, count(*) AS kept FROM points GROUP BY ALL)
+SELECT experiment, 2 AS pos, coalesce(min_by((far - pfar) * ((pfar - pfrr) / (frr - pfrr - far + pfar)) + pfar, idx)
+  FILTER (frr < far), 0e0) AS eer, count(*) AS points, any_value(kept) AS kept
+FROM looked JOIN kept USING (experiment) GROUP BY experiment""",
     "experiment_names": """SELECT event_type,
   'scores_' || min(event_id) || '_' || event_type || '.txt' AS file_name FROM events GROUP BY event_type""",
     "sensor_presets": """WITH presets(code, n_scale, alpha, circle_ratio, closing, opening, scaling) AS (VALUES

@@ -153,16 +153,30 @@ CIRCLES_SQL = """circles AS (
 
 # ------------------------------------------------- boundaries, candidates, boxes
 
+def pooled(vectors: DataFrame, key: str) -> DataFrame:
+    """(key, embedding): the first 16 values of all vectors of a key, summed and scaled by √n."""
+    parts = F.expr("transform(slice(embedding, 1, 16), e -> cast(floor(cast(e as double) * 1000) as bigint))")
+    sums = vectors.withColumn("_w", parts).groupBy(key).agg(
+        F.count("*").alias("n"), *[F.sum(F.col("_w")[k]).alias(f"_s{k}") for k in range(16)])
+    scale = F.lit(1000.0) * F.sqrt(F.col("n").cast("double"))
+    return sums.select(key, F.array(*[F.col(f"_s{k}") / scale for k in range(16)]).alias("embedding"))
+
+
+def pooled_sql(key: str) -> str:
+    sums = ", ".join(f"sum(floor(embedding[{k}]::DOUBLE * 1000)::BIGINT)::DOUBLE / (1000e0 * sqrt(count(*)::DOUBLE))"
+                     for k in range(1, 17))
+    return f"SELECT {key} AS image_id, [{sums}] AS embedding FROM embeddings GROUP BY 1"
+
 def boundary_points(spark: SparkSession, sf_dir: str, per_raster: bool = False) -> DataFrame:
     """Eight pupil and eight iris points per image, clockwise from north.
 
     One image per vector around (200, 200), or one per raster image around
-    (32, 20) from the first vector of its label.
+    (32, 20) from all vectors of its label.
     """
     t = table(spark, sf_dir, "embeddings")
     if per_raster:
-        t = t.groupBy("label").agg(F.expr("min_by(embedding, vec_id)").alias("embedding"))
-        t, cx, cy, rp, ri, gain = t.withColumnRenamed("label", "image_id"), 32, 20, 5, 14, 4
+        t = pooled(t.withColumnRenamed("label", "image_id"), "image_id")
+        cx, cy, rp, ri, gain = 32, 20, 5, 14, 4
     else:
         t, cx, cy, rp, ri, gain = t.withColumnRenamed("vec_id", "image_id"), 200, 200, 40, 90, 10
     rows = F.expr(
@@ -178,8 +192,7 @@ def boundary_points(spark: SparkSession, sf_dir: str, per_raster: bool = False)
 
 def boundary_sql(per_raster: bool = False) -> str:
     source, cx, cy, rp, ri, gain = (
-        ("SELECT label AS image_id, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY label",
-         32, 20, 5, 14, 4) if per_raster else
+        (pooled_sql("label"), 32, 20, 5, 14, 4) if per_raster else
         ("SELECT vec_id AS image_id, embedding FROM embeddings", 200, 200, 40, 90, 10))
     return f"""marks AS (
   SELECT image_id, CASE WHEN i < 8 THEN 'pupil' ELSE 'iris' END AS ring, (i % 8)::INTEGER AS k,
@@ -317,8 +330,8 @@ EYE_SENSORS_SQL = f"""sensors AS (
 def eye_sources(spark: SparkSession, sf_dir: str):
     """(images, points, circles): boundary modes in turn, some without their source or pixels."""
     v = F.col("vec_id")
-    t = table(spark, sf_dir, "embeddings").where(v % EYE_ROWS == 0).select(
-        F.floor(v / EYE_ROWS).cast("int").alias("image_id"), "embedding")
+    t = pooled(table(spark, sf_dir, "embeddings").select(
+        F.floor(v / EYE_ROWS).cast("int").alias("image_id"), "embedding"), "image_id")
     i = F.col("image_id")
     more = F.explode(F.array(i, i + 1_000_000))
     images = (t.select(more.alias("image_id"), i.alias("of")).where("image_id = of OR of % 5 = 0")
@@ -338,7 +351,7 @@ def eye_sources(spark: SparkSession, sf_dir: str):
     return images, points, circles
 
 
-EYE_SOURCES_SQL = f"""firsts AS (SELECT (vec_id // {EYE_ROWS})::INTEGER AS image_id, embedding FROM embeddings WHERE vec_id % {EYE_ROWS} = 0),
+EYE_SOURCES_SQL = f"""firsts AS ({pooled_sql(f"(vec_id // {EYE_ROWS})::INTEGER")}),
 images AS (
   SELECT image_id + extra AS image_id, CASE image_id % 5 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 9 END AS mode,
     image_id % 3 <> 0 AS eyelids, CASE WHEN image_id % 4 <> 1 THEN 200 END AS highlight

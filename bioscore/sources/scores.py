@@ -52,6 +52,17 @@ def read_scores(spark: SparkSession, path: str, number: int = -1) -> DataFrame:
     return _report_rows(spark, path, number + 2).select("file", column("raw", number).alias("hd"))
 
 
+def experiment_of(file: Column) -> Column:
+    """Experiment of a report file from its folder experiment=….
+
+    Paths are URIs, and the writer has escaped special characters of folder names before.
+    """
+    name = F.regexp_extract(file, "experiment=([^/]*)", 1)
+    for _ in range(2):
+        name = F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return name
+
+
 def read_rates(spark: SparkSession, path: str, number: int = 2) -> DataFrame:
     """(file, match, nonmatch, thres, frr, far, trr, tar); the EER trailer is dropped."""
     names = ("match", "nonmatch", "thres", "frr", "far", "trr", "tar")

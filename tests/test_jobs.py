@@ -2,6 +2,8 @@
 
 import numpy as np
 from bioscore.operators import jobs
+from bioscore.sources import scores as files
+from pyspark.sql import functions as F
 from test_images import eye, to_raster
 
 
@@ -27,3 +29,18 @@ def test_files_to_report(spark, tmp_path):
     assert results["roc"].count() == 300 and 0.02 < results["eer"].first().eer < 0.2
     jobs.write_evaluation(results, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "points")).count() == results["points"].count()
+
+
+def test_experiments_of_one_folder(spark, tmp_path):
+    """Names of experiments survive their folders; all are evaluated in one job."""
+    names = ["plain", "a b", "a+b", "50%25", "x/y", "ä=1"]
+    rows = [(n, k, h / 10) for n in names for k in (1, 2) for h in range(k, 8)]
+    table = spark.createDataFrame(rows, "experiment string, match_type int, hd double")
+    for c in ("g_subject", "p_subject", "g_name", "p_name"):
+        table = table.withColumn(c, F.lit("00001"))
+    table = table.withColumn("pos", F.lit(1))
+    for side, kind in (("m", 1), ("n", 2)):
+        files.export_scores(table.where(F.col("match_type") == kind), str(tmp_path / side))
+    results = jobs.evaluate_files(spark, str(tmp_path / "m/*"), str(tmp_path / "n/*"),
+                                  experiment=files.experiment_of(F.col("file")))
+    assert {r.experiment for r in results["eer"].collect()} == set(names)
