@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.common import lookup
 from .components import components
 from .shared import modest_batches, written
 from .words import grams, mix, slices, word_hashes
@@ -261,7 +262,9 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int = WIDTH, bands:
         .select("digest", F.col("rep").alias("copy_id"), _id_of(root).alias("class_id"),
                 (root == F.col("member")).alias("first"),
                 (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "figures")
-    return signs.drop("bands").join(figures, "digest", "left")
+    # copies share a digest: a large group is split over as many blocks as there are partitions
+    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lookup(signs.drop("bands"), figures, "digest", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)), "left")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
