@@ -120,6 +120,22 @@ def shuffle_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of vectors that a batch of wide vectors should hold, about.
+BATCH_BYTES = 1 << 22
+
+
+def modest_batches(df: DataFrame, row_bytes: int) -> DataFrame:
+    """The same rows; from here on the session hands rows to Python in batches of about BATCH_BYTES at most.
+
+    10,000 wide vectors, Spark's default, are copied several times in every Python process.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    most = max(64, BATCH_BYTES // max(row_bytes, 1))
+    if not 0 < int(conf.get(key)) <= most:
+        conf.set(key, str(most))
+    return df
+
+
 def explode_span(df: DataFrame, low: str, high: str, out: str, step: Column | int = 1,
                  chunk: int = 8192) -> DataFrame:
     """One row per whole number low, low+step, … < high.

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, half_even
+from .common import modest_batches
 
 #: Similarity of images of different size.
 DIFFERENT_SIZE = 100000000.0
@@ -213,7 +214,9 @@ def _tall_sum(vectors: DataFrame, part) -> np.ndarray | None:
 
 
 def _width(vectors: DataFrame) -> int:
-    return vectors.select(F.size("v").alias("d")).first()["d"]
+    """Length of the vectors; 0 without vectors."""
+    row = vectors.select(F.size("v").alias("d")).first()
+    return row["d"] if row else 0
 
 
 def _orthonormal(block: np.ndarray, space: list[np.ndarray], least: float) -> np.ndarray:
@@ -236,8 +239,10 @@ def pca_fit_wide(vectors: DataFrame, k: int, seed: int = 0) -> Subspace:
     the leading pairs. It ends when each pair's residual is under SETTLED of the largest
     value, or when the space is closed, and starts again from the best directions when KEPT blocks are
     held. Driver and tasks hold d × (k + KEPT · BLOCK) numbers at most. Vectors that span fewer than k
-    directions give fewer; no vectors, or pairs that do not settle, raise an error.
+    directions give fewer; no vectors, or pairs that do not settle, raise an error. Wide vectors reach
+    Python in batches of some MB, also in later steps of the session.
     """
+    vectors = modest_batches(vectors, 8 * (_width(vectors) or 0))
     sums = _tall_sum(vectors, lambda x: np.column_stack([x.sum(0), np.full(x.shape[1], float(len(x)))]))
     if sums is None:
         raise ValueError("no vectors to fit")

@@ -212,3 +212,18 @@ def test_enrolment_survives_a_lost_job_and_two_writers(spark, tmp_path, monkeypa
     assert templates.read_templates(spark, path).count() == 12
     assert templates.remove_unpublished(spark, path, -1000) == 1
     assert templates.read_templates(spark, path).count() == 12
+
+
+def test_wide_vectors_come_in_modest_batches(spark):
+    """A batch of 10,000 wide vectors would be copied several times in each Python process."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        rows = np.random.default_rng(3).normal(size=(20, 2048))
+        df = spark.createDataFrame([(r.tolist(),) for r in rows], "v array<double>")
+        values = subspace.pca_fit_wide(df, 3).values
+        assert int(spark.conf.get(key)) * 2048 * 8 <= 1 << 22
+        np.testing.assert_allclose(values, np.linalg.svd(rows - rows.mean(0))[1][:3] ** 2 / 20, rtol=1e-8)
+    finally:
+        spark.conf.set(key, before)
